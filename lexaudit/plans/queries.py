@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lexaudit.functions import urls as U
 from lexaudit.operators import keywords as K
 from lexaudit.operators import urls as UO
+from lexaudit.operators import audit as A
+from lexaudit.operators import html as H
 from lexaudit.operators.tokens import script_tokens
 from lexaudit.settings import Settings
 from lexaudit.sources import derived as D
@@ -109,6 +111,106 @@ def q_url_scope(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(U.in_scope(F.col("host"), F.col("root_host"), F.lit(True))).alias("n_same_domain"))
 
 
+def _pages(spark: SparkSession, sf: str, cols=("page_id", "url", "html")) -> DataFrame:
+    return read_table(spark, sf, "pages", key="page_id").select(*cols)
+
+
+def _page_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return H.html_tokens(_pages(spark, sf, ("page_id", "html")), "page_id", "html")
+
+
+def q_container_text(spark: SparkSession, sf: str) -> DataFrame:
+    """EXT0 + EXT5 + EXT8: fallback container text per page."""
+    toks = _page_tokens(spark, sf)
+    nodes = H.text_nodes(toks)
+    fb = H.fallback_text(nodes)
+    return fb.select(F.col("page_key").alias("page_id"), F.col("fallback_text").alias("text"),
+                     F.length("fallback_text").alias("chars"))
+
+
+def q_block_text(spark: SparkSession, sf: str) -> DataFrame:
+    """EXT6: block-scored primary text per page."""
+    toks = _page_tokens(spark, sf)
+    nodes = H.text_nodes(toks)
+    pt = H.primary_text(nodes)
+    return pt.select(F.col("page_key").alias("page_id"), F.length("primary_text").alias("chars"),
+                     F.size(F.split("primary_text", "\n")).alias("lines"))
+
+
+def q_title_text(spark: SparkSession, sf: str) -> DataFrame:
+    """EXT3 + EXT9: cleaned title and the title-prefixed container text."""
+    toks = _page_tokens(spark, sf)
+    nodes = H.text_nodes(toks)
+    t = H.title_text(toks).join(H.fallback_text(nodes), "page_key", "full_outer")
+    text, added = A.prepend_title(F.coalesce(F.col("title"), F.lit("")),
+                                  F.coalesce(F.col("fallback_text"), F.lit("")))
+    return t.select(F.col("page_key").alias("page_id"), F.coalesce(F.col("title"), F.lit("")).alias("title"),
+                    added.alias("title_added"), F.length(text).alias("chars"))
+
+
+def q_noindex(spark: SparkSession, sf: str) -> DataFrame:
+    """EXT1 + EXT2: noindex status, source and value per derived page."""
+    fp = D.fetched_pages(_pages(spark, sf))
+    a = A.analyze_pages(fp, Settings())
+    return a.select(F.col("page_key").alias("page_id"), "noindex_status", "noindex_source", "noindex_value")
+
+
+def q_url_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """EXT4, EXT10-EXT12: audit columns per derived page."""
+    fp = D.fetched_pages(_pages(spark, sf))
+    a = A.analyze_pages(fp, Settings())
+    return a.select(F.col("page_key").alias("page_id"), "url", "status_code", "robots_txt", "noindex_status",
+                    "content_type", "excluded_reason", "included_in_analysis")
+
+
+def q_page_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship: pages -> EXT0 -> EXT5 -> EXT8 -> tokens -> counts -> rank."""
+    toks = _page_tokens(spark, sf)
+    fb = H.fallback_text(H.text_nodes(toks))
+    s = Settings()
+    occ = K.noun_occurrences(fb, "fallback_text", compound_mode=s.compound_mode)
+    return K.rank_frequency(K.raw_frequency(K.count_occurrences(occ), s))
+
+
+def q_site_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG2 + AGG6 keyed by site (registered domain of the page URL)."""
+    pages = _pages(spark, sf)
+    toks = H.html_tokens(pages.select("page_id", "html"), "page_id", "html")
+    fb = H.fallback_text(H.text_nodes(toks))
+    site = pages.select(F.col("page_id").alias("page_key"),
+                        U.registered_domain(U.url_host(F.col("url"))).alias("site_id"))
+    s = Settings()
+    occ = K.noun_occurrences(fb.join(site, "page_key"), "fallback_text", ["site_id"], s.compound_mode)
+    counts = K.raw_frequency(K.count_occurrences(occ, ["site_id"]), s)
+    return K.rank_frequency(counts, ["site_id"])
+
+
+def q_link_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC12: ``<a href>`` in page order, resolved against the page URL,
+    normalised, first per normalised URL."""
+    from lexaudit.operators.frontier import link_edges
+    pages = _pages(spark, sf)
+    e = link_edges(pages, "page_id", "url", "html")
+    return e.select(F.col("src_key").alias("page_id"), "link_pos", "absolute_url", "dst_url")
+
+
+def q_url_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """URL14 on every ``<a href>`` and on fixed relative forms per page."""
+    pages = _pages(spark, sf)
+    hrefs = H.anchor_hrefs(H.html_tokens(pages.select("page_id", "html"), "page_id", "html"))
+    extra = pages.select(F.col("page_id").alias("page_key"), F.posexplode(F.array(
+        *[F.lit(x) for x in RESOLVE_FORMS])).alias("link_pos", "href")).select(
+        "page_key", (F.col("link_pos") - 100).alias("link_pos"), "href")
+    allh = hrefs.unionByName(extra).join(pages.select(F.col("page_id").alias("page_key"), "url"), "page_key")
+    return allh.select(F.col("page_key").alias("page_id"), "link_pos", "href",
+                       U.resolve_url(F.col("url"), F.col("href")).alias("resolved"))
+
+
+# Fixed relative forms resolved against every page URL in ``url_resolve``.
+RESOLVE_FORMS = ("", "#frag", "?q=1", "//cdn.example.com/x", "/a/./b/../c", "d/e", "../f", "./g/",
+                 "https://other.example.com/p", "mailto:x@example.com", "..", ".")
+
+
 QUERIES: dict[str, QueryFn] = {
     "keyword_raw": q_keyword_raw,
     "keyword_final": q_keyword_final,
@@ -119,9 +221,18 @@ QUERIES: dict[str, QueryFn] = {
     "url_cap": q_url_cap,
     "url_registered_domain": q_url_registered_domain,
     "url_scope": q_url_scope,
+    "container_text": q_container_text,
+    "block_text": q_block_text,
+    "title_text": q_title_text,
+    "noindex": q_noindex,
+    "url_audit": q_url_audit,
+    "page_keywords": q_page_keywords,
+    "site_keywords": q_site_keywords,
+    "link_edges": q_link_edges,
+    "url_resolve": q_url_resolve,
 }
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked keywords of the document texts (until the page pipeline is in)."""
-    return q_keyword_raw(spark, sf)
+    """Ranked keywords of the page archive."""
+    return q_page_keywords(spark, sf)

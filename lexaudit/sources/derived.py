@@ -42,3 +42,44 @@ def url_variants(pages: DataFrame) -> DataFrame:
                         F.posexplode(variants).alias("variant", "original_url")) \
         .select("site_id", (F.col("page_id") * 8 + F.col("variant")).cast("long").alias("input_pos"),
                 "original_url")
+
+
+# Derived fetch outcomes for the audit queries, chosen by page_id % 10:
+# 3 -> 404 not_found, 7 -> 503 server_error, 4 -> robots blocked,
+# 5 -> application/pdf, 6 -> empty content type; others 200 text/html.
+# Every page_id % 6 == 2 gets an X-Robots-Tag noindex header, every
+# page_id % 4 == 1 a robots meta tag with noindex.
+META_NOINDEX = '<meta name="robots" content="noindex, follow">'
+
+
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    """``fetched_pages`` rows (plus ``page_key``) derived from ``pages``."""
+    from lexaudit import schemas
+    k = F.col("page_id") % 10
+    html = F.when(F.col("page_id") % 4 == 1,
+                  F.replace(F.col("html"), F.lit("<head>"), F.lit("<head>" + META_NOINDEX))).otherwise(F.col("html"))
+    headers = F.when(F.col("page_id") % 6 == 2,
+                     F.array(F.struct(F.lit("Content-Type").alias("key"), F.lit("text/html").alias("value")),
+                             F.struct(F.lit("X-Robots-Tag").alias("key"), F.lit(" noindex, nofollow").alias("value")))
+                     ).otherwise(F.array().cast(schemas.HEADERS))
+    err = F.when(k == 3, F.lit("not_found")).when(k == 7, F.lit("server_error"))
+    return pages.select(
+        F.col("page_id").alias("page_key"),
+        F.col("url").alias("target_url"),
+        F.col("url").alias("final_url"),
+        F.when(k == 3, F.lit(404)).when(k == 7, F.lit(503)).otherwise(F.lit(200)).alias("status_code"),
+        F.when(k.isin(3, 7, 4), F.array().cast(schemas.HEADERS)).otherwise(headers).alias("headers"),
+        F.when(k == 5, F.lit("application/pdf")).when(k == 6, F.lit(""))
+        .when(k.isin(3, 7, 4), F.lit("")).otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
+        F.when(k.isin(3, 7, 4), F.lit("")).otherwise(F.coalesce(html, F.lit(""))).alias("html"),
+        err.alias("error_kind"),
+        F.when(err.isNotNull(), F.lit("derived error")).alias("error_message"),
+        F.lit(True).alias("robots_checked"),
+        F.when(k == 4, F.lit(False)).otherwise(F.lit(True)).alias("robots_allowed"),
+        F.when(k == 4, F.lit("blocked_by_robots_txt")).otherwise(F.lit("allowed_by_robots_txt")).alias("robots_decision"),
+        F.regexp_extract(F.col("url"), "^(https?://[^/?#]+)", 1).alias("robots_url"),
+        F.lit(None).cast("timestamp_ntz").alias("fetched_at"),
+        F.lit(0.0).alias("elapsed_sec"),
+        F.lit(False).alias("redirect_happened"),
+        F.octet_length(F.col("html")).cast("long").alias("content_length"),
+    )

@@ -12,9 +12,22 @@ from pyspark.sql import functions as F
 from lexaudit import schemas
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table (``{sf_dir}/{name}.parquet``)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A driver table (``{sf_dir}/{name}.parquet``), spread over the cores
+    when the scan yields fewer splits than the cluster has task slots."""
+    return spread_if_narrow(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")), key)
+
+
+def spread_if_narrow(df: DataFrame, key: str | None = None) -> DataFrame:
+    """A single large parquet row group is one task; CPU-heavy per-row work
+    (regex tokenising, HTML parsing) then runs on one core. Only in that case
+    the rows are redistributed (by ``key`` when given, so that later windows
+    on the same key need no second exchange). A scan with enough splits, as
+    on a large archive, is left alone: no extra shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key) if key else df.repartition(slots)
 
 
 def url_column(df: DataFrame, column: str, pos_col: str | None = None,
