@@ -13,7 +13,9 @@ from lexaudit.functions import urls as U
 from lexaudit.operators import keywords as K
 from lexaudit.operators import urls as UO
 from lexaudit.operators import audit as A
+from lexaudit.operators import fetchlog as FL
 from lexaudit.operators import html as H
+from lexaudit.operators import robots as R
 from lexaudit.operators.tokens import script_tokens
 from lexaudit.settings import Settings
 from lexaudit.sources import derived as D
@@ -211,6 +213,52 @@ RESOLVE_FORMS = ("", "#frag", "?q=1", "//cdn.example.com/x", "/a/./b/../c", "d/e
                  "https://other.example.com/p", "mailto:x@example.com", "..", ".")
 
 
+def q_robots_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """ROB1 + ROB2: parsed rule table of the derived robots bodies."""
+    b = D.robots_bodies(_pages(spark, sf, ("page_id", "url")))
+    r = R.robots_rules(b)
+    return r.select("origin", "entry", F.array_join("agents", ",").alias("agents"), "is_default",
+                    "entry_rank", "seq", "allow", "path")
+
+
+def q_robots_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """ROB1-ROB5 on every page URL."""
+    pages = _pages(spark, sf, ("page_id", "url"))
+    d = R.robots_decisions(pages, D.robots_bodies(pages), Settings().user_agent)
+    return d.select("url", "origin", "allowed", "robots_decision", "robots_url", "source_status")
+
+
+def q_fetch_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """FET1-FET8, FET11 on the derived attempt log."""
+    pages = _pages(spark, sf)
+    o = FL.outcome_label(FL.fetch_outcomes(D.fetch_attempts(pages), Settings().retry_count))
+    return o.select("target_url", "final_url", "status_code", "content_type", "error_kind", "outcome",
+                    "content_length", "redirect_happened", "elapsed_sec", "attempts_used",
+                    "retry_after_sec", F.length("html").alias("html_chars"),
+                    F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at"))
+
+
+def q_fetch_errors_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """FET9: error rows by kind."""
+    pages = _pages(spark, sf)
+    return FL.errors_by_kind(FL.fetch_outcomes(D.fetch_attempts(pages), Settings().retry_count))
+
+
+def q_prefetch_join(spark: SparkSession, sf: str) -> DataFrame:
+    """FET10 + DSC16: prefetched pages (every page_id % 5 == 0, from the
+    archive) are reused; else robots-blocked; else the fetched outcome."""
+    from lexaudit.sources.readers import page_archive
+    pages = _pages(spark, sf)
+    s = Settings()
+    fetched = FL.fetch_outcomes(D.fetch_attempts(pages), s.retry_count)
+    robots = R.robots_decisions(pages.select("url"), D.robots_bodies(pages), s.user_agent)
+    pre = page_archive(pages.filter(F.col("page_id") % 5 == 0))
+    j = FL.crawl_join(pages.select(F.col("url").alias("target_url")), fetched, robots, pre)
+    j = FL.outcome_label(j)
+    return j.select("target_url", F.col("_src").alias("source"), "outcome", "status_code", "error_kind",
+                    "robots_checked", "robots_allowed", "robots_decision")
+
+
 QUERIES: dict[str, QueryFn] = {
     "keyword_raw": q_keyword_raw,
     "keyword_final": q_keyword_final,
@@ -230,6 +278,11 @@ QUERIES: dict[str, QueryFn] = {
     "site_keywords": q_site_keywords,
     "link_edges": q_link_edges,
     "url_resolve": q_url_resolve,
+    "robots_rules": q_robots_rules,
+    "robots_decisions": q_robots_decisions,
+    "fetch_outcome": q_fetch_outcome,
+    "fetch_errors_by_kind": q_fetch_errors_by_kind,
+    "prefetch_join": q_prefetch_join,
 }
 
 

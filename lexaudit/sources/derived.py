@@ -83,3 +83,84 @@ def fetched_pages(pages: DataFrame) -> DataFrame:
         F.lit(False).alias("redirect_happened"),
         F.octet_length(F.col("html")).cast("long").alias("content_length"),
     )
+
+
+# Fixed robots bodies of the derived robots table (chosen per origin by
+# length(origin) % 4: 0 -> BODY_A, 1 -> BODY_B, 2 -> 404, 3 -> 403).
+ROBOTS_BODY_A = ("# robots for the test archive\n"
+                 "User-agent: OtherBot\n"
+                 "Disallow: /\n"
+                 "\n"
+                 "User-agent: sitekeyword\n"
+                 "User-agent: AnotherBot\n"
+                 "Disallow: /fr/\n"
+                 "Allow: /fr/1\n"
+                 "Disallow: /es\n"
+                 "\n"
+                 "User-agent: *\n"
+                 "Disallow: /en/\n")
+ROBOTS_BODY_B = ("User-agent: *\n"
+                 "\n"
+                 "Disallow: /en/1\n"
+                 "User-agent: *\n"
+                 "Disallow: /de/  # German pages\n"
+                 "Allow: /\n"
+                 "User-agent: *\n"
+                 "Disallow: /\n")
+
+
+def robots_bodies(pages: DataFrame) -> DataFrame:
+    """``d_robots(origin, robots_url, source_status, body)``: one row per
+    origin of the page URLs."""
+    origin = F.regexp_extract(F.col("url"), "^(https?://[^/?#]+)", 1)
+    o = pages.select(origin.alias("origin")).filter(F.col("origin") != "").distinct()
+    k = F.length("origin") % 4
+    return o.select(
+        "origin",
+        F.concat(F.col("origin"), F.lit("/robots.txt")).alias("robots_url"),
+        F.when(k == 2, F.lit(404)).when(k == 3, F.lit(403)).otherwise(F.lit(200)).alias("source_status"),
+        F.when(k == 0, F.lit(ROBOTS_BODY_A)).when(k == 1, F.lit(ROBOTS_BODY_B)).otherwise(F.lit("")).alias("body"))
+
+
+def fetch_attempts(pages: DataFrame) -> DataFrame:
+    """``d_attempts``: an attempt log per page URL chosen by page_id % 8:
+    0 -> 200, 1 -> 403, 2 -> 404, 3 -> 410, 4 -> 429 then 200,
+    5 -> 503 x3, 6 -> timeout x3 plus a late 200 (beyond the retries),
+    7 -> SSL error. Every 16th page of kind 0 is a PDF; every page with
+    page_id % 3 == 0 that succeeds was redirected once."""
+    from lexaudit import schemas
+    k = F.col("page_id") % 8
+    plan = (F.when(k == 0, F.array(F.lit("200")))
+            .when(k == 1, F.array(F.lit("403")))
+            .when(k == 2, F.array(F.lit("404")))
+            .when(k == 3, F.array(F.lit("410")))
+            .when(k == 4, F.array(F.lit("429"), F.lit("200")))
+            .when(k == 5, F.array(F.lit("503"), F.lit("503"), F.lit("503")))
+            .when(k == 6, F.array(F.lit("timeout"), F.lit("timeout"), F.lit("timeout"), F.lit("200")))
+            .otherwise(F.array(F.lit("ssl_error"))))
+    a = pages.select("page_id", "url", "html", F.posexplode(plan).alias("i", "step"))
+    status = F.col("step").try_cast("int")
+    ok = status == 200
+    pdf = (F.col("page_id") % 16 == 8)
+    ctype = F.when(pdf, F.lit("application/pdf")).otherwise(F.lit("text/html; charset=utf-8"))
+    clen = F.when(F.col("page_id") % 5 == 0, F.lit("abc")).otherwise(F.octet_length("html").cast("string"))
+    hdrs = F.when(ok, F.array(F.struct(F.lit("Content-Type").alias("key"), ctype.alias("value")),
+                              F.struct(F.lit("Content-Length").alias("key"), clen.alias("value"))))
+    hdrs = F.when(status == 429, F.array(F.struct(F.lit("Retry-After").alias("key"), F.lit("0").alias("value")))) \
+        .otherwise(F.coalesce(hdrs, F.array().cast(schemas.HEADERS)))
+    redirected = ok & (F.col("page_id") % 3 == 0)
+    start = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_interval(
+        secs=(F.col("page_id") * 100 + F.col("i") * 10).cast("decimal(18,6)"))
+    return a.select(
+        F.col("url").alias("target_url"),
+        (F.col("i") + 1).cast("int").alias("attempt"),
+        F.when(status.isNull(), F.col("step")).alias("exception_kind"),
+        status.alias("status_code"),
+        F.when(status.isNull(), F.lit(None).cast("string"))
+        .when(redirected, F.concat(F.col("url"), F.lit("/"))).otherwise(F.col("url")).alias("final_url"),
+        hdrs.alias("headers"),
+        F.when(ok, F.col("html")).otherwise(F.lit("")).alias("body"),
+        F.when(redirected, F.lit(1)).otherwise(F.lit(0)).alias("history_len"),
+        start.alias("started_at"),
+        (start + F.make_interval(secs=(F.col("i") + 1).cast("decimal(18,6)"))).alias("ended_at"),
+    )
