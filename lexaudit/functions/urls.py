@@ -48,7 +48,7 @@ def split_url(raw: Column) -> dict[str, Column]:
     query = F.regexp_extract(no_frag, "\\?(.*)$", 1)
     path_params = F.regexp_replace(no_frag, "\\?.*$", "")
     # ;params: from the first ';' after the last '/' (or the first ';').
-    path = F.regexp_replace(path_params, "^((?:.*/)?[^;/]*);.*$", "$1")
+    path = F.regexp_replace(path_params, "^((?:.*/)?[^/;]*);[^/]*$", "$1")
     bad_brackets = ((netloc.contains("[") & ~netloc.contains("]"))
                     | (netloc.contains("]") & ~netloc.contains("[")))
     return {"scheme": scheme, "netloc": netloc, "path": path, "query": query,
@@ -146,7 +146,7 @@ def with_normalized_url(df, raw_col: str, exclude_pdf: bool = True,
         .withColumn("_after", F.when(has_auth, F.regexp_replace(F.col("_rest"), "^//[^/?#]*", ""))
                     .otherwise(F.col("_rest")))
     d = d.withColumn("_path", F.regexp_replace(F.regexp_extract(F.col("_after"), "^([^?#]*)", 1),
-                                               "^((?:.*/)?[^;/]*);.*$", "$1")) \
+                                               "^((?:.*/)?[^/;]*);[^/]*$", "$1")) \
         .withColumn("_query", F.regexp_extract(F.regexp_replace(F.col("_after"), "#.*$", ""), "\\?(.*)$", 1))
     d = d.withColumn("_host", strip_default_port(F.col("_scheme"), F.lower(F.col("_netloc")))) \
         .withColumn("_npath", normalize_path(F.col("_path"))) \
@@ -218,14 +218,20 @@ def _remove_dot_segments(segments: Column) -> Column:
     last = F.element_at(segments, -1)
     folded = F.when(last.isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded)
     joined = F.array_join(folded, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    # With a netloc the serialised path always starts with '/'.
+    return (F.when(joined == "", F.lit("/"))
+            .when(~joined.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined))
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """URL14: ``urljoin(base, ref)`` for http(s) bases."""
-    r = F.coalesce(ref, F.lit(""))
+    r0 = F.coalesce(ref, F.lit(""))
     b = split_url(base)
     bscheme = b["scheme"]
+    r0_scheme = F.lower(F.regexp_extract(r0, _SCHEME_RE, 1))
+    # 'http:g' against an http base is the relative reference 'g'.
+    r = F.when((r0_scheme == bscheme) & ~r0.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"),
+               F.regexp_replace(r0, _SCHEME_RE, "")).otherwise(r0)
     r_scheme = F.lower(F.regexp_extract(r, _SCHEME_RE, 1))
     bauth = F.concat(bscheme, F.lit("://"), b["netloc"])
     bpath_full = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")

@@ -95,7 +95,7 @@ def robots_decisions(urls: DataFrame, bodies: DataFrame, user_agent: str,
                                       F.concat("_scheme", F.lit("://"), "_netloc")))
     # The tested string: quote(path;params?query#fragment) of unquote(url).
     u = u.withColumn("_rest", un_after(py_unquote(F.col("_u"))))
-    u = u.withColumn("_fname", py_quote(F.regexp_replace(F.col("_rest"), "^((?:[^?#]*/)?[^;/?#]*;[^?#]*)", "$1")))
+    u = u.withColumn("_fname", py_quote(F.col("_rest")))
     u = u.withColumn("_fname", F.when(F.col("_fname") == "", F.lit("/")).otherwise(F.col("_fname")))
     u = u.select("url", "origin", "_fname")
     pol = robots_policies(bodies).select("origin", "robots_url", "source_status", "policy")
