@@ -61,6 +61,26 @@ def _phrase_candidates(ns: Column, leads: list[Column], phrases: list[str]) -> t
     return best_n, best_text
 
 
+def forced_matches(tokens: DataFrame, forced_phrases: Sequence[str]) -> DataFrame:
+    """TOK6: at each position the longest run of normalised surfaces whose
+    join is a phrase -> ``(doc_key, pos, phrase, n_tokens)``. The run length
+    is bounded by the longest phrase (each token adds at least one
+    character); candidates are ``lead`` concatenations tested against the
+    phrase set (an in-plan hash set)."""
+    phrases = sorted({p for p in forced_phrases if p})
+    t = normalize_morph(tokens)
+    if not phrases:
+        return t.select("doc_key", "pos", F.lit(None).cast("string").alias("phrase"),
+                        F.lit(0).alias("n_tokens")).limit(0)
+    ns = F.col("normalized_surface")
+    w = Window.partitionBy("doc_key").orderBy("pos")
+    max_len = max(len(p) for p in phrases)
+    leads = [F.lead(ns, k).over(w) for k in range(1, max_len)]
+    n, text = _phrase_candidates(ns, leads, phrases)
+    return (t.select("doc_key", "pos", n.alias("n_tokens"), text.alias("phrase"))
+            .filter(F.col("n_tokens") > 0).select("doc_key", "pos", "phrase", "n_tokens"))
+
+
 def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
                   forced_phrases: Sequence[str] = ()) -> DataFrame:
     """TOK4-TOK7 over ``morph_tokens``: left to right, a forced phrase, else

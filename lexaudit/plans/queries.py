@@ -16,7 +16,7 @@ from lexaudit.operators import audit as A
 from lexaudit.operators import fetchlog as FL
 from lexaudit.operators import html as H
 from lexaudit.operators import robots as R
-from lexaudit.operators.tokens import script_tokens
+from lexaudit.operators.tokens import forced_matches, scan_keywords, script_tokens
 from lexaudit.settings import Settings
 from lexaudit.sources import derived as D
 from lexaudit.sources.readers import read_table
@@ -259,6 +259,57 @@ def q_prefetch_join(spark: SparkSession, sf: str) -> DataFrame:
                     "robots_checked", "robots_allowed", "robots_decision")
 
 
+# Forced compound phrases of the token queries (adjacent letter runs that
+# occur in the documents).
+FORCED_PHRASES = ("thethe", "theand", "orreorre", "inoran")
+
+
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    return D.tagged_tokens(_docs(spark, sf))
+
+
+def q_forced_compound(spark: SparkSession, sf: str) -> DataFrame:
+    """TOK6: longest forced phrase starting at each position."""
+    m = forced_matches(_tagged(spark, sf), K.normalize_terms(FORCED_PHRASES))
+    return m.select(F.col("doc_key").cast("long").alias("doc_id"), "pos", "phrase", "n_tokens")
+
+
+def q_auto_compound(spark: SparkSession, sf: str) -> DataFrame:
+    """TOK4 + TOK5: keyword counts of the scan without forced phrases."""
+    kw = scan_keywords(_tagged(spark, sf), compound_mode=True)
+    return K.rank_frequency(K.count_normalized(kw))
+
+
+def q_scan_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """TOK7: the full scan (forced phrase, else auto compound, else single)."""
+    kw = scan_keywords(_tagged(spark, sf), compound_mode=True,
+                       forced_phrases=K.normalize_terms(FORCED_PHRASES))
+    return kw.select(F.col("doc_key").cast("long").alias("doc_id"), "pos", "keyword", "kind")
+
+
+def q_stopword_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """TOK8-TOK10 + AGG4: raw and final totals per stopword stage."""
+    s = Settings(additional_stopwords_text=USER_STOPWORDS_TEXT, user_stopwords=("was", "with"))
+    occ = K.noun_occurrences(_docs(spark, sf), "text", compound_mode=s.compound_mode)
+    raw = K.raw_frequency(K.count_occurrences(occ), s)
+    return K.keyword_totals(raw, K.final_frequency(raw, s))
+
+
+def q_page_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG5: per document, keyword occurrences before and after each
+    stopword stage."""
+    s = Settings(additional_stopwords_text=USER_STOPWORDS_TEXT)
+    occ = K.noun_occurrences(_docs(spark, sf), "text", ["doc_id"], s.compound_mode)
+    counts = K.count_occurrences(occ, ["doc_id"])
+    default = K.default_stopword_set(s)
+    user = K.user_stopword_set(s)
+    kw = F.col("keyword")
+    return counts.groupBy("doc_id").agg(
+        F.sum("freq").alias("tokens"),
+        F.sum(F.when(~kw.isin(*default), F.col("freq")).otherwise(0)).alias("after_default"),
+        F.sum(F.when(~kw.isin(*default) & ~kw.isin(*user), F.col("freq")).otherwise(0)).alias("after_user"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "keyword_raw": q_keyword_raw,
     "keyword_final": q_keyword_final,
@@ -283,6 +334,11 @@ QUERIES: dict[str, QueryFn] = {
     "fetch_outcome": q_fetch_outcome,
     "fetch_errors_by_kind": q_fetch_errors_by_kind,
     "prefetch_join": q_prefetch_join,
+    "forced_compound": q_forced_compound,
+    "auto_compound": q_auto_compound,
+    "scan_tokens": q_scan_tokens,
+    "stopword_filter": q_stopword_filter,
+    "page_token_counts": q_page_token_counts,
 }
 
 

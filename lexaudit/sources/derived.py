@@ -164,3 +164,21 @@ def fetch_attempts(pages: DataFrame) -> DataFrame:
         start.alias("started_at"),
         (start + F.make_interval(secs=(F.col("i") + 1).cast("decimal(18,6)"))).alias("ended_at"),
     )
+
+
+def tagged_tokens(docs: DataFrame) -> DataFrame:
+    """``d_tokens``: a tagged-token table from ``documents``: letter runs in
+    order, part of speech by run length (>= 7 common noun, 5-6 proper noun
+    with base form '*', 4 suffix noun, 3 dependent noun, 2 particle,
+    1 sign). Word separators are not tokens, so adjacent words form noun
+    runs for the compound rules."""
+    t = docs.select(F.col("doc_id").cast("string").alias("doc_key"),
+                    F.posexplode(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")),
+                                                      F.lit("(\\p{L}+)"), 1)).alias("pos", "surface"))
+    n = F.length("surface")
+    primary = F.when(n >= 3, F.lit("名詞")).when(n == 2, F.lit("助詞")).otherwise(F.lit("記号"))
+    subtype = (F.when(n >= 7, F.lit("一般")).when(n >= 5, F.lit("固有名詞")).when(n == 4, F.lit("接尾"))
+               .when(n == 3, F.lit("非自立")).when(n == 2, F.lit("格助詞")).otherwise(F.lit("一般")))
+    base = F.when((n >= 5) & (n <= 6), F.lit("*")).otherwise(F.col("surface"))
+    return t.select("doc_key", F.col("pos").cast("int").alias("pos"), "surface", base.alias("base_form"),
+                    primary.alias("primary_pos"), subtype.alias("subtype"))
