@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +46,34 @@ def normalize_morph(tokens: DataFrame) -> DataFrame:
 def _phrase_candidates(ns: Column, leads: list[Column], phrases: list[str]) -> tuple[Column, Column]:
     """(length in tokens, text) of the longest run starting here whose
     joined normalised surfaces is a phrase; (0, NULL) if none. A run stops
-    at the first empty normalised surface."""
-    best_n = F.lit(0)
-    best_text = F.lit(None).cast("string")
-    acc = ns
-    ok = F.coalesce(ns, F.lit("")) != ""
-    for k in range(1, len(leads) + 2):
-        if k > 1:
-            nxt = leads[k - 2]
-            ok = ok & (F.coalesce(nxt, F.lit("")) != "")
-            acc = F.concat(acc, nxt)
-        hit = ok & acc.isin(*phrases)
-        best_n = F.when(hit, F.lit(k)).otherwise(best_n)
-        best_text = F.when(hit, acc).otherwise(best_text)
-    return best_n, best_text
+    at the first empty normalised surface, and as soon as the joined text is
+    no prefix of any phrase (pruning only). One ``aggregate`` over the
+    following surfaces, evaluated only where the first surface is a prefix."""
+    phrase_set = sorted(set(phrases))
+    prefixes = sorted({p[:i] for p in phrase_set for i in range(1, len(p) + 1)})
+    max_len = max(len(p) for p in phrase_set)
+    alive0 = (F.coalesce(ns, F.lit("")) != "") & ns.isin(*prefixes)
+    init = F.struct(ns.alias("acc"), F.lit(1).alias("n"), F.lit(True).alias("alive"),
+                    F.when(ns.isin(*phrase_set), F.lit(1)).otherwise(F.lit(0)).alias("best_n"),
+                    F.when(ns.isin(*phrase_set), ns).alias("best_text"))
+
+    def step(st, x):
+        acc2 = F.concat(st["acc"], x)
+        ok = st["alive"] & (F.coalesce(x, F.lit("")) != "")
+        alive2 = ok & acc2.isin(*prefixes) & (F.length(acc2) <= max_len)
+        hit = alive2 & acc2.isin(*phrase_set)
+        n2 = st["n"] + 1
+        return F.struct(F.when(ok, acc2).otherwise(st["acc"]).alias("acc"), n2.alias("n"),
+                        alive2.alias("alive"),
+                        F.when(hit, n2).otherwise(st["best_n"]).alias("best_n"),
+                        F.when(hit, acc2).otherwise(st["best_text"]).alias("best_text"))
+
+    if leads:
+        res = F.aggregate(F.array(*leads), init, step)
+    else:
+        res = init
+    best = F.when(alive0, res)
+    return F.coalesce(best["best_n"], F.lit(0)), best["best_text"]
 
 
 def forced_matches(tokens: DataFrame, forced_phrases: Sequence[str]) -> DataFrame:
@@ -138,6 +153,9 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
     t = t.withColumn("_seg", F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ws = Window.partitionBy("doc_key", "_seg")
     t = t.withColumn("_seg_forced", F.max("_forced_n").over(ws))
+    # The annotated table feeds several branches (landing points, compound
+    # text); keep it instead of recomputing the windows for each branch.
+    t = t.persist(StorageLevel.MEMORY_AND_DISK)
 
     if phrases:
         # Segments with a forced phrase: sequential fold over (pos, next).
