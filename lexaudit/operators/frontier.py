@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexaudit.session import cut_lineage
+
 from lexaudit.functions.urls import resolve_url, with_normalized_url
 from lexaudit.operators import html as H
 
@@ -33,3 +35,88 @@ def link_edges(pages: DataFrame, key_col: str, url_col: str, html_col: str,
     return firsts.select(F.col("page_key").alias("src_key"), "src_url",
                          F.col("_f.link_pos").alias("link_pos"), F.col("_f.absolute_url").alias("absolute_url"),
                          "dst_url")
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None,
+        allowed: DataFrame | None = None, max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """DSC13-DSC15: level-synchronous BFS over the link graph.
+
+    ``edges``: ``(src_url, link_pos, dst_url)`` keyed by the normalised URL
+    of the source page. ``seeds``: ``(site_id, seed_rank, normalized_url)``
+    (DSC14 order: start URL first). ``allowed``: optional ``(normalized_url,
+    allowed)`` robots decisions (missing = allowed).
+
+    A level is one join of the frontier with the edges, an anti join with
+    everything discovered so far and a per-site first-occurrence pick by
+    ``(parent rank, link position)`` -- the FIFO order of a queue walk.
+    Pages at ``max_depth`` are not expanded. Each level is checkpointed.
+
+    Without ``max_pages`` returns ``(discovered, discovered)``; with it the
+    cap rule of the queue walk is applied: blocked seeds count -1, allowed
+    new links +1, blocked new links 0; S is the first event where the
+    running total reaches the cap; targets are the allowed links up to S
+    and discovered keeps, on S's page, the links up to the next allowed
+    one after S. Returns ``(targets, discovered)``.
+    """
+    allow = allowed.select("normalized_url", F.col("allowed").alias("_allowed")) if allowed is not None else None
+    e = edges.select(F.col("src_url").alias("_src"), "link_pos", "dst_url")
+    front = seeds.select("site_id", F.lit(0).alias("depth"), F.col("seed_rank").alias("rank"),
+                         "normalized_url", F.lit(None).cast("string").alias("discovered_from"),
+                         F.lit(None).cast("long").alias("_prank"), F.lit(None).cast("int").alias("link_pos"))
+    if allow is not None:
+        front = front.join(allow, "normalized_url", "left")
+    else:
+        front = front.withColumn("_allowed", F.lit(True))
+    front = cut_lineage(front.withColumn("_allowed", F.coalesce(F.col("_allowed"), F.lit(True))))
+    done = front
+    levels = max_depth if max_levels is None else min(max_depth, max_levels)
+    for depth in range(1, levels + 1):
+        expand = front.filter(F.col("_allowed"))
+        kids = expand.select("site_id", F.col("rank").alias("_prank"), F.col("normalized_url").alias("_src")) \
+            .join(e, "_src").select("site_id", "_prank", "link_pos", F.col("dst_url").alias("normalized_url"),
+                                    F.col("_src").alias("discovered_from"))
+        kids = kids.join(done.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
+        first = kids.groupBy("site_id", "normalized_url").agg(
+            F.min_by(F.struct("_prank", "link_pos", "discovered_from"), F.struct("_prank", "link_pos")).alias("_k"))
+        w = Window.partitionBy("site_id").orderBy("_k._prank", "_k.link_pos")
+        nxt = first.select("site_id", F.lit(depth).alias("depth"), F.row_number().over(w).cast("long").alias("rank"),
+                           "normalized_url", F.col("_k.discovered_from").alias("discovered_from"),
+                           F.col("_k._prank").alias("_prank"), F.col("_k.link_pos").alias("link_pos"))
+        if allow is not None:
+            nxt = nxt.join(allow, "normalized_url", "left")
+        else:
+            nxt = nxt.withColumn("_allowed", F.lit(True))
+        nxt = cut_lineage(nxt.withColumn("_allowed", F.coalesce(F.col("_allowed"), F.lit(True))))
+        if nxt.isEmpty():
+            break
+        done = done.unionByName(nxt)
+        front = nxt
+    out = done.select("site_id", "normalized_url", "depth", "rank", "discovered_from", "_prank", "link_pos", "_allowed")
+    if max_pages is None:
+        return out, out
+    # Cap rule over events in queue order: seeds by rank; new links by
+    # (depth, parent rank, link position).
+    ev = out.withColumn("_event", F.when(F.col("depth") == 0, F.when(F.col("_allowed"), 0).otherwise(-1))
+                        .otherwise(F.when(F.col("_allowed"), 1).otherwise(0)))
+    ev = ev.withColumn("_k1", F.when(F.col("depth") == 0, F.lit(-1)).otherwise(F.col("depth")))
+    ev = ev.withColumn("_k2", F.when(F.col("depth") == 0, F.col("rank")).otherwise(F.col("_prank")))
+    ev = ev.withColumn("_k3", F.coalesce(F.col("link_pos"), F.lit(-1)))
+    n_seeds = out.filter(F.col("depth") == 0).groupBy("site_id").agg(F.count(F.lit(1)).alias("_n_seeds"))
+    ws = Window.partitionBy("site_id").orderBy("_k1", "_k2", "_k3").rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.join(n_seeds, "site_id").withColumn("_total", F.col("_n_seeds") + F.sum("_event").over(ws))
+    cap = int(max_pages)
+    s_pos = ev.filter(F.col("_total") >= cap).groupBy("site_id").agg(
+        F.min(F.struct("_k1", "_k2", "_k3")).alias("_s"))
+    ev = ev.join(s_pos, "site_id", "left")
+    key = F.struct("_k1", "_k2", "_k3")
+    upto_s = F.col("_s").isNull() | (key <= F.col("_s"))
+    targets = ev.filter((F.col("depth") > 0) & F.col("_allowed") & upto_s)
+    # On S's page: links after S up to and including the next allowed one.
+    same_page = (F.col("_k1") == F.col("_s._k1")) & (F.col("_k2") == F.col("_s._k2")) & (key > F.col("_s"))
+    nxt_allowed = ev.filter(same_page & F.col("_allowed")).groupBy("site_id").agg(
+        F.min(F.col("_k3")).alias("_stop"))
+    ev = ev.join(nxt_allowed, "site_id", "left")
+    extra = same_page & (F.col("_stop").isNull() | (F.col("_k3") <= F.col("_stop")))
+    discovered = ev.filter(upto_s | extra)
+    cols = ["site_id", "normalized_url", "depth", "rank", "discovered_from", "_allowed"]
+    return targets.select(*cols), discovered.select(*cols)

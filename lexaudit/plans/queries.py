@@ -13,6 +13,7 @@ from lexaudit.functions import urls as U
 from lexaudit.operators import keywords as K
 from lexaudit.operators import urls as UO
 from lexaudit.operators import audit as A
+from lexaudit.operators import discovery as DS
 from lexaudit.operators import fetchlog as FL
 from lexaudit.operators import html as H
 from lexaudit.operators import robots as R
@@ -310,6 +311,78 @@ def q_page_token_counts(spark: SparkSession, sf: str) -> DataFrame:
         F.sum(F.when(~kw.isin(*default) & ~kw.isin(*user), F.col("freq")).otherwise(0)).alias("after_user"))
 
 
+# Page cap per site of the discovery queries.
+SITE_MAX_PAGES = 2
+
+
+def q_sitemap_locs(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC7: locs of every derived sitemap document."""
+    docs = D.sitemap_documents(_pages(spark, sf, ("page_id", "url")))
+    p = DS.parse_sitemaps(docs)
+    return p.select("sitemap_url", F.posexplode("locs").alias("loc_pos", "loc"))
+
+
+def q_sitemap_status(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC7 + DSC8: status and loc count per derived sitemap document."""
+    docs = D.sitemap_documents(_pages(spark, sf, ("page_id", "url")))
+    p = DS.parse_sitemaps(docs)
+    return p.select("sitemap_url", "fetch_status", F.size("locs").alias("url_count"))
+
+
+def _sitemap_run(spark: SparkSession, sf: str):
+    pages = _pages(spark, sf, ("page_id", "url"))
+    sites = D.sites_from_pages(pages, SITE_MAX_PAGES)
+    seeds = DS.sitemap_seeds(sites, D.robots_bodies(pages))
+    processed = DS.traverse_sitemaps(seeds, D.sitemap_documents(pages))
+    return sites, DS.sitemap_targets(processed, sites, Settings().exclude_url_patterns)
+
+
+def q_sitemap_traverse(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC6, DSC9: documents fetched per site, in queue order, until the cap."""
+    _, (_, sources) = _sitemap_run(spark, sf)
+    return sources
+
+
+def q_sitemap_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC10: sitemap URLs accepted per site (first wins, capped)."""
+    _, (targets, _) = _sitemap_run(spark, sf)
+    return targets
+
+
+def _bfs_inputs(spark: SparkSession, sf: str):
+    from lexaudit.functions.urls import with_normalized_url
+    pages = _pages(spark, sf, ("page_id", "url"))
+    edges = D.link_graph(pages)
+    src_norm = with_normalized_url(pages, "url", True, "normalized_url", "_r").select(
+        F.col("url").alias("src_url"), F.col("normalized_url").alias("_src_norm"))
+    edges = edges.join(src_norm, "src_url").select(F.col("_src_norm").alias("src_url"), "link_pos", "dst_url")
+    # One site per origin, seeded with the origin's first page (DSC14).
+    origin = F.regexp_extract(F.col("url"), "^(https?://[^/?#]+)", 1)
+    first = pages.groupBy(origin.alias("site_id")).agg(F.min_by("url", "page_id").alias("url"))
+    seeds = (with_normalized_url(first, "url", True, "normalized_url", "_r")
+             .select("site_id", F.lit(0).cast("long").alias("seed_rank"), "normalized_url"))
+    return edges, seeds
+
+
+def q_bfs_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC13 without a cap: every URL reachable from page 0 within
+    max_depth, with its BFS depth and discovering page."""
+    from lexaudit.operators.frontier import bfs
+    edges, seeds = _bfs_inputs(spark, sf)
+    found, _ = bfs(edges, seeds, Settings().max_depth)
+    return found.select("site_id", "normalized_url", "depth")
+
+
+def q_bfs_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC13 with the page cap (checked against a queue walk in tests)."""
+    from lexaudit.operators.frontier import bfs
+    edges, seeds = _bfs_inputs(spark, sf)
+    targets, discovered = bfs(edges, seeds, 8, max_pages=20)
+    t = targets.select("site_id", "normalized_url", F.lit(True).alias("is_target"))
+    return discovered.join(t, ["site_id", "normalized_url"], "left").select(
+        "site_id", "normalized_url", "depth", "discovered_from", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "keyword_raw": q_keyword_raw,
     "keyword_final": q_keyword_final,
@@ -339,6 +412,12 @@ QUERIES: dict[str, QueryFn] = {
     "scan_tokens": q_scan_tokens,
     "stopword_filter": q_stopword_filter,
     "page_token_counts": q_page_token_counts,
+    "sitemap_locs": q_sitemap_locs,
+    "sitemap_status": q_sitemap_status,
+    "sitemap_traverse": q_sitemap_traverse,
+    "sitemap_targets": q_sitemap_targets,
+    "bfs_frontier": q_bfs_frontier,
+    "bfs_capped": q_bfs_capped,
 }
 
 

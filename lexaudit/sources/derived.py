@@ -98,7 +98,8 @@ ROBOTS_BODY_A = ("# robots for the test archive\n"
                  "Disallow: /es\n"
                  "\n"
                  "User-agent: *\n"
-                 "Disallow: /en/\n")
+                 "Disallow: /en/\n"
+                 "Sitemap: /sitemap.xml\n")
 ROBOTS_BODY_B = ("User-agent: *\n"
                  "\n"
                  "Disallow: /en/1\n"
@@ -182,3 +183,58 @@ def tagged_tokens(docs: DataFrame) -> DataFrame:
     base = F.when((n >= 5) & (n <= 6), F.lit("*")).otherwise(F.col("surface"))
     return t.select("doc_key", F.col("pos").cast("int").alias("pos"), "surface", base.alias("base_form"),
                     primary.alias("primary_pos"), subtype.alias("subtype"))
+
+
+def sitemap_documents(pages: DataFrame) -> DataFrame:
+    """``d_sitemaps(sitemap_url, status_code, body)`` per page origin:
+    ``/sitemap.xml`` is an index naming ``/sitemap-pages.xml``, a relative
+    ``sitemap-missing.xml`` (404) and itself; ``/sitemap-pages.xml`` is the
+    urlset of the origin's page URLs in page_id order (malformed when
+    length(origin) % 5 == 0); ``/sitemap_index.xml`` answers 404."""
+    origin = F.regexp_extract(F.col("url"), "^(https?://[^/?#]+)", 1)
+    p = pages.select(origin.alias("origin"), "page_id", "url").filter(F.col("origin") != "")
+    per = p.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("_u"))
+    locs = F.array_join(F.transform(F.col("_u"), lambda x: F.concat(F.lit("<url><loc>"),
+                                                                       F.replace(x["url"], F.lit("&"), F.lit("&amp;")),
+                                                                       F.lit("</loc></url>"))), "")
+    urlset = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>'
+                            '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), locs, F.lit("</urlset>"))
+    urlset = F.when(F.length("origin") % 5 == 0, F.concat(F.lit("<urlset><url><loc>"), F.col("origin"))) \
+        .otherwise(urlset)
+    index = F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>'),
+                     F.col("origin"), F.lit("/sitemap-pages.xml</loc></sitemap><sitemap><loc>sitemap-missing.xml"
+                                            "</loc></sitemap><sitemap><loc>"),
+                     F.col("origin"), F.lit("/sitemap.xml</loc></sitemap></sitemapindex>"))
+    docs = F.array(
+        F.struct(F.concat("origin", F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(200).alias("status_code"),
+                 index.alias("body")),
+        F.struct(F.concat("origin", F.lit("/sitemap-pages.xml")).alias("sitemap_url"), F.lit(200).alias("status_code"),
+                 urlset.alias("body")),
+        F.struct(F.concat("origin", F.lit("/sitemap_index.xml")).alias("sitemap_url"), F.lit(404).alias("status_code"),
+                 F.lit(None).cast("string").alias("body")),
+        F.struct(F.concat("origin", F.lit("/sitemap-missing.xml")).alias("sitemap_url"), F.lit(404).alias("status_code"),
+                 F.lit(None).cast("string").alias("body")))
+    return per.select(F.explode(docs).alias("d")).select("d.*")
+
+
+def sites_from_pages(pages: DataFrame, max_pages: int, max_depth: int = 3) -> DataFrame:
+    """``sites``: one site per page origin, start URL = origin + '/'."""
+    origin = F.regexp_extract(F.col("url"), "^(https?://[^/?#]+)", 1)
+    o = pages.select(origin.alias("origin")).filter(F.col("origin") != "").distinct()
+    return o.select(F.col("origin").alias("site_id"), F.concat("origin", F.lit("/")).alias("start_url"),
+                    F.lit(False).alias("include_subdomains"), F.lit(int(max_pages)).alias("max_pages"),
+                    F.lit(int(max_depth)).alias("max_depth"))
+
+
+def link_graph(pages: DataFrame) -> DataFrame:
+    """``d_edges(src_url, link_pos, absolute_url, dst_url)``: page p links
+    to pages 2p+1 and 2p+2 (when they exist), by their URLs; ``dst_url``
+    is the normalised target URL."""
+    from lexaudit.functions.urls import with_normalized_url
+    src = pages.select(F.col("page_id").alias("src_id"), F.col("url").alias("src_url"))
+    dst = pages.select(F.col("page_id").alias("dst_id"), F.col("url").alias("absolute_url"))
+    e = src.select("src_id", "src_url", F.posexplode(F.array(F.col("src_id") * 2 + 1, F.col("src_id") * 2 + 2))
+                   .alias("link_pos", "dst_id"))
+    e = e.join(dst, "dst_id")
+    e = with_normalized_url(e, "absolute_url", True, "dst_url", "_reason")
+    return e.select("src_url", F.col("link_pos").cast("int").alias("link_pos"), "absolute_url", "dst_url")
