@@ -223,38 +223,51 @@ def _remove_dot_segments(segments: Column) -> Column:
             .when(~joined.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined))
 
 
-def resolve_url(base: Column, ref: Column) -> Column:
-    """URL14: ``urljoin(base, ref)`` for http(s) bases."""
-    r0 = F.coalesce(ref, F.lit(""))
-    b = split_url(base)
-    bscheme = b["scheme"]
-    r0_scheme = F.lower(F.regexp_extract(r0, _SCHEME_RE, 1))
+def with_resolved_url(df, base_col: str, ref_col: str, out_col: str):
+    """URL14: ``urljoin(base, ref)`` for http(s) bases, as staged
+    projections (each part is computed once; one inlined expression would
+    repeat the parts in every branch)."""
+    tmp = ["_j_r0", "_j_bs", "_j_r", "_j_rs", "_j_bauth", "_j_bpath", "_j_bq", "_j_bnf", "_j_rest",
+           "_j_tail", "_j_segs", "_j_path"]
+    d = df.withColumn("_j_r0", F.coalesce(F.col(ref_col), F.lit("")))
+    d = d.withColumn("_j_bs", F.lower(F.regexp_extract(F.col(base_col), _SCHEME_RE, 1)))
+    r0 = F.col("_j_r0")
     # 'http:g' against an http base is the relative reference 'g'.
-    r = F.when((r0_scheme == bscheme) & ~r0.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"),
-               F.regexp_replace(r0, _SCHEME_RE, "")).otherwise(r0)
-    r_scheme = F.lower(F.regexp_extract(r, _SCHEME_RE, 1))
-    bauth = F.concat(bscheme, F.lit("://"), b["netloc"])
-    bpath_full = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
-    bquery = F.regexp_extract(F.regexp_replace(base, "#.*$", ""), "\\?(.*)$", 1)
-    rest = F.regexp_extract(r, "^([^?#]*)", 1)
-    tail = F.regexp_replace(r, "^[^?#]*", "")
-    has_q = tail.startswith("?")
-    # Relative path: base directory + ref, empty inner segments removed.
-    base_dir = F.split(bpath_full, "/")
-    base_dir = F.when(F.element_at(base_dir, -1) != "", F.slice(base_dir, 1, F.greatest(F.size(base_dir) - 1, F.lit(0)))) \
-        .otherwise(base_dir)
+    d = d.withColumn("_j_r", F.when((F.lower(F.regexp_extract(r0, _SCHEME_RE, 1)) == F.col("_j_bs"))
+                                    & ~r0.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"),
+                                    F.regexp_replace(r0, _SCHEME_RE, "")).otherwise(r0))
+    r = F.col("_j_r")
+    d = d.withColumn("_j_rs", F.lower(F.regexp_extract(r, _SCHEME_RE, 1)))
+    d = d.withColumn("_j_bauth", F.concat(F.col("_j_bs"), F.lit("://"),
+                                          F.regexp_extract(F.col(base_col), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
+    d = d.withColumn("_j_bpath", F.regexp_extract(F.col(base_col), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+    d = d.withColumn("_j_bq", F.regexp_extract(F.regexp_replace(F.col(base_col), "#.*$", ""), "\\?(.*)$", 1))
+    d = d.withColumn("_j_bnf", F.regexp_replace(F.col(base_col), "#.*$", ""))
+    d = d.withColumn("_j_rest", F.regexp_extract(r, "^([^?#]*)", 1))
+    d = d.withColumn("_j_tail", F.regexp_replace(r, "^[^?#]*", ""))
+    rest = F.col("_j_rest")
+    # Segments to fold: absolute path alone, or base directory + relative
+    # path with empty inner segments removed.
+    base_dir = F.split(F.col("_j_bpath"), "/")
+    base_dir = F.when(F.element_at(base_dir, -1) != "",
+                      F.slice(base_dir, 1, F.greatest(F.size(base_dir) - 1, F.lit(0)))).otherwise(base_dir)
     merged = F.concat(base_dir, F.split(rest, "/"))
-    n = F.size(merged)
-    inner = F.filter(F.slice(merged, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
-    merged = F.when(n >= 2, F.concat(F.slice(merged, 1, 1), inner, F.slice(merged, -1, 1))).otherwise(merged)
-    rel_path = _remove_dot_segments(merged)
-    abs_path = _remove_dot_segments(F.split(rest, "/"))
-    bq = F.when(bquery != "", F.concat(F.lit("?"), bquery)).otherwise(F.lit(""))
-    bfrag_less = F.regexp_replace(base, "#.*$", "")
-    return (F.when(r == "", base)
-            .when((r_scheme != "") & ((r_scheme != bscheme) | r.rlike("^[A-Za-z][A-Za-z0-9+.-]*://")), r)
-            .when(r.startswith("//"), F.concat(bscheme, F.lit(":"), r))
-            .when(r.startswith("#"), F.concat(bfrag_less, r))
-            .when(rest == "", F.concat(bauth, bpath_full, F.when(has_q, F.lit("")).otherwise(bq), tail))
-            .when(rest.startswith("/"), F.concat(bauth, abs_path, tail))
-            .otherwise(F.concat(bauth, rel_path, tail)))
+    d = d.withColumn("_j_segs", F.when(rest.startswith("/"), F.split(rest, "/")).otherwise(merged))
+    segs = F.col("_j_segs")
+    n = F.size(segs)
+    inner = F.filter(F.slice(segs, 2, F.greatest(n - 2, F.lit(0))), lambda x: x != "")
+    cleaned = F.when(rest.startswith("/") | (n < 2), segs).otherwise(
+        F.concat(F.slice(segs, 1, 1), inner, F.slice(segs, -1, 1)))
+    d = d.withColumn("_j_segs", cleaned)
+    d = d.withColumn("_j_path", _remove_dot_segments(F.col("_j_segs")))
+    bq = F.when(F.col("_j_bq") != "", F.concat(F.lit("?"), F.col("_j_bq"))).otherwise(F.lit(""))
+    has_q = F.col("_j_tail").startswith("?")
+    out = (F.when(r == "", F.col(base_col))
+           .when((F.col("_j_rs") != "") & ((F.col("_j_rs") != F.col("_j_bs"))
+                                          | r.rlike("^[A-Za-z][A-Za-z0-9+.-]*://")), r)
+           .when(r.startswith("//"), F.concat(F.col("_j_bs"), F.lit(":"), r))
+           .when(r.startswith("#"), F.concat(F.col("_j_bnf"), r))
+           .when(rest == "", F.concat(F.col("_j_bauth"), F.col("_j_bpath"),
+                                      F.when(has_q, F.lit("")).otherwise(bq), F.col("_j_tail")))
+           .otherwise(F.concat(F.col("_j_bauth"), F.col("_j_path"), F.col("_j_tail"))))
+    return d.withColumn(out_col, out).drop(*tmp)

@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaudit.functions.urls import (first_matching_pattern, py_strip, resolve_url, url_host,
-                                     with_normalized_url)
+from lexaudit.functions.urls import (first_matching_pattern, py_strip, url_host, with_normalized_url,
+                                     with_resolved_url)
 from lexaudit.session import cut_lineage
 
 SITEMAP_SCHEMA = "url array<struct<loc string>>, sitemap array<struct<loc string>>, _corrupt_record string"
@@ -36,8 +36,8 @@ def sitemap_seeds(sites: DataFrame, robots: DataFrame | None) -> DataFrame:
         found = (lines.filter(F.lower(F.col("_l")).startswith("sitemap:"))
                  .withColumn("_v", py_strip(F.regexp_extract(F.col("_l"), "^[^:]*:(.*)$", 1)))
                  .filter(F.col("_v") != "")
-                 .select("origin", "ln", resolve_url(F.col("robots_url"), F.col("_v")).alias("sitemap_url"),
-                         F.lit("robots_txt").alias("discovered_from")))
+                 .transform(lambda d: with_resolved_url(d, "robots_url", "_v", "sitemap_url"))
+                 .select("origin", "ln", "sitemap_url", F.lit("robots_txt").alias("discovered_from")))
         found = s.join(found, "origin")
     else:
         found = None
@@ -94,7 +94,8 @@ def traverse_sitemaps(seeds: DataFrame, docs: DataFrame, max_levels: int = 16) -
     fetch_status, doc_type, locs)``; ``(level, rank)`` is the queue order.
     The loop runs one join per level of index nesting; each level is
     checkpointed so the lineage stays short."""
-    parsed = parse_sitemaps(docs)
+    # The parsed sitemap table is joined once per level: materialise it once.
+    parsed = cut_lineage(parse_sitemaps(docs))
     w0 = Window.partitionBy("site_id").orderBy("seed_pos")
     frontier = seeds.select("site_id", F.lit(0).alias("level"), F.row_number().over(w0).alias("rank"),
                             "sitemap_url", "discovered_from")
@@ -107,8 +108,8 @@ def traverse_sitemaps(seeds: DataFrame, docs: DataFrame, max_levels: int = 16) -
         kids = (frontier.filter(F.col("fetch_status") == "ok_sitemapindex")
                 .select("site_id", F.col("rank").alias("_prank"), F.col("sitemap_url").alias("_parent"),
                         F.posexplode("locs").alias("_lpos", "_loc")))
-        kids = kids.select("site_id", "_prank", "_lpos", resolve_url(F.col("_parent"), F.col("_loc")).alias("sitemap_url"),
-                           F.col("_parent").alias("discovered_from"))
+        kids = with_resolved_url(kids, "_parent", "_loc", "sitemap_url").select(
+            "site_id", "_prank", "_lpos", "sitemap_url", F.col("_parent").alias("discovered_from"))
         kids = kids.filter(F.col("sitemap_url") != "")
         kids = kids.join(done.select("site_id", "sitemap_url"), ["site_id", "sitemap_url"], "left_anti")
         first = kids.groupBy("site_id", "sitemap_url").agg(
@@ -152,7 +153,7 @@ def sitemap_targets(processed: DataFrame, sites: DataFrame, exclude_patterns, ex
                             F.size("locs").alias("url_count"), "locs")
     locs = (docs.filter(F.col("fetch_status") == "ok_urlset")
             .select("site_id", "level", "rank", "sitemap_url", F.posexplode("locs").alias("loc_pos", "_loc")))
-    locs = locs.withColumn("original_url", resolve_url(F.col("sitemap_url"), py_strip(F.col("_loc"))))
+    locs = with_resolved_url(locs.withColumn("_loc", py_strip(F.col("_loc"))), "sitemap_url", "_loc", "original_url")
     acc = accept_candidates(locs, sites, exclude_patterns, exclude_pdf)
     key = F.struct("level", "rank", "loc_pos")
     firsts = acc.groupBy("site_id", "normalized_url").agg(
@@ -192,3 +193,228 @@ def sitemap_targets(processed: DataFrame, sites: DataFrame, exclude_patterns, ex
         "site_id", "level", "rank", "sitemap_url", "discovered_from", "fetch_status",
         F.col("url_count").cast("int").alias("url_count"))
     return targets.drop("_level", "_rank", "_loc_pos"), sources
+
+
+# ------------------------------------------------------------- feeds ----
+def feed_candidates(sites: DataFrame) -> DataFrame:
+    """DSC1: per site, base prefixes = root and the first 1..3 path segments
+    of the start URL; two endpoints each; deduped in order.
+    -> ``(site_id, candidate_pos, api_url, discovered_from)``."""
+    from lexaudit.functions.urls import with_normalized_url
+    s = with_normalized_url(sites.select("site_id", "start_url"), "start_url", True, "_n", "_r")
+    origin = F.regexp_extract(F.col("_n"), "^(https?://[^/?#]+)", 1)
+    path = F.regexp_replace(F.regexp_extract(F.col("_n"), "^https?://[^/?#]+([^?#]*)", 1), "^/+", "")
+    segs = F.filter(F.split(path, "/"), lambda x: x != "")
+    s = s.select("site_id", origin.alias("origin"), segs.alias("_segs"))
+    pref = s.select("site_id", "origin", F.posexplode(F.sequence(F.lit(0), F.least(F.size("_segs"), F.lit(3))))
+                    .alias("_i", "_k"), "_segs")
+    pref = pref.withColumn("_prefix", F.when(F.col("_k") == 0, F.lit(""))
+                           .otherwise(F.concat(F.lit("/"), F.array_join(F.slice("_segs", 1, F.col("_k")), "/"))))
+    base = F.regexp_replace(F.concat("origin", "_prefix"), "/+$", "")
+    label = F.when(F.col("_prefix") == "", F.lit("/")).otherwise(F.col("_prefix"))
+    eps = pref.select("site_id", "_i", F.posexplode(F.array(
+        F.struct(F.concat(base, F.lit("/wp-json/wp/v2/posts")).alias("api_url"),
+                 F.concat(F.lit("base:"), label).alias("discovered_from")),
+        F.struct(F.concat(base, F.lit("/index.php?rest_route=/wp/v2/posts")).alias("api_url"),
+                 F.concat(F.lit("base:"), label, F.lit(":rest_route")).alias("discovered_from")))).alias("_j", "_e"))
+    eps = eps.select("site_id", (F.col("_i") * 2 + F.col("_j")).alias("_p"), "_e.api_url", "_e.discovered_from")
+    first = eps.groupBy("site_id", "api_url").agg(F.min_by("discovered_from", "_p").alias("discovered_from"),
+                                                  F.min("_p").alias("_p"))
+    w = Window.partitionBy("site_id").orderBy("_p")
+    return first.select("site_id", F.row_number().over(w).alias("candidate_pos"), "api_url", "discovered_from")
+
+
+def feed_page_status(pages: DataFrame) -> DataFrame:
+    """DSC2 per fetched feed page ``(api_url, page, per_page, status_code,
+    headers, body)`` -> adds ``page_status`` (ok, stop_invalid_page, or an
+    error status), ``n_items`` and ``links`` (non-empty stripped ``link`` of
+    object items, in order)."""
+    v = F.try_parse_json(F.col("body"))
+    p = pages.withColumn("_v", v).withColumn("_schema", F.schema_of_variant(F.col("_v")))
+    code = py_strip(F.coalesce(F.try_variant_get(F.col("_v"), "$.code", "string"), F.lit("")))
+    is_obj = F.col("_schema").startswith("OBJECT")
+    is_arr = F.col("_schema").startswith("ARRAY")
+    obj_code = F.when(is_obj & (code != ""), code)
+    st = F.col("status_code")
+    has_wp_hdr = F.exists(F.coalesce(F.col("headers"), F.array()), lambda h: F.lower(h["key"]).startswith("x-wp-"))
+    # Items of array bodies, in order (mixed item types stay VARIANT).
+    items = (p.filter(is_arr).select("api_url", "page", F.posexplode(
+        F.try_variant_get(F.col("_v"), "$", "array<variant>")).alias("pos", "value")))
+    items = items.withColumn("_is_obj", F.schema_of_variant("value").startswith("OBJECT")) \
+        .withColumn("_link", py_strip(F.coalesce(F.try_variant_get("value", "$.link", "string"), F.lit(""))))
+    agg = items.groupBy("api_url", "page").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.min_by(F.schema_of_variant("value"), F.when(F.col("_is_obj"), F.col("pos"))).alias("_first_obj"),
+        F.array_sort(F.collect_list(F.when(F.col("_is_obj") & (F.col("_link") != ""),
+                                           F.struct("pos", "_link")))).getField("_link").alias("links"))
+    p = p.join(agg, ["api_url", "page"], "left")
+    looks_wp = has_wp_hdr | F.coalesce(F.col("_first_obj").rlike("[<,]\\s*(link|id|slug):"), F.lit(False))
+    status = (F.when(st.isNull(), F.lit("request_error"))
+              .when((st == 400) & (F.col("page") > 1) & (obj_code == "rest_post_invalid_page_number"),
+                    F.lit("stop_invalid_page"))
+              .when(st >= 400, F.coalesce(F.concat(F.lit("rest_error:"), obj_code),
+                                          F.concat(F.lit("http_"), st.cast("string"))))
+              .when(F.col("_v").isNull(), F.lit("non_json_response"))
+              .when(is_obj, F.coalesce(F.concat(F.lit("rest_error:"), obj_code), F.lit("unexpected_json_object")))
+              .when(~is_arr, F.lit("unexpected_json_type"))
+              .when(~looks_wp, F.lit("non_wordpress_response"))
+              .otherwise(F.lit("ok")))
+    total = py_strip(F.coalesce(F.try_element_at(F.filter(F.coalesce(F.col("headers"), F.array()),
+                                                       lambda h: F.lower(h["key"]) == "x-wp-totalpages"),
+                                              F.lit(1))["value"], F.lit(""))).try_cast("int")
+    return p.select("api_url", "page", "per_page", status.alias("page_status"),
+                    F.coalesce(F.col("n_items"), F.lit(0)).alias("n_items"),
+                    F.coalesce(F.col("links"), F.array().cast("array<string>")).alias("links"),
+                    F.when(total > 0, total).alias("total_pages"))
+
+
+def feed_results(candidates: DataFrame, pages: DataFrame, max_urls: int) -> DataFrame:
+    """DSC3 + DSC5: per candidate, pages in order until the first terminal
+    page (error, invalid-page stop, empty list, last total page, short page,
+    or enough links); an error page fails the whole candidate. Candidates
+    are tried in order; the first ok one with links ends the search (later
+    ones are not fetched). -> ``(site_id, candidate_pos, api_url,
+    discovered_from, fetch_status, url_count, page_count, post_urls,
+    fetched, chosen)``."""
+    st = feed_page_status(pages)
+    c = candidates.join(st, "api_url", "left")
+    w = Window.partitionBy("site_id", "api_url").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_cum", F.sum(F.when(F.col("page_status") == "ok", F.size("links")).otherwise(0)).over(w))
+    ok = F.col("page_status") == "ok"
+    stop_here = ((F.col("page_status") != "ok")
+                 | (F.col("n_items") == 0)
+                 | (F.col("total_pages").isNotNull() & (F.col("page") >= F.col("total_pages")))
+                 | (F.col("n_items") < F.col("per_page"))
+                 | (F.col("_cum") >= int(max_urls)))
+    c = c.withColumn("_stop", F.min(F.when(stop_here, F.col("page"))).over(
+        Window.partitionBy("site_id", "api_url")))
+    used = c.filter(F.col("page").isNull() | F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
+    g = used.groupBy("site_id", "candidate_pos", "api_url", "discovered_from").agg(
+        F.min_by(F.col("page_status"), F.when(F.col("page_status").isin("ok", "stop_invalid_page"),
+                                              F.lit(None)).otherwise(F.col("page"))).alias("_err"),
+        F.count_if(ok).alias("page_count"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("page", "links")))),
+                              lambda x: x["links"])).alias("_urls"),
+        F.max("page").alias("_max_page"))
+    urls = F.slice(F.col("_urls"), 1, int(max_urls))
+    status = F.when(F.col("_max_page").isNull(), F.lit("request_error")) \
+        .when(F.col("_err").isNotNull(), F.col("_err")) \
+        .when(F.size("_urls") > 0, F.lit("ok_posts")).otherwise(F.lit("ok_empty"))
+    g = g.select("site_id", "candidate_pos", "api_url", "discovered_from", status.alias("fetch_status"),
+                 F.size(urls).alias("url_count"), "page_count", urls.alias("post_urls"))
+    wins = F.col("fetch_status").startswith("ok") & (F.col("url_count") > 0)
+    g = g.withColumn("_win_pos", F.min(F.when(wins, F.col("candidate_pos"))).over(Window.partitionBy("site_id")))
+    return g.withColumn("fetched", F.col("_win_pos").isNull() | (F.col("candidate_pos") <= F.col("_win_pos"))) \
+        .withColumn("chosen", F.coalesce(F.col("candidate_pos") == F.col("_win_pos"), F.lit(False))).drop("_win_pos")
+
+
+def feed_targets(results: DataFrame, sites: DataFrame, exclude_patterns, exclude_pdf: bool = True) -> DataFrame:
+    """DSC10 for the chosen feed: links resolved against ``origin + '/'``,
+    filtered, first wins, capped by ``max_pages``."""
+    origin = F.regexp_extract(F.col("start_url"), "^(https?://[^/?#]+)", 1)
+    ch = results.filter("chosen").join(sites.select("site_id", origin.alias("_origin"), "max_pages"), "site_id")
+    links = ch.select("site_id", "api_url", "max_pages", "_origin", F.posexplode("post_urls").alias("link_pos", "_l"))
+    links = links.withColumn("_base", F.concat("_origin", F.lit("/"))).withColumn("_l", py_strip(F.col("_l")))
+    links = with_resolved_url(links, "_base", "_l", "original_url")
+    acc = accept_candidates(links, sites, exclude_patterns, exclude_pdf)
+    firsts = acc.groupBy("site_id", "normalized_url").agg(
+        F.min_by(F.struct("link_pos", "original_url", "api_url", "max_pages"), F.when(F.col("ok"), F.col("link_pos")))
+        .alias("_f"))
+    firsts = firsts.filter(F.col("_f").isNotNull())
+    w = Window.partitionBy("site_id").orderBy("_f.link_pos")
+    t = firsts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.col("_f.max_pages"))
+    return t.select("site_id", F.col("_f.original_url").alias("original_url"), "normalized_url",
+                    F.lit("wp_rest_api").alias("source_type"), F.col("_f.api_url").alias("discovered_from"),
+                    F.lit(0).alias("depth"))
+
+
+# ------------------------------------------------------ whole collection ----
+def collect_domain(sites: DataFrame, settings, *, feed_pages: DataFrame | None = None,
+                   robots: DataFrame | None = None, sitemap_docs: DataFrame | None = None,
+                   edges: DataFrame | None = None) -> dict[str, DataFrame]:
+    """API3 / DSC1-DSC17 for many sites at once: feed, then sitemaps, then
+    the root fallback and the BFS supplement; the first source that adds a
+    URL owns it, and every stage respects the per-site cap.
+
+    Returns ``targets``, ``discovered``, ``sitemap_sources``,
+    ``wp_api_sources`` and a per-site ``summary`` (DSC17)."""
+    from lexaudit.functions.urls import with_normalized_url
+    from lexaudit.operators.frontier import bfs
+    s = settings
+    cols = ["site_id", "original_url", "normalized_url", "source_type", "discovered_from", "depth"]
+    spark = sites.sparkSession
+    empty_targets = spark.createDataFrame([], "site_id string, original_url string, normalized_url string, "
+                                              "source_type string, discovered_from string, depth int")
+    targets = empty_targets
+    wp_sources = None
+    if s.prefer_wordpress_api and feed_pages is not None:
+        # Stage outputs are small per-site tables; each is checkpointed so
+        # the next stage starts from a short lineage (and survives executor
+        # loss without recomputing the earlier stages).
+        res = cut_lineage(feed_results(feed_candidates(sites), feed_pages, int(s.max_pages)))
+        wp_sources = res.filter("fetched").select("site_id", "api_url", "discovered_from", "fetch_status",
+                                                  "url_count", "page_count")
+        targets = cut_lineage(feed_targets(res, sites, s.exclude_url_patterns, s.exclude_pdf).select(*cols))
+    sm_sources = None
+    if sitemap_docs is not None:
+        seeds = sitemap_seeds(sites, robots)
+        processed = traverse_sitemaps(seeds, sitemap_docs)
+        sm_t, sm_sources = sitemap_targets(processed, sites, s.exclude_url_patterns, s.exclude_pdf,
+                                           owned=targets.select("site_id", "normalized_url"))
+        sm_sources = cut_lineage(sm_sources)
+        targets = cut_lineage(targets.unionByName(sm_t.select(*cols)))
+    # DSC11: root fallback when below the cap and the start URL is no target.
+    start = with_normalized_url(sites.select("site_id", "start_url", "max_pages"), "start_url", s.exclude_pdf,
+                                "normalized_url", "_r")
+    n = targets.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n"))
+    fb = (start.join(n, "site_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+          .join(targets.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
+          .filter((F.col("_n") < F.col("max_pages")) & (F.col("normalized_url") != "")))
+    targets = cut_lineage(targets.unionByName(fb.select(
+        "site_id", F.col("start_url").alias("original_url"), "normalized_url",
+        F.lit("fallback_root").alias("source_type"), F.col("start_url").alias("discovered_from"),
+        F.lit(0).alias("depth"))))
+    discovered = targets.select("site_id", "normalized_url", "source_type", "discovered_from", "depth")
+    if edges is not None:
+        # DSC14 seeds: start URL first, then targets in insertion order.
+        order = {"wp_rest_api": 1, "sitemap": 2, "fallback_root": 3}
+        ordm = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+        seeds = (targets.join(start.select("site_id", F.col("normalized_url").alias("_start")), "site_id")
+                 .withColumn("seed_rank", F.when(F.col("normalized_url") == F.col("_start"), F.lit(-1))
+                             .otherwise(ordm[F.col("source_type")])))
+        capped = sites.select("site_id", "max_pages")
+        under = targets.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n")).join(capped, "site_id") \
+            .filter(F.col("_n") < F.col("max_pages")).select("site_id")
+        seeds = seeds.join(under, "site_id", "left_semi")
+        w = Window.partitionBy("site_id").orderBy("seed_rank", "normalized_url")
+        seeds = seeds.select("site_id", F.row_number().over(w).cast("long").alias("seed_rank"), "normalized_url")
+        # The cap of the walk is the sites' cap (the same for all sites here).
+        bt, bd = bfs(edges, seeds, int(s.max_depth), max_pages=int(s.max_pages))
+        bt = bt.join(targets.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
+        targets = targets.unionByName(bt.select("site_id", F.col("normalized_url").alias("original_url"),
+                                                "normalized_url", F.lit("bfs").alias("source_type"),
+                                                "discovered_from", "depth"))
+        bd = bd.filter(F.col("depth") > 0).join(discovered.select("site_id", "normalized_url"),
+                                                ["site_id", "normalized_url"], "left_anti")
+        discovered = discovered.unionByName(bd.select("site_id", "normalized_url", F.lit("bfs").alias("source_type"),
+                                                      "discovered_from", "depth"))
+    summary = (targets.groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("targets"),
+        F.count_if(F.col("source_type") == "wp_rest_api").alias("wp_api_targets"),
+        F.count_if(F.col("source_type") == "sitemap").alias("sitemap_targets"),
+        F.count_if(F.col("source_type") == "bfs").alias("bfs_targets"),
+        F.max((F.col("source_type") == "fallback_root").cast("int")).cast("boolean").alias("fallback_used"))
+        .join(discovered.groupBy("site_id").agg(F.count(F.lit(1)).alias("discovered")), "site_id", "left"))
+    out = {"targets": targets, "discovered": discovered, "summary": summary}
+    if sm_sources is not None:
+        out["sitemap_sources"] = sm_sources
+        summary = summary.join(sm_sources.groupBy("site_id").agg(F.count(F.lit(1)).alias("sitemaps_probed")),
+                               "site_id", "left")
+    if wp_sources is not None:
+        out["wp_api_sources"] = wp_sources
+        summary = summary.join(wp_sources.groupBy("site_id").agg(
+            F.count(F.lit(1)).alias("wp_api_probed"),
+            F.max(F.col("fetch_status").startswith("ok").cast("int")).cast("boolean").alias("wp_api_used")),
+            "site_id", "left")
+    out["summary"] = summary
+    return out

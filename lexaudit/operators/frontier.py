@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexaudit.session import cut_lineage
 
-from lexaudit.functions.urls import resolve_url, with_normalized_url
+from lexaudit.functions.urls import with_normalized_url, with_resolved_url
 from lexaudit.operators import html as H
 
 
@@ -22,7 +22,7 @@ def link_edges(pages: DataFrame, key_col: str, url_col: str, html_col: str,
     hrefs = H.anchor_hrefs(toks).filter(F.col("href") != "")
     base = pages.select(F.col(key_col).alias("page_key"), F.col(url_col).alias("src_url"))
     e = hrefs.join(base, "page_key")
-    e = e.withColumn("absolute_url", resolve_url(F.col("src_url"), F.col("href")))
+    e = with_resolved_url(e, "src_url", "href", "absolute_url")
     e = with_normalized_url(e, "absolute_url", exclude_pdf, "dst_url", "_reason")
     # Rejected links are dropped inside the aggregate (ordering key NULL)
     # rather than by a filter on the derived reason: Catalyst would push such
@@ -59,7 +59,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | Non
     one after S. Returns ``(targets, discovered)``.
     """
     allow = allowed.select("normalized_url", F.col("allowed").alias("_allowed")) if allowed is not None else None
-    e = edges.select(F.col("src_url").alias("_src"), "link_pos", "dst_url")
+    # The edge table is read once per level: materialise it once.
+    e = cut_lineage(edges.select(F.col("src_url").alias("_src"), "link_pos", "dst_url"))
     front = seeds.select("site_id", F.lit(0).alias("depth"), F.col("seed_rank").alias("rank"),
                          "normalized_url", F.lit(None).cast("string").alias("discovered_from"),
                          F.lit(None).cast("long").alias("_prank"), F.lit(None).cast("int").alias("link_pos"))

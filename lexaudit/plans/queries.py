@@ -205,8 +205,8 @@ def q_url_resolve(spark: SparkSession, sf: str) -> DataFrame:
         *[F.lit(x) for x in RESOLVE_FORMS])).alias("link_pos", "href")).select(
         "page_key", (F.col("link_pos") - 100).alias("link_pos"), "href")
     allh = hrefs.unionByName(extra).join(pages.select(F.col("page_id").alias("page_key"), "url"), "page_key")
-    return allh.select(F.col("page_key").alias("page_id"), "link_pos", "href",
-                       U.resolve_url(F.col("url"), F.col("href")).alias("resolved"))
+    return U.with_resolved_url(allh, "url", "href", "resolved").select(
+        F.col("page_key").alias("page_id"), "link_pos", "href", "resolved")
 
 
 # Fixed relative forms resolved against every page URL in ``url_resolve``.
@@ -383,6 +383,51 @@ def q_bfs_capped(spark: SparkSession, sf: str) -> DataFrame:
         "site_id", "normalized_url", "depth", "discovered_from", F.coalesce("is_target", F.lit(False)).alias("is_target"))
 
 
+def _feed_run(spark: SparkSession, sf: str, max_pages: int = SITE_MAX_PAGES):
+    pages = _pages(spark, sf, ("page_id", "url"))
+    sites = D.sites_from_pages(pages, max_pages)
+    per_page = min(100, max(1, max_pages))
+    res = DS.feed_results(DS.feed_candidates(sites), D.feed_pages(pages, per_page), max_pages)
+    return sites, res
+
+
+def q_feed_status(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC1-DSC3, DSC5: feed candidates tried per site, with status."""
+    _, res = _feed_run(spark, sf)
+    return res.filter("fetched").select("site_id", "candidate_pos", "api_url", "discovered_from", "fetch_status",
+                                        "url_count", "page_count", "chosen")
+
+
+def q_feed_links(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC4 + DSC10: feed URLs accepted per site (first wins, capped)."""
+    sites, res = _feed_run(spark, sf)
+    return DS.feed_targets(res, sites, Settings().exclude_url_patterns)
+
+
+def _collect(spark: SparkSession, sf: str):
+    from lexaudit.operators.frontier import link_edges
+    pages = _pages(spark, sf)
+    s = Settings(max_pages=4, max_depth=2)
+    sites = D.sites_from_pages(pages, s.max_pages, s.max_depth)
+    e = link_edges(pages, "page_id", "url", "html")
+    src = U.with_normalized_url(pages.select("page_id", "url"), "url", True, "_n", "_r").select(
+        F.col("page_id").alias("src_key"), F.col("_n").alias("_src_norm"))
+    edges = e.join(src, "src_key").select(F.col("_src_norm").alias("src_url"), "link_pos", "dst_url")
+    return DS.collect_domain(sites, s, feed_pages=D.feed_pages(pages, min(100, s.max_pages)),
+                             robots=D.robots_bodies(pages), sitemap_docs=D.sitemap_documents(pages),
+                             edges=edges)
+
+
+def q_domain_collect(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC10, DSC11, DSC13-DSC16: targets per site and their source."""
+    return _collect(spark, sf)["targets"]
+
+
+def q_domain_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """DSC17: per-site collection counters."""
+    return _collect(spark, sf)["summary"]
+
+
 QUERIES: dict[str, QueryFn] = {
     "keyword_raw": q_keyword_raw,
     "keyword_final": q_keyword_final,
@@ -418,6 +463,10 @@ QUERIES: dict[str, QueryFn] = {
     "sitemap_targets": q_sitemap_targets,
     "bfs_frontier": q_bfs_frontier,
     "bfs_capped": q_bfs_capped,
+    "feed_status": q_feed_status,
+    "feed_links": q_feed_links,
+    "domain_collect": q_domain_collect,
+    "domain_summary": q_domain_summary,
 }
 
 

@@ -238,3 +238,40 @@ def link_graph(pages: DataFrame) -> DataFrame:
     e = e.join(dst, "dst_id")
     e = with_normalized_url(e, "absolute_url", True, "dst_url", "_reason")
     return e.select("src_url", F.col("link_pos").cast("int").alias("link_pos"), "absolute_url", "dst_url")
+
+
+def feed_pages(pages: DataFrame, per_page: int) -> DataFrame:
+    """``d_feeds(api_url, page, per_page, status_code, headers, body)`` per
+    page origin. ``/wp-json/wp/v2/posts`` answers by length(origin) % 3:
+    0 -> 404 with a JSON error code, 1 -> an empty list, 2 -> an HTML page.
+    ``/index.php?rest_route=/wp/v2/posts`` lists the origin's page URLs,
+    ``per_page`` links per page (objects with id and link, plus one number
+    item), and answers 400 ``rest_post_invalid_page_number`` after the last
+    page."""
+    from lexaudit import schemas
+    origin = F.regexp_extract(F.col("url"), "^(https?://[^/?#]+)", 1)
+    p = pages.select(origin.alias("origin"), "page_id", "url").filter(F.col("origin") != "")
+    per = p.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("_u"))
+    k = F.length("origin") % 3
+    hdr_none = F.array().cast(schemas.HEADERS)
+    wp_json = per.select(
+        F.concat("origin", F.lit("/wp-json/wp/v2/posts")).alias("api_url"), F.lit(1).alias("page"),
+        F.lit(int(per_page)).alias("per_page"),
+        F.when(k == 0, F.lit(404)).otherwise(F.lit(200)).alias("status_code"), hdr_none.alias("headers"),
+        F.when(k == 0, F.lit('{"code":"rest_no_route","message":"No route"}'))
+        .when(k == 1, F.lit("[]")).otherwise(F.lit("<html><body>blog</body></html>")).alias("body"))
+    n_pages = F.floor((F.size("_u") - 1) / int(per_page)) + 1
+    rr = per.select("origin", "_u", F.explode(F.sequence(F.lit(1), n_pages + 1)).alias("page"))
+    chunk = F.slice("_u", (F.col("page") - 1) * int(per_page) + 1, int(per_page))
+    items = F.transform(chunk, lambda x: F.concat(F.lit('{"id":'), x["page_id"].cast("string"),
+                                                  F.lit(',"link":"'), x["url"], F.lit('"}')))
+    body = F.concat(F.lit("["), F.array_join(F.array_append(items, F.lit("7")), ","), F.lit("]"))
+    last = F.col("page") > n_pages
+    rest = rr.select(
+        F.concat("origin", F.lit("/index.php?rest_route=/wp/v2/posts")).alias("api_url"), "page",
+        F.lit(int(per_page)).alias("per_page"),
+        F.when(last, F.lit(400)).otherwise(F.lit(200)).alias("status_code"),
+        F.when(last, hdr_none).otherwise(F.array(F.struct(F.lit("X-WP-Total").alias("key"),
+                                                          F.size("_u").cast("string").alias("value")))).alias("headers"),
+        F.when(last, F.lit('{"code":"rest_post_invalid_page_number"}')).otherwise(body).alias("body"))
+    return wp_json.unionByName(rest)

@@ -94,7 +94,7 @@ def test_resolve_differential(spark):
             "../../../x", "g?y#s", "https://o.example.com/p", "mailto:x@y.z", "/", "a//b/../c", "http:g"]
     pairs = [(b, r) for b in bases for r in refs]
     df = spark.createDataFrame(pairs, "b string, r string")
-    out = df.select("b", "r", U.resolve_url(F.col("b"), F.col("r")).alias("j")).collect()
+    out = U.with_resolved_url(df, "b", "r", "j").collect()
     for row in out:
         assert row["j"] == urljoin(row["b"], row["r"]), (row["b"], row["r"])
 
