@@ -108,7 +108,8 @@ def crawl_join(targets: DataFrame, fetched: DataFrame, robots: DataFrame | None
     pre = None
     if prefetched is not None:
         pre = prefetched.select(*cols).withColumn("_src", F.lit("prefetched"))
-    f = fetched.select(*cols)
+    # A target without any fetch record counts as a request error.
+    f = fetched.select(*cols).withColumn("_has", F.lit(True))
     if robots is not None:
         rb = robots.select(F.col("url").alias("target_url"), F.col("allowed").alias("_allowed"),
                            F.col("robots_decision").alias("_decision"), F.col("robots_url").alias("_robots_url"))
@@ -121,8 +122,10 @@ def crawl_join(targets: DataFrame, fetched: DataFrame, robots: DataFrame | None
             F.when(blocked, F.array().cast(schemas.HEADERS)).otherwise(F.col("headers")).alias("headers"),
             F.when(blocked, F.lit("")).otherwise(F.col("content_type")).alias("content_type"),
             F.when(blocked, F.lit("")).otherwise(F.col("html")).alias("html"),
-            F.when(~blocked, F.col("error_kind")).alias("error_kind"),
-            F.when(~blocked, F.col("error_message")).alias("error_message"),
+            F.when(~blocked, F.when(F.col("_has").isNull(), F.lit("request_error"))
+                   .otherwise(F.col("error_kind"))).alias("error_kind"),
+            F.when(~blocked, F.when(F.col("_has").isNull(), F.lit("no fetch record"))
+                   .otherwise(F.col("error_message"))).alias("error_message"),
             F.col("_allowed").isNotNull().alias("robots_checked"),
             F.col("_allowed").alias("robots_allowed"),
             F.coalesce(F.col("_decision"), F.lit("robots_not_checked")).alias("robots_decision"),
@@ -135,6 +138,8 @@ def crawl_join(targets: DataFrame, fetched: DataFrame, robots: DataFrame | None
         )
     else:
         f = out.join(f, "target_url", "left").withColumn("_src", F.lit("fetched"))
+        f = f.withColumn("error_kind", F.when(F.col("_has").isNull(), F.lit("request_error"))
+                         .otherwise(F.col("error_kind"))).drop("_has")
     if pre is None:
         return f
     pre_keys = pre.select("target_url").distinct()

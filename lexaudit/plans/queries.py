@@ -428,6 +428,39 @@ def q_domain_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _collect(spark, sf)["summary"]
 
 
+def _pipeline(spark: SparkSession, sf: str):
+    from lexaudit.plans.pipeline import run_analysis
+    pages = _pages(spark, sf)
+    s = Settings(max_list_urls=0, additional_stopwords_text=USER_STOPWORDS_TEXT)
+    # The fetch log is keyed by the URL that is fetched: the normalised URL.
+    fetched_pages = U.with_normalized_url(pages, "url", True, "_n", "_r").select(
+        "page_id", F.col("_n").alias("url"), "html")
+    return run_analysis(settings=s, urls=D.url_variants(pages.select("page_id", "url")),
+                        attempts=D.fetch_attempts(fetched_pages), robots_bodies=D.robots_bodies(pages))
+
+
+def q_run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """API1 + AGG8: the one-row summary of a full run on derived inputs."""
+    return _pipeline(spark, sf).summary
+
+
+def q_pipeline_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """API1: final keyword ranking of a full run (URL list -> attempt log ->
+    robots -> audit -> primary/fallback text -> keywords)."""
+    return _pipeline(spark, sf).keyword_frequency
+
+
+def q_rerun_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """API2: re-run the keyword stage from a stored text audit with other
+    stopwords (inclusion is not decided again)."""
+    from lexaudit.plans.pipeline import rerun_analysis
+    from lexaudit.sources.readers import page_archive
+    pages = _pages(spark, sf)
+    audit = A.analyze_pages(page_archive(pages).withColumn("page_key", F.col("target_url")), Settings())
+    r = rerun_analysis(audit, Settings(user_stopwords=("the", "and", "der", "die", "que", "les")))
+    return r.keyword_frequency
+
+
 QUERIES: dict[str, QueryFn] = {
     "keyword_raw": q_keyword_raw,
     "keyword_final": q_keyword_final,
@@ -467,6 +500,9 @@ QUERIES: dict[str, QueryFn] = {
     "feed_links": q_feed_links,
     "domain_collect": q_domain_collect,
     "domain_summary": q_domain_summary,
+    "run_summary": q_run_summary,
+    "pipeline_keywords": q_pipeline_keywords,
+    "rerun_keywords": q_rerun_keywords,
 }
 
 
