@@ -117,26 +117,30 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
     w = Window.partitionBy("doc_key").orderBy("pos")
     ext = compound_extension_ok(F.col("primary_pos"), F.col("subtype"), ns)
     start = compound_start_ok(F.col("primary_pos"), F.col("subtype"), ns)
-    t = t.withColumn("_ext", ext).withColumn("_start", start)
+    t = t.withColumns({"_ext": ext, "_start": start})
     # Islands: maximal runs of extension-eligible tokens.
     t = t.withColumn("_island", F.sum(F.when(~F.col("_ext"), 1).otherwise(0)).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
     wi = Window.partitionBy("doc_key", "_island")
-    # Reverse running values over the island suffix that starts here.
+    # Reverse running values over the island suffix that starts here (one
+    # window pass for all of them).
     wr = Window.partitionBy("doc_key", "_island").orderBy(F.desc("pos")).rowsBetween(
         Window.unboundedPreceding, 0)
-    ext_n = F.when(F.col("_ext"), 1).otherwise(0)
-    t = (t.withColumn("_sfx_n", F.sum(ext_n).over(wr))
-         .withColumn("_sfx_len", F.sum(F.when(F.col("_ext"), F.length(ns)).otherwise(0)).over(wr))
-         .withColumn("_sfx_num", F.min(F.when(F.col("_ext"), ns.rlike("^\\p{N}+$").cast("int"))).over(wr))
-         .withColumn("_sfx_sym", F.min(F.when(F.col("_ext"), ns.rlike("^[\\p{P}\\p{S}]+$").cast("int"))).over(wr))
-         .withColumn("_sfx_hira", F.min(F.when(F.col("_ext"), ns.rlike("^[ぁ-んー]+$").cast("int"))).over(wr))
-         .withColumn("_island_end", F.max(F.when(F.col("_ext"), F.col("pos"))).over(wi) + 1))
+    e = F.col("_ext")
+    t = t.select("*",
+                 F.sum(F.when(e, 1).otherwise(0)).over(wr).alias("_sfx_n"),
+                 F.sum(F.when(e, F.length(ns)).otherwise(0)).over(wr).alias("_sfx_len"),
+                 F.min(F.when(e, ns.rlike("^\\p{N}+$").cast("int"))).over(wr).alias("_sfx_num"),
+                 F.min(F.when(e, ns.rlike("^[\\p{P}\\p{S}]+$").cast("int"))).over(wr).alias("_sfx_sym"),
+                 F.min(F.when(e, ns.rlike("^[ぁ-んー]+$").cast("int"))).over(wr).alias("_sfx_hira"))
     sfx_skip = ((F.col("_sfx_len") <= 1)
                 | ((F.col("_sfx_len") <= 2) & (F.col("_sfx_hira") == 1))
                 | (F.col("_sfx_num") == 1) | (F.col("_sfx_sym") == 1))
     comp_ok = F.lit(compound_mode) & F.col("_start") & (F.col("_sfx_n") >= 2) & ~sfx_skip
     t = t.withColumn("_comp_ok", comp_ok)
+    # Island end and first valid compound start: one window pass.
+    t = t.select("*", (F.max(F.when(e, F.col("pos"))).over(wi) + 1).alias("_island_end"),
+                 F.min(F.when(F.col("_comp_ok"), F.col("pos"))).over(wi).alias("_island_first_comp"))
     if phrases:
         max_len = max(len(p) for p in phrases)
         leads = [F.lead(ns, k).over(w) for k in range(1, max_len)]
@@ -144,20 +148,27 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
         t = t.withColumn("_forced_n", forced_n).withColumn("_forced_text", forced_text)
     else:
         t = t.withColumn("_forced_n", F.lit(0)).withColumn("_forced_text", F.lit(None).cast("string"))
-    nxt = (F.when(F.col("_forced_n") > 0, F.col("pos") + F.col("_forced_n"))
-           .when(F.col("_comp_ok"), F.col("_island_end"))
-           .otherwise(F.col("pos") + 1))
-    t = t.withColumn("_next", nxt)
-    t = t.withColumn("_reach", F.max("_next").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    t = t.withColumn("_cut", F.col("_reach").isNull() | (F.col("_reach") <= F.col("pos")))
-    t = t.withColumn("_seg", F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ws = Window.partitionBy("doc_key", "_seg")
-    t = t.withColumn("_seg_forced", F.max("_forced_n").over(ws))
-    # The annotated table feeds several branches (landing points, compound
-    # text); keep it instead of recomputing the windows for each branch.
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
-
-    if phrases:
+    cols = ["doc_key", "pos", "_island", "_ext", "surface", "normalized_surface", "normalized_base_form",
+            "primary_pos", "subtype", "_comp_ok", "_forced_n", "_forced_text", "_land"]
+    if not phrases:
+        # Without forced phrases every island is scanned on its own: the
+        # scan lands on each position before the island's first valid
+        # compound start, and on that start.
+        landed = t.withColumn("_land", F.col("_island_first_comp").isNull()
+                              | (F.col("pos") <= F.col("_island_first_comp"))).select(*cols + ["_island_first_comp"])
+    else:
+        nxt = (F.when(F.col("_forced_n") > 0, F.col("pos") + F.col("_forced_n"))
+               .when(F.col("_comp_ok"), F.col("_island_end"))
+               .otherwise(F.col("pos") + 1))
+        t = t.withColumn("_next", nxt)
+        t = t.withColumn("_reach", F.max("_next").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        t = t.withColumn("_cut", F.col("_reach").isNull() | (F.col("_reach") <= F.col("pos")))
+        t = t.withColumn("_seg", F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        ws = Window.partitionBy("doc_key", "_seg")
+        t = t.withColumn("_seg_forced", F.max("_forced_n").over(ws))
+        # The annotated table feeds two branches; keep it instead of
+        # recomputing the windows for each.
+        t = t.persist(StorageLevel.MEMORY_AND_DISK)
         # Segments with a forced phrase: sequential fold over (pos, next).
         folded = (t.filter(F.col("_seg_forced") > 0)
                   .groupBy("doc_key", "_seg")
@@ -167,52 +178,40 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
         folded = folded.select(
             "doc_key", "_seg",
             F.aggregate("_steps", init,
-                        lambda acc, s: F.when(s["pos"] == acc["cur"],
-                                              F.struct(s["_next"].alias("cur"),
-                                                       F.array_append(acc["picks"], s["pos"]).alias("picks")))
+                        lambda acc, st: F.when(st["pos"] == acc["cur"],
+                                               F.struct(st["_next"].alias("cur"),
+                                                        F.array_append(acc["picks"], st["pos"]).alias("picks")))
                         .otherwise(acc))["picks"].alias("_picks"))
-        landing_forced = folded.select("doc_key", F.explode("_picks").alias("pos"),
-                                       F.lit(True).alias("_land"))
-        tf = t.filter(F.col("_seg_forced") > 0).join(landing_forced, ["doc_key", "pos"], "left") \
-            .withColumn("_land", F.coalesce(F.col("_land"), F.lit(False)))
+        landing_forced = folded.select("doc_key", F.explode("_picks").alias("pos"), F.lit(True).alias("_land"))
+        tf = (t.filter(F.col("_seg_forced") > 0).join(landing_forced, ["doc_key", "pos"], "left")
+              .withColumn("_land", F.coalesce(F.col("_land"), F.lit(False))))
+        # Segments without a forced phrase: as above, per segment.
+        tn = t.filter(F.col("_seg_forced") == 0)
+        tn = tn.withColumn("_first_comp", F.min(F.when(F.col("_comp_ok"), F.col("pos"))).over(ws))
+        tn = tn.withColumn("_land", F.col("_first_comp").isNull() | (F.col("pos") <= F.col("_first_comp")))
+        landed = tn.select(*cols).unionByName(tf.select(*cols))
+    kind = (F.when(~F.col("_land"), F.lit(None))
+            .when(F.col("_forced_n") > 0, F.lit("forced"))
+            .when(F.col("_comp_ok"), F.lit("compound"))
+            .otherwise(F.lit("single")))
+    landed = landed.withColumn("kind", kind)
+    # A compound runs from its start to the end of its island (at most one
+    # per island): its text is the island's normalised surfaces from the
+    # start on, collected by one window over the island.
+    if phrases:
+        landed = landed.withColumn("_cstart", F.max(F.when(F.col("kind") == "compound", F.col("pos"))).over(wi))
     else:
-        tf = None
-    # Segments without a forced phrase: each is one island (or one token).
-    # The scan lands on every position before the first valid compound start,
-    # and on that start.
-    tn = t.filter(F.col("_seg_forced") == 0)
-    tn = tn.withColumn("_first_comp", F.min(F.when(F.col("_comp_ok"), F.col("pos"))).over(ws))
-    tn = tn.withColumn("_land", F.col("_first_comp").isNull() | (F.col("pos") <= F.col("_first_comp")))
-    cols = ["doc_key", "pos", "_island", "surface", "normalized_surface", "normalized_base_form",
-            "primary_pos", "subtype", "_comp_ok", "_forced_n", "_forced_text", "_next", "_land"]
-    landed = tn.select(*cols) if tf is None else tn.select(*cols).unionByName(tf.select(*cols))
-    # What each landing point takes.
-    landed = landed.withColumn(
-        "_kind", F.when(~F.col("_land"), F.lit(None))
-        .when(F.col("_forced_n") > 0, F.lit("forced"))
-        .when(F.col("_comp_ok"), F.lit("compound"))
-        .otherwise(F.lit("single")))
-    out_single = (landed.filter(F.col("_kind") == "single")
-                  .filter(single_noun_ok(F.col("primary_pos"), F.col("subtype")))
-                  .withColumn("keyword", F.when(F.col("normalized_base_form") != "", F.col("normalized_base_form"))
-                              .otherwise(F.col("normalized_surface")))
-                  .filter(~skip_basic_token(F.col("keyword")))
-                  .select("doc_key", "pos", "keyword", F.lit("single").alias("kind")))
-    # A forced phrase's text is the matched candidate itself.
-    out_forced = (landed.filter(F.col("_kind") == "forced")
-                  .filter(~skip_basic_token(F.col("_forced_text")))
-                  .select("doc_key", "pos", F.col("_forced_text").alias("keyword"), F.lit("forced").alias("kind")))
-    # Compound text: the normalised join of the surfaces from the start to
-    # the island end (a compound always runs to the end of its island).
-    owner_comp = landed.filter(F.col("_kind") == "compound").select(
-        "doc_key", "_island", F.col("pos").alias("_owner"))
-    parts_c = (t.filter(F.col("_ext")).select("doc_key", "_island", "pos", "surface")
-               .join(owner_comp, ["doc_key", "_island"])
-               .filter(F.col("pos") >= F.col("_owner"))
-               .groupBy("doc_key", "_owner")
-               .agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "surface")))
-                                 .getField("surface"), "").alias("_text")))
-    out_comp = (parts_c.withColumn("keyword", normalize_token_udf(F.col("_text")))
-                .filter(~skip_basic_token(F.col("keyword")))
-                .select("doc_key", F.col("_owner").alias("pos"), "keyword", F.lit("compound").alias("kind")))
-    return out_single.unionByName(out_forced).unionByName(out_comp)
+        # Without forced phrases the compound start is the first valid one.
+        landed = landed.withColumn("_cstart", F.col("_island_first_comp"))
+    w_all = wi.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ctext = F.array_join(F.collect_list(F.when(F.col("_ext") & (F.col("pos") >= F.col("_cstart")),
+                                               F.col("normalized_surface"))).over(w_all), "")
+    landed = landed.withColumn("_ctext", F.when(F.col("_cstart").isNotNull(), ctext))
+    single_val = F.when(single_noun_ok(F.col("primary_pos"), F.col("subtype")),
+                        F.when(F.col("normalized_base_form") != "", F.col("normalized_base_form"))
+                        .otherwise(F.col("normalized_surface")))
+    keyword = (F.when(F.col("kind") == "single", single_val)
+               .when(F.col("kind") == "forced", F.col("_forced_text"))
+               .when(F.col("kind") == "compound", F.col("_ctext")))
+    out = landed.select("doc_key", "pos", keyword.alias("keyword"), "kind")
+    return out.filter(F.col("keyword").isNotNull() & ~skip_basic_token(F.col("keyword")))
