@@ -29,7 +29,9 @@ def fetch_outcomes(attempts: DataFrame, retry_count: int = 2) -> DataFrame:
     row = F.struct("attempt", "exception_kind", "status_code", "final_url", "headers", "body",
                    "history_len", "ended_at")
     g = a.groupBy("target_url").agg(
-        F.min_by(row, F.when(F.col("_final"), F.col("attempt"))).alias("r"),
+        # Ties (a malformed log with a repeated attempt number) are broken
+        # by start time and status so the result is deterministic.
+        F.min_by(row, F.when(F.col("_final"), F.struct("attempt", "started_at", "status_code"))).alias("r"),
         F.min("started_at").alias("_start"),
         F.max_by(HT.header_value(F.col("headers"), "Retry-After"),
                  F.when(F.col("status_code") == 429, F.col("attempt"))).alias("_retry_after"),

@@ -432,9 +432,11 @@ def _pipeline(spark: SparkSession, sf: str):
     from lexaudit.plans.pipeline import run_analysis
     pages = _pages(spark, sf)
     s = Settings(max_list_urls=0, additional_stopwords_text=USER_STOPWORDS_TEXT)
-    # The fetch log is keyed by the URL that is fetched: the normalised URL.
-    fetched_pages = U.with_normalized_url(pages, "url", True, "_n", "_r").select(
-        "page_id", F.col("_n").alias("url"), "html")
+    # The fetch log is keyed by the URL that is fetched: the normalised URL
+    # (one log per URL: the first page of a normalised URL answers).
+    fetched_pages = (U.with_normalized_url(pages, "url", True, "_n", "_r")
+                     .groupBy(F.col("_n").alias("url"))
+                     .agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html")))
     return run_analysis(settings=s, urls=D.url_variants(pages.select("page_id", "url")),
                         attempts=D.fetch_attempts(fetched_pages), robots_bodies=D.robots_bodies(pages))
 
