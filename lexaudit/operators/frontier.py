@@ -61,9 +61,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | Non
     allow = allowed.select("normalized_url", F.col("allowed").alias("_allowed")) if allowed is not None else None
     # The edge table is read once per level: materialise it once.
     e = cut_lineage(edges.select(F.col("src_url").alias("_src"), "link_pos", "dst_url"))
-    front = seeds.select("site_id", F.lit(0).alias("depth"), F.col("seed_rank").alias("rank"),
-                         "normalized_url", F.lit(None).cast("string").alias("discovered_from"),
-                         F.lit(None).cast("long").alias("_prank"), F.lit(None).cast("int").alias("link_pos"))
+    # Queue order is a path key: the parent's key plus the link position
+    # (arrays compare lexicographically), so no per-site window is needed
+    # to rank a level -- a site with millions of URLs in one level is not
+    # sent to one task.
+    front = seeds.select("site_id", F.lit(0).alias("depth"), F.array(F.col("seed_rank").cast("long")).alias("key"),
+                         "normalized_url", F.lit(None).cast("string").alias("discovered_from"))
     if allow is not None:
         front = front.join(allow, "normalized_url", "left")
     else:
@@ -73,16 +76,15 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | Non
     levels = max_depth if max_levels is None else min(max_depth, max_levels)
     for depth in range(1, levels + 1):
         expand = front.filter(F.col("_allowed"))
-        kids = expand.select("site_id", F.col("rank").alias("_prank"), F.col("normalized_url").alias("_src")) \
-            .join(e, "_src").select("site_id", "_prank", "link_pos", F.col("dst_url").alias("normalized_url"),
-                                    F.col("_src").alias("discovered_from"))
+        kids = expand.select("site_id", F.col("key").alias("_pkey"), F.col("normalized_url").alias("_src")) \
+            .join(e, "_src").select("site_id", "_pkey", F.col("link_pos").cast("long").alias("link_pos"),
+                                    F.col("dst_url").alias("normalized_url"), F.col("_src").alias("discovered_from"))
         kids = kids.join(done.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
         first = kids.groupBy("site_id", "normalized_url").agg(
-            F.min_by(F.struct("_prank", "link_pos", "discovered_from"), F.struct("_prank", "link_pos")).alias("_k"))
-        w = Window.partitionBy("site_id").orderBy("_k._prank", "_k.link_pos")
-        nxt = first.select("site_id", F.lit(depth).alias("depth"), F.row_number().over(w).cast("long").alias("rank"),
-                           "normalized_url", F.col("_k.discovered_from").alias("discovered_from"),
-                           F.col("_k._prank").alias("_prank"), F.col("_k.link_pos").alias("link_pos"))
+            F.min_by(F.struct("_pkey", "link_pos", "discovered_from"), F.struct("_pkey", "link_pos")).alias("_k"))
+        nxt = first.select("site_id", F.lit(depth).alias("depth"),
+                           F.concat(F.col("_k._pkey"), F.array(F.col("_k.link_pos"))).alias("key"),
+                           "normalized_url", F.col("_k.discovered_from").alias("discovered_from"))
         if allow is not None:
             nxt = nxt.join(allow, "normalized_url", "left")
         else:
@@ -92,32 +94,29 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | Non
             break
         done = done.unionByName(nxt)
         front = nxt
-    out = done.select("site_id", "normalized_url", "depth", "rank", "discovered_from", "_prank", "link_pos", "_allowed")
+    out = done.select("site_id", "normalized_url", "depth", "key", "discovered_from", "_allowed")
     if max_pages is None:
         return out, out
-    # Cap rule over events in queue order: seeds by rank; new links by
-    # (depth, parent rank, link position).
+    # Cap rule over events in queue order (depth, key): a blocked seed
+    # counts -1, an allowed new link +1, a blocked new link 0.
     ev = out.withColumn("_event", F.when(F.col("depth") == 0, F.when(F.col("_allowed"), 0).otherwise(-1))
                         .otherwise(F.when(F.col("_allowed"), 1).otherwise(0)))
-    ev = ev.withColumn("_k1", F.when(F.col("depth") == 0, F.lit(-1)).otherwise(F.col("depth")))
-    ev = ev.withColumn("_k2", F.when(F.col("depth") == 0, F.col("rank")).otherwise(F.col("_prank")))
-    ev = ev.withColumn("_k3", F.coalesce(F.col("link_pos"), F.lit(-1)))
     n_seeds = out.filter(F.col("depth") == 0).groupBy("site_id").agg(F.count(F.lit(1)).alias("_n_seeds"))
-    ws = Window.partitionBy("site_id").orderBy("_k1", "_k2", "_k3").rowsBetween(Window.unboundedPreceding, 0)
+    ws = Window.partitionBy("site_id").orderBy("depth", "key").rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.join(n_seeds, "site_id").withColumn("_total", F.col("_n_seeds") + F.sum("_event").over(ws))
     cap = int(max_pages)
-    s_pos = ev.filter(F.col("_total") >= cap).groupBy("site_id").agg(
-        F.min(F.struct("_k1", "_k2", "_k3")).alias("_s"))
+    pos = F.struct("depth", "key")
+    s_pos = ev.filter(F.col("_total") >= cap).groupBy("site_id").agg(F.min(pos).alias("_s"))
     ev = ev.join(s_pos, "site_id", "left")
-    key = F.struct("_k1", "_k2", "_k3")
-    upto_s = F.col("_s").isNull() | (key <= F.col("_s"))
+    upto_s = F.col("_s").isNull() | (pos <= F.col("_s"))
     targets = ev.filter((F.col("depth") > 0) & F.col("_allowed") & upto_s)
     # On S's page: links after S up to and including the next allowed one.
-    same_page = (F.col("_k1") == F.col("_s._k1")) & (F.col("_k2") == F.col("_s._k2")) & (key > F.col("_s"))
-    nxt_allowed = ev.filter(same_page & F.col("_allowed")).groupBy("site_id").agg(
-        F.min(F.col("_k3")).alias("_stop"))
+    parent = F.slice("key", 1, F.size("key") - 1)
+    s_parent = F.slice(F.col("_s.key"), 1, F.size(F.col("_s.key")) - 1)
+    same_page = (F.col("depth") == F.col("_s.depth")) & (parent == s_parent) & (pos > F.col("_s"))
+    nxt_allowed = ev.filter(same_page & F.col("_allowed")).groupBy("site_id").agg(F.min("key").alias("_stop"))
     ev = ev.join(nxt_allowed, "site_id", "left")
-    extra = same_page & (F.col("_stop").isNull() | (F.col("_k3") <= F.col("_stop")))
+    extra = same_page & (F.col("_stop").isNull() | (F.col("key") <= F.col("_stop")))
     discovered = ev.filter(upto_s | extra)
-    cols = ["site_id", "normalized_url", "depth", "rank", "discovered_from", "_allowed"]
+    cols = ["site_id", "normalized_url", "depth", "key", "discovered_from", "_allowed"]
     return targets.select(*cols), discovered.select(*cols)
