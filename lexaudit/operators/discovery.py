@@ -21,6 +21,12 @@ SITEMAP_SCHEMA = "url array<struct<loc string>>, sitemap array<struct<loc string
 _ROOT_RE = "^\\s*(?:<\\?[^>]*\\?>\\s*)?(?:<!--.*?-->\\s*)*(?:<!DOCTYPE[^>]*>\\s*)?<(?:[\\w.-]+:)?([\\w.-]+)"
 
 
+def _literal_cap(sites: DataFrame) -> int:
+    """Largest per-site page cap, as a literal (one tiny aggregate)."""
+    v = sites.agg(F.max("max_pages")).first()[0]
+    return max(0, int(v or 0))
+
+
 def sitemap_seeds(sites: DataFrame, robots: DataFrame | None) -> DataFrame:
     """DSC6: ``Sitemap:`` lines (any case, not comments) of a robots body
     with status < 400, resolved against the robots URL, label robots_txt;
@@ -171,7 +177,10 @@ def sitemap_targets(processed: DataFrame, sites: DataFrame, exclude_patterns, ex
             "max_pages", F.col("max_pages") - F.coalesce(F.col("_owned"), F.lit(0))).drop("_owned")
     w = Window.partitionBy("site_id").orderBy("_f.level", "_f.rank", "_f.loc_pos")
     t = firsts.join(cap, "site_id").withColumn("_n", F.row_number().over(w))
-    targets = t.filter(F.col("_n") <= F.col("max_pages")).select(
+    # The literal bound lets Spark cut each site to L rows per map task
+    # before the shuffle (WindowGroupLimit); the column test is exact.
+    lim = _literal_cap(sites)
+    targets = t.filter((F.col("_n") <= lim) & (F.col("_n") <= F.col("max_pages"))).select(
         "site_id", F.col("_f.original_url").alias("original_url"), "normalized_url",
         F.lit("sitemap").alias("source_type"), F.col("_f.sitemap_url").alias("discovered_from"),
         F.lit(0).alias("depth"), F.col("_f.level").alias("_level"), F.col("_f.rank").alias("_rank"),
@@ -322,7 +331,9 @@ def feed_targets(results: DataFrame, sites: DataFrame, exclude_patterns, exclude
         .alias("_f"))
     firsts = firsts.filter(F.col("_f").isNotNull())
     w = Window.partitionBy("site_id").orderBy("_f.link_pos")
-    t = firsts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.col("_f.max_pages"))
+    lim = _literal_cap(sites)
+    t = firsts.withColumn("_n", F.row_number().over(w)).filter(
+        (F.col("_n") <= lim) & (F.col("_n") <= F.col("_f.max_pages")))
     return t.select("site_id", F.col("_f.original_url").alias("original_url"), "normalized_url",
                     F.lit("wp_rest_api").alias("source_type"), F.col("_f.api_url").alias("discovered_from"),
                     F.lit(0).alias("depth"))
