@@ -102,8 +102,9 @@ def traverse_sitemaps(seeds: DataFrame, docs: DataFrame, max_levels: int = 16) -
     checkpointed so the lineage stays short."""
     # The parsed sitemap table is joined once per level: materialise it once.
     parsed = cut_lineage(parse_sitemaps(docs))
-    w0 = Window.partitionBy("site_id").orderBy("seed_pos")
-    frontier = seeds.select("site_id", F.lit(0).alias("level"), F.row_number().over(w0).alias("rank"),
+    # Queue order is a path key (seed position, then loc positions), so a
+    # level is ordered without a per-site window.
+    frontier = seeds.select("site_id", F.lit(0).alias("level"), F.array(F.col("seed_pos").cast("long")).alias("key"),
                             "sitemap_url", "discovered_from")
     frontier = frontier.join(parsed, "sitemap_url", "left").withColumn(
         "fetch_status", F.coalesce(F.col("fetch_status"), F.lit("request_error"))) \
@@ -112,16 +113,17 @@ def traverse_sitemaps(seeds: DataFrame, docs: DataFrame, max_levels: int = 16) -
     done = frontier
     for level in range(1, max_levels + 1):
         kids = (frontier.filter(F.col("fetch_status") == "ok_sitemapindex")
-                .select("site_id", F.col("rank").alias("_prank"), F.col("sitemap_url").alias("_parent"),
+                .select("site_id", F.col("key").alias("_pkey"), F.col("sitemap_url").alias("_parent"),
                         F.posexplode("locs").alias("_lpos", "_loc")))
         kids = with_resolved_url(kids, "_parent", "_loc", "sitemap_url").select(
-            "site_id", "_prank", "_lpos", "sitemap_url", F.col("_parent").alias("discovered_from"))
+            "site_id", "_pkey", F.col("_lpos").cast("long").alias("_lpos"), "sitemap_url",
+            F.col("_parent").alias("discovered_from"))
         kids = kids.filter(F.col("sitemap_url") != "")
         kids = kids.join(done.select("site_id", "sitemap_url"), ["site_id", "sitemap_url"], "left_anti")
         first = kids.groupBy("site_id", "sitemap_url").agg(
-            F.min_by(F.struct("_prank", "_lpos", "discovered_from"), F.struct("_prank", "_lpos")).alias("_k"))
-        wl = Window.partitionBy("site_id").orderBy("_k._prank", "_k._lpos")
-        nxt = first.select("site_id", F.lit(level).alias("level"), F.row_number().over(wl).alias("rank"),
+            F.min_by(F.struct("_pkey", "_lpos", "discovered_from"), F.struct("_pkey", "_lpos")).alias("_k"))
+        nxt = first.select("site_id", F.lit(level).alias("level"),
+                           F.concat(F.col("_k._pkey"), F.array(F.col("_k._lpos"))).alias("key"),
                            "sitemap_url", F.col("_k.discovered_from").alias("discovered_from"))
         nxt = nxt.join(parsed, "sitemap_url", "left").withColumn(
             "fetch_status", F.coalesce(F.col("fetch_status"), F.lit("request_error"))) \
@@ -155,15 +157,15 @@ def sitemap_targets(processed: DataFrame, sites: DataFrame, exclude_patterns, ex
     cap ``max_pages`` per site (minus URLs owned by an earlier source);
     returns ``(targets, sitemap_sources)`` where sources are the documents
     fetched before the cap stopped the queue."""
-    docs = processed.select("site_id", "level", "rank", "sitemap_url", "discovered_from", "fetch_status",
+    docs = processed.select("site_id", "level", "key", "sitemap_url", "discovered_from", "fetch_status",
                             F.size("locs").alias("url_count"), "locs")
     locs = (docs.filter(F.col("fetch_status") == "ok_urlset")
-            .select("site_id", "level", "rank", "sitemap_url", F.posexplode("locs").alias("loc_pos", "_loc")))
+            .select("site_id", "level", "key", "sitemap_url", F.posexplode("locs").alias("loc_pos", "_loc")))
     locs = with_resolved_url(locs.withColumn("_loc", py_strip(F.col("_loc"))), "sitemap_url", "_loc", "original_url")
     acc = accept_candidates(locs, sites, exclude_patterns, exclude_pdf)
-    key = F.struct("level", "rank", "loc_pos")
+    key = F.struct("level", "key", "loc_pos")
     firsts = acc.groupBy("site_id", "normalized_url").agg(
-        F.min_by(F.struct("level", "rank", "loc_pos", "original_url", "sitemap_url"),
+        F.min_by(F.struct("level", "key", "loc_pos", "original_url", "sitemap_url"),
                  F.when(F.col("ok"), key)).alias("_f"))
     firsts = firsts.filter(F.col("_f").isNotNull())
     if owned is not None:
@@ -175,7 +177,7 @@ def sitemap_targets(processed: DataFrame, sites: DataFrame, exclude_patterns, ex
     if n_owned is not None:
         cap = cap.join(n_owned, "site_id", "left").withColumn(
             "max_pages", F.col("max_pages") - F.coalesce(F.col("_owned"), F.lit(0))).drop("_owned")
-    w = Window.partitionBy("site_id").orderBy("_f.level", "_f.rank", "_f.loc_pos")
+    w = Window.partitionBy("site_id").orderBy("_f.level", "_f.key", "_f.loc_pos")
     t = firsts.join(cap, "site_id").withColumn("_n", F.row_number().over(w))
     # The literal bound lets Spark cut each site to L rows per map task
     # before the shuffle (WindowGroupLimit); the column test is exact.
@@ -183,25 +185,25 @@ def sitemap_targets(processed: DataFrame, sites: DataFrame, exclude_patterns, ex
     targets = t.filter((F.col("_n") <= lim) & (F.col("_n") <= F.col("max_pages"))).select(
         "site_id", F.col("_f.original_url").alias("original_url"), "normalized_url",
         F.lit("sitemap").alias("source_type"), F.col("_f.sitemap_url").alias("discovered_from"),
-        F.lit(0).alias("depth"), F.col("_f.level").alias("_level"), F.col("_f.rank").alias("_rank"),
+        F.lit(0).alias("depth"), F.col("_f.level").alias("_level"), F.col("_f.key").alias("_key"),
         F.col("_f.loc_pos").alias("_loc_pos"))
     # A document is fetched while fewer than the cap are accepted before it:
     # one ordered pass per site over document and target events (a site has
     # at most max_pages targets, so the window is bounded).
-    ev = (docs.select("site_id", "level", "rank", F.lit(-1).alias("_sub"), F.lit(0).alias("_t"),
+    ev = (docs.select("site_id", "level", "key", F.lit(-1).alias("_sub"), F.lit(0).alias("_t"),
                       "sitemap_url", "discovered_from", "fetch_status", "url_count")
-          .unionByName(targets.select("site_id", F.col("_level").alias("level"), F.col("_rank").alias("rank"),
+          .unionByName(targets.select("site_id", F.col("_level").alias("level"), F.col("_key").alias("key"),
                                       F.col("_loc_pos").alias("_sub"), F.lit(1).alias("_t"),
                                       F.lit(None).cast("string").alias("sitemap_url"),
                                       F.lit(None).cast("string").alias("discovered_from"),
                                       F.lit(None).cast("string").alias("fetch_status"),
                                       F.lit(None).cast("int").alias("url_count"))))
-    we = Window.partitionBy("site_id").orderBy("level", "rank", "_sub").rowsBetween(Window.unboundedPreceding, 0)
+    we = Window.partitionBy("site_id").orderBy("level", "key", "_sub").rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("_before", F.sum("_t").over(we)).join(cap, "site_id")
     sources = ev.filter((F.col("_t") == 0) & (F.col("_before") < F.col("max_pages"))).select(
-        "site_id", "level", "rank", "sitemap_url", "discovered_from", "fetch_status",
+        "site_id", "level", "key", "sitemap_url", "discovered_from", "fetch_status",
         F.col("url_count").cast("int").alias("url_count"))
-    return targets.drop("_level", "_rank", "_loc_pos"), sources
+    return targets.drop("_level", "_key", "_loc_pos"), sources
 
 
 # ------------------------------------------------------------- feeds ----

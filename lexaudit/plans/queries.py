@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexaudit.functions import urls as U
@@ -340,7 +340,10 @@ def _sitemap_run(spark: SparkSession, sf: str):
 def q_sitemap_traverse(spark: SparkSession, sf: str) -> DataFrame:
     """DSC6, DSC9: documents fetched per site, in queue order, until the cap."""
     _, (_, sources) = _sitemap_run(spark, sf)
-    return sources
+    # Rank within the level for the report (a window over the fetched
+    # documents of one site and level, a bounded set).
+    w = Window.partitionBy("site_id", "level").orderBy("key")
+    return sources.withColumn("rank", F.row_number().over(w)).drop("key")
 
 
 def q_sitemap_targets(spark: SparkSession, sf: str) -> DataFrame:
