@@ -12,17 +12,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexaudit.llm import toxicity as tox
+from lexaudit.llm.bpe import encode
 from lexaudit.llm.mixing import mixed_documents
 from lexaudit.session import ensure_checkpoint_dir
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score under 0.5, learned from the labelled ones."""
+    model = tox.fit(tox.learning_rows(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return tox.passed(docs, model)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them, with the words it takes."""
     return mixed_documents(docs)
 
 
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every row of the mix."""
+    return encode(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
     ("mixing", mixing),
+    ("bpe", bpe),
 ]
 ORACLE_SQL = None
 

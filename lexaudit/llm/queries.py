@@ -8,13 +8,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexaudit.llm.bpe import op7_bpe
 from lexaudit.llm.mixing import op4_mixing
 from lexaudit.llm.quality import op5_quality
 from lexaudit.llm.sharding import op2_sharding
+from lexaudit.llm.token_counts import op6_token_counts
+from lexaudit.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op6_token_counts": op6_token_counts,
+    "op7_bpe": op7_bpe,
 }
 ORACLE: dict[str, str] = {}
