@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexaudit.llm.bpe import op7_bpe
+from lexaudit.llm.embedding_dedup import op8_embedding_dedup
 from lexaudit.llm.mixing import op4_mixing
 from lexaudit.llm.quality import op5_quality
 from lexaudit.llm.sharding import op2_sharding
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_embedding_dedup": op8_embedding_dedup,
 }
 ORACLE: dict[str, str] = {}
