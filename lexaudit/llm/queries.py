@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexaudit.llm.bpe import op7_bpe
 from lexaudit.llm.embedding_dedup import op8_embedding_dedup
+from lexaudit.llm.lm import op10_lm_scoring
 from lexaudit.llm.mixing import op4_mixing
 from lexaudit.llm.quality import op5_quality
 from lexaudit.llm.sharding import op2_sharding
@@ -24,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE: dict[str, str] = {}
