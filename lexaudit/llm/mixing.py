@@ -11,7 +11,7 @@ are joined to slots by index.
 
 No source is gathered in one task: streams are numbered by 1,024 hashed cells
 per source (cell totals first, then inside a cell), slots are made from
-ranges of 65,536 indexes, and the join key is (source, block).
+ranges of 8,192 indexes, and the join key is (source, block).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from lexaudit.llm.text import WORD, n_words
 from lexaudit.session import cut_lineage
 
 CELLS = 1024
-RANGE = 65_536
+RANGE = 8192
 ROUNDS = 16
 
 
@@ -108,10 +108,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         F.lit(0).cast("long"), F.floor((F.col("goal") - 1) / F.col("source_size")))))
     passes = passes.filter("goal > 0").withColumn(
         "goal", F.least("source_size", F.col("goal") - F.col("epoch") * F.col("source_size")))
+    # A stated number: Spark would coalesce the few ranges into one task.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The slots of a pass: full blocks in permuted order, the tail block last.
     ranges = passes.withColumn("from", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("goal") - 1) / span), F.lit(RANGE).cast("long"))))
-    slots = ranges.repartition("src", "epoch", "from").withColumn("position", F.explode(F.sequence(
+    slots = ranges.repartition(tasks, "src", "epoch", "from").withColumn("position", F.explode(F.sequence(
         F.col("from"), F.least(F.col("from") + RANGE - 1, F.floor((F.col("goal") - 1) / span)))))
     slots = slots.withColumn("words", F.least(span, F.col("goal") - F.col("position") * span))
     image = permute(F.col("position"), F.col("n_full"), [F.col("src"), F.col("epoch"), F.lit(seed)])
@@ -123,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         F.floor(F.col("start") / span), F.floor((F.col("start") + F.col("size") - 1) / span))).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * span)
     hi = F.least(F.col("start") + F.col("size"), F.col("block") * span + F.col("words"))
-    taken = pieces.join(slots, ["src", "block"]).select(
+    taken = pieces.join(slots.hint("merge"), ["src", "block"]).select(
         "src", "start", "epoch", "shard", "slot", (lo - F.col("start")).alias("first"), (hi - lo).alias("words"))
     return located, taken.filter("words > 0")
 
