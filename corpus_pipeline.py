@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexaudit.llm import toxicity as tox
 from lexaudit.llm.bpe import encode
 from lexaudit.llm.mixing import mixed_documents
+from lexaudit.llm.suffix_dedup import without_repeats
 from lexaudit.session import ensure_checkpoint_dir
 
 
@@ -24,6 +25,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.passed(docs, model)
 
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without byte strings that start in an earlier one."""
+    return without_repeats(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them, with the words it takes."""
     return mixed_documents(docs)
@@ -36,6 +42,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity),
+    ("suffix_dedup", suffix_dedup),
     ("mixing", mixing),
     ("bpe", bpe),
 ]

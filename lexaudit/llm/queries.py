@@ -14,6 +14,7 @@ from lexaudit.llm.lm import op10_lm_scoring
 from lexaudit.llm.mixing import op4_mixing
 from lexaudit.llm.quality import op5_quality
 from lexaudit.llm.sharding import op2_sharding
+from lexaudit.llm.suffix_dedup import op9_suffix_dedup
 from lexaudit.llm.token_counts import op6_token_counts
 from lexaudit.llm.toxicity import op1_toxicity
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE: dict[str, str] = {}
