@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexaudit.llm import toxicity as tox
 from lexaudit.llm.bpe import encode
 from lexaudit.llm.mixing import mixed_documents
+from lexaudit.llm.ngram_join import one_of_each
 from lexaudit.llm.suffix_dedup import without_repeats
 from lexaudit.session import ensure_checkpoint_dir
 
@@ -25,6 +26,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.passed(docs, model)
 
 
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id."""
+    return one_of_each(docs)
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without byte strings that start in an earlier one."""
     return without_repeats(docs)
@@ -42,6 +48,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity),
+    ("ngram_join", ngram_join),
     ("suffix_dedup", suffix_dedup),
     ("mixing", mixing),
     ("bpe", bpe),

@@ -12,6 +12,7 @@ from lexaudit.llm.bpe import op7_bpe
 from lexaudit.llm.embedding_dedup import op8_embedding_dedup
 from lexaudit.llm.lm import op10_lm_scoring
 from lexaudit.llm.mixing import op4_mixing
+from lexaudit.llm.ngram_join import op3_ngram_join
 from lexaudit.llm.quality import op5_quality
 from lexaudit.llm.sharding import op2_sharding
 from lexaudit.llm.suffix_dedup import op9_suffix_dedup
@@ -21,6 +22,7 @@ from lexaudit.llm.toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
+    "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
