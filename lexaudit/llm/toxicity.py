@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaudit.llm.text import id_remainder
@@ -150,12 +150,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     (doc_id, toxic). An id with several labels counts as toxic if any is."""
     told = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max((F.col("toxic") == 1).cast("int")).alias("y"))
-    rows = docs.select("doc_id", "text").join(told, "doc_id")
+    # Choose on ids and sizes; only the texts chosen move.
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(told, "doc_id")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fits = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
-    first = Window.partitionBy("y").orderBy(F.xxhash64("doc_id", "text"))
-    # max_rows rows of max_bytes at most.
-    sample = fits.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max_rows // 2).select("text", "y").collect()
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    fits = rows.filter(F.col("size") <= max_bytes).select("doc_id", "y")
+    some = [fits.filter(F.col("y") == y).orderBy(*order).limit(max_rows // 2) for y in (0, 1)]
+    chosen = some[0].union(some[1]).distinct()
+    # max_rows rows of max_bytes at most, here and below.
+    texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(max_rows).collect()
     got = Counter(r.y for r in sample)
     return train([r.text for r in sample], [r.y for r in sample],
                  tuple(sizes.get(y, 0) / max(1, got[y]) for y in (0, 1)))
