@@ -10,6 +10,8 @@ position).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,12 +96,13 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
                     .otherwise(F.array().cast("array<string>")).alias("locs"))
 
 
-def traverse_sitemaps(seeds: DataFrame, docs: DataFrame, max_levels: int = 16) -> DataFrame:
+def traverse_sitemaps(seeds: DataFrame, docs: DataFrame) -> DataFrame:
     """DSC9: FIFO traversal of sitemap indexes, each URL once. Returns every
     fetched document ``(site_id, level, rank, sitemap_url, discovered_from,
     fetch_status, doc_type, locs)``; ``(level, rank)`` is the queue order.
-    The loop runs one join per level of index nesting; each level is
-    checkpointed so the lineage stays short."""
+    The loop runs one join per level of index nesting until a level brings
+    nothing new (the anti join ends cycles); each level is checkpointed so
+    the lineage stays short."""
     # The parsed sitemap table is joined once per level: materialise it once.
     parsed = cut_lineage(parse_sitemaps(docs))
     # Queue order is a path key (seed position, then loc positions), so a
@@ -111,7 +114,7 @@ def traverse_sitemaps(seeds: DataFrame, docs: DataFrame, max_levels: int = 16) -
         .withColumn("locs", F.coalesce(F.col("locs"), F.array().cast("array<string>")))
     frontier = cut_lineage(frontier)
     done = frontier
-    for level in range(1, max_levels + 1):
+    for level in itertools.count(1):
         kids = (frontier.filter(F.col("fetch_status") == "ok_sitemapindex")
                 .select("site_id", F.col("key").alias("_pkey"), F.col("sitemap_url").alias("_parent"),
                         F.posexplode("locs").alias("_lpos", "_loc")))
@@ -203,7 +206,9 @@ def sitemap_targets(processed: DataFrame, sites: DataFrame, exclude_patterns, ex
     sources = ev.filter((F.col("_t") == 0) & (F.col("_before") < F.col("max_pages"))).select(
         "site_id", "level", "key", "sitemap_url", "discovered_from", "fetch_status",
         F.col("url_count").cast("int").alias("url_count"))
-    return targets.drop("_level", "_key", "_loc_pos"), sources
+    # Insertion order: source, then queue position.
+    at = F.concat(F.array(F.lit(2).cast("long"), F.col("_level").cast("long")), "_key", F.array(F.col("_loc_pos").cast("long")))
+    return targets.withColumn("_pos", at).drop("_level", "_key", "_loc_pos"), sources
 
 
 # ------------------------------------------------------------- feeds ----
@@ -261,7 +266,7 @@ def feed_page_status(pages: DataFrame) -> DataFrame:
     p = p.join(agg, ["api_url", "page"], "left")
     looks_wp = has_wp_hdr | F.coalesce(F.col("_first_obj").rlike("[<,]\\s*(link|id|slug):"), F.lit(False))
     status = (F.when(st.isNull(), F.lit("request_error"))
-              .when((st == 400) & (F.col("page") > 1) & (obj_code == "rest_post_invalid_page_number"),
+              .when((st <= 400) & (F.col("page") > 1) & (obj_code == "rest_post_invalid_page_number"),
                     F.lit("stop_invalid_page"))
               .when(st >= 400, F.coalesce(F.concat(F.lit("rest_error:"), obj_code),
                                           F.concat(F.lit("http_"), st.cast("string"))))
@@ -279,16 +284,21 @@ def feed_page_status(pages: DataFrame) -> DataFrame:
                     F.when(total > 0, total).alias("total_pages"))
 
 
-def feed_results(candidates: DataFrame, pages: DataFrame, max_urls: int) -> DataFrame:
+def feed_results(candidates: DataFrame, pages: DataFrame, max_urls: int, sites: DataFrame | None = None) -> DataFrame:
     """DSC3 + DSC5: per candidate, pages in order until the first terminal
     page (error, invalid-page stop, empty list, last total page, short page,
-    or enough links); an error page fails the whole candidate. Candidates
+    or enough links: the site's ``max_pages`` where ``sites`` is given, else
+    ``max_urls``); an error page fails the whole candidate, and a page that
+    could not be requested leaves no links of earlier pages. Candidates
     are tried in order; the first ok one with links ends the search (later
     ones are not fetched). -> ``(site_id, candidate_pos, api_url,
     discovered_from, fetch_status, url_count, page_count, post_urls,
     fetched, chosen)``."""
     st = feed_page_status(pages)
-    c = candidates.join(st, "api_url", "left")
+    c = candidates.join(st, "api_url", "left").withColumn("_cap", F.lit(int(max_urls)))
+    if sites is not None:
+        c = c.drop("_cap").join(sites.select("site_id", F.col("max_pages").alias("_cap")), "site_id", "left") \
+            .withColumn("_cap", F.coalesce("_cap", F.lit(int(max_urls))))
     w = Window.partitionBy("site_id", "api_url").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("_cum", F.sum(F.when(F.col("page_status") == "ok", F.size("links")).otherwise(0)).over(w))
     ok = F.col("page_status") == "ok"
@@ -296,7 +306,7 @@ def feed_results(candidates: DataFrame, pages: DataFrame, max_urls: int) -> Data
                  | (F.col("n_items") == 0)
                  | (F.col("total_pages").isNotNull() & (F.col("page") >= F.col("total_pages")))
                  | (F.col("n_items") < F.col("per_page"))
-                 | (F.col("_cum") >= int(max_urls)))
+                 | (F.col("_cum") >= F.col("_cap")))
     c = c.withColumn("_stop", F.min(F.when(stop_here, F.col("page"))).over(
         Window.partitionBy("site_id", "api_url")))
     used = c.filter(F.col("page").isNull() | F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
@@ -306,8 +316,9 @@ def feed_results(candidates: DataFrame, pages: DataFrame, max_urls: int) -> Data
         F.count_if(ok).alias("page_count"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("page", "links")))),
                               lambda x: x["links"])).alias("_urls"),
-        F.max("page").alias("_max_page"))
-    urls = F.slice(F.col("_urls"), 1, int(max_urls))
+        F.max("page").alias("_max_page"), F.max("_cap").alias("_cap"))
+    urls = F.when(F.col("_err") == "request_error", F.array().cast("array<string>")) \
+        .otherwise(F.slice(F.col("_urls"), F.lit(1), F.greatest("_cap", F.lit(0))))
     status = F.when(F.col("_max_page").isNull(), F.lit("request_error")) \
         .when(F.col("_err").isNotNull(), F.col("_err")) \
         .when(F.size("_urls") > 0, F.lit("ok_posts")).otherwise(F.lit("ok_empty"))
@@ -338,33 +349,35 @@ def feed_targets(results: DataFrame, sites: DataFrame, exclude_patterns, exclude
         (F.col("_n") <= lim) & (F.col("_n") <= F.col("_f.max_pages")))
     return t.select("site_id", F.col("_f.original_url").alias("original_url"), "normalized_url",
                     F.lit("wp_rest_api").alias("source_type"), F.col("_f.api_url").alias("discovered_from"),
-                    F.lit(0).alias("depth"))
+                    F.lit(0).alias("depth"), F.array(F.lit(1).cast("long"), F.col("_f.link_pos").cast("long")).alias("_pos"))
 
 
 # ------------------------------------------------------ whole collection ----
 def collect_domain(sites: DataFrame, settings, *, feed_pages: DataFrame | None = None,
                    robots: DataFrame | None = None, sitemap_docs: DataFrame | None = None,
-                   edges: DataFrame | None = None) -> dict[str, DataFrame]:
+                   edges: DataFrame | None = None, allowed: DataFrame | None = None) -> dict[str, DataFrame]:
     """API3 / DSC1-DSC17 for many sites at once: feed, then sitemaps, then
     the root fallback and the BFS supplement; the first source that adds a
-    URL owns it, and every stage respects the per-site cap.
+    URL owns it, and every stage respects the per-site cap and depth.
+    ``allowed``: robots decisions for the walk, ``(normalized_url, allowed)``;
+    a target that the walk finds blocked is dropped (DSC15).
 
     Returns ``targets``, ``discovered``, ``sitemap_sources``,
     ``wp_api_sources`` and a per-site ``summary`` (DSC17)."""
     from lexaudit.functions.urls import with_normalized_url
     from lexaudit.operators.frontier import bfs
     s = settings
-    cols = ["site_id", "original_url", "normalized_url", "source_type", "discovered_from", "depth"]
+    cols = ["site_id", "original_url", "normalized_url", "source_type", "discovered_from", "depth", "_pos"]
     spark = sites.sparkSession
     empty_targets = spark.createDataFrame([], "site_id string, original_url string, normalized_url string, "
-                                              "source_type string, discovered_from string, depth int")
+                                              "source_type string, discovered_from string, depth int, _pos array<long>")
     targets = empty_targets
     wp_sources = None
     if s.prefer_wordpress_api and feed_pages is not None:
         # Stage outputs are small per-site tables; each is checkpointed so
         # the next stage starts from a short lineage (and survives executor
         # loss without recomputing the earlier stages).
-        res = cut_lineage(feed_results(feed_candidates(sites), feed_pages, int(s.max_pages)))
+        res = cut_lineage(feed_results(feed_candidates(sites), feed_pages, int(s.max_pages), sites))
         wp_sources = res.filter("fetched").select("site_id", "api_url", "discovered_from", "fetch_status",
                                                   "url_count", "page_count")
         targets = cut_lineage(feed_targets(res, sites, s.exclude_url_patterns, s.exclude_pdf).select(*cols))
@@ -386,23 +399,27 @@ def collect_domain(sites: DataFrame, settings, *, feed_pages: DataFrame | None =
     targets = cut_lineage(targets.unionByName(fb.select(
         "site_id", F.col("start_url").alias("original_url"), "normalized_url",
         F.lit("fallback_root").alias("source_type"), F.col("start_url").alias("discovered_from"),
-        F.lit(0).alias("depth"))))
+        F.lit(0).alias("depth"), F.array(F.lit(3).cast("long")).alias("_pos"))))
     discovered = targets.select("site_id", "normalized_url", "source_type", "discovered_from", "depth")
     if edges is not None:
         # DSC14 seeds: start URL first, then targets in insertion order.
-        order = {"wp_rest_api": 1, "sitemap": 2, "fallback_root": 3}
-        ordm = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-        seeds = (targets.join(start.select("site_id", F.col("normalized_url").alias("_start")), "site_id")
-                 .withColumn("seed_rank", F.when(F.col("normalized_url") == F.col("_start"), F.lit(-1))
-                             .otherwise(ordm[F.col("source_type")])))
+        start_url = start.select("site_id", F.col("normalized_url").alias("_start"))
+        seeds = targets.join(start_url, "site_id").withColumn(
+            "_first", F.col("normalized_url").eqNullSafe(F.col("_start")).cast("int"))
         capped = sites.select("site_id", "max_pages")
         under = targets.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n")).join(capped, "site_id") \
             .filter(F.col("_n") < F.col("max_pages")).select("site_id")
         seeds = seeds.join(under, "site_id", "left_semi")
-        w = Window.partitionBy("site_id").orderBy("seed_rank", "normalized_url")
+        w = Window.partitionBy("site_id").orderBy(F.desc("_first"), "_pos")
         seeds = seeds.select("site_id", F.row_number().over(w).cast("long").alias("seed_rank"), "normalized_url")
-        # The cap of the walk is the sites' cap (the same for all sites here).
-        bt, bd = bfs(edges, seeds, int(s.max_depth), max_pages=int(s.max_pages))
+        bt, bd = bfs(edges, seeds, int(s.max_depth), max_pages=int(s.max_pages), allowed=allowed, sites=sites,
+                     exclude_patterns=s.exclude_url_patterns)
+        if allowed is not None:
+            blocked = allowed.filter(~F.col("allowed")).select("normalized_url")
+            gone = seeds.join(blocked, "normalized_url", "left_semi").select("site_id", "normalized_url")
+            targets = cut_lineage(targets.join(gone, ["site_id", "normalized_url"], "left_anti"))
+            discovered = targets.select("site_id", "normalized_url", "source_type", "discovered_from", "depth")
+        targets = targets.drop("_pos")
         bt = bt.join(targets.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
         targets = targets.unionByName(bt.select("site_id", F.col("normalized_url").alias("original_url"),
                                                 "normalized_url", F.lit("bfs").alias("source_type"),
@@ -418,7 +435,10 @@ def collect_domain(sites: DataFrame, settings, *, feed_pages: DataFrame | None =
         F.count_if(F.col("source_type") == "bfs").alias("bfs_targets"),
         F.max((F.col("source_type") == "fallback_root").cast("int")).cast("boolean").alias("fallback_used"))
         .join(discovered.groupBy("site_id").agg(F.count(F.lit(1)).alias("discovered")), "site_id", "left"))
-    out = {"targets": targets, "discovered": discovered, "summary": summary}
+    # Sites without a target count as well.
+    summary = sites.select("site_id").join(summary, "site_id", "left").na.fill(
+        0, ["targets", "wp_api_targets", "sitemap_targets", "bfs_targets", "discovered"]).na.fill(False, ["fallback_used"])
+    out = {"targets": targets.drop("_pos"), "discovered": discovered, "summary": summary}
     if sm_sources is not None:
         out["sitemap_sources"] = sm_sources
         summary = summary.join(sm_sources.groupBy("site_id").agg(F.count(F.lit(1)).alias("sitemaps_probed")),

@@ -109,7 +109,8 @@ def crawl_join(targets: DataFrame, fetched: DataFrame, robots: DataFrame | None
     out = t.select("target_url")
     pre = None
     if prefetched is not None:
-        pre = prefetched.select(*cols).withColumn("_src", F.lit("prefetched"))
+        # Only targets have rows; other prefetched pages are left out.
+        pre = prefetched.select(*cols).join(out, "target_url", "left_semi").withColumn("_src", F.lit("prefetched"))
     # A target without any fetch record counts as a request error.
     f = fetched.select(*cols).withColumn("_has", F.lit(True))
     if robots is not None:

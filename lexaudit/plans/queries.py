@@ -349,7 +349,7 @@ def q_sitemap_traverse(spark: SparkSession, sf: str) -> DataFrame:
 def q_sitemap_targets(spark: SparkSession, sf: str) -> DataFrame:
     """DSC10: sitemap URLs accepted per site (first wins, capped)."""
     _, (targets, _) = _sitemap_run(spark, sf)
-    return targets
+    return targets.drop("_pos")
 
 
 def _bfs_inputs(spark: SparkSession, sf: str):
@@ -364,23 +364,29 @@ def _bfs_inputs(spark: SparkSession, sf: str):
     first = pages.groupBy(origin.alias("site_id")).agg(F.min_by("url", "page_id").alias("url"))
     seeds = (with_normalized_url(first, "url", True, "normalized_url", "_r")
              .select("site_id", F.lit(0).cast("long").alias("seed_rank"), "normalized_url"))
-    return edges, seeds
+    return edges, seeds, D.sites_from_pages(pages, BFS_MAX_PAGES, 8)
+
+
+# Cap of the capped walk.
+BFS_MAX_PAGES = 20
 
 
 def q_bfs_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    """DSC13 without a cap: every URL reachable from page 0 within
-    max_depth, with its BFS depth and discovering page."""
+    """DSC13 without a cap that binds: every URL of the site reachable from
+    its first page within the depth limit, with its BFS depth."""
     from lexaudit.operators.frontier import bfs
-    edges, seeds = _bfs_inputs(spark, sf)
-    found, _ = bfs(edges, seeds, Settings().max_depth)
+    edges, seeds, sites = _bfs_inputs(spark, sf)
+    s = Settings()
+    everything = sites.withColumn("max_pages", F.lit(None).cast("int")).withColumn("max_depth", F.lit(s.max_depth))
+    _, found = bfs(edges, seeds, s.max_depth, max_pages=2**31 - 1, sites=everything, exclude_patterns=s.exclude_url_patterns)
     return found.select("site_id", "normalized_url", "depth")
 
 
 def q_bfs_capped(spark: SparkSession, sf: str) -> DataFrame:
-    """DSC13 with the page cap (checked against a queue walk in tests)."""
+    """DSC13 with the page cap."""
     from lexaudit.operators.frontier import bfs
-    edges, seeds = _bfs_inputs(spark, sf)
-    targets, discovered = bfs(edges, seeds, 8, max_pages=20)
+    edges, seeds, sites = _bfs_inputs(spark, sf)
+    targets, discovered = bfs(edges, seeds, 8, sites=sites, exclude_patterns=Settings().exclude_url_patterns)
     t = targets.select("site_id", "normalized_url", F.lit(True).alias("is_target"))
     return discovered.join(t, ["site_id", "normalized_url"], "left").select(
         "site_id", "normalized_url", "depth", "discovered_from", F.coalesce("is_target", F.lit(False)).alias("is_target"))
@@ -404,7 +410,7 @@ def q_feed_status(spark: SparkSession, sf: str) -> DataFrame:
 def q_feed_links(spark: SparkSession, sf: str) -> DataFrame:
     """DSC4 + DSC10: feed URLs accepted per site (first wins, capped)."""
     sites, res = _feed_run(spark, sf)
-    return DS.feed_targets(res, sites, Settings().exclude_url_patterns)
+    return DS.feed_targets(res, sites, Settings().exclude_url_patterns).drop("_pos")
 
 
 def _collect(spark: SparkSession, sf: str):

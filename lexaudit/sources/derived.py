@@ -228,15 +228,23 @@ def sites_from_pages(pages: DataFrame, max_pages: int, max_depth: int = 3) -> Da
 
 def link_graph(pages: DataFrame) -> DataFrame:
     """``d_edges(src_url, link_pos, absolute_url, dst_url)``: page p links
-    to pages 2p+1 and 2p+2 (when they exist), by their URLs; ``dst_url``
-    is the normalised target URL."""
+    to pages 2p+1 and 2p+2 (when they exist), mostly on other sites, and
+    the r-th page of a site to its pages 2r+1 and 2r+2, by their URLs;
+    ``dst_url`` is the normalised target URL."""
+    from pyspark.sql import Window
+
     from lexaudit.functions.urls import with_normalized_url
-    src = pages.select(F.col("page_id").alias("src_id"), F.col("url").alias("src_url"))
-    dst = pages.select(F.col("page_id").alias("dst_id"), F.col("url").alias("absolute_url"))
-    e = src.select("src_id", "src_url", F.posexplode(F.array(F.col("src_id") * 2 + 1, F.col("src_id") * 2 + 2))
-                   .alias("link_pos", "dst_id"))
-    e = e.join(dst, "dst_id")
-    e = with_normalized_url(e, "absolute_url", True, "dst_url", "_reason")
+    origin = F.regexp_extract(F.col("url"), "^(https?://[^/?#]+)", 1)
+    p = pages.select("page_id", "url", origin.alias("origin"))
+    p = p.withColumn("r", F.row_number().over(Window.partitionBy("origin").orderBy("page_id")) - 1)
+    src = p.select(F.col("page_id").alias("src_id"), F.col("url").alias("src_url"), "origin", "r")
+    dst = p.select(F.col("page_id").alias("dst_id"), F.col("url").alias("absolute_url"), "origin", F.col("r").alias("dst_r"))
+    far = src.select("src_url", F.posexplode(F.array(F.col("src_id") * 2 + 1, F.col("src_id") * 2 + 2))
+                     .alias("link_pos", "dst_id")).join(dst, "dst_id").select("src_url", "link_pos", "absolute_url")
+    near = src.select("src_url", "origin", F.posexplode(F.array(F.col("r") * 2 + 1, F.col("r") * 2 + 2))
+                      .alias("_pos", "dst_r")).join(dst, ["origin", "dst_r"]).select(
+        "src_url", (F.col("_pos") + 2).alias("link_pos"), "absolute_url")
+    e = with_normalized_url(far.unionByName(near), "absolute_url", True, "dst_url", "_reason")
     return e.select("src_url", F.col("link_pos").cast("int").alias("link_pos"), "absolute_url", "dst_url")
 
 
