@@ -35,7 +35,7 @@ from lexaudit.llm.text import blocks_of
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 STEP = 1 << 20     # positions that are hashed at a time
 RUN = 64           # windows in one stretch at most
 _BYTES = 6         # of a minimizer that travel
@@ -85,13 +85,18 @@ def stretches(data: np.ndarray, offsets: np.ndarray, usable: np.ndarray, length:
     """(minimizer, first window, number of windows, text) of runs of windows
     with one minimizer inside one usable text."""
     values = minimizers(data, length)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(values)]
-    inside = np.arange(len(values)) + length <= offsets[1:][text]
-    at = np.flatnonzero(inside & usable[text])
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[:len(values)]
+    # A window that starts in the last bytes of a text reaches into the next.
+    inside = usable[text]
+    last = offsets[1:, None] - np.arange(1, length)
+    last = last[(last >= offsets[:-1, None]) & (last < len(values))]
+    inside[last] = False
+    at = np.flatnonzero(inside)
     if not len(at):
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, empty
     v, t = values[at], text[at]
+    del values, text, inside
     new = np.append(True, (v[1:] != v[:-1]) | (t[1:] != t[:-1]) | (at[1:] != at[:-1] + 1))
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(at)))
