@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ def tables(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     return k, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
+@lru_cache(maxsize=8)
 def rotations(dim: int, bits: int) -> np.ndarray:
     """``bits`` rows or more: stacked random orthogonal matrices."""
     rng = np.random.default_rng([SEED, dim])

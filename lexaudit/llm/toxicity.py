@@ -38,6 +38,7 @@ RATE = 0.03
 SCALE = 50.0   # of the mean before the softmax; the rate of telling words is low
 NEUTRAL = 20   # words of score 0 added to every mean, so that a few words do not decide alone
 CACHE = 500_000
+TRAIN_CACHE = 100_000
 LONG = 64      # longest word taken whole; longer ones are cut into such parts
 ROWS = 1024
 
@@ -70,12 +71,15 @@ def bag(text: str | None, cache: dict[bytes, np.ndarray]) -> tuple[np.ndarray, n
     mean over their subwords, as weights."""
     subs = []
     for w in sorted(set(words(text))) or [b""]:
-        if w not in cache:
-            cache[w] = np.array(subwords(w))
-        subs.append(cache[w])
+        got = cache.get(w)
+        if got is None:
+            if len(cache) >= TRAIN_CACHE:
+                cache.clear()
+            got = cache[w] = np.array(subwords(w), np.int32)
+        subs.append(got)
     n = np.fromiter(map(len, subs), np.int64, len(subs))
     at, where = np.unique(np.concatenate(subs), return_inverse=True)
-    return at, np.bincount(where, weights=np.repeat(1 / (len(n) + NEUTRAL) / n, n))
+    return at, np.bincount(where, weights=np.repeat(1 / (len(n) + NEUTRAL) / n, n)).astype(np.float32)
 
 
 def train(texts: list[str | None], labels: list[int], weight: tuple[float, float] = (1.0, 1.0),
@@ -87,7 +91,7 @@ def train(texts: list[str | None], labels: list[int], weight: tuple[float, float
         return np.zeros(BUCKETS), 0.0 if not labels else (6.0 if labels[0] else -6.0)
     cache: dict[bytes, np.ndarray] = {}
     bags = [bag(t, cache) for t in texts]
-    cache.clear()
+    del cache
     y = np.asarray(labels, np.int64)
     sample = np.where(y > 0, weight[1], weight[0])
     sample = sample / sample.mean()
@@ -157,12 +161,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     fits = rows.filter(F.col("size") <= max_bytes).select("doc_id", "y")
     some = [fits.filter(F.col("y") == y).orderBy(*order).limit(max_rows // 2) for y in (0, 1)]
     chosen = some[0].union(some[1]).distinct()
-    # max_rows rows of max_bytes at most, here and below.
+    # max_rows rows of max_bytes at most.
     texts = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
-    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(max_rows).collect()
-    got = Counter(r.y for r in sample)
-    return train([r.text for r in sample], [r.y for r in sample],
-                 tuple(sizes.get(y, 0) / max(1, got[y]) for y in (0, 1)))
+    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(max_rows).select("text", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist())),
+                      key=lambda r: (r[0], r[1] or ""))
+        got = Counter(y for y, _ in rows)
+        buckets, bias = train([t for _, t in rows], [y for y, _ in rows],
+                              tuple(sizes.get(y, 0) / max(1, got[y]) for y in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([buckets.tobytes()], pa.binary()), pa.array([bias])], ["buckets", "bias"])
+
+    # One task trains; the driver gets the scores of the buckets.
+    model = sample.repartition(1).mapInArrow(run, "buckets binary, bias double").first()
+    return (np.frombuffer(model.buckets), model.bias) if model else train([], [])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text",
