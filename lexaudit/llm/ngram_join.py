@@ -39,7 +39,7 @@ from lexaudit.llm.text import blocks_of
 from lexaudit.session import cut_lineage
 
 SHINGLE = 5
-CHUNK_BYTES = 8 << 20      # of text that a task holds as words
+CHUNK_BYTES = 4 << 20      # of text that a task holds as words
 PART_BYTES = 48 << 20      # of text per range of keys
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xD6E8FEB86659FD93)

@@ -35,7 +35,7 @@ from lexaudit.llm.text import blocks_of
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 STEP = 1 << 20     # positions that are hashed at a time
 RUN = 64           # windows in one stretch at most
 _BYTES = 6         # of a minimizer that travel

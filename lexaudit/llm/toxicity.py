@@ -37,7 +37,7 @@ BATCH = 64
 RATE = 0.03
 SCALE = 50.0   # of the mean before the softmax; the rate of telling words is low
 NEUTRAL = 20   # words of score 0 added to every mean, so that a few words do not decide alone
-CACHE = 500_000
+CACHE = 250_000
 TRAIN_CACHE = 100_000
 LONG = 64      # longest word taken whole; longer ones are cut into such parts
 ROWS = 1024
