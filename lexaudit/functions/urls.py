@@ -1,6 +1,6 @@
 """URL column algebra (URL1-URL5, URL11-URL14) as native expressions.
 
-``normalize_url`` follows the stdlib split rules (scheme, ``//netloc``,
+``with_normalized_url`` follows the stdlib split rules (scheme, ``//netloc``,
 ``#fragment``, ``?query``, ``;params`` of the last segment) with plain
 regular expressions, so it never fails on odd input (``parse_url`` returns
 NULL on a raw space).
@@ -107,31 +107,10 @@ def clean_query(query: Column) -> Column:
     return F.array_join(enc, "&")
 
 
-def normalize_url(raw: Column, exclude_pdf: bool = True) -> Column:
-    """URL1: ``struct(normalized_url, skip_reason)``; reasons in test order:
-    empty_value, unsupported_scheme:<s>, invalid_url, non_html_extension
-    (URL kept without query). Fragment and ``;params`` are dropped."""
-    value = py_strip(F.coalesce(raw, F.lit("")))
-    p = split_url(value)
-    scheme, netloc = p["scheme"], p["netloc"]
-    host = strip_default_port(scheme, F.lower(netloc))
-    path = normalize_path(p["path"])
-    base = F.concat(scheme, F.lit("://"), host, path)
-    query = clean_query(p["query"])
-    full = F.when(query != "", F.concat(base, F.lit("?"), query)).otherwise(base)
-    reason = (F.when(value == "", F.lit("empty_value"))
-              .when(scheme.isin(*EXPLICIT_INVALID_SCHEMES), F.concat(F.lit("unsupported_scheme:"), scheme))
-              .when(~scheme.isin("http", "https") | (netloc == "") | p["bad_brackets"], F.lit("invalid_url"))
-              .when(has_non_html_extension(path, exclude_pdf), F.lit("non_html_extension")))
-    normalized = (F.when(reason.isNull(), full)
-                  .when(reason == "non_html_extension", base)
-                  .otherwise(F.lit("")))
-    return F.struct(normalized.alias("normalized_url"), reason.alias("skip_reason"))
-
 
 def with_normalized_url(df, raw_col: str, exclude_pdf: bool = True,
                         out_url: str = "normalized_url", out_reason: str = "skip_reason"):
-    """URL1 as staged projections: the same result as :func:`normalize_url`,
+    """URL1 as staged projections: ``(normalized_url, skip_reason)``,
     but each intermediate part is computed once (one inlined expression
     would repeat the split regexes and overflow the generated-code limit)."""
     tmp = ["_v", "_vv", "_scheme", "_rest", "_netloc", "_after", "_path", "_query", "_host", "_npath", "_nq"]

@@ -42,12 +42,6 @@ def not_in_values(df: DataFrame, col: str, values: Iterable[str]) -> DataFrame:
     return df.join(maybe_broadcast(table, known_rows=len(vals)), col, "left_anti")
 
 
-def anti_join_table(df: DataFrame, col: str, table: DataFrame, table_col: str | None = None) -> DataFrame:
-    """Anti join on a value table (e.g. a stopword file read by Spark)."""
-    t = table.select(F.col(table_col or col).alias(col)).distinct()
-    return df.join(maybe_broadcast(t), col, "left_anti")
-
-
 def ordered_row_number(df: DataFrame, order: Sequence[Column], partition_cols: Sequence[str] = (),
                        out_col: str = "rank") -> DataFrame:
     """``row_number()`` over ``partitionBy(partition_cols).orderBy(order)``

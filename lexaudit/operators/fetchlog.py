@@ -80,18 +80,6 @@ def outcome_label(pages: DataFrame) -> DataFrame:
                             .when(F.col("error_kind").isNull(), F.lit("success")).otherwise(F.lit("error")))
 
 
-def fetch_counts(pages: DataFrame) -> DataFrame:
-    """FET9: one row of counts (404 = http_404 + not_found, 410 = gone)."""
-    p = outcome_label(pages)
-    return p.agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.count_if(F.col("outcome") == "success").alias("success"),
-        F.count_if(F.col("outcome") == "error").alias("errors"),
-        F.count_if(F.col("outcome") == "blocked").alias("blocked"),
-        F.count_if(F.col("error_kind").isin("http_404", "not_found")).alias("count_404"),
-        F.count_if(F.col("error_kind") == "gone").alias("count_410"))
-
-
 def errors_by_kind(pages: DataFrame) -> DataFrame:
     """FET9: error rows by kind."""
     p = outcome_label(pages).filter(F.col("outcome") == "error")

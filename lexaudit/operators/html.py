@@ -19,7 +19,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaudit.functions.text import clean_after_unescape, unescape2_nfkc_udf
+from lexaudit.functions.text import clean_after_unescape, unescape2_nfkc_udf, unescape_udf
 from lexaudit.functions.urls import py_strip
 
 # Elements removed with their content before the fallback
@@ -36,14 +36,15 @@ BLOCK_TAGS = ("address", "article", "aside", "blockquote", "body", "dd", "detail
               "pre", "section", "summary", "table", "td", "th", "tr", "ul", "br", "title", "head")
 
 TOKEN_RE = ("(?is)(<!--.*?-->|<(script|style|title)\\b[^>]*>.*?</\\2\\s*>"
-            "|<![^>]*>|</?[A-Za-z][^>]*>|<|[^<]+)")
+            # A quoted value may hold ">".
+            "|<![^>]*>|</?[A-Za-z](?:[^>=]++|=\\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+>|<|[^<]+)")
 
 _END = 2_147_483_647
 
 
 def attr_value(raw: Column, name: str) -> Column:
     """Value of attribute ``name`` in a raw start tag ('' if absent)."""
-    pat = ("(?is)^<[A-Za-z][^\\s/>]*(?:\\s+[^>]*?)?[\\s\"'/]" + name
+    pat = ("(?is)^<[A-Za-z][^\\s/>]*(?:\\s+.*?)?[\\s\"'/]" + name
            + "\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'=<>`]+))")
     return F.concat(F.regexp_extract(raw, pat, 1), F.regexp_extract(raw, pat, 2),
                     F.regexp_extract(raw, pat, 3))
@@ -68,32 +69,6 @@ def html_tokens(pages: DataFrame, key_col: str = "page_key", html_col: str = "ht
                        kind.alias("kind"), tag.alias("tag"), "raw")
 
 
-def element_ranges(tokens: DataFrame) -> DataFrame:
-    """Every non-void element: ``(page_key, tag, open_pos, close_pos, raw)``;
-    ``close_pos`` is the page end for an unclosed element. ``raw``
-    elements (script/style/title) are one token each and get
-    ``close_pos = open_pos``."""
-    t = tokens.filter(F.col("kind").isin("open", "close") & ~F.col("tag").isin(*VOID_TAGS))
-    step = F.when(F.col("kind") == "open", 1).otherwise(-1)
-    w = Window.partitionBy("page_key", "tag").orderBy("pos")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_s", F.sum(step).over(run))
-    t = t.withColumn("_depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(run)))
-    t = t.withColumn("_before", F.coalesce(F.lag("_depth").over(w), F.lit(0)))
-    t = t.withColumn("_level", F.when(F.col("kind") == "open", F.col("_depth"))
-                     .when(F.col("_before") > 0, F.col("_before")))
-    t = t.filter(F.col("_level").isNotNull())
-    wl = Window.partitionBy("page_key", "tag", "_level").orderBy("pos")
-    t = t.withColumn("_next_kind", F.lead("kind").over(wl)).withColumn("_next_pos", F.lead("pos").over(wl))
-    opens = t.filter(F.col("kind") == "open").select(
-        "page_key", "tag", F.col("pos").alias("open_pos"),
-        F.when(F.col("_next_kind") == "close", F.col("_next_pos")).otherwise(F.lit(_END)).alias("close_pos"),
-        "raw")
-    raws = tokens.filter(F.col("kind") == "raw").select(
-        "page_key", "tag", F.col("pos").alias("open_pos"), F.col("pos").alias("close_pos"), "raw")
-    return opens.unionByName(raws)
-
-
 def annotate_tokens(tokens: DataFrame, selectors: Sequence[str] = FALLBACK_SELECTORS) -> DataFrame:
     """All tokens with their context, from window passes over the one token
     stream (no union, no range join, one exchange by page):
@@ -245,9 +220,9 @@ def meta_robots(tokens: DataFrame) -> DataFrame:
 
 def anchor_hrefs(tokens: DataFrame) -> DataFrame:
     """DSC12 input: ``<a href>`` in page order -> ``(page_key, link_pos, href)``;
-    href is stripped; anchors without href are skipped."""
+    href is entity-decoded and stripped; anchors without href are skipped."""
     a = tokens.filter((F.col("kind") == "open") & (F.col("tag") == "a"))
-    a = a.select("page_key", "pos", py_strip(attr_value(F.col("raw"), "href")).alias("href"),
+    a = a.select("page_key", "pos", py_strip(unescape_udf(attr_value(F.col("raw"), "href"))).alias("href"),
                  F.col("raw").rlike("(?is)[\\s\"'/]href\\s*=").alias("_has"))
     a = a.filter(F.col("_has"))
     return a.select("page_key", F.col("pos").alias("link_pos"), "href")

@@ -14,56 +14,35 @@ from lexaudit.functions.tokens import NOUN_ISLAND_RE, NOUN_TOKEN_RE, skip_basic_
 from lexaudit.operators.common import not_in_values, ordered_row_number
 from lexaudit.settings import Settings
 
-_WS = re.compile(r"\s+")
 
-
-def normalize_token_py(token: str | None) -> str:
-    """TOK2 on the driver, for settings values only (stopwords, phrases)."""
-    s = unicodedata.normalize("NFKC", token or "").strip()
-    return _WS.sub("", s).lower()
-
-
-def parse_terms_text(text: str | None) -> list[str]:
-    """TOK10: split at CR, LF and the three commas; normalise; drop blanks;
-    dedupe keeping the first position."""
-    out: list[str] = []
-    seen: set[str] = set()
-    for part in re.split(r"[\r\n,，、]+", text or ""):
-        norm = normalize_token_py(part)
-        if norm and norm not in seen:
-            seen.add(norm)
-            out.append(norm)
-    return out
-
-
-def normalize_terms(values: Iterable[str]) -> list[str]:
-    out: list[str] = []
-    seen: set[str] = set()
-    for v in values:
-        norm = normalize_token_py(str(v))
-        if norm and norm not in seen:
-            seen.add(norm)
-            out.append(norm)
-    return out
+def setting_terms(*sources: str | Iterable[str] | None) -> list[str]:
+    """TOK2, TOK10 for settings values (stopwords, phrases), which the driver
+    holds: each source is a list of terms, or a text of terms between line
+    ends and commas. Terms are NFKC-normalised, lower-cased and freed of white
+    space; blanks go, and the first place of a term counts."""
+    parts = (p for source in sources if source is not None
+             for p in (re.split(r"[\r\n,\uff0c\u3001]", source) if isinstance(source, str) else map(str, source)))
+    terms = ("".join(unicodedata.normalize("NFKC", p).split()).lower() for p in parts)
+    return list(dict.fromkeys(filter(None, terms)))
 
 
 def stopword_file_lines(lines: Iterable[str]) -> list[str]:
     """SRC5 on a list of lines: strip, skip blank and '#' lines, normalise."""
-    return normalize_terms(ln.strip() for ln in lines
-                           if ln.strip() and not ln.strip().startswith("#"))
+    return setting_terms(ln.strip() for ln in lines
+                         if ln.strip() and not ln.strip().startswith("#"))
 
 
 def default_stopword_set(settings: Settings) -> list[str]:
-    return normalize_terms(settings.default_stopwords) if settings.use_default_stopwords else []
+    return setting_terms(settings.default_stopwords) if settings.use_default_stopwords else []
 
 
 def user_stopword_set(settings: Settings) -> list[str]:
     """TOK9: user file words (given as ``user_stopwords``) and the text box."""
-    return normalize_terms(list(settings.user_stopwords) + parse_terms_text(settings.additional_stopwords_text))
+    return setting_terms(settings.user_stopwords, settings.additional_stopwords_text)
 
 
 def forced_phrase_list(settings: Settings) -> list[str]:
-    return normalize_terms(list(settings.forced_compounds) + parse_terms_text(settings.forced_compounds_text))
+    return setting_terms(settings.forced_compounds, settings.forced_compounds_text)
 
 
 def noun_occurrences(df: DataFrame, text_col: str, key_cols: Sequence[str] = (),

@@ -129,9 +129,3 @@ def robots_decisions(urls: DataFrame, bodies: DataFrame, user_agent: str,
 def un_after(url):
     """Part after ``scheme://netloc`` (path, params, query, fragment)."""
     return F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#]*)?", "")
-
-
-def blocked_rows(decisions: DataFrame) -> DataFrame:
-    """ROB7 / SNK8: blocked URL rows."""
-    return decisions.filter(~F.col("allowed")).select(
-        "url", F.col("url").alias("normalized_url"), "robots_decision")

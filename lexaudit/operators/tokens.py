@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaudit.functions.text import normalize_pair_udf, normalize_token_udf
 from lexaudit.functions.tokens import (TAGGER_RE, compound_extension_ok, compound_start_ok,
                                        script_pos, single_noun_ok, skip_basic_token)
+from lexaudit.session import cut_lineage
 
 
 def script_tokens(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
@@ -166,9 +166,9 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
         t = t.withColumn("_seg", F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         ws = Window.partitionBy("doc_key", "_seg")
         t = t.withColumn("_seg_forced", F.max("_forced_n").over(ws))
-        # The annotated table feeds two branches; keep it instead of
-        # recomputing the windows for each.
-        t = t.persist(StorageLevel.MEMORY_AND_DISK)
+        # The annotated table feeds two branches: one checkpoint in the
+        # shared folder instead of the windows twice.
+        t = cut_lineage(t)
         # Segments with a forced phrase: sequential fold over (pos, next).
         folded = (t.filter(F.col("_seg_forced") > 0)
                   .groupBy("doc_key", "_seg")

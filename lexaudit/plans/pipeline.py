@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit import schemas
+from lexaudit.operators.tokens import scan_keywords, script_tokens
 from lexaudit.operators import audit as A
 from lexaudit.operators import fetchlog as FL
 from lexaudit.operators import keywords as K
@@ -37,11 +38,31 @@ class AnalysisTables:
     extra: dict = field(default_factory=dict)
 
 
-def keyword_tables(text_audit: DataFrame, settings: Settings, group_cols=()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def keyword_occurrences(pages: DataFrame, settings: Settings, group_cols=(), tagger=None) -> DataFrame:
+    """Keyword occurrences (*group_cols, raw) of ``pages.extracted_text``: read
+    off the text where the built-in tagger works without forced phrases, else
+    by the full scan. ``tagger(df, key_col, text_col)`` gives the tokens of
+    any other analyser in the ``morph_tokens`` contract."""
+    phrases = K.forced_phrase_list(settings)
+    if not phrases and tagger is None:
+        return K.noun_occurrences(pages, "extracted_text", list(group_cols), settings.compound_mode)
+    names = [f"_g{i}" for i in range(len(group_cols))]
+    keyed = pages.select(F.to_json(F.struct(F.monotonically_increasing_id().alias("_row"),
+                                            *[F.col(c).alias(n) for c, n in zip(group_cols, names)])).alias("doc_key"),
+                         "extracted_text")
+    # One numbering of the pages for every branch of the scan.
+    tokens = cut_lineage((tagger or script_tokens)(cut_lineage(keyed), "doc_key", "extracted_text"))
+    found = scan_keywords(tokens, compound_mode=settings.compound_mode, forced_phrases=phrases)
+    return found.select(*[F.get_json_object("doc_key", f"$.{n}").alias(c) for c, n in zip(group_cols, names)],
+                        F.col("keyword").alias("raw"))
+
+
+def keyword_tables(text_audit: DataFrame, settings: Settings, group_cols=(),
+                   tagger=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """AGG1-AGG3, AGG6, AGG7 from a ``text_audit`` table: included pages with
     text -> noun occurrences -> counts -> default / user stopwords -> ranks."""
     pages = text_audit.filter(F.col("included_in_analysis") & (F.coalesce(F.col("extracted_text"), F.lit("")) != ""))
-    occ = K.noun_occurrences(pages, "extracted_text", list(group_cols), settings.compound_mode)
+    occ = keyword_occurrences(pages, settings, group_cols, tagger)
     counts = K.count_occurrences(occ, list(group_cols))
     raw = K.raw_frequency(counts, settings)
     final = K.final_frequency(raw, settings)
@@ -97,7 +118,7 @@ ALL_COUNTERS = ("input_urls", "target_urls", "skipped_urls", "crawl_success", "c
 
 def run_analysis(*, settings: Settings, urls: DataFrame | None = None, attempts: DataFrame | None = None,
                  archive: DataFrame | None = None, robots_bodies: DataFrame | None = None,
-                 prefetched: DataFrame | None = None) -> AnalysisTables:
+                 prefetched: DataFrame | None = None, tagger=None) -> AnalysisTables:
     """API1: URL list -> classify -> crawl join (attempt log or archive,
     robots) -> audit and extraction -> keywords -> summary.
 
@@ -128,7 +149,7 @@ def run_analysis(*, settings: Settings, urls: DataFrame | None = None, attempts:
     cols = [f.name for f in schemas.FETCHED_PAGES.fields]
     pages = fetched.select(*cols).withColumn("page_key", F.col("target_url"))
     audit = cut_lineage(A.analyze_pages(pages, s))
-    raw, final, top = keyword_tables(audit, s)
+    raw, final, top = keyword_tables(audit, s, tagger=tagger)
     summary = run_summary(audit=audit, raw=raw, final=final, fetched=fetched, classified=classified)
     return AnalysisTables(
         target_urls=target_rows(classified) if classified is not None else None,
@@ -137,10 +158,10 @@ def run_analysis(*, settings: Settings, urls: DataFrame | None = None, attempts:
         top_keywords=top, summary=summary)
 
 
-def rerun_analysis(text_audit: DataFrame, settings: Settings) -> AnalysisTables:
+def rerun_analysis(text_audit: DataFrame, settings: Settings, tagger=None) -> AnalysisTables:
     """API2: re-run from cached text. Only stopword, compound and top-N
     settings take effect; inclusion is not decided again."""
-    raw, final, top = keyword_tables(text_audit, settings)
+    raw, final, top = keyword_tables(text_audit, settings, tagger=tagger)
     summary = run_summary(audit=text_audit, raw=raw, final=final, mode="cached_text")
     return AnalysisTables(target_urls=None, skipped_urls=None, fetched_pages=None, text_audit=text_audit,
                           raw_frequency=raw, keyword_frequency=final, top_keywords=top, summary=summary)

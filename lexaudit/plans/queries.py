@@ -271,7 +271,7 @@ def _tagged(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_forced_compound(spark: SparkSession, sf: str) -> DataFrame:
     """TOK6: longest forced phrase starting at each position."""
-    m = forced_matches(_tagged(spark, sf), K.normalize_terms(FORCED_PHRASES))
+    m = forced_matches(_tagged(spark, sf), K.setting_terms(FORCED_PHRASES))
     return m.select(F.col("doc_key").cast("long").alias("doc_id"), "pos", "phrase", "n_tokens")
 
 
@@ -284,7 +284,7 @@ def q_auto_compound(spark: SparkSession, sf: str) -> DataFrame:
 def q_scan_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """TOK7: the full scan (forced phrase, else auto compound, else single)."""
     kw = scan_keywords(_tagged(spark, sf), compound_mode=True,
-                       forced_phrases=K.normalize_terms(FORCED_PHRASES))
+                       forced_phrases=K.setting_terms(FORCED_PHRASES))
     return kw.select(F.col("doc_key").cast("long").alias("doc_id"), "pos", "keyword", "kind")
 
 

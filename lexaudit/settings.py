@@ -35,7 +35,7 @@ class Settings:
     max_depth: int = 3
     exclude_url_patterns: tuple[str, ...] = DEFAULT_EXCLUDE_PATTERNS
     retry_count: int = 2
-    user_agent: str = "SiteKeywordAnalyzer/1.0"
+    user_agent: str = "LexauditBot/1.0"
     min_text_length: int = 100
     include_title: bool = False
     detect_noindex: bool = True
@@ -49,7 +49,6 @@ class Settings:
     forced_compounds: tuple[str, ...] = field(default_factory=tuple)
     forced_compounds_text: str = ""
     save_extracted_text: bool = False
-    dedupe_final_url: bool = False
 
     @classmethod
     def from_mapping(cls, values: Mapping[str, Any]) -> "Settings":

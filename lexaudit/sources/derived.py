@@ -91,7 +91,7 @@ ROBOTS_BODY_A = ("# robots for the test archive\n"
                  "User-agent: OtherBot\n"
                  "Disallow: /\n"
                  "\n"
-                 "User-agent: sitekeyword\n"
+                 "User-agent: lexaudit\n"
                  "User-agent: AnotherBot\n"
                  "Disallow: /fr/\n"
                  "Allow: /fr/1\n"

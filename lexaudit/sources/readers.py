@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaudit import schemas
+from lexaudit.functions.urls import py_strip
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def url_column(df: DataFrame, column: str, pos_col: str | None = None,
     pos = F.col(pos_col).cast("long") if pos_col else F.monotonically_increasing_id()
     site = F.col("site_id").cast("string") if site_id is None and "site_id" in df.columns else F.lit(site_id or "")
     return df.select(site.alias("site_id"), pos.alias("input_pos"),
-                     F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))).alias("original_url"))
+                     py_strip(F.coalesce(F.col(column).cast("string"), F.lit(""))).alias("original_url"))
 
 
 def url_text(df: DataFrame, text_col: str = "text", site_col: str | None = None) -> DataFrame:
@@ -55,7 +56,7 @@ def url_text(df: DataFrame, text_col: str = "text", site_col: str | None = None)
                       F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\\r\\n|\\r|\\n|\\x{85}|\\x{2028}|\\x{2029}|\\x0b|\\x0c|\\x1c|\\x1d|\\x1e"))
                       .alias("input_pos", "line"))
     return (lines.select("site_id", F.col("input_pos").cast("long"),
-                         F.trim(F.col("line")).alias("original_url"))
+                         py_strip(F.col("line")).alias("original_url"))
             .filter(F.col("original_url") != ""))
 
 
@@ -81,7 +82,7 @@ def stopword_file(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: stopword file as a one-column table (strip, skip blank and '#'
     lines); normalisation happens in the keyword stage."""
     from lexaudit.functions.text import normalize_token_udf
-    lines = spark.read.text(path).select(F.trim(F.col("value")).alias("w"))
+    lines = spark.read.text(path).select(py_strip(F.col("value")).alias("w"))
     lines = lines.filter((F.col("w") != "") & ~F.col("w").startswith("#"))
     return lines.select(normalize_token_udf(F.col("w")).alias("keyword")).filter(F.col("keyword") != "").distinct()
 

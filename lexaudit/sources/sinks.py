@@ -30,6 +30,11 @@ COLUMNS = {
 }
 
 
+# Headers of the keyword exports.
+_KEYWORD_HEADERS = {"rank": "順位", "keyword": "キーワード", "freq": "出現数"}
+EXPORTED = {"raw_frequency_before_user_stopwords": _KEYWORD_HEADERS, "keyword_frequency": _KEYWORD_HEADERS}
+
+
 def crawl_tables(fetched: DataFrame) -> dict[str, DataFrame]:
     """SNK6-SNK8 from ``fetched_pages``."""
     blocked = F.coalesce(F.col("robots_allowed").eqNullSafe(F.lit(False)), F.lit(False))
@@ -43,8 +48,8 @@ def crawl_tables(fetched: DataFrame) -> dict[str, DataFrame]:
 
 
 def report(df: DataFrame, table: str) -> DataFrame:
-    """The table's columns in report order."""
-    return df.select(*COLUMNS[table])
+    """The table's columns in report order, under their exported names."""
+    return df.select(*[F.col(c).alias(EXPORTED.get(table, {}).get(c, c)) for c in COLUMNS[table]])
 
 
 def write_csv(df: DataFrame, path: str, table: str | None = None, bom: bool = True,
@@ -56,12 +61,3 @@ def write_csv(df: DataFrame, path: str, table: str | None = None, bom: bool = Tr
         first = out.columns[0]
         out = out.withColumnRenamed(first, "﻿" + first)
     out.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
-
-
-def write_parquet(df: DataFrame, path: str, table: str | None = None, mode: str = "overwrite",
-                  partition_by: list[str] | None = None) -> None:
-    out = report(df, table) if table else df
-    w = out.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)

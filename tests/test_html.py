@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexaudit.functions.text import clean_text, clean_text_python
+from lexaudit.functions.text import clean_text
 from lexaudit.operators import html as H
 from lexaudit.operators.audit import analyze_pages
 from lexaudit.settings import Settings
@@ -37,12 +37,14 @@ def test_fallback_containers(spark):
     assert got == EXPECTED
 
 
-def test_clean_text_matches_python(spark):
-    texts = ["a\r\nb\rc", "see https://x.org/a日本 next", "mail me: a.b@x.co now", "x\t\x0b y z",
-             "l1\n\n\n\nl2", "  ＡＢＣ１２３ ｶﾀｶﾅ  ", "&amp;lt;b&amp;gt;", "", "l1 \n  l2"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
+def test_clean_text(spark):
+    cases = {"a\r\nb\rc": "a\nb\nc", "see https://x.org/a\u65e5\u672c next": "see next", "mail me: a.b@x.co now": "mail me: now",
+             "x\t\x0b\u00a0y\u3000z": "x y z", "l1\n\n\n\nl2": "l1\n\nl2",
+             "\u3000\uff21\uff22\uff11 \uff76\uff80\uff76\uff85 ": "AB1 \u30ab\u30bf\u30ab\u30ca",
+             "&amp;lt;b&amp;gt;": "&lt;b&gt;", "": "", "l1 \n  l2": "l1\nl2"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
     got = [r["c"] for r in df.select(clean_text(F.col("t")).alias("c")).collect()]
-    assert got == [clean_text_python(t) for t in texts]
+    assert got == list(cases.values())
 
 
 def test_noindex_and_inclusion(spark):
@@ -70,3 +72,11 @@ def test_noindex_and_inclusion(spark):
     assert got["pdf"]["excluded_reason"] == "non_html" and got["pdf"]["noindex_status"] == "noindex"
     got2 = {r["page_key"]: r for r in analyze_pages(df, Settings(exclude_noindex_pages=True)).collect()}
     assert got2["meta"]["excluded_reason"] == "noindex_excluded"
+
+
+def test_quoted_angle_brackets_and_entities_in_links(spark):
+    html = '<p><a title="a > b" href="/y">t</a><a href="/x?a=1&amp;b=2">u</a><a title=it\'s href=\'/z\'>v</a> end</p>'
+    df = spark.createDataFrame([("k", html)], "page_key string, html string")
+    toks = H.html_tokens(df, "page_key", "html")
+    assert [r["href"] for r in H.anchor_hrefs(toks).orderBy("link_pos").collect()] == ["/y", "/x?a=1&b=2", "/z"]
+    assert [r["raw"] for r in toks.filter("kind = 'text'").orderBy("pos").collect()] == ["t", "u", "v", " end"]

@@ -35,4 +35,4 @@ def test_ranks_per_group(spark):
 
 
 def test_terms_text_parsing():
-    assert K.parse_terms_text("Foo, bar、ＢＡＺ，foo\r\n qux ") == ["foo", "bar", "baz", "qux"]
+    assert K.setting_terms("Foo, bar、ＢＡＺ，foo\r\n qux ") == ["foo", "bar", "baz", "qux"]

@@ -40,6 +40,34 @@ def test_csv_sink_has_bom(spark):
     write_csv(df.coalesce(1), out, "keyword_frequency")
     part = glob.glob(out + "/part-*.csv")[0]
     raw = open(part, "rb").read()
-    assert raw.startswith("﻿rank,keyword,freq".encode("utf-8"))
+    assert raw.startswith("﻿順位,キーワード,出現数".encode("utf-8"))
     back = spark.read.option("header", True).csv(out)
     assert back.count() == 1
+
+
+def test_forced_phrases_and_taggers_reach_the_jobs(spark):
+    from lexaudit import schemas
+    from lexaudit.operators.tokens import script_tokens
+    from lexaudit.plans.pipeline import rerun_analysis
+    from lexaudit.settings import Settings
+    names = [f.name for f in schemas.TEXT_AUDIT.fields]
+    row = {"url": "http://a/", "included_in_analysis": True, "extracted_text": "東京タワー 東京タワー"}
+    audit = spark.createDataFrame([tuple(row.get(n) for n in names)], schemas.TEXT_AUDIT)
+    plain = Settings(compound_mode=False, use_default_stopwords=False)
+    forced = plain.with_(forced_compounds=("東京タワー",))
+
+    def keywords(settings, **more):
+        return {r["keyword"]: r["freq"] for r in rerun_analysis(audit, settings, **more).keyword_frequency.collect()}
+
+    assert keywords(plain) == {"東京": 2, "タワー": 2}
+    assert keywords(forced) == {"東京タワー": 2}
+    assert keywords(plain, tagger=script_tokens) == keywords(plain)
+
+
+def test_prefetched_pages_that_are_no_target_are_left_out(spark):
+    from lexaudit.operators.fetchlog import crawl_join
+    from lexaudit.sources.readers import page_archive
+    pages = page_archive(spark.createDataFrame([("http://a/1", "x"), ("http://a/2", "y")], "url string, html string"))
+    targets = spark.createDataFrame([("http://a/1",)], "target_url string")
+    out = crawl_join(targets, pages, None, pages)
+    assert [r["target_url"] for r in out.collect()] == ["http://a/1"]
