@@ -77,6 +77,8 @@ def minimizers(data: np.ndarray, length: int) -> np.ndarray:
                 have *= 2
             if grams > have:
                 h = np.minimum(h[:have - grams], h[grams - have:])
+            # Least hashes crowd near 0; spread them over the ranges again.
+            h = (h ^ (h >> np.uint64(31))) * k[1]
             out[at:at + len(h)] = h >> np.uint64(16)
     return out
 
