@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lexaudit.llm.text import id_remainder
 from lexaudit.session import cut_lineage
 
-DEPTH = 6
+DEPTH = 4
 P_MIN = 1e-5
 DIVERGENCE = 1.0
 BETA = 16.0
