@@ -127,11 +127,12 @@ def sketch_keys(values: np.ndarray, starts: np.ndarray, classes: np.ndarray, ban
     key = mixed(sketch + mixed(place * _MIX + band[owner].astype(np.uint64))) >> np.uint64(17)
     filled = np.bincount(owner, minlength=len(n))
     poor = np.flatnonzero(filled < np.minimum(n // 4, reach(band)) + 1)
+    more_owner, more_key = [owner], [key]
     for i in poor.tolist():
         lack = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), place[owner == i])
-        owner = np.append(owner, np.full(len(lack), i))
-        key = np.append(key, mixed(lack * _MUL + np.uint64(band[i])) >> np.uint64(17) | _EMPTY)
-    return owner, key, filled
+        more_owner.append(np.full(len(lack), i))
+        more_key.append(mixed(lack * _MUL + np.uint64(band[i])) >> np.uint64(17) | _EMPTY)
+    return np.concatenate(more_owner), np.concatenate(more_key), filled
 
 
 def chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list]]:

@@ -98,6 +98,19 @@ def test_differing_parts_never_exceed_the_difference():
             assert len(a ^ b) <= int(nj.reach(band)[0]) < parts and one & two
 
 
+def test_sets_whose_parts_are_mostly_empty():
+    """Many sets of one shingle per part and fewer: all their parts are keys."""
+    rnd = random.Random(12)
+    sets = [sorted(rnd.getrandbits(64) for _ in range(n)) for n in (4, 5, 6, 7, 8, 9) for _ in range(200)]
+    starts = np.cumsum([0, *map(len, sets)])
+    band = np.searchsorted(nj.EDGES, np.diff(starts), side="right") - 1
+    owner, key, filled = nj.sketch_keys(np.array(sum(sets, []), np.uint64), starts, np.arange(len(sets)), band)
+    poor = filled < np.minimum(np.diff(starts) // 4, nj.reach(band)) + 1
+    assert poor.sum() > 1
+    each = np.bincount(owner, minlength=len(sets))
+    assert (each == np.where(poor, nj.part_count(band), filled)).all()
+
+
 def test_one_of_each_keeps_columns_and_rows(edge):
     kept = nj.one_of_each(edge)
     ids = sorted(r.doc_id for r in kept.filter("doc_id is not null").collect())
