@@ -185,7 +185,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     the bias alone; repeated rows are scored each; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = shared._jbroadcast.id()
-    kept = [docs.schema[c] for c in keep]
+    # Under names of their own on the way, whatever they are called.
+    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _made:
@@ -197,19 +198,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
                 part = batch.slice(at, ROWS)
                 scores = pa.array([scorer.text(t) for t in part.column(1).to_pylist()], pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column(0), scores, *part.columns[2:]],
-                                                 ["doc_id", "score", *keep])
+                                                 ["doc_id", "score", *names])
 
     schema = ", ".join([f"doc_id {docs.schema[id_col].dataType.simpleString()}", "score double",
-                        *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
+                        *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names))])
+    sent = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       *[F.col(c).alias(n) for c, n in zip(keep, names)])
+    return sent.mapInArrow(run, schema).toDF("doc_id", "score", *keep)
 
 
 def passed(docs: DataFrame, model: tuple[np.ndarray, float], cut: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores under ``cut``."""
-    names = list(docs.columns)
-    held = docs.select(F.lit(None).cast("int").alias("_none"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
-    scored = score(held, model, "_none", "text", tuple(f"c{i}" for i in range(len(names))))
-    return scored.filter(F.col("score") < cut).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.toDF(*names).withColumn("none", F.lit(None).cast("int"))
+    text = names[docs.columns.index("text")]
+    return score(held, model, "none", text, tuple(names)).filter(F.col("score") < cut).select(*names).toDF(*docs.columns)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:

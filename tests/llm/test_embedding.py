@@ -72,7 +72,7 @@ def test_edge_cases_and_block_splits(spark, monkeypatch):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [1.0, 2.0]),
             (8, [2.0, 4.0]), (9, [1.0, 2.0]), (None, [1.0, 2.0]), (10, [1e300, 2e300]), (11, [-1.0, -2.0]), (12, [1.0, 2.0, 0.0]),
             (13, [1e-300, 2e-300]), (14, [5.0]), (15, [7.0])]
-    rows += [(100 + k, [*(np.array([3.0, 1.0, 2.0, 5.0]) + 0.05 * rnd.normal(size=4))]) for k in range(60)]
+    rows += [(100 + k, (np.array([3.0, 1.0, 2.0, 5.0]) + 0.05 * rnd.normal(size=4)).tolist()) for k in range(60)]
     rows += [(200 + k, [9.0, 1.0, 1.0, 1.0]) for k in range(30)]
     df = spark.createDataFrame([(i, v, 1, 2, 3, 4) for i, v in rows], "vec_id long, embedding array<double>, node int, m int, key int, fp int")
     want = plain(rows)
