@@ -25,7 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.filter("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         # A node's smallest neighbour holds for its own edge as well.
-        large = large.union(low.filter("m < x").select("x", "m")).distinct()
+        large = large.union(low.filter("m < x").select("x", "m"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         now = cut_lineage(small.union(low).distinct())

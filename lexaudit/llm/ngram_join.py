@@ -16,11 +16,11 @@ count, so a document without near copies usually drops out here, and a part
 that very many have is only used where nothing rarer is left.
 
 Equal sets are one class from the start. Candidate pairs are verified exactly
-on the whole shingle sets, in three rounds, each followed by the connected
-components: one hub per class; all hubs of all keys between different
-components; all pairs of classes in different components that share a key. So
-no link between components is left out and no group is expanded into pairs
-that are known to be connected.
+on the whole shingle sets, in two rounds, each followed by the connected
+components: two hubs per class, among the classes with the most company under
+its keys; then all pairs of classes in different components that share a key. So no link
+between components is left out and no group is expanded into pairs that are
+known to be connected.
 """
 
 from __future__ import annotations
@@ -286,39 +286,33 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = cut_lineage(usable.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
         items, "cls long, items binary").dropDuplicates(["cls"]))
 
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"))
+    # The class with the most company under its keys is the hub of a key: the
+    # text that near copies were made from shares more parts with each of them
+    # than they do with one another.
+    company = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    degrees = keyed.join(company, "key").groupBy("cls").agg(F.sum("f").alias("degree"))
+    hubs = keyed.join(degrees, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls", "n")).alias("hub"))
     near = keyed.join(hubs, "key").filter("cls <> hub.cls and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
-    near = cut_lineage(near.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct())
+    near = near.groupBy(F.col("cls").alias("a")).agg(F.max("hub").alias("best"), F.min("hub.cls").alias("other"))
+    near = cut_lineage(near.select("a", F.explode(F.array_distinct(F.array("best.cls", "other"))).alias("b")))
     # Rows of one id with different sets are one node.
     same_id = told.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(
         F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("doc_id", "a")
     links = told.join(same_id, "doc_id").filter("cls <> a and n > 0").select("cls", "a").toDF("a", "b")
 
-    one = near.groupBy("a").agg(F.min("b").alias("b"))
-    links = cut_lineage(links.union(linked(one, sets)))
+    links = cut_lineage(links.union(linked(near, sets)))
     groups = components(links)
-    tried = one
-    for candidates in ("hubs", "pairs"):
-        def group_of(df: DataFrame, name: str, groups: DataFrame = groups) -> DataFrame:
-            named = groups.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-            return df.join(named, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
-
-        if candidates == "hubs":
-            more = group_of(group_of(near, "a"), "b").filter("c_a <> c_b")
-        else:
-            members = group_of(keyed.withColumnRenamed("cls", "a"), "a")
-            mixed_keys = members.groupBy("key").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi")).filter("lo <> hi")
-            left = members.join(mixed_keys.select("key"), "key", "left_semi")
-            right = left.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c_a").alias("c_b"))
-            more = left.join(right, "key").filter("a > b and c_a <> c_b and 5 * least(n, m) >= 4 * greatest(n, m)")
-        more = cut_lineage(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
+    named = groups.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
+    members = keyed.withColumnRenamed("cls", "a").join(named, "a", "left").withColumn("c_a", F.coalesce("c_a", "a"))
+    open_keys = members.groupBy("key").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi")).filter("lo <> hi")
+    left = members.join(open_keys.select("key"), "key", "left_semi")
+    right = left.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c_a").alias("c_b"))
+    more = left.join(right, "key").filter("a > b and c_a <> c_b and 5 * least(n, m) >= 4 * greatest(n, m)")
+    more = cut_lineage(more.select("a", "b").distinct())
+    if not more.isEmpty():
         new = cut_lineage(linked(more, sets))
-        tried = tried.union(more)
         if not new.isEmpty():
-            links = links.union(new)
-            groups = components(links)
+            groups = components(links.union(new))
 
     named = told.join(groups, told.cls == groups.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("label"))
