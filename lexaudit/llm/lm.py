@@ -2,20 +2,31 @@
 
 Symbols are the bytes of the lower-cased words with one space between and an
 end symbol. The tree's contexts are the up to ``DEPTH`` bytes before a symbol,
-across words. A context is a candidate if at least ``P_MIN`` of all symbols
-follow it - so there are at most DEPTH / P_MIN candidates, whatever the corpus
-- and is kept if its next-symbol counts diverge from those of the context that
-is one byte shorter: log likelihood ratio of ``DIVERGENCE`` nats or more for each of
-its symbols (chance alone gives about half a nat).
+across words. A context is a candidate if at least ``MIN_COUNT`` symbols follow
+it, a fixed number, so a larger corpus teaches rarer contexts, and is kept if
+its next-symbol counts diverge from those of the context that is one byte
+shorter: log likelihood ratio of ``DIVERGENCE`` nats or more for each of its
+symbols (chance alone gives about half a nat).
 Next-symbol distributions are smoothed with that of the next shorter kept
 context. A symbol is scored in the longest kept context that its past ends
 with.
 
-Counting covers the whole training part: tasks count the (context, symbol)
-strings of their texts, Spark adds them up and tests the contexts. Only the
-kept tree, bounded as above, is collected and broadcast. The word-unigram base
-is a join: postings (word, its documents) meet the word counts, and the
-logarithms are added up per document. No vocabulary is ever broadcast.
+The tree is never in one place:
+
+1. A chunk of texts (a stretch of the scan) sends its distinct grams (context and symbol), each with
+   its count in the training texts, to the hash part of the gram.
+2. A part adds up the counts of its grams and sends them to the branch of
+   their nearest ``SHORT + 1`` bytes.
+3. A branch holds all grams of its contexts of that length and longer; it adds
+   up the counts of these contexts, tests them, and finds the probability of
+   each gram. Contexts of at most ``SHORT`` bytes have at most 2^24 entries
+   whatever the corpus; they alone are collected and broadcast.
+4. A part sends the probabilities back to the chunks, which add them up per
+   text.
+
+The word-unigram base is a join: postings (word, its documents) meet the word
+counts, and the logarithms are added up per document. No vocabulary is ever
+broadcast.
 """
 
 from __future__ import annotations
@@ -25,18 +36,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.llm.text import id_remainder
+from lexaudit.llm.text import blocks_of, id_remainder
 from lexaudit.session import cut_lineage
 
-DEPTH = 4
-P_MIN = 1e-5
+DEPTH = 6
+SHORT = 2                 # longest contexts that are broadcast
+MIN_COUNT = 2
 DIVERGENCE = 1.0
 BETA = 16.0
-CHUNK_BYTES = 4 << 20     # of text that a task holds as arrays
+CHUNK_BYTES = 1 << 20     # of text that a task holds as arrays
+STRETCH_BYTES = 12 << 20  # of text whose distinct grams are sent together
+PART_BYTES = 16 << 20     # of text whose distinct grams are one part
 POSTING_BYTES = 16 << 20
+WORDS = 200_000           # that a task counts before it sends them
 _END = b"\n"
 
 
@@ -116,78 +132,267 @@ class Tree:
         return out
 
 
-def learn(docs: DataFrame, p_min: float = P_MIN, divergence: float = DIVERGENCE) -> Tree:
-    """The suffix tree of ``docs`` (text)."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, CHUNK_BYTES):
-            keys, n = np.unique(grams(texts)[0], return_counts=True)
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + 100_000]), pa.array(n[at:at + 100_000])], ["gram", "n"])
-
-    counted = cut_lineage(docs.select("text").mapInArrow(count, "gram long, n long")
-                          .groupBy("gram").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    each = counted.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).select(
-        "d", F.expr(f"shiftright(gram, 8 * ({DEPTH} + 1 - d))").alias("ctx"), F.col("gram").bitwiseAND(255).alias("sym"), "n")
-    entries = each.groupBy("d", "ctx", "sym").agg(F.sum("n").alias("n"))
-    totals = entries.groupBy("d", "ctx").agg(F.sum("n").alias("total")).filter(F.col("total") >= p_min * total)
-    entries = cut_lineage(entries.join(totals, ["d", "ctx"]))
-    shorter = entries.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("up"), "sym",
-                             (F.col("n") / F.col("total")).alias("q"))
-    own = entries.withColumn("up", F.expr("shiftright(ctx, 8)"))
-    kept = own.join(shorter, ["d", "up", "sym"]).groupBy("d", "ctx").agg(
-        F.sum(F.col("n") * F.ln(F.col("n") / F.col("total") / F.col("q"))).alias("g"),
-        F.count(F.lit(1)).alias("symbols")).filter(F.col("g") >= divergence * F.col("symbols"))
-    kept = kept.select("d", "ctx").union(totals.filter("d = 0").select("d", "ctx"))
-    # At most DEPTH / p_min contexts and their symbols.
-    found = entries.join(kept, ["d", "ctx"], "left_semi").select("d", "ctx", "sym", "n", "total").toPandas()
-    levels = []
-    for d in range(DEPTH + 1):
-        mine = found[found.d == d].sort_values(["ctx", "sym"])
-        contexts, first, place = np.unique(mine.ctx.to_numpy(np.int64), return_index=True, return_inverse=True)
-        levels.append((contexts, mine.total.to_numpy(np.float64)[first], place.astype(np.int64) << 8 | mine.sym.to_numpy(np.int64),
-                       mine.n.to_numpy(np.float64)))
-    return Tree(levels)
-
-
-def score(docs: DataFrame, tree: Tree, key: str = "row") -> DataFrame:
-    """(key, n_tokens, score): the tree's log10 probability of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in chunks(batches, CHUNK_BYTES):
-            keys, sizes = grams(texts)
-            some, where = np.unique(keys, return_inverse=True)
-            each = shared.value.log10(some)[where]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(t) + 1 for t in texts], pa.int64()),
-                 pa.array(np.add.reduceat(each, np.cumsum(sizes) - sizes))], [key, "n_tokens", "score"])
-
-    return docs.select(key, "text").mapInArrow(run, f"{key} long, n_tokens long, score double")
+def shorten(entries: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries, counts) of the contexts one byte shorter, and the place there
+    of each entry. An entry is context << 8 | symbol."""
+    up, place = np.unique(entries >> 16 << 8 | entries & 255, return_inverse=True)
+    return up, np.bincount(place, counts, len(up)), place
+
+
+class Level:
+    """The entries of one depth (sorted, with counts, which may be 0): ``share``
+    of the context's symbols, whether the context is kept, and ``prob``.
+    ``share`` and ``prob`` of the next shorter contexts are given per entry."""
+
+    def __init__(self, entries: np.ndarray, counts: np.ndarray, shorter_share: np.ndarray | None, shorter_prob: np.ndarray | float,
+                 min_count: int, divergence: float):
+        first = np.flatnonzero(np.append(True, entries[1:] >> 8 != entries[:-1] >> 8)[:len(entries)])
+        sizes = np.diff(np.append(first, len(entries)))
+        each = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+        self.total = np.repeat(each, sizes)
+        self.share = counts / np.maximum(self.total, 1)
+        if shorter_share is None:
+            self.kept = np.ones(len(entries), bool)
+        else:
+            seen = counts > 0
+            gain = np.zeros(len(entries))
+            gain[seen] = counts[seen] * np.log(self.share[seen] / shorter_share[seen])
+            symbols = np.repeat(np.arange(len(first)), sizes)
+            enough = np.bincount(symbols, gain, len(first)) >= divergence * np.bincount(symbols, seen, len(first))
+            self.kept = np.repeat((each >= min_count) & enough, sizes)
+        self.prob = np.where(self.kept, (counts + BETA * shorter_prob) / (self.total + BETA), shorter_prob)
+
+
+def levels(entries: np.ndarray, counts: np.ndarray, longest: int, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE,
+           short: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, Level]]:
+    """(entries, counts, level) for each depth up to ``longest``, of which
+    sorted ``entries`` are; from 0, or from the depth after that of ``short``
+    (entries, share, prob)."""
+    shortest = 0 if short is None else SHORT + 1
+    down = [(entries, counts.astype(np.float64), None)]
+    for _ in range(longest - shortest):
+        up, n, place = shorten(*down[-1][:2])
+        down[-1] = (*down[-1][:2], place)
+        down.append((up, n, None))
+    out: list[tuple[np.ndarray, np.ndarray, Level]] = []
+    for mine, n, place in reversed(down):
+        if out:
+            level = Level(mine, n, out[-1][2].share[place], out[-1][2].prob[place], min_count, divergence)
+        elif short is None:
+            level = Level(mine, n, None, 1 / 256, min_count, divergence)
+        else:
+            place = np.searchsorted(short[0], mine >> 16 << 8 | mine & 255)
+            level = Level(mine, n, short[1][place], short[2][place], min_count, divergence)
+        out.append((mine, n, level))
+    return out
+
+
+def learn(docs: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> Tree:
+    """The suffix tree of ``docs`` (text) in memory, for small corpora;
+    ``tree_scores`` scores by the same tree without collecting it."""
+    texts = [tokens(r.text) for r in docs.select("text").collect()]
+    keys, n = np.unique(grams(texts)[0], return_counts=True) if texts else (np.zeros(0, np.int64),) * 2
+    found = []
+    for entries, counts, level in levels(keys, n, DEPTH, min_count, divergence):
+        entries, counts, total = entries[level.kept], counts[level.kept], level.total[level.kept]
+        contexts, first, place = np.unique(entries >> 8, return_index=True, return_inverse=True)
+        found.append((contexts, total[first], place.astype(np.int64) << 8 | entries & 255, counts))
+    return Tree(found)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Compressed numbers; integers with the bytes of one place together, as
+    sorted and small ones compress well that way."""
+    raw = np.ascontiguousarray(values)
+    if raw.dtype.kind == "i":
+        raw = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, raw.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    data = np.frombuffer(pa.decompress(raw[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return data.view(kind) if kind is not np.int64 else np.ascontiguousarray(data.reshape(8, -1).T).view(kind).ravel()
+
+
+def unpack_all(column: pa.ChunkedArray, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([unpack(x, kind) for x in column.to_pylist()])
+
+
+def hashed(values: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each value."""
+    with np.errstate(over="ignore"):
+        x = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+
+
+def dealt(values: np.ndarray, groups: int) -> list[tuple[int, np.ndarray]]:
+    """(group, places of its values in their order), by ascending group."""
+    group = hashed(values, groups)
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)[:len(order)])
+    return [(int(group[at[0]]), at) for at in np.split(order, edges[1:])] if len(order) else []
+
+
+def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.table({n: pa.array(c, t) for (n, t), c in zip(schema.items(), columns)})
+
+
+def numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (row, ..., text) with their chunk: the first row of a stretch of
+    about ``most`` bytes of text. Depends on the order of the rows alone."""
+    first, size = None, 0
+    for batch in batches:
+        out = []
+        for row, n in zip(batch.column("row").to_pylist(), pc.binary_length(batch.column("text")).to_pylist()):
+            if first is None or size and size + (n or 0) > most:
+                first, size = row, 0
+            out.append(first)
+            size += n or 0
+        yield batch.append_column("chunk", pa.array(out, pa.int64()))
+
+
+def distinct(marks: list[bool], texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and their counts in the marked texts."""
+    taught, held = ([t for t, m in zip(texts, marks) if bool(m) == x] for x in (True, False))
+    keys, n = np.unique(grams(taught)[0], return_counts=True) if taught else (np.zeros(0, np.int64),) * 2
+    if not held:
+        return keys, n
+    other = np.unique(grams(held)[0])
+    return merged([keys, other], [n, np.zeros(len(other), np.int64)])
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    some, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return some, np.bincount(where, np.concatenate(counts), len(some)).astype(np.int64)
+
+
+def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> DataFrame:
+    """(row, doc_id, learn, n_tokens, score): the log10 probability of each
+    text by the tree of the texts to learn from."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    parts, most = blocks_of(size, PART_BYTES), STRETCH_BYTES
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    chunked = rows.select("row", "doc_id", "learn", "text").mapInArrow(
+        lambda batches: numbered(batches, most), f"row long, doc_id {kind}, learn boolean, text string, chunk long")
+    packed = {"grams": pa.binary(), "data": pa.binary()}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def message() -> Iterator[pa.RecordBatch]:
+            keys, n = merged([x[0] for x in found], [x[1] for x in found])
+            rows = [(g, chunk, pack(keys[at]), pack(n[at])) for g, at in dealt(keys, parts)]
+            yield from _table({"part": pa.int32(), "chunk": pa.int64(), **packed}, rows).to_batches()
+
+        chunk, found = None, []
+        for marks, texts in chunks(batches, CHUNK_BYTES):
+            edges = [i for i in range(len(marks)) if not i or marks[i][0] != marks[i - 1][0]]
+            for a, b in zip(edges, [*edges[1:], len(marks)]):
+                if found and marks[a][0] != chunk:
+                    yield from message()
+                    found = []
+                chunk = marks[a][0]
+                found.append(distinct([m[1] for m in marks[a:b]], texts[a:b]))
+        if found:
+            yield from message()
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        keys, n = merged([unpack_all(table.column("grams"))], [unpack_all(table.column("data"))])
+        return _table({"branch": pa.int32(), "part": pa.int32(), **packed},
+                      [(g, key[0].as_py(), pack(keys[at]), pack(n[at])) for g, at in dealt(keys >> 8 * (DEPTH - SHORT), parts)])
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                entries, n = unpack(raw), unpack(told)
+                for _ in range(DEPTH - SHORT):
+                    entries, n, _ = shorten(entries, n)
+                yield from parts_of([pa.array(entries), pa.array(n.astype(np.int64))], ["entry", "n"])
+
+    sent = cut_lineage(chunked.select("chunk", "learn", "text").mapInArrow(
+        send, "part int, chunk long, grams binary, data binary"))
+    added = cut_lineage(sent.groupBy("part").applyInArrow(add, "branch int, part int, grams binary, data binary"))
+    # At most 2^24 entries, as the alphabet is of bytes.
+    found = added.select("grams", "data").mapInArrow(shortened, "entry long, n long").groupBy("entry").agg(
+        F.sum("n").alias("n")).toPandas().sort_values("entry")
+    entries = found.entry.to_numpy(np.int64)
+    told = levels(entries, found.n.to_numpy(np.int64), SHORT, min_count, divergence)[-1][2]
+    short = rows.sparkSession.sparkContext.broadcast((entries, told.share, told.prob))
+
+    def branch(table: pa.Table) -> pa.Table:
+        got = [unpack(x) for x in table.column("grams").to_pylist()]
+        n = unpack_all(table.column("data"))
+        keys = np.concatenate(got)
+        order = np.argsort(keys)
+        prob = np.empty(len(keys))
+        prob[order] = levels(keys[order], n[order], DEPTH, min_count, divergence, short.value)[-1][2].prob
+        ends = np.cumsum([len(x) for x in got])[:-1]
+        return _table({"part": pa.int32(), **packed},
+                      [(p, pack(k), pack(x)) for p, k, x in
+                       zip(table.column("part").to_pylist(), got, np.split(np.log10(prob), ends))])
+
+    def answer(table: pa.Table, told: pa.Table) -> pa.Table:
+        keys, logs = unpack_all(told.column("grams")), unpack_all(told.column("data"), np.float64)
+        order = np.argsort(keys)
+        keys, logs = keys[order], logs[order]
+        return _table({"chunk": pa.int64(), "part": pa.int32(), "data": pa.binary()},
+                      [(c, p, pack(logs[np.searchsorted(keys, unpack(x))])) for c, p, x in
+                       zip(*(table.column(n).to_pylist() for n in ("chunk", "part", "grams")))])
+
+    def total(table: pa.Table, told: pa.Table) -> pa.Table:
+        n_tokens, found = [], []
+        for _, texts in chunks(iter(table.select(["text"]).combine_chunks().to_batches()), CHUNK_BYTES):
+            each, sizes = grams(texts)
+            some, where = np.unique(each, return_inverse=True)
+            n_tokens += [len(t) + 1 for t in texts]
+            found.append((some, where.astype(np.int32), sizes))
+        keys = np.unique(np.concatenate([f[0] for f in found]))
+        logs = np.empty(len(keys))
+        answers = dict(zip(told.column("part").to_pylist(), told.column("data").to_pylist()))
+        for g, at in dealt(keys, parts):
+            logs[at] = unpack(answers[g], np.float64)
+        scores = [np.add.reduceat(logs[np.searchsorted(keys, some)][where], np.cumsum(sizes) - sizes) for some, where, sizes in found]
+        out = table.select(["row", "doc_id", "learn"])
+        return out.append_column("n_tokens", pa.array(n_tokens, pa.int64())).append_column(
+            "score", pa.array(np.concatenate(scores), pa.float64()))
+
+    scored = added.groupBy("branch").applyInArrow(branch, "part int, grams binary, data binary")
+    answers = sent.groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(
+        answer, "chunk long, part int, data binary")
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        total, f"row long, doc_id {kind}, learn boolean, n_tokens long, score double")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) of all words of ``docs`` (text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, POSTING_BYTES):
-            seen: dict[bytes, int] = {}
+        def message() -> Iterator[pa.RecordBatch]:
+            return parts_of([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+        seen: dict[bytes, int] = {}
+        for _, texts in chunks(batches, CHUNK_BYTES):
             for ws in texts:
                 for w in ws:
                     seen[w] = seen.get(w, 0) + 1
-            yield from parts([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            if len(seen) > WORDS:
+                yield from message()
+                seen = {}
+        yield from message()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def parts(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+def parts_of(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
     whole = pa.RecordBatch.from_arrays(columns, names)
     for at in range(0, whole.num_rows, 50_000):
         yield whole.slice(at, 50_000)
 
 
 def postings(docs: DataFrame, key: str = "row") -> DataFrame:
-    """(word, at): ``at`` holds key and occurrences of the texts that have the
-    word, from one stretch of the input, as pairs in one array."""
+    """(word, first, at): ``at`` holds key and occurrences of the texts that
+    have the word, from one stretch of the input, as pairs in one array; the
+    keys of one partition are less than 2^31 apart and are told from ``first``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, POSTING_BYTES):
             number: dict[bytes, int] = {}
@@ -195,13 +400,15 @@ def postings(docs: DataFrame, key: str = "row") -> DataFrame:
             text = np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])
             both, n = np.unique(ids * len(texts) + text, return_counts=True)
             word, text = both // len(texts), both % len(texts)
-            values = np.empty(2 * len(both), np.int64)
-            values[::2], values[1::2] = np.array([r[0] for r in rows], np.int64)[text], n
+            keys = np.array([r[0] for r in rows], np.int64)
+            values = np.empty(2 * len(both), np.int32)
+            values[::2], values[1::2] = (keys - keys.min())[text], n
             starts = 2 * np.searchsorted(word, np.arange(len(number) + 1))
             at = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))
-            yield from parts([pa.array(number.keys(), pa.binary()), at], ["word", "at"])
+            yield from parts_of([pa.array(number.keys(), pa.binary()), pa.array(np.full(len(number), keys.min())), at],
+                                ["word", "first", "at"])
 
-    return docs.select(key, "text").mapInArrow(run, "word binary, at array<long>")
+    return docs.select(key, "text").mapInArrow(run, "word binary, first long, at array<int>")
 
 
 def base_scores(docs: DataFrame, training: DataFrame, key: str = "row") -> tuple[DataFrame, int, int]:
@@ -210,9 +417,9 @@ def base_scores(docs: DataFrame, training: DataFrame, key: str = "row") -> tuple
     counts = word_counts(training)
     sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     met = postings(docs, key).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    met = met.select("c", F.log10(F.col("c") + 0.5).alias("log"), "at", F.explode(F.sequence(
+    met = met.select("c", F.log10(F.col("c") + 0.5).alias("log"), "first", "at", F.explode(F.sequence(
         F.lit(0), (F.size("at") / 2 - 1).cast("int"))).alias("i"))
-    met = met.select("c", "log", F.get("at", 2 * F.col("i")).alias(key), F.get("at", 2 * F.col("i") + 1).alias("tf"))
+    met = met.select("c", "log", (F.col("first") + F.get("at", 2 * F.col("i"))).alias(key), F.get("at", 2 * F.col("i") + 1).alias("tf"))
     out = met.groupBy(key).agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
                                F.sum(F.col("log") * F.col("tf")).alias("logs"))
     return out, int(sums[0] or 0), int(sums[1])
@@ -235,7 +442,7 @@ def score_documents(docs: DataFrame, training: Callable[[], "F.Column"], id_col:
     n_taught = taught.count()
     base, n_words, n_distinct = base_scores(rows, taught)
     n, v = n_words + n_taught, n_distinct + (n_taught > 0)
-    told = rows.select("row", "doc_id", "learn").join(score(rows, learn(taught)), "row").join(base, "row", "left")
+    told = tree_scores(rows).join(base, "row", "left")
     each = F.lit(math.log10(n + 0.5 * (v + 1)))
     return told.select(
         "doc_id", F.col("learn").alias("is_training"), "n_tokens",

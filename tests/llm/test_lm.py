@@ -85,3 +85,26 @@ def test_held_out_text_does_not_teach(spark):
     changed = docs.withColumn("text", F.when(id_remainder() == 1, F.lit("quite other words")).otherwise(F.col("text")))
     a, b = ({r.doc_id: r.score for r in lm.score_documents(d, lambda: id_remainder() != 1).collect() if r.is_training} for d in (docs, changed))
     assert a == b
+
+
+def test_a_larger_corpus_teaches_rare_contexts(spark):
+    # Eight times each in over a million symbols; only six bytes tell the last.
+    docs = spark.createDataFrame([(i, "common words of a text " * 2000 + ("qbcdefx zbcdefy" if i < 8 else "")) for i in range(30)],
+                                 "doc_id long, text string")
+    contexts = lm.learn(docs).levels[6][0]
+    assert {int.from_bytes(w[::-1], "big") for w in (b"qbcdef", b"zbcdef")} <= set(contexts.tolist())
+
+
+def test_scores_by_parts_equal_the_tree_in_memory(spark, edge, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 50_000)
+    monkeypatch.setattr(lm, "STRETCH_BYTES", 120_000)
+    monkeypatch.setattr(lm, "PART_BYTES", 100_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(edge.select("doc_id", "text"))
+    rows = lm.score_documents(docs, lambda: id_remainder() != 1).collect()
+    tree = lm.learn(docs.filter(F.coalesce(id_remainder() != 1, F.lit(True))))
+    keys, sizes = lm.grams([lm.tokens(r.text) for r in docs.collect()])
+    each = np.add.reduceat(tree.log10(keys), np.cumsum(sizes) - sizes)
+    want = sorted((r.doc_id or 0, x) for r, x in zip(docs.collect(), each))
+    got = sorted((r.doc_id or 0, r.score) for r in rows)
+    assert [w[0] for w in want] == [g[0] for g in got]
+    assert np.allclose([w[1] for w in want], [g[1] for g in got], rtol=1e-9)
