@@ -19,8 +19,9 @@ def fetch_outcomes(attempts: DataFrame, retry_count: int = 2) -> DataFrame:
     columns say "not checked"; the crawl join fills them).
 
     The result is the first terminal attempt, else attempt ``retry_count+1``
-    (attempts after it are ignored). One grouped ``min_by`` per URL: a
-    partial aggregate, no window and no sort of the log.
+    (attempts after it are ignored), else - the log was cut short or still
+    runs - the last logged attempt, an error row. One grouped ``min_by`` and
+    ``max_by`` per URL: a partial aggregate, no window and no sort of the log.
     """
     max_attempts = max(0, int(retry_count)) + 1
     a = attempts.filter(F.col("attempt") <= max_attempts)
@@ -31,16 +32,19 @@ def fetch_outcomes(attempts: DataFrame, retry_count: int = 2) -> DataFrame:
     g = a.groupBy("target_url").agg(
         # Ties (a malformed log with a repeated attempt number) are broken
         # by start time and status so the result is deterministic.
-        F.min_by(row, F.when(F.col("_final"), F.struct("attempt", "started_at", "status_code"))).alias("r"),
+        F.min_by(row, F.when(F.col("_final"), F.struct("attempt", "started_at", "status_code"))).alias("_result"),
+        F.max_by(row, F.struct("attempt", "started_at", "status_code")).alias("_last"),
         F.min("started_at").alias("_start"),
         F.max_by(HT.header_value(F.col("headers"), "Retry-After"),
                  F.when(F.col("status_code") == 429, F.col("attempt"))).alias("_retry_after"),
         F.max(F.when(F.col("status_code") == 429, F.col("attempt"))).alias("_last429"))
-    g = g.filter(F.col("r").isNotNull())
+    g = g.withColumn("r", F.coalesce("_result", "_last"))
     r = F.col("r")
     exc = r["exception_kind"]
     status = r["status_code"]
     err = F.when(exc.isNotNull(), HT.exception_error_kind(exc)).otherwise(HT.status_error_kind(status))
+    # A last attempt that is still running has neither exception nor status.
+    err = F.coalesce(err, F.when(F.col("_result").isNull(), F.lit("request_error")))
     # Rows of responses keep status and final URL; pure network errors do not.
     has_response = exc.isNull() | exc.isin("too_many_redirects", "request_error") | ~exc.isin(
         *HT.EXCEPTION_ERROR_KIND.keys())
