@@ -6,12 +6,16 @@ share one (a run of neighbours is sent as one stretch of text) can be handled
 in one shard, and a minimizer found in one document only needs no handling.
 
 1. Documents are dealt to chunks of about ``CHUNK_BYTES`` by a hash; each
-   chunk sends its distinct minimizers, packed, to their hash range.
+   chunk sends its distinct minimizers, packed, with their numbers of
+   stretches, to their hash range.
 2. A range sends back to each chunk the minimizers that occur in two documents
-   or more.
+   or more, and tells which are hot: have stretches of a chunk's size or more in
+   all, like those in a phrase that many texts share with other text around it.
 3. A chunk sends the stretches around those to the minimizer's shard: distinct
    contents with their least and largest doc_id, so copies are folded before
-   the shuffle.
+   the shuffle. Stretches of a hot minimizer go as single windows, each to the
+   shard of the hash of its bytes, so equal windows still meet but a minimizer
+   is no longer one shard.
 4. A shard suffix-sorts its contents by external induced sorting; neighbours
    with ``length`` common bytes form groups, and each window learns the least
    doc_id that has it. Contents with a window older than their own largest
@@ -20,11 +24,13 @@ in one shard, and a minimizer found in one document only needs no handling.
 
 Chunks, ranges and shards grow in number with the input, not in size; what is
 equal is folded per chunk, so a passage that a third of all documents share is
-one row per chunk.
+one row per chunk. A shard is sorted in memory but for the induction queues.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -132,6 +138,10 @@ def spread(keys: np.ndarray, groups: int) -> np.ndarray:
     return (keys.astype(np.float64) * (groups / 2.0 ** 48)).astype(np.int64)
 
 
+def window_shard(window: bytes, groups: int) -> int:
+    return int.from_bytes(blake2b(window, digest_size=8).digest(), "little") % groups
+
+
 def by_group(groups: np.ndarray) -> list[tuple[int, int, int]]:
     """(group, from, to) of an ascending array."""
     at = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
@@ -161,11 +171,18 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CH
     shorter than ``length`` stay whole. A row with a null id keeps its text and
     removes none elsewhere; rows that share an id remove nothing from each
     other. Other columns are ignored; an empty table gives an empty result."""
+    return _stages(docs, length, chunk_bytes, id_col, text_col, keep)[1]
+
+
+def _stages(docs: DataFrame, length: int, chunk_bytes: int, id_col: str = "doc_id", text_col: str = "text",
+            keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(what is sent to the shards, the result of ``repeats_removed``)."""
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        *[F.col(c).alias(n) for c, n in zip(keep, names)])
     parts = blocks_of(rows.agg(F.sum(F.octet_length("text"))).first()[0], chunk_bytes)
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    hot_count = max(2, chunk_bytes // (RUN + length - 1))
     kept_types = {n: docs.schema[c].dataType.simpleString() for c, n in zip(keep, names)}
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
@@ -181,15 +198,23 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CH
             firsts = np.flatnonzero(fresh)
             twice[firsts] = np.logical_or.reduceat(other, firsts)
         out = np.repeat(value, fresh.astype(np.int64) + twice)
-        return _table({"part": pa.int32(), "chunk": pa.int32(), "data": pa.binary()},
-                      [(g, key[0].as_py(), pack(out[a:b])) for g, a, b in by_group(spread(out, parts))])
+        # The number of stretches goes with the first of two.
+        times = np.zeros(len(out), "<u2")
+        if len(out):
+            first = np.flatnonzero(np.append(True, out[1:] != out[:-1]))
+            times[first] = np.minimum(np.diff(np.append(firsts, len(value))), 65535)
+        return _table({"part": pa.int32(), "chunk": pa.int32(), "data": pa.binary(), "times": pa.binary()},
+                      [(g, key[0].as_py(), pack(out[a:b]), times[a:b].tobytes()) for g, a, b in by_group(spread(out, parts))])
 
     def repeated(table: pa.Table) -> pa.Table:
         sent = [(c, unpack(d)) for c, d in zip(table.column("chunk").to_pylist(), table.column("data").to_pylist())]
-        value, n = np.unique(np.concatenate([v for _, v in sent]), return_counts=True)
+        times = np.concatenate([np.frombuffer(t, "<u2") for t in table.column("times").to_pylist()])
+        value, place, n = np.unique(np.concatenate([v for _, v in sent]), return_inverse=True, return_counts=True)
+        hot = value[(n > 1) & (np.bincount(place, times, len(value)) >= hot_count)]
         value = value[n > 1]
         back = [(c, np.unique(v[is_in(v, value)])) for c, v in sent]
-        return _table({"chunk": pa.int32(), "data": pa.binary()}, [(c, pack(v)) for c, v in back if len(v)])
+        return _table({"chunk": pa.int32(), "data": pa.binary(), "hot": pa.binary()},
+                      [(c, pack(v), pack(v[is_in(v, hot)])) for c, v in back if len(v)])
 
     def candidates(table: pa.Table, answer: pa.Table, column: str):
         """(stretches of the chunk whose minimizer is in the answer, data)."""
@@ -202,45 +227,56 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CH
 
     def cut(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         schema = {"part": pa.int32(), "chunk": pa.int32(), "sizes": pa.binary(), "low": pa.binary(), "high": pa.binary(),
-                  "minimizer": pa.binary(), "data": pa.binary()}
+                  "minimizer": pa.binary(), "data": pa.binary(), "hot": pa.bool_()}
         if not answer.num_rows or not table.num_rows:
             return _table(schema, [])
         data, _, ids, value, first, n, text = candidates(table, answer, "data")
         raw = data.tobytes()
+        hot = is_in(value, np.unique(np.concatenate([unpack(d) for d in answer.column("hot").to_pylist()])))
+        # A hot stretch is cut into its windows.
+        each = np.where(hot, n, 1)
+        first = np.repeat(first, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        value, text, hot, n = (np.repeat(x, each) for x in (value, text, hot, np.where(hot, 1, n)))
         found: dict[bytes, list[int]] = {}
-        for v, a, b, i in zip(value.tolist(), first.tolist(), (first + n + length - 1).tolist(), ids[text].tolist()):
-            got = found.setdefault(raw[a:b], [i, i, v])
+        for v, a, b, i, h in zip(value.tolist(), first.tolist(), (first + n + length - 1).tolist(), ids[text].tolist(), hot.tolist()):
+            got = found.setdefault(raw[a:b], [i, i, v, h])
             if i < got[0]:
                 got[0] = i
             elif i > got[1]:
                 got[1] = i
         shard = spread(np.array([x[2] for x in found.values()], np.uint64), parts)
+        for place, (window, x) in enumerate(found.items()):
+            if x[3]:
+                shard[place] = window_shard(window, parts)
+        shard = 2 * shard + np.array([x[3] for x in found.values()], np.int64)
         order = np.argsort(shard, kind="stable")
         contents, told = list(found), list(found.values())
         out = []
         for g, a, b in by_group(shard[order]):
             mine = order[a:b]
-            out.append((g, key[0].as_py(), np.array([len(contents[i]) for i in mine], np.int32).tobytes(),
+            out.append((g // 2, key[0].as_py(), np.array([len(contents[i]) for i in mine], np.int32).tobytes(),
                         *(np.array([told[i][k] for i in mine], np.int64).tobytes() for k in (0, 1)),
-                        pack(np.array([told[i][2] for i in mine], np.uint64)), b"".join(contents[i] for i in mine)))
+                        pack(np.array([told[i][2] for i in mine], np.uint64)), b"".join(contents[i] for i in mine), bool(g % 2)))
         return _table(schema, out)
 
     def sort(table: pa.Table) -> pa.Table:
-        sent, low = [], {}
+        # Windows of hot minimizers have no equals but themselves: no sorting.
+        sent, low, alone = [], {}, {}
         for r in table.to_pylist():
             ends = np.cumsum(np.frombuffer(r["sizes"], np.int32)).tolist()
             contents = [r["data"][a:b] for a, b in zip([0, *ends], ends)]
-            sent.append((r["chunk"], contents, np.frombuffer(r["high"], np.int64), unpack(r["minimizer"])))
+            sent.append((r["chunk"], contents, np.frombuffer(r["high"], np.int64), unpack(r["minimizer"]), r["hot"]))
+            known = alone if r["hot"] else low
             for c, i in zip(contents, np.frombuffer(r["low"], np.int64).tolist()):
-                if i < low.get(c, i + 1):
-                    low[c] = i
+                if i < known.get(c, i + 1):
+                    known[c] = i
         number = {c: i for i, c in enumerate(low)}
         text, starts = text_of(list(low))
         sizes = np.fromiter(map(len, low), np.int64, len(low))
         owner = np.repeat(np.arange(len(low), dtype=np.int32), sizes + 1)
         least = np.repeat(np.fromiter(low.values(), np.int64, len(low)), sizes + 1)
         window = np.arange(len(owner)) - starts[owner] + length <= sizes[owner]
-        for positions, prefix in suffixes(text, length):
+        for positions, prefix in suffixes(text, length) if low else ():
             group = np.flatnonzero(np.append(True, prefix[1:] < length))
             many = np.diff(np.append(group, len(positions)))
             if (many > 1).any():
@@ -250,9 +286,13 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CH
                 some = np.repeat(many > 1, many) & window[at]
                 least[at[some]] = value[some]
         out = []
-        for chunk, contents, high, minimizer in sent:
+        for chunk, contents, high, minimizer, hot in sent:
             told, older = [], []
             for c, h in zip(contents, high.tolist()):
+                if hot:
+                    told.append(np.array([alone[c]], np.int64))
+                    older.append(alone[c] < h)
+                    continue
                 a = int(starts[number[c]])
                 told.append(least[a:a + len(c) - length + 1])
                 older.append(told[-1].min() < h)
@@ -264,18 +304,25 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CH
                        "least": pa.binary()}, out)
 
     def remove(table: pa.Table, answer: pa.Table) -> pa.Table:
-        data, offsets, ids, _, first, n, text = candidates(table, answer, "minimizer")
+        data, offsets, ids, value, first, n, text = candidates(table, answer, "minimizer")
         known: dict[bytes, np.ndarray] = {}
+        single = [np.zeros(0, np.uint64)]   # minimizers with windows alone
         for r in answer.to_pylist():
             at = told = 0
             least = np.frombuffer(r["least"], np.int64)
-            for size in np.frombuffer(r["sizes"], np.int32).tolist():
+            sizes = np.frombuffer(r["sizes"], np.int32)
+            single.append(unpack(r["minimizer"])[sizes == length])
+            for size in sizes.tolist():
                 known[r["data"][at:at + size]] = least[told:told + size - length + 1]
                 at, told = at + size, told + size - length + 1
         raw = data.tobytes()
         gone = np.zeros(len(data) + 1, np.int32)
-        for a, m, i in zip(first.tolist(), n.tolist(), ids[text].tolist()):
+        some = is_in(value, np.unique(np.concatenate(single)))
+        for a, m, i, alone in zip(first.tolist(), n.tolist(), ids[text].tolist(), some.tolist()):
             least = known.get(raw[a:a + m + length - 1])
+            if least is None and alone:
+                windows = [known.get(raw[x:x + length]) for x in range(a, a + m)]
+                least = np.array([i if w is None else w[0] for w in windows], np.int64)
             if least is not None:
                 older = least < i
                 if older.all():   # one run
@@ -299,16 +346,16 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CH
             out = out.append_column(name, table.column(name))
         return out
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, data binary")
-    answer = sent.groupBy("part").applyInArrow(repeated, "chunk int, data binary")
+    sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, data binary, times binary")
+    answer = sent.groupBy("part").applyInArrow(repeated, "chunk int, data binary, hot binary")
     pieces = chunked.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(
-        cut, "part int, chunk int, sizes binary, low binary, high binary, minimizer binary, data binary")
+        cut, "part int, chunk int, sizes binary, low binary, high binary, minimizer binary, data binary, hot boolean")
     older = pieces.groupBy("part").applyInArrow(
         sort, "chunk int, minimizer binary, sizes binary, data binary, least binary")
     extra = "".join(f", {n} {t}" for n, t in kept_types.items())
     out = chunked.groupBy("chunk").cogroup(older.groupBy("chunk")).applyInArrow(
         remove, f"doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary{extra}")
-    return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col(n).alias(c) for c, n in zip(keep, names)])
+    return pieces, out.select("doc_id", "n_bytes", "spans", "kept", *[F.col(n).alias(c) for c, n in zip(keep, names)])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
