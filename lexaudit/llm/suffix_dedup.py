@@ -142,6 +142,22 @@ def window_shard(window: bytes, groups: int) -> int:
     return int.from_bytes(blake2b(window, digest_size=8).digest(), "little") % groups
 
 
+def whole_characters(piece: bytes, cut_before: bool, cut_after: bool) -> bytes:
+    """``piece`` of a UTF-8 text without the rest of a character at an end
+    where it was cut."""
+    start, end = 0, len(piece)
+    while cut_before and start < end and piece[start] & 0xC0 == 0x80:
+        start += 1
+    if cut_after:
+        lead = end - 1
+        while lead >= start and piece[lead] & 0xC0 == 0x80:
+            lead -= 1
+        if lead >= start and piece[lead] >= 0xC0:
+            size = 2 if piece[lead] < 0xE0 else 3 if piece[lead] < 0xF0 else 4
+            end = lead if lead + size > end else end
+    return piece[start:end]
+
+
 def by_group(groups: np.ndarray) -> list[tuple[int, int, int]]:
     """(group, from, to) of an ascending array."""
     at = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
@@ -161,21 +177,22 @@ def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
 
 
 def repeats_removed(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id",
-                    text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+                    text_col: str = "text", keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, the columns in ``keep``), one row per
     input row. spans: the maximal removed runs (from, to) in bytes of the
-    UTF-8 text; kept: the bytes that stay.
+    UTF-8 text; kept: the bytes that stay, if ``whole`` without the rests of
+    characters that were cut.
 
     A byte goes if a ``length``-byte string of the input that covers it also
     starts in a document with a smaller doc_id. Null text is empty; texts
     shorter than ``length`` stay whole. A row with a null id keeps its text and
     removes none elsewhere; rows that share an id remove nothing from each
     other. Other columns are ignored; an empty table gives an empty result."""
-    return _stages(docs, length, chunk_bytes, id_col, text_col, keep)[1]
+    return _stages(docs, length, chunk_bytes, id_col, text_col, keep, whole)[1]
 
 
 def _stages(docs: DataFrame, length: int, chunk_bytes: int, id_col: str = "doc_id", text_col: str = "text",
-            keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+            keep: tuple[str, ...] = (), whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(what is sent to the shards, the result of ``repeats_removed``)."""
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -337,8 +354,13 @@ def _stages(docs: DataFrame, length: int, chunk_bytes: int, id_col: str = "doc_i
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             here = covered[a:b]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]).astype(np.int8)))
-            rows.append((b - a, [{"from": x, "to": y} for x, y in edges.reshape(-1, 2).tolist()],
-                         data[a:b][~here].tobytes() if len(edges) else raw[a:b]))
+            spans = edges.reshape(-1, 2).tolist()
+            if whole and spans:
+                stay = b"".join(whole_characters(raw[a + x:a + y], x > 0, y < b - a) for x, y in
+                                zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), b - a]))
+            else:
+                stay = data[a:b][~here].tobytes() if spans else raw[a:b]
+            rows.append((b - a, [{"from": x, "to": y} for x, y in spans], stay))
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         out = _table({"n_bytes": pa.int64(), "spans": span, "kept": pa.binary()}, rows)
         out = out.add_column(0, "doc_id", table.column("doc_id"))
@@ -368,10 +390,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the bytes that stay as text (a character that was cut is
-    dropped) and its length; rows that lose all their words go."""
+    dropped, others are as they were) and its length; rows that lose all their
+    words go."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = repeats_removed(docs, keep=others)
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.size("spans") == 0, text).otherwise(F.replace(text, F.lit("\ufffd"), F.lit("")))
-    out = out.withColumn("text", text).filter((F.size("spans") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    out = repeats_removed(docs, keep=others, whole=True)
+    out = out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).filter((F.size("spans") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
