@@ -416,7 +416,7 @@ def q_feed_links(spark: SparkSession, sf: str) -> DataFrame:
 def _collect(spark: SparkSession, sf: str):
     from lexaudit.operators.frontier import link_edges
     pages = _pages(spark, sf)
-    s = Settings(max_pages=4, max_depth=2)
+    s = Settings()
     sites = D.sites_from_pages(pages, s.max_pages, s.max_depth)
     e = link_edges(pages, "page_id", "url", "html")
     src = U.with_normalized_url(pages.select("page_id", "url"), "url", True, "_n", "_r").select(

@@ -59,3 +59,29 @@ def test_a_feed_may_end_with_a_page_number_error_of_status_200(spark):
         "api_url string, page int, per_page int, status_code int, headers array<struct<key:string,value:string>>, body string")
     status = {r.page: r.page_status for r in DS.feed_page_status(pages).collect()}
     assert status == {1: "ok", 2: "stop_invalid_page"}
+
+
+def test_domain_queries_have_the_default_caps(spark, tmp_path, monkeypatch):
+    from lexaudit.plans.queries import QUERIES
+    from lexaudit.settings import Settings
+    spark.createDataFrame([(1, "http://a.com/p", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    given = []
+    monkeypatch.setattr(DS, "collect_domain", lambda sites, settings, **inputs: given.append((sites.first(), settings)) or
+                        {"targets": sites, "summary": sites})
+    for name in ("domain_collect", "domain_summary"):
+        QUERIES[name](spark, str(tmp_path))
+    assert [(r.max_pages, r.max_depth, s) for r, s in given] == [(200, 3, Settings())] * 2
+
+
+def test_a_walk_under_the_default_caps_equals_a_queue_walk(spark):
+    from collections import deque
+    links = {f"http://a.com/{k or ''}": [f"http://a.com/{2 * k + 1}", f"http://a.com/{2 * k + 2}"] for k in range(12)}
+    depth, queue = {"http://a.com/": 0}, deque(["http://a.com/"])
+    while queue:
+        u = queue.popleft()
+        for x in links.get(u, []) if depth[u] < 3 else []:
+            if x not in depth:
+                depth[x] = depth[u] + 1
+                queue.append(x)
+    targets, _ = walk(spark, links, [("a", "http://a.com/", False, 200, 3)])
+    assert targets == sorted(("a", u) for u in depth if u != "http://a.com/") and len(targets) == 14
