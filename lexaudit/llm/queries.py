@@ -13,6 +13,7 @@ from lexaudit.llm.embedding_dedup import op8_embedding_dedup
 from lexaudit.llm.lm import op10_lm_scoring
 from lexaudit.llm.mixing import op4_mixing
 from lexaudit.llm.ngram_join import op3_ngram_join
+from lexaudit.llm.pieces import op11_pieces
 from lexaudit.llm.quality import op5_quality
 from lexaudit.llm.sharding import op2_sharding
 from lexaudit.llm.suffix_dedup import op9_suffix_dedup
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_pieces": op11_pieces,
 }
 ORACLE: dict[str, str] = {}
