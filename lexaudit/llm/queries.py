@@ -1,6 +1,6 @@
-"""The registered queries of this subpackage. None of them has SQL: hash
-rings, permutations, models and suffix sorting are not expressible; each is
-tested against brute force or by its invariants in ``tests/llm``."""
+"""The registered queries of this subpackage. SQL of those that it can express
+is in ``oracle.py``; hash rings, permutations, models and suffix sorting are
+tested against brute force or by their invariants in ``tests/llm``."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from lexaudit.llm.embedding_dedup import op8_embedding_dedup
 from lexaudit.llm.lm import op10_lm_scoring
 from lexaudit.llm.mixing import op4_mixing
 from lexaudit.llm.ngram_join import op3_ngram_join
+from lexaudit.llm.oracle import ORACLE  # noqa: F401 - read by the driver contract
 from lexaudit.llm.pieces import op11_pieces
 from lexaudit.llm.quality import op5_quality
 from lexaudit.llm.sharding import op2_sharding
+from lexaudit.llm.spelling import op12_spelling
 from lexaudit.llm.suffix_dedup import op9_suffix_dedup
 from lexaudit.llm.token_counts import op6_token_counts
 from lexaudit.llm.toxicity import op1_toxicity
@@ -32,5 +34,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_pieces": op11_pieces,
+    "op12_spelling": op12_spelling,
 }
-ORACLE: dict[str, str] = {}
