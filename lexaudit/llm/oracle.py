@@ -57,6 +57,44 @@ SELECT l.word, l.form, coalesce(e.root, l.word) AS root, l.n, l.n_near, l.form_n
 FROM linked l LEFT JOIN ends e ON e.word = l.word
 """
 
+# All phrases of one to three words are counted; no phrase is proposed.
+COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM piece),
+place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM place, (VALUES (1), (2), (3)) AS size(k) WHERE i + k - 1 <= len(w)
+),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM gram GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 10),
+cut AS (SELECT *, unnest(range(1, k)) AS c FROM cand),
+part AS (
+  SELECT cut.lang, cut.k, cut.phrase, a, w, c, x.n AS l, y.n AS r,
+         CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+  FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.k = c AND x.phrase = array_to_string(w[1:c], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.k = cut.k - c AND y.phrase = array_to_string(w[c + 1:], ' ')
+),
+lowest AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, sub, max(a) AS longer
+  FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS sub FROM cand WHERE k = 3) GROUP BY ALL
+)
+SELECT p.lang, row_number() OVER (PARTITION BY p.lang ORDER BY p.score DESC, p.a DESC, p.phrase) AS rank,
+       p.phrase, p.a, p.l, p.r, total.n, p.score
+FROM lowest p JOIN total ON total.lang = p.lang LEFT JOIN inside i ON i.lang = p.lang AND i.sub = p.phrase
+WHERE i.longer IS NULL OR 100 * i.longer < 50 * p.a
+QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op12_spelling": SPELLING,
+    "op13_collocations": COLLOCATIONS,
 }

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexaudit.llm.bpe import op7_bpe
+from lexaudit.llm.collocations import op13_collocations
 from lexaudit.llm.embedding_dedup import op8_embedding_dedup
 from lexaudit.llm.lm import op10_lm_scoring
 from lexaudit.llm.mixing import op4_mixing
@@ -35,4 +36,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_pieces": op11_pieces,
     "op12_spelling": op12_spelling,
+    "op13_collocations": op13_collocations,
 }
