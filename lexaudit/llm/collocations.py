@@ -43,7 +43,8 @@ SAMPLE = 8
 PROPOSED = 2
 WORD_BITS = 24
 PAIR_BITS = 26
-CHUNK = 8 << 20
+CHUNK = 3 << 20
+ROWS = 1 << 16
 # Bytes of a text: A-Z in lower case, ends of pieces as line feeds, tabs as spaces.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 _COUNTS = "lang string, size int, phrase string, n long"
@@ -88,7 +89,8 @@ def _tally(data: bytes, lang: str, passes: list[Pass], with_words: bool) -> Iter
         return
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
     coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw[~gap])).dictionary_encode()
-    names, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    names, ids = coded.dictionary, coded.indices.to_numpy()
+    del raw, gap, offsets, edges, coded
     if with_words:
         yield 0, pa.array([""]), np.array([len(ids)])
         yield 1, names, np.bincount(ids, minlength=len(names))
@@ -96,6 +98,7 @@ def _tally(data: bytes, lang: str, passes: list[Pass], with_words: bool) -> Iter
         return
     piece = np.searchsorted(np.flatnonzero(ends_piece), starts)
     joined = piece[1:] == piece[:-1]
+    del starts, ends, ends_piece, piece
     x, y = ids[:-1], ids[1:]
     hashes = _word_hashes(lang, names.to_pylist())
     pair_hashes = _pair_hashes(hashes[x], hashes[y])
@@ -109,13 +112,14 @@ def _tally(data: bytes, lang: str, passes: list[Pass], with_words: bool) -> Iter
         if p.later:
             grows |= pairs
         triples = grows[:-1] & grows[1:] & ~triples_before
+    del pair_hashes, pairs_before, triples_before
     size = len(names)
-    pair, n = np.unique(x[pairs] * size + y[pairs], return_counts=True)
+    pair, n = np.unique(x[pairs].astype(np.int64) * size + y[pairs], return_counts=True)
     if len(pair):
         yield 2, pc.binary_join_element_wise(names.take(pa.array(pair // size)), names.take(pa.array(pair % size)), " "), n
     at = np.flatnonzero(triples)
     if len(at):
-        pair, row = np.unique(ids[at] * size + ids[at + 1], return_inverse=True)
+        pair, row = np.unique(ids[at].astype(np.int64) * size + ids[at + 1], return_inverse=True)
         triple, n = np.unique(row * size + ids[at + 2], return_counts=True)
         pair = pair[triple // size]
         yield 3, pc.binary_join_element_wise(*(names.take(pa.array(k)) for k in (pair // size, pair % size, triple % size)), " "), n
@@ -148,9 +152,11 @@ def _count(docs: DataFrame, passes: list, with_words: bool, least: int) -> DataF
             sizes.pop(lang)
             for part in _chunks(b"\n".join(waiting.pop(lang)).translate(_PLAIN), chunk):
                 for size, phrases, n in _tally(part, lang, tables, with_words):
-                    yield pa.RecordBatch.from_arrays(
+                    rows = pa.RecordBatch.from_arrays(
                         [pa.repeat(lang, len(n)), pa.repeat(pa.scalar(size, pa.int32()), len(n)), phrases,
                          pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "n"])
+                    for at in range(0, len(n), ROWS):
+                        yield rows.slice(at, ROWS)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
