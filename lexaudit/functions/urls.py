@@ -108,6 +108,13 @@ def clean_query(query: Column) -> Column:
 
 
 
+def _fenced(value: Column) -> Column:
+    """``value`` unchanged, as an expression that Catalyst treats as
+    non-deterministic: filters and the not-null tests that joins add on the
+    column stay above its projection instead of inlining all stages of it."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def with_normalized_url(df, raw_col: str, exclude_pdf: bool = True,
                         out_url: str = "normalized_url", out_reason: str = "skip_reason"):
     """URL1 as staged projections: ``(normalized_url, skip_reason)``,
@@ -140,9 +147,8 @@ def with_normalized_url(df, raw_col: str, exclude_pdf: bool = True,
     d = d.withColumn(out_reason, reason)
     base = F.concat(scheme, F.lit("://"), F.col("_host"), F.col("_npath"))
     full = F.when(F.col("_nq") != "", F.concat(base, F.lit("?"), F.col("_nq"))).otherwise(base)
-    d = d.withColumn(out_url, F.when(F.col(out_reason).isNull(), full)
-                     .when(F.col(out_reason) == "non_html_extension", base).otherwise(F.lit("")))
-    return d.drop(*tmp)
+    url = F.when(F.col(out_reason).isNull(), full).when(F.col(out_reason) == "non_html_extension", base).otherwise(F.lit(""))
+    return d.withColumns({out_url: _fenced(url), out_reason: _fenced(F.col(out_reason))}).drop(*tmp)
 
 
 def url_host(url: Column) -> Column:
@@ -249,4 +255,4 @@ def with_resolved_url(df, base_col: str, ref_col: str, out_col: str):
            .when(rest == "", F.concat(F.col("_j_bauth"), F.col("_j_bpath"),
                                       F.when(has_q, F.lit("")).otherwise(bq), F.col("_j_tail")))
            .otherwise(F.concat(F.col("_j_bauth"), F.col("_j_path"), F.col("_j_tail"))))
-    return d.withColumn(out_col, out).drop(*tmp)
+    return d.withColumn(out_col, _fenced(out)).drop(*tmp)

@@ -10,6 +10,7 @@ position).
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexaudit.functions.urls import (first_matching_pattern, py_strip, url_host, with_normalized_url,
                                      with_resolved_url)
-from lexaudit.session import cut_lineage
+from lexaudit.session import written
 
 SITEMAP_SCHEMA = "url array<struct<loc string>>, sitemap array<struct<loc string>>, _corrupt_record string"
 _ROOT_RE = "^\\s*(?:<\\?[^>]*\\?>\\s*)?(?:<!--.*?-->\\s*)*(?:<!DOCTYPE[^>]*>\\s*)?<(?:[\\w.-]+:)?([\\w.-]+)"
@@ -36,32 +37,29 @@ def sitemap_seeds(sites: DataFrame, robots: DataFrame | None) -> DataFrame:
     Deduped in order. -> ``(site_id, seed_pos, sitemap_url, discovered_from)``."""
     origin = F.regexp_extract(F.col("start_url"), "^(https?://[^/?#]+)", 1)
     s = sites.select("site_id", origin.alias("origin"))
+    none = F.array().cast("array<struct<ln:int,ref:string>>")
     if robots is not None:
-        lines = (robots.filter(F.coalesce(F.col("source_status"), F.lit(999)) < 400)
-                 .select("origin", "robots_url",
-                         F.posexplode(F.split(F.coalesce(F.col("body"), F.lit("")), "\\r\\n|\\r|\\n")).alias("ln", "line")))
-        lines = lines.withColumn("_l", py_strip(F.col("line")))
-        found = (lines.filter(F.lower(F.col("_l")).startswith("sitemap:"))
-                 .withColumn("_v", py_strip(F.regexp_extract(F.col("_l"), "^[^:]*:(.*)$", 1)))
-                 .filter(F.col("_v") != "")
-                 .transform(lambda d: with_resolved_url(d, "robots_url", "_v", "sitemap_url"))
-                 .select("origin", "ln", "sitemap_url", F.lit("robots_txt").alias("discovered_from")))
-        found = s.join(found, "origin")
+        lines = F.transform(F.split(F.coalesce(F.col("body"), F.lit("")), "\\r\\n|\\r|\\n"),
+                            lambda line, ln: F.struct(ln.cast("int").alias("ln"), py_strip(line).alias("ref")))
+        named = F.filter(lines, lambda x: F.lower(x["ref"]).startswith("sitemap:"))
+        named = F.transform(named, lambda x: F.struct(
+            x["ln"].alias("ln"), py_strip(F.regexp_extract(x["ref"], "^[^:]*:(.*)$", 1)).alias("ref")))
+        found = (robots.filter(F.coalesce(F.col("source_status"), F.lit(999)) < 400)
+                 .select("origin", "robots_url", F.filter(named, lambda x: x["ref"] != "").alias("_named")))
+        s = s.join(found, "origin", "left")
     else:
-        found = None
-    guesses = s.select("site_id", "origin", F.posexplode(F.array(
-        F.concat("origin", F.lit("/sitemap.xml")), F.concat("origin", F.lit("/sitemap_index.xml")))).alias(
-        "ln", "sitemap_url")).withColumn("discovered_from", F.lit("default_guess"))
-    if found is not None:
-        guesses = guesses.join(found.select("site_id").distinct(), "site_id", "left_anti")
-        seeds = found.select("site_id", "ln", "sitemap_url", "discovered_from").unionByName(
-            guesses.select("site_id", "ln", "sitemap_url", "discovered_from"))
-    else:
-        seeds = guesses.select("site_id", "ln", "sitemap_url", "discovered_from")
-    seeds = seeds.withColumn("sitemap_url", py_strip(F.col("sitemap_url"))).filter(F.col("sitemap_url") != "")
-    first = seeds.groupBy("site_id", "sitemap_url").agg(F.min_by("discovered_from", "ln").alias("discovered_from"),
-                                                       F.min("ln").alias("seed_pos"))
-    return first.select("site_id", "seed_pos", "sitemap_url", "discovered_from")
+        s = s.withColumns({"robots_url": F.lit(None).cast("string"), "_named": none})
+    guesses = F.transform(F.array(F.lit("/sitemap.xml"), F.lit("/sitemap_index.xml")),
+                          lambda path, ln: F.struct(ln.cast("int").alias("ln"), F.concat("origin", path).alias("ref")))
+    guessed = F.size(F.coalesce("_named", none)) == 0
+    s = s.select("site_id", F.coalesce("robots_url", F.concat("origin", F.lit("/robots.txt"))).alias("_base"),
+                 F.when(guessed, F.lit("default_guess")).otherwise(F.lit("robots_txt")).alias("discovered_from"),
+                 F.explode(F.when(guessed, guesses).otherwise(F.col("_named"))).alias("_x"))
+    s = s.select("site_id", "_base", "discovered_from", "_x.ln", "_x.ref")
+    s = with_resolved_url(s, "_base", "ref", "sitemap_url").filter(F.col("sitemap_url") != "")
+    return s.groupBy("site_id", "sitemap_url").agg(
+        F.min("ln").alias("seed_pos"), F.min_by("discovered_from", "ln").alias("discovered_from")).select(
+        "site_id", "seed_pos", "sitemap_url", "discovered_from")
 
 
 def parse_sitemaps(docs: DataFrame) -> DataFrame:
@@ -96,47 +94,93 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
                     .otherwise(F.array().cast("array<string>")).alias("locs"))
 
 
-def traverse_sitemaps(seeds: DataFrame, docs: DataFrame) -> DataFrame:
-    """DSC9: FIFO traversal of sitemap indexes, each URL once. Returns every
-    fetched document ``(site_id, level, rank, sitemap_url, discovered_from,
-    fetch_status, doc_type, locs)``; ``(level, rank)`` is the queue order.
-    The loop runs one join per level of index nesting until a level brings
-    nothing new (the anti join ends cycles); each level is checkpointed so
-    the lineage stays short."""
-    # The parsed sitemap table is joined once per level: materialise it once.
-    parsed = cut_lineage(parse_sitemaps(docs))
-    # Queue order is a path key (seed position, then loc positions), so a
-    # level is ordered without a per-site window.
-    frontier = seeds.select("site_id", F.lit(0).alias("level"), F.array(F.col("seed_pos").cast("long")).alias("key"),
-                            "sitemap_url", "discovered_from")
-    frontier = frontier.join(parsed, "sitemap_url", "left").withColumn(
-        "fetch_status", F.coalesce(F.col("fetch_status"), F.lit("request_error"))) \
-        .withColumn("locs", F.coalesce(F.col("locs"), F.array().cast("array<string>")))
-    frontier = cut_lineage(frontier)
-    done = frontier
-    for level in itertools.count(1):
-        kids = (frontier.filter(F.col("fetch_status") == "ok_sitemapindex")
-                .select("site_id", F.col("key").alias("_pkey"), F.col("sitemap_url").alias("_parent"),
-                        F.posexplode("locs").alias("_lpos", "_loc")))
-        kids = with_resolved_url(kids, "_parent", "_loc", "sitemap_url").select(
-            "site_id", "_pkey", F.col("_lpos").cast("long").alias("_lpos"), "sitemap_url",
-            F.col("_parent").alias("discovered_from"))
-        kids = kids.filter(F.col("sitemap_url") != "")
+_NO_LOCS = "array<string>"
+
+
+def _with_documents(level: DataFrame, parsed: DataFrame) -> DataFrame:
+    return level.join(parsed, "sitemap_url", "left").select(
+        "site_id", "level", "key", "sitemap_url", "discovered_from",
+        F.coalesce("fetch_status", F.lit("request_error")).alias("fetch_status"), "doc_type",
+        F.coalesce("locs", F.array().cast(_NO_LOCS)).alias("locs"))
+
+
+def _next_level(front: DataFrame, level: int, seen: list[DataFrame]) -> DataFrame:
+    """The sitemaps that the indexes of ``front`` name first, in queue order."""
+    kids = (front.filter(F.col("fetch_status") == "ok_sitemapindex")
+            .select("site_id", F.col("key").alias("_pkey"), F.col("sitemap_url").alias("_parent"),
+                    F.posexplode("locs").alias("_lpos", "_loc")))
+    kids = with_resolved_url(kids, "_parent", "_loc", "sitemap_url").select(
+        "site_id", "_pkey", F.col("_lpos").cast("long").alias("_lpos"), "sitemap_url",
+        F.col("_parent").alias("discovered_from")).filter(F.col("sitemap_url") != "")
+    for done in seen:
         kids = kids.join(done.select("site_id", "sitemap_url"), ["site_id", "sitemap_url"], "left_anti")
-        first = kids.groupBy("site_id", "sitemap_url").agg(
-            F.min_by(F.struct("_pkey", "_lpos", "discovered_from"), F.struct("_pkey", "_lpos")).alias("_k"))
-        nxt = first.select("site_id", F.lit(level).alias("level"),
-                           F.concat(F.col("_k._pkey"), F.array(F.col("_k._lpos"))).alias("key"),
-                           "sitemap_url", F.col("_k.discovered_from").alias("discovered_from"))
-        nxt = nxt.join(parsed, "sitemap_url", "left").withColumn(
-            "fetch_status", F.coalesce(F.col("fetch_status"), F.lit("request_error"))) \
-            .withColumn("locs", F.coalesce(F.col("locs"), F.array().cast("array<string>")))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+    first = kids.groupBy("site_id", "sitemap_url").agg(
+        F.min_by(F.struct("_pkey", "_lpos", "discovered_from"), F.struct("_pkey", "_lpos")).alias("_k"))
+    return first.select("site_id", F.lit(level).alias("level"),
+                        F.concat(F.col("_k._pkey"), F.array(F.col("_k._lpos"))).alias("key"),
+                        "sitemap_url", F.col("_k.discovered_from").alias("discovered_from"))
+
+
+def traverse_sitemaps(seeds: DataFrame, docs: DataFrame, accept=None) -> DataFrame:
+    """DSC9: FIFO traversal of sitemap indexes, each URL once. Returns the
+    fetched documents ``(site_id, level, key, sitemap_url, discovered_from,
+    fetch_status, doc_type, locs)``; ``(level, key)`` is the queue order: a
+    key holds the seed position and the loc positions down to the document,
+    so a level is ordered without a window per site. The loop runs until a
+    level brings nothing new (the anti joins end cycles); each level is
+    written once.
+
+    ``accept``: called with each written level; it returns the ``site_id`` of
+    the sites that have room for more URLs, and only their indexes are
+    followed. A queue reaches its cap within the levels up to there, so no
+    document before the cap is missed."""
+    parsed = written(parse_sitemaps(docs))
+    level = seeds.select("site_id", F.lit(0).alias("level"), F.array(F.col("seed_pos").cast("long")).alias("key"),
+                         "sitemap_url", "discovered_from")
+    levels: list[DataFrame] = []
+    for depth in itertools.count(1):
+        front = written(_with_documents(level, parsed))
+        if depth > 1 and front.isEmpty():
             break
-        done = done.unionByName(nxt)
-        frontier = nxt
-    return done
+        levels.append(front)
+        if accept is not None:
+            front = front.join(accept(front), "site_id", "left_semi")
+        level = _next_level(front, depth, levels)
+    return functools.reduce(DataFrame.unionByName, levels)
+
+
+class _Acceptance:
+    """DSC10 along a sitemap traversal: the accepted URLs of each level are
+    written once, and each site's count of them decides whether the next
+    level is expanded."""
+
+    def __init__(self, sites: DataFrame, exclude_patterns, exclude_pdf: bool, owned: DataFrame | None):
+        self.sites, self.patterns, self.exclude_pdf, self.owned = sites, exclude_patterns, exclude_pdf, owned
+        room = sites.select("site_id", "max_pages")
+        if owned is not None:
+            n = owned.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n"))
+            room = room.join(n, "site_id", "left").select(
+                "site_id", (F.col("max_pages") - F.coalesce("_n", F.lit(0))).cast("int").alias("max_pages"))
+        self.room = written(room)
+        self.levels: list[DataFrame] = []
+
+    def __call__(self, front: DataFrame) -> DataFrame:
+        locs = (front.filter(F.col("fetch_status") == "ok_urlset")
+                .select("site_id", "level", "key", "sitemap_url", F.posexplode("locs").alias("loc_pos", "_loc")))
+        locs = with_resolved_url(locs, "sitemap_url", "_loc", "original_url")
+        order = F.struct("level", "key", "loc_pos")
+        found = accept_candidates(locs, self.sites, self.patterns, self.exclude_pdf).filter("ok")
+        for known in [*([] if self.owned is None else [self.owned]), *self.levels]:
+            found = found.join(known.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
+        firsts = found.groupBy("site_id", "normalized_url").agg(
+            F.min_by(F.struct("level", "key", "loc_pos", "original_url", "sitemap_url"), order).alias("_f"))
+        self.levels.append(written(firsts.select("site_id", "normalized_url", "_f.*")))
+        n = self.accepted().groupBy("site_id").agg(F.count(F.lit(1)).alias("_n"))
+        return self.room.join(n, "site_id", "left").filter(
+            F.coalesce("_n", F.lit(0)) < F.col("max_pages")).select("site_id")
+
+    def accepted(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, self.levels)
 
 
 def accept_candidates(cands: DataFrame, sites: DataFrame, exclude_patterns, exclude_pdf: bool = True) -> DataFrame:
@@ -154,42 +198,25 @@ def accept_candidates(cands: DataFrame, sites: DataFrame, exclude_patterns, excl
     return c.withColumn("ok", ok).drop("_reason", "_root", "_sub")
 
 
-def sitemap_targets(processed: DataFrame, sites: DataFrame, exclude_patterns, exclude_pdf: bool = True,
+def sitemap_targets(seeds: DataFrame, docs: DataFrame, sites: DataFrame, exclude_patterns, exclude_pdf: bool = True,
                     owned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """DSC9 + DSC10: URLs of the fetched urlsets in queue order; first wins;
     cap ``max_pages`` per site (minus URLs owned by an earlier source);
     returns ``(targets, sitemap_sources)`` where sources are the documents
     fetched before the cap stopped the queue."""
-    docs = processed.select("site_id", "level", "key", "sitemap_url", "discovered_from", "fetch_status",
-                            F.size("locs").alias("url_count"), "locs")
-    locs = (docs.filter(F.col("fetch_status") == "ok_urlset")
-            .select("site_id", "level", "key", "sitemap_url", F.posexplode("locs").alias("loc_pos", "_loc")))
-    locs = with_resolved_url(locs.withColumn("_loc", py_strip(F.col("_loc"))), "sitemap_url", "_loc", "original_url")
-    acc = accept_candidates(locs, sites, exclude_patterns, exclude_pdf)
-    key = F.struct("level", "key", "loc_pos")
-    firsts = acc.groupBy("site_id", "normalized_url").agg(
-        F.min_by(F.struct("level", "key", "loc_pos", "original_url", "sitemap_url"),
-                 F.when(F.col("ok"), key)).alias("_f"))
-    firsts = firsts.filter(F.col("_f").isNotNull())
-    if owned is not None:
-        firsts = firsts.join(owned.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
-        n_owned = owned.groupBy("site_id").agg(F.count(F.lit(1)).alias("_owned"))
-    else:
-        n_owned = None
-    cap = sites.select("site_id", "max_pages")
-    if n_owned is not None:
-        cap = cap.join(n_owned, "site_id", "left").withColumn(
-            "max_pages", F.col("max_pages") - F.coalesce(F.col("_owned"), F.lit(0))).drop("_owned")
-    w = Window.partitionBy("site_id").orderBy("_f.level", "_f.key", "_f.loc_pos")
-    t = firsts.join(cap, "site_id").withColumn("_n", F.row_number().over(w))
+    acceptance = _Acceptance(sites, exclude_patterns, exclude_pdf, owned)
+    docs = traverse_sitemaps(seeds, docs, acceptance).select(
+        "site_id", "level", "key", "sitemap_url", "discovered_from", "fetch_status", F.size("locs").alias("url_count"))
+    cap = acceptance.room
+    w = Window.partitionBy("site_id").orderBy("level", "key", "loc_pos")
+    t = acceptance.accepted().withColumn("_n", F.row_number().over(w))
     # The literal bound lets Spark cut each site to L rows per map task
     # before the shuffle (WindowGroupLimit); the column test is exact.
-    lim = _literal_cap(sites)
-    targets = t.filter((F.col("_n") <= lim) & (F.col("_n") <= F.col("max_pages"))).select(
-        "site_id", F.col("_f.original_url").alias("original_url"), "normalized_url",
-        F.lit("sitemap").alias("source_type"), F.col("_f.sitemap_url").alias("discovered_from"),
-        F.lit(0).alias("depth"), F.col("_f.level").alias("_level"), F.col("_f.key").alias("_key"),
-        F.col("_f.loc_pos").alias("_loc_pos"))
+    t = t.filter(F.col("_n") <= _literal_cap(sites)).join(cap, "site_id").filter(F.col("_n") <= F.col("max_pages"))
+    targets = written(t.select(
+        "site_id", "original_url", "normalized_url", F.lit("sitemap").alias("source_type"),
+        F.col("sitemap_url").alias("discovered_from"), F.lit(0).alias("depth"), F.col("level").alias("_level"),
+        F.col("key").alias("_key"), F.col("loc_pos").alias("_loc_pos")))
     # A document is fetched while fewer than the cap are accepted before it:
     # one ordered pass per site over document and target events (a site has
     # at most max_pages targets, so the window is bounded).
@@ -222,22 +249,22 @@ def feed_candidates(sites: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract(F.col("_n"), "^https?://[^/?#]+([^?#]*)", 1), "^/+", "")
     segs = F.filter(F.split(path, "/"), lambda x: x != "")
     s = s.select("site_id", origin.alias("origin"), segs.alias("_segs"))
-    pref = s.select("site_id", "origin", F.posexplode(F.sequence(F.lit(0), F.least(F.size("_segs"), F.lit(3))))
-                    .alias("_i", "_k"), "_segs")
-    pref = pref.withColumn("_prefix", F.when(F.col("_k") == 0, F.lit(""))
-                           .otherwise(F.concat(F.lit("/"), F.array_join(F.slice("_segs", 1, F.col("_k")), "/"))))
-    base = F.regexp_replace(F.concat("origin", "_prefix"), "/+$", "")
-    label = F.when(F.col("_prefix") == "", F.lit("/")).otherwise(F.col("_prefix"))
-    eps = pref.select("site_id", "_i", F.posexplode(F.array(
-        F.struct(F.concat(base, F.lit("/wp-json/wp/v2/posts")).alias("api_url"),
-                 F.concat(F.lit("base:"), label).alias("discovered_from")),
-        F.struct(F.concat(base, F.lit("/index.php?rest_route=/wp/v2/posts")).alias("api_url"),
-                 F.concat(F.lit("base:"), label, F.lit(":rest_route")).alias("discovered_from")))).alias("_j", "_e"))
-    eps = eps.select("site_id", (F.col("_i") * 2 + F.col("_j")).alias("_p"), "_e.api_url", "_e.discovered_from")
-    first = eps.groupBy("site_id", "api_url").agg(F.min_by("discovered_from", "_p").alias("discovered_from"),
-                                                  F.min("_p").alias("_p"))
-    w = Window.partitionBy("site_id").orderBy("_p")
-    return first.select("site_id", F.row_number().over(w).alias("candidate_pos"), "api_url", "discovered_from")
+    s = written(s)
+
+    def endpoints(k: F.Column) -> F.Column:
+        prefix = F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice("_segs", 1, k), "/")))
+        base = F.regexp_replace(F.concat("origin", prefix), "/+$", "")
+        label = F.concat(F.lit("base:"), F.when(prefix == "", F.lit("/")).otherwise(prefix))
+        return F.array(F.struct(F.concat(base, F.lit("/wp-json/wp/v2/posts")).alias("api_url"), label.alias("discovered_from")),
+                       F.struct(F.concat(base, F.lit("/index.php?rest_route=/wp/v2/posts")).alias("api_url"),
+                                F.concat(label, F.lit(":rest_route")).alias("discovered_from")))
+
+    # At most eight endpoints a site: the first of each URL, within the row.
+    all_ = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.size("_segs"), F.lit(3))), endpoints))
+    s = s.select("site_id", all_.alias("_all"))
+    first = F.filter("_all", lambda e, i: F.array_position(F.transform("_all", lambda x: x["api_url"]), e["api_url"]) == i + 1)
+    return s.select("site_id", F.posexplode(first).alias("_p", "_e")).select(
+        "site_id", (F.col("_p") + 1).alias("candidate_pos"), "_e.api_url", "_e.discovered_from")
 
 
 def feed_page_status(pages: DataFrame) -> DataFrame:
@@ -253,17 +280,17 @@ def feed_page_status(pages: DataFrame) -> DataFrame:
     obj_code = F.when(is_obj & (code != ""), code)
     st = F.col("status_code")
     has_wp_hdr = F.exists(F.coalesce(F.col("headers"), F.array()), lambda h: F.lower(h["key"]).startswith("x-wp-"))
-    # Items of array bodies, in order (mixed item types stay VARIANT).
-    items = (p.filter(is_arr).select("api_url", "page", F.posexplode(
-        F.try_variant_get(F.col("_v"), "$", "array<variant>")).alias("pos", "value")))
-    items = items.withColumn("_is_obj", F.schema_of_variant("value").startswith("OBJECT")) \
-        .withColumn("_link", py_strip(F.coalesce(F.try_variant_get("value", "$.link", "string"), F.lit(""))))
-    agg = items.groupBy("api_url", "page").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.min_by(F.schema_of_variant("value"), F.when(F.col("_is_obj"), F.col("pos"))).alias("_first_obj"),
-        F.array_sort(F.collect_list(F.when(F.col("_is_obj") & (F.col("_link") != ""),
-                                           F.struct("pos", "_link")))).getField("_link").alias("links"))
-    p = p.join(agg, ["api_url", "page"], "left")
+    # Items of array bodies, in order (mixed item types stay VARIANT); a page
+    # has at most ``per_page`` of them.
+    p = p.withColumn("_items", F.when(is_arr, F.transform(
+        F.try_variant_get(F.col("_v"), "$", "array<variant>"), lambda v: F.struct(
+            F.schema_of_variant(v).alias("schema"),
+            py_strip(F.coalesce(F.try_variant_get(v, "$.link", "string"), F.lit(""))).alias("link")))))
+    objects = F.filter("_items", lambda x: x["schema"].startswith("OBJECT"))
+    p = p.withColumns({
+        "n_items": F.coalesce(F.size("_items"), F.lit(0)), "_first_obj": F.try_element_at(objects, F.lit(1))["schema"],
+        "links": F.transform(F.filter(objects, lambda x: x["link"] != ""), lambda x: x["link"])})
+    p = p.withColumn("n_items", F.greatest("n_items", F.lit(0)))
     looks_wp = has_wp_hdr | F.coalesce(F.col("_first_obj").rlike("[<,]\\s*(link|id|slug):"), F.lit(False))
     status = (F.when(st.isNull(), F.lit("request_error"))
               .when((st <= 400) & (F.col("page") > 1) & (obj_code == "rest_post_invalid_page_number"),
@@ -369,6 +396,7 @@ def collect_domain(sites: DataFrame, settings, *, feed_pages: DataFrame | None =
     s = settings
     cols = ["site_id", "original_url", "normalized_url", "source_type", "discovered_from", "depth", "_pos"]
     spark = sites.sparkSession
+    sites = written(sites)
     empty_targets = spark.createDataFrame([], "site_id string, original_url string, normalized_url string, "
                                               "source_type string, discovered_from string, depth int, _pos array<long>")
     targets = empty_targets
@@ -377,26 +405,24 @@ def collect_domain(sites: DataFrame, settings, *, feed_pages: DataFrame | None =
         # Stage outputs are small per-site tables; each is checkpointed so
         # the next stage starts from a short lineage (and survives executor
         # loss without recomputing the earlier stages).
-        res = cut_lineage(feed_results(feed_candidates(sites), feed_pages, int(s.max_pages), sites))
+        res = written(feed_results(feed_candidates(sites), feed_pages, int(s.max_pages), sites))
         wp_sources = res.filter("fetched").select("site_id", "api_url", "discovered_from", "fetch_status",
                                                   "url_count", "page_count")
-        targets = cut_lineage(feed_targets(res, sites, s.exclude_url_patterns, s.exclude_pdf).select(*cols))
+        targets = written(feed_targets(res, sites, s.exclude_url_patterns, s.exclude_pdf).select(*cols))
     sm_sources = None
     if sitemap_docs is not None:
-        seeds = sitemap_seeds(sites, robots)
-        processed = traverse_sitemaps(seeds, sitemap_docs)
-        sm_t, sm_sources = sitemap_targets(processed, sites, s.exclude_url_patterns, s.exclude_pdf,
-                                           owned=targets.select("site_id", "normalized_url"))
-        sm_sources = cut_lineage(sm_sources)
-        targets = cut_lineage(targets.unionByName(sm_t.select(*cols)))
+        sm_t, sm_sources = sitemap_targets(sitemap_seeds(sites, robots), sitemap_docs, sites, s.exclude_url_patterns,
+                                           s.exclude_pdf, owned=targets.select("site_id", "normalized_url"))
+        sm_sources = written(sm_sources)
+        targets = written(targets.unionByName(sm_t.select(*cols)))
     # DSC11: root fallback when below the cap and the start URL is no target.
-    start = with_normalized_url(sites.select("site_id", "start_url", "max_pages"), "start_url", s.exclude_pdf,
-                                "normalized_url", "_r")
+    start = written(with_normalized_url(sites.select("site_id", "start_url", "max_pages"), "start_url", s.exclude_pdf,
+                                        "normalized_url", "_r"))
     n = targets.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n"))
     fb = (start.join(n, "site_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
           .join(targets.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
           .filter((F.col("_n") < F.col("max_pages")) & (F.col("normalized_url") != "")))
-    targets = cut_lineage(targets.unionByName(fb.select(
+    targets = written(targets.unionByName(fb.select(
         "site_id", F.col("start_url").alias("original_url"), "normalized_url",
         F.lit("fallback_root").alias("source_type"), F.col("start_url").alias("discovered_from"),
         F.lit(0).alias("depth"), F.array(F.lit(3).cast("long")).alias("_pos"))))
@@ -417,7 +443,7 @@ def collect_domain(sites: DataFrame, settings, *, feed_pages: DataFrame | None =
         if allowed is not None:
             blocked = allowed.filter(~F.col("allowed")).select("normalized_url")
             gone = seeds.join(blocked, "normalized_url", "left_semi").select("site_id", "normalized_url")
-            targets = cut_lineage(targets.join(gone, ["site_id", "normalized_url"], "left_anti"))
+            targets = written(targets.join(gone, ["site_id", "normalized_url"], "left_anti"))
             discovered = targets.select("site_id", "normalized_url", "source_type", "discovered_from", "depth")
         targets = targets.drop("_pos")
         bt = bt.join(targets.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")

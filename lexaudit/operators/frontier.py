@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaudit.session import cut_lineage
+from lexaudit.session import written
 
 from lexaudit.functions.urls import first_matching_pattern, in_scope, url_host, with_normalized_url, with_resolved_url
 from lexaudit.operators import html as H
@@ -51,10 +53,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, max_pages: in
     depth, ``max_pages`` / ``max_depth`` being the values of other sites.
     ``exclude_patterns``: links that hold one are not followed (URL6).
 
-    A level is one join of the frontier with the edges, an anti join with
-    everything discovered so far and a per-site first-occurrence pick by
-    ``(parent rank, link position)`` -- the FIFO order of a queue walk.
-    Pages at the depth limit are not expanded. Each level is checkpointed.
+    A level is one join of the frontier with the edges, anti joins with the
+    levels before it and a per-site first-occurrence pick by ``(parent rank,
+    link position)`` -- the FIFO order of a queue walk. Pages at the depth
+    limit are not expanded. The edges are written once in buckets of their
+    source, so no level moves them; links found are dealt once by site and
+    URL, which serves all anti joins and the pick. Each level is written.
 
     Without a cap returns ``(discovered, discovered)``; with one the
     cap rule of the queue walk is applied: blocked seeds count -1, allowed
@@ -68,7 +72,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, max_pages: in
     # The edge table is read once per level: materialise it once.
     e = edges.select(F.col("src_url").alias("_src"), "link_pos", "dst_url")
     e = e.filter(first_matching_pattern(F.col("dst_url"), exclude_patterns).isNull())
-    e = cut_lineage(e.withColumn("_host", url_host(F.col("dst_url"))))
+    e = written(e.withColumn("_host", url_host(F.col("dst_url"))), by="_src")
     site_ids = seeds.select("site_id").distinct()
     if sites is not None:
         site_ids = site_ids.join(sites.select("site_id", url_host(F.col("start_url")).alias("_root"),
@@ -79,8 +83,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, max_pages: in
         site_ids = site_ids.withColumns({"_root": F.lit(None).cast("string"), "_sub": F.lit(None).cast("boolean"),
                                          "_cap": F.lit(None).cast("int"), "_deep": F.lit(None).cast("int")})
     site_ids = site_ids.withColumn("_cap", F.coalesce("_cap", F.lit(max_pages).cast("int")))
-    site_ids = cut_lineage(site_ids.withColumn("_deep", F.coalesce("_deep", F.lit(max_depth).cast("int"))))
-    capped = max_pages is not None or sites is not None
+    site_ids = written(site_ids.withColumn("_deep", F.coalesce("_deep", F.lit(max_depth).cast("int"))))
+    capped = not site_ids.filter(F.col("_cap").isNotNull()).isEmpty()
     # What a site may still add: its cap less its seeds, one back per blocked seed.
     room = None
     # Queue order is a path key: the parent's key plus the link position
@@ -93,11 +97,11 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, max_pages: in
         front = front.join(allow, "normalized_url", "left")
     else:
         front = front.withColumn("_allowed", F.lit(True))
-    front = cut_lineage(front.withColumn("_allowed", F.coalesce(F.col("_allowed"), F.lit(True))))
-    done = front
+    front = written(front.withColumn("_allowed", F.coalesce(F.col("_allowed"), F.lit(True))))
+    levels = [front]
     walked = site_ids
     if capped:
-        room = cut_lineage(front.groupBy("site_id").agg(
+        room = written(front.groupBy("site_id").agg(
             F.count_if(F.col("_allowed")).alias("_n"), F.count(F.lit(1)).alias("_n_seeds"))
             .join(site_ids, "site_id"))
     depth = 0
@@ -115,7 +119,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, max_pages: in
             in_scope(F.col("_host"), F.col("_root"), F.col("_sub")), F.lit(False)))
         kids = kids.filter(inside).select("site_id", "_pkey", F.col("link_pos").cast("long").alias("link_pos"),
                                           F.col("dst_url").alias("normalized_url"), F.col("_src").alias("discovered_from"))
-        kids = kids.join(done.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
+        for done in levels:
+            kids = kids.join(done.select("site_id", "normalized_url"), ["site_id", "normalized_url"], "left_anti")
         first = kids.groupBy("site_id", "normalized_url").agg(
             F.min_by(F.struct("_pkey", "link_pos", "discovered_from"), F.struct("_pkey", "link_pos")).alias("_k"))
         nxt = first.select("site_id", F.lit(depth).alias("depth"),
@@ -125,16 +130,16 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, max_pages: in
             nxt = nxt.join(allow, "normalized_url", "left")
         else:
             nxt = nxt.withColumn("_allowed", F.lit(True))
-        nxt = cut_lineage(nxt.withColumn("_allowed", F.coalesce(F.col("_allowed"), F.lit(True))))
+        nxt = written(nxt.withColumn("_allowed", F.coalesce(F.col("_allowed"), F.lit(True))))
         if nxt.isEmpty():
             break
-        done = done.unionByName(nxt)
+        levels.append(nxt)
         front = nxt
         if capped:
             more = nxt.groupBy("site_id").agg(F.count_if(F.col("_allowed")).alias("_more"))
-            room = cut_lineage(room.join(more, "site_id", "left").withColumn(
+            room = written(room.join(more, "site_id", "left").withColumn(
                 "_n", F.col("_n") + F.coalesce("_more", F.lit(0))).drop("_more"))
-    out = done.select("site_id", "normalized_url", "depth", "key", "discovered_from", "_allowed")
+    out = functools.reduce(DataFrame.unionByName, levels).select("site_id", "normalized_url", "depth", "key", "discovered_from", "_allowed")
     if not capped:
         return out, out
     # Cap rule over events in queue order (depth, key): a blocked seed

@@ -333,8 +333,7 @@ def _sitemap_run(spark: SparkSession, sf: str):
     pages = _pages(spark, sf, ("page_id", "url"))
     sites = D.sites_from_pages(pages, SITE_MAX_PAGES)
     seeds = DS.sitemap_seeds(sites, D.robots_bodies(pages))
-    processed = DS.traverse_sitemaps(seeds, D.sitemap_documents(pages))
-    return sites, DS.sitemap_targets(processed, sites, Settings().exclude_url_patterns)
+    return sites, DS.sitemap_targets(seeds, D.sitemap_documents(pages), sites, Settings().exclude_url_patterns)
 
 
 def q_sitemap_traverse(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,7 +377,7 @@ def q_bfs_frontier(spark: SparkSession, sf: str) -> DataFrame:
     edges, seeds, sites = _bfs_inputs(spark, sf)
     s = Settings()
     everything = sites.withColumn("max_pages", F.lit(None).cast("int")).withColumn("max_depth", F.lit(s.max_depth))
-    _, found = bfs(edges, seeds, s.max_depth, max_pages=2**31 - 1, sites=everything, exclude_patterns=s.exclude_url_patterns)
+    _, found = bfs(edges, seeds, s.max_depth, sites=everything, exclude_patterns=s.exclude_url_patterns)
     return found.select("site_id", "normalized_url", "depth")
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +67,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared checkpoint folder)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_KEY_TRACING = ("spark.sql.constraintPropagation.enabled", "spark.sql.optimizer.dynamicPartitionPruning.enabled")
+
+
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder and read
+    back. The lineage is cut as by a checkpoint, the last stage runs once, and
+    later joins know the size of the table, so that Spark broadcasts it only
+    where it is small. ``by``: a column whose hash buckets the table is kept
+    in, so that joins and aggregates by it need no exchange. The table goes
+    when the application ends.
+
+    While the table is written, Spark does not follow join keys and filters
+    down through projections (``_KEY_TRACING``): over the staged projections
+    of the URL rules that substitutes expressions into each other, their size
+    grows exponentially, and planning takes longer than the work."""
+    spark = df.sparkSession
+    name = f"table_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    before = {key: spark.conf.get(key) for key in _KEY_TRACING}
+    for key in _KEY_TRACING:
+        spark.conf.set(key, "false")
+    try:
+        if by is None:
+            df.write.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+        else:
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+            out = spark.table(name)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return out
