@@ -25,6 +25,7 @@ from lexaudit.session import cut_lineage
 
 POINTS = 65_536
 CELLS = 256
+BLOCK = 10_000
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int, seed: int = 7) -> DataFrame:
@@ -47,24 +48,31 @@ def flow(arcs: list[tuple[int, int, int]], capacity: list[int]) -> list[tuple[in
     """Intervals (arc, lo, hi, shard, slot_base): the rows of ``arc`` ranked
     lo..hi-1 go to ``shard`` and fill its slots from ``slot_base`` on.
 
-    ``arcs`` is (arc, home, rows) in ring order. Step 0 offers every arc to
-    its home; what a full shard turns away is offered to the next arc's shard
-    in step 1, and so on around the ring. Homes come before guests."""
+    ``arcs`` is (arc, home, rows) of the whole ring in order, arcs without
+    rows included. Step 0 offers every arc to its home; what a full shard
+    turns away is offered to the next arc's shard in step 1, and so on once
+    around the ring. Homes come before guests. Capacities add up to the rows."""
     left, used = list(capacity), [0] * len(capacity)
     waiting = [(i, 0, n) for i, (_, _, n) in enumerate(arcs) if n]
-    out, step = [], 0
-    while waiting:
-        turned = []
-        for i, lo, hi in waiting:
-            shard = arcs[(i + step) % len(arcs)][1]
-            take = min(left[shard], hi - lo)
-            if take:
-                out.append((arcs[i][0], lo, lo + take, shard, used[shard]))
-                left[shard] -= take
-                used[shard] += take
-            if take < hi - lo:
-                turned.append((i, lo + take, hi))
-        waiting, step = turned, step + 1
+    out = []
+
+    def place(i: int, lo: int, hi: int, shard: int) -> int:
+        take = min(left[shard], hi - lo)
+        if take:
+            out.append((arcs[i][0], lo, lo + take, shard, used[shard]))
+            left[shard] -= take
+            used[shard] += take
+        return lo + take
+
+    for step in range(len(arcs)):
+        turned = [(i, place(i, lo, hi, arcs[(i + step) % len(arcs)][1]), hi) for i, lo, hi in waiting]
+        waiting = [x for x in turned if x[1] < x[2]]
+        if not waiting:
+            break
+    # A shard all of whose points went to others is on no arc.
+    for i, lo, hi in waiting:
+        for shard in range(len(capacity)):
+            lo = place(i, lo, hi, shard)
     return out
 
 
@@ -85,13 +93,17 @@ def assign_shards(docs: DataFrame, shards: int, vnodes: int = 128, id_col: str =
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(POINTS)).alias("point"))
-    rows = cut_lineage(narrow.join(F.broadcast(ring(spark, shards, vnodes)), "point")
+    # Equal rows are one row with its number until they have their slots, so
+    # repeated rows weigh nothing in windows and exchanges.
+    points = ring(spark, shards, vnodes)
+    rows = cut_lineage(narrow.join(F.broadcast(points), "point")
                        .withColumn("cell", F.pmod(F.xxhash64("text_crc32", "doc_id", "size"), F.lit(CELLS)))
-                       .drop("point"))
-    cells = rows.groupBy("arc", "home", "cell").agg(F.count(F.lit(1)).alias("n"))
+                       .groupBy("arc", "home", "cell", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("times")))
+    cells = rows.groupBy("arc", "home", "cell").agg(F.sum("times").alias("n"))
     # At most shards x vnodes rows.
-    arcs = [(r.arc, r.home, r.n) for r in
-            cells.groupBy("arc", "home").agg(F.sum("n").alias("n")).orderBy("arc").collect()]
+    held = cells.groupBy("arc", "home").agg(F.sum("n").alias("n"))
+    whole = points.select("arc", "home").distinct().join(held, ["arc", "home"], "left")
+    arcs = [(r.arc, r.home, r.n or 0) for r in whole.orderBy("arc").collect()]
     total = sum(n for _, _, n in arcs)
     plan = flow(arcs, [total // shards + (s < total % shards) for s in range(shards)])
     by_arc: dict[int, list] = {}
@@ -107,9 +119,15 @@ def assign_shards(docs: DataFrame, shards: int, vnodes: int = 128, id_col: str =
     starts = cells.select("arc", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     # One row per arc: shards x vnodes rows at most.
     starts = starts.join(F.broadcast(intervals), "arc")
-    in_cell = Window.partitionBy("arc", "cell").orderBy("doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(in_cell) - 1).join(starts, ["arc", "cell"])
-    ranked = ranked.withColumn("rank", F.col("start") + F.col("rank"))
+    in_cell = Window.partitionBy("arc", "cell").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("first", F.coalesce(F.sum("times").over(in_cell), F.lit(0))).join(starts, ["arc", "cell"])
+    ranked = ranked.withColumn("first", F.col("start") + F.col("first"))
+    # A row that is repeated very often leaves its task in blocks.
+    often = ranked.filter(F.col("times") > BLOCK).withColumn("skip", F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(BLOCK))))
+    often = often.withColumn("first", F.col("first") + F.col("skip")).withColumn(
+        "times", F.least(F.col("times") - F.col("skip"), F.lit(BLOCK))).drop("skip").repartition("first")
+    ranked = ranked.filter(F.col("times") <= BLOCK).unionByName(often)
+    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("times") - 1)))
     placed = ranked.withColumn("to", F.filter("intervals", lambda x: F.col("rank") < x["hi"])[0])
     return placed.select("doc_id", "size", "text_crc32", F.col("to.shard").alias("shard"),
                          (F.col("to.base") + F.col("rank") - F.col("to.lo")).cast("long").alias("slot"),

@@ -36,6 +36,25 @@ def test_shard_edge_cases(edge, empty):
     assert {r.size for r in rows if r.doc_id in (1, 2)} == {1}
 
 
+def test_few_rows_and_repeated_rows_end_and_hold_the_law(spark, monkeypatch):
+    monkeypatch.setattr("lexaudit.llm.sharding.BLOCK", 64)
+    same = [(None, "a")] * 300 + [(None, f"t{k}") for k in range(200)] + [(5, "b")] * 400
+    for rows in ([(1, "a")], [(1, "a"), (None, None)], [(k, "x") for k in range(4)] + [(2, "x")], [(None, None)] * 500,
+                 [(7, "same")] * 1000, [(7, f"t{k % 300}") for k in range(700)], same):
+        for shards in (1, 3, 16):
+            out = assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards, vnodes=16).collect()
+            check_shards(out, shards)
+            assert sorted((str(r.doc_id), r.text_crc32) for r in out) == sorted(
+                (str(i), zlib.crc32((t or "").encode())) for i, t in rows)
+
+
+def test_flow_around_arcs_without_rows():
+    plan = flow([(k, k % 16, 3 if k == 0 else 0) for k in range(64)], [1, 1, 1] + [0] * 13)
+    assert sorted(s for *_, s, _ in plan) == [0, 1, 2]
+    # No arc leads to shard 2.
+    assert {s for *_, s, _ in flow([(1, 0, 6), (2, 1, 0)], [2, 2, 2])} == {0, 1, 2}
+
+
 def test_growing_moves_few_rows(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     a = {r.doc_id: r.shard for r in assign_shards(ids, 16).collect()}
