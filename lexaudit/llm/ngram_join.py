@@ -18,9 +18,12 @@ that very many have is only used where nothing rarer is left.
 Equal sets are one class from the start. Candidate pairs are verified exactly
 on the whole shingle sets, in two rounds, each followed by the connected
 components: two hubs per class, among the classes with the most company under
-its keys; then all pairs of classes in different components that share a key. So no link
-between components is left out and no group is expanded into pairs that are
-known to be connected.
+its keys; then all pairs of classes in different components that share a key
+and whose whole sketches, of one bit for each of ``BITS`` hash classes of
+shingles, differ in (a + b) / 9 bits at most: that many differ at most where the
+sets are linked. So no link between components is left out, no group is expanded
+into pairs that are known to be connected, and texts that merely share parts
+with a group meet its members in the join condition only.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from lexaudit.session import cut_lineage
 SHINGLE = 5
 CHUNK_BYTES = 4 << 20      # of text that a task holds as words
 PART_BYTES = 48 << 20      # of text per range of keys
+BITS = 512                 # of a whole set's sketch
+_SKETCH = [f"s{k}" for k in range(BITS // 64)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _EMPTY = np.uint64(1 << 47)  # marks the key of an empty part
@@ -98,6 +103,17 @@ def set_classes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (a >> np.uint64(1)).astype(np.int64)
 
 
+def whole_sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One row of ``BITS`` parity bits per set: which hash classes hold an odd
+    number of its shingles. The rows of two sets differ in no more bits than
+    the sets in shingles."""
+    out = np.zeros((len(starts) - 1, BITS // 64), np.uint64)
+    bit = mixed(values ^ _MUL) % np.uint64(BITS)
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    np.bitwise_xor.at(out, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def reach(band: np.ndarray) -> np.ndarray:
     """Largest symmetric difference of two linked sets whose smaller one is in
     the band."""
@@ -281,10 +297,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for ids, texts in chunked(batches, CHUNK_BYTES):
             values, starts = shingle_sets(texts)
             raw = [values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(set_classes(values, starts)), pa.array(raw, pa.binary())], ["cls", "items"])
+            bits = whole_sketches(values, starts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(set_classes(values, starts)), pa.array(raw, pa.binary()), *(pa.array(b) for b in bits.T.copy())],
+                ["cls", "items", *_SKETCH])
 
+    kind = ", ".join(["cls long", "items binary", *(f"{c} long" for c in _SKETCH)])
     sets = cut_lineage(usable.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
-        items, "cls long, items binary").dropDuplicates(["cls"]))
+        items, kind).dropDuplicates(["cls"]))
 
     # The class with the most company under its keys is the hub of a key: the
     # text that near copies were made from shares more parts with each of them
@@ -306,8 +326,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = keyed.withColumnRenamed("cls", "a").join(named, "a", "left").withColumn("c_a", F.coalesce("c_a", "a"))
     open_keys = members.groupBy("key").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi")).filter("lo <> hi")
     left = members.join(open_keys.select("key"), "key", "left_semi")
-    right = left.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c_a").alias("c_b"))
-    more = left.join(right, "key").filter("a > b and c_a <> c_b and 5 * least(n, m) >= 4 * greatest(n, m)")
+    left = left.join(sets.select(F.col("cls").alias("a"), *_SKETCH), "a")
+    right = left.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c_a").alias("c_b"),
+                        *(F.col(c).alias(f"o{c}") for c in _SKETCH))
+    differ = " + ".join(f"bit_count({c} ^ o{c})" for c in _SKETCH)
+    more = left.join(right, "key").filter(
+        f"a > b and c_a <> c_b and 5 * least(n, m) >= 4 * greatest(n, m) and 9 * ({differ}) <= n + m")
     more = cut_lineage(more.select("a", "b").distinct())
     if not more.isEmpty():
         new = cut_lineage(linked(more, sets))
