@@ -99,6 +99,19 @@ def q_url_registered_domain(spark: SparkSession, sf: str) -> DataFrame:
                     U.registered_domain(host).alias("registered_domain"))
 
 
+# Suffix rules of url_suffix_domain.
+SUFFIX_RULES = ("com", "net", "org", "*.example.net", "!blog.tionsh.example.net", "example.org")
+
+
+def q_url_suffix_domain(spark: SparkSession, sf: str) -> DataFrame:
+    """URL12 with a suffix table: registered domain per page URL by listed,
+    wildcard and exception rules, the fallback rule where none matches."""
+    from lexaudit.operators.suffixes import suffix_rules, with_registered_domain
+    p = read_table(spark, sf, "pages").select("page_id", U.url_host(F.col("url")).alias("host"))
+    rules = suffix_rules(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "value string"))
+    return with_registered_domain(p, "host", "registered_domain", rules)
+
+
 def q_url_scope(spark: SparkSession, sf: str) -> DataFrame:
     """URL13: per registered domain, how many page URLs are in scope of the
     domain's first page host, with and without subdomains."""
@@ -480,6 +493,7 @@ QUERIES: dict[str, QueryFn] = {
     "url_classify": q_url_classify,
     "url_cap": q_url_cap,
     "url_registered_domain": q_url_registered_domain,
+    "url_suffix_domain": q_url_suffix_domain,
     "url_scope": q_url_scope,
     "container_text": q_container_text,
     "block_text": q_block_text,
