@@ -134,7 +134,7 @@ def run_analysis(*, settings: Settings, urls: DataFrame | None = None, attempts:
         # short lineage for the next stage, and a restart point if
         # executors are lost.
         classified = cut_lineage(classify_urls(urls, exclude_patterns=s.exclude_url_patterns,
-                                               max_urls=s.effective_max_list_urls(), exclude_pdf=s.exclude_pdf))
+                                               max_urls=s.list_cap, exclude_pdf=s.exclude_pdf))
         t = target_rows(classified).select(F.col("normalized_url").alias("target_url"))
         if attempts is not None:
             got = FL.fetch_outcomes(attempts, s.retry_count)

@@ -188,7 +188,7 @@ def q_page_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return K.rank_frequency(K.raw_frequency(K.count_occurrences(occ), s))
 
 
-def q_site_keywords(spark: SparkSession, sf: str) -> DataFrame:
+def q_keywords_per_site(spark: SparkSession, sf: str) -> DataFrame:
     """AGG2 + AGG6 keyed by site (registered domain of the page URL)."""
     pages = _pages(spark, sf)
     toks = H.html_tokens(pages.select("page_id", "html"), "page_id", "html")
@@ -501,7 +501,7 @@ QUERIES: dict[str, QueryFn] = {
     "noindex": q_noindex,
     "url_audit": q_url_audit,
     "page_keywords": q_page_keywords,
-    "site_keywords": q_site_keywords,
+    "keywords_per_site": q_keywords_per_site,
     "link_edges": q_link_edges,
     "url_resolve": q_url_resolve,
     "robots_rules": q_robots_rules,

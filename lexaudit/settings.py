@@ -60,6 +60,10 @@ class Settings:
             if isinstance(value, list):
                 value = tuple(value)
             kwargs[key] = value
+        if "max_list_urls" in kwargs:
+            # What is not a whole number is no cap.
+            text = str(kwargs["max_list_urls"]).strip()
+            kwargs["max_list_urls"] = int(text) if text.lstrip("+-").isdecimal() else None
         if "same_domain_only" in values:
             kwargs["include_subdomains"] = not bool(values["same_domain_only"])
         return cls(**kwargs)
@@ -67,15 +71,10 @@ class Settings:
     def with_(self, **changes: Any) -> "Settings":
         return replace(self, **changes)
 
-    def effective_max_list_urls(self) -> int | None:
-        """Non-positive or unparsable caps mean "no cap"."""
-        try:
-            value = int(self.max_list_urls) if self.max_list_urls is not None else None
-        except (TypeError, ValueError):
-            return None
-        if value is None or value <= 0:
-            return None
-        return value
+    @property
+    def list_cap(self) -> int | None:
+        """The cap of a URL list; none where it is not positive."""
+        return self.max_list_urls if (self.max_list_urls or 0) > 0 else None
 
     def validate(self) -> list[str]:
         errors: list[str] = []
