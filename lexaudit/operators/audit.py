@@ -1,14 +1,15 @@
 """Page audit and text extraction (EXT1, EXT2, EXT4, EXT7, EXT9-EXT15).
 
 Input: ``fetched_pages`` rows plus a ``page_key``. Output: ``text_audit``.
-HTML is tokenised only for pages that can reach extraction (not blocked,
-no fetch error, HTML-like); the fallback extractor only runs for pages
-whose primary text is shorter than ``min_text_length`` (filter, then join
-back), so both branches are never computed for every page.
+HTML is read only for pages that can reach extraction (not blocked, no fetch
+error, HTML-like), once; the fallback text is only made for pages whose
+primary text is shorter than ``min_text_length``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +79,17 @@ def prepend_title(title: Column, body: Column) -> tuple[Column, Column]:
     return text, added
 
 
-def analyze_pages(pages: DataFrame, settings: Settings, key_col: str = "page_key") -> DataFrame:
-    """EXT14: ``fetched_pages`` (+ key) -> ``text_audit`` (+ key)."""
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that later expressions read but do not repeat
+    (Spark keeps a projection above a generator apart from one below)."""
+    return df.select("*", F.explode(F.array(value)).alias(name + "_")).withColumn(name, F.col(name + "_")).drop(name + "_")
+
+
+def analyze_pages(pages: DataFrame, settings: Settings, key_col: str = "page_key",
+                  parse: Callable[[str], dict] = H.fold_page) -> DataFrame:
+    """EXT14: ``fetched_pages`` (+ key) -> ``text_audit`` (+ key), row by row:
+    one pass over each page, no exchange. A page for which ``parse`` raises
+    gets an ``extract_exception`` row (EXT13)."""
     s = settings
     min_len = max(0, int(s.min_text_length))
     p = pages.withColumn("page_key", F.col(key_col)) if key_col != "page_key" else pages
@@ -88,50 +98,38 @@ def analyze_pages(pages: DataFrame, settings: Settings, key_col: str = "page_key
          .withColumn("_error", F.col("error_kind").isNotNull() & ~F.col("_blocked"))
          .withColumn("_htmlish", is_html_like(F.col("content_type"), F.col("html")))
          .withColumn("_hdr_noindex", header_noindex(F.col("headers"))))
-    work = p.filter(~F.col("_blocked") & ~F.col("_error"))
     # Meta robots only matters where the header did not decide and there is HTML.
-    need_html = work.filter(F.col("_htmlish") | (s.detect_noindex & F.col("_hdr_noindex").isNull()
-                                                 & (F.coalesce(F.col("html"), F.lit("")) != "")))
-    tokens = H.html_tokens(need_html.select("page_key", "html"), "page_key", "html")
-    meta = H.meta_robots(tokens)
-    html_tokens = tokens.join(p.filter(F.col("_htmlish")).select("page_key"), "page_key", "left_semi")
-    nodes = H.text_nodes(html_tokens)
-    primary = H.primary_text(nodes).withColumn("_plen", F.length("primary_text"))
-    long_keys = primary.filter(F.col("_plen") >= min_len).select("page_key")
-    fallback = H.fallback_text(nodes.join(long_keys, "page_key", "left_anti"))
-    text = (primary.join(fallback, "page_key", "full_outer")
-            .select("page_key",
-                    F.coalesce(F.col("primary_text"), F.lit("")).alias("_p"),
-                    F.coalesce(F.col("fallback_text"), F.lit("")).alias("_f")))
-    plen, flen = F.length("_p"), F.length("_f")
-    text = text.select(
-        "page_key",
-        F.when(plen >= min_len, F.col("_p")).when(flen > plen, F.col("_f"))
-        .when(plen > 0, F.col("_p")).otherwise(F.lit("")).alias("_text"),
-        F.when(plen >= min_len, F.lit("primary")).when(flen > plen, F.lit("fallback"))
-        .when(plen > 0, F.lit("primary")).otherwise(F.lit("")).alias("_method"))
+    needed = ~F.col("_blocked") & ~F.col("_error") & (
+        F.col("_htmlish") | (F.lit(bool(s.detect_noindex)) & F.col("_hdr_noindex").isNull()))
+    p = H.with_parts(p, F.when(needed, F.col("html")), "_parts", parse)
+    extracted = F.col("_htmlish") & ~F.col("_blocked") & ~F.col("_error")
+    p = (p.withColumn("_raised", F.col("_parts.error"))
+         .withColumn("_p", F.when(extracted, F.coalesce(H.primary_text("_parts"), F.lit(""))).otherwise(F.lit(""))))
+    plen = F.length("_p")
+    # The fallback is only made where the primary text is short.
+    p = _once(p, "_f", F.when(extracted & (plen < min_len), H.fallback_text("_parts")))
+    p = p.withColumn("_f", F.coalesce("_f", F.lit("")))
+    flen = F.length("_f")
+    p = _once(p, "_chosen", F.when((plen < min_len) & (flen > plen),
+                                   F.struct(F.col("_f").alias("text"), F.lit("fallback").alias("method")))
+              .otherwise(F.struct(F.col("_p").alias("text"),
+                                  F.when(plen > 0, F.lit("primary")).otherwise(F.lit("")).alias("method"))))
+    text, method = F.col("_chosen.text"), F.col("_chosen.method")
     if s.include_title:
-        titles = H.title_text(html_tokens)
-        text = text.join(titles, "page_key", "full_outer").select(
-            "page_key", F.coalesce("_text", F.lit("")).alias("_text"),
-            F.coalesce("_method", F.lit("")).alias("_method"), F.coalesce("title", F.lit("")).alias("title"))
-        t_text, t_added = prepend_title(F.col("title"), F.col("_text"))
-        text = text.select("page_key", t_text.alias("_text"),
-                           F.when(t_added, F.when(F.col("_method") != "", F.concat(F.col("_method"), F.lit("+title")))
-                                  .otherwise(F.lit("title"))).otherwise(F.col("_method")).alias("_method"))
-    a = p.join(meta, "page_key", "left").join(text, "page_key", "left")
-    a = a.withColumn("_text", F.when(F.col("_htmlish") & ~F.col("_blocked") & ~F.col("_error"),
-                                     F.coalesce(F.col("_text"), F.lit(""))).otherwise(F.lit("")))
-    a = a.withColumn("_method", F.when(F.col("_text") != "", F.coalesce(F.col("_method"), F.lit("")))
-                     .otherwise(F.coalesce(F.when(F.col("_htmlish") & ~F.col("_blocked") & ~F.col("_error"),
-                                                  F.col("_method")), F.lit(""))))
+        p = p.withColumn("_title", F.when(extracted, F.coalesce(H.title_text("_parts"), F.lit("")))
+                         .otherwise(F.lit("")))
+        text, added = prepend_title(F.col("_title"), F.col("_chosen.text"))
+        method = (F.when(added & (method != ""), F.concat(method, F.lit("+title")))
+                  .when(added, F.lit("title")).otherwise(method))
+    a = p.select("*", text.alias("_text"), method.alias("_method"), H.meta_source("_parts").alias("meta_source"),
+                 F.col("_parts.meta_content").alias("meta_value"))
     noindex_src = F.when(F.col("_hdr_noindex").isNotNull(), F.lit("x_robots_tag")).otherwise(F.col("meta_source"))
     noindex_val = F.when(F.col("_hdr_noindex").isNotNull(), F.col("_hdr_noindex")).otherwise(F.col("meta_value"))
     if s.detect_noindex:
         status = F.when(noindex_src.isNotNull(), F.lit("noindex")).otherwise(F.lit("not_noindex"))
     else:
         status = F.lit("unknown")
-    early = F.col("_blocked") | F.col("_error")
+    early = F.col("_blocked") | F.col("_error") | F.col("_raised").isNotNull()
     a = (a.withColumn("noindex_status", F.when(early, F.lit("unknown")).otherwise(status))
          .withColumn("noindex_source", F.when(early | (F.col("noindex_status") != "noindex"), F.lit(""))
                      .otherwise(noindex_src))
@@ -140,6 +138,7 @@ def analyze_pages(pages: DataFrame, settings: Settings, key_col: str = "page_key
     chars = F.length(F.col("_text"))
     reason = (F.when(F.col("_blocked"), F.lit("robots_blocked"))
               .when(F.col("_error"), error_reason(F.col("error_kind")))
+              .when(F.col("_raised").isNotNull(), F.concat(F.lit("extract_exception:"), F.col("_raised")))
               .when(~F.col("_htmlish"), F.lit("non_html"))
               .when(F.col("_text") == "", F.lit("extract_failed"))
               .when(chars < min_len, F.lit("low_text"))

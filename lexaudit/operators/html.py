@@ -1,51 +1,30 @@
-"""HTML as a table (EXT0) and the stages read from it: element ranges,
-container fallback text (EXT5), block-scored primary text (EXT6), title
-(EXT3), meta robots (EXT2 input) and links (DSC12 input).
-
-A page is split once into tokens ``(page_key, pos, kind, tag, raw)`` by one
-``regexp_extract_all``; every later stage is a window partitioned by the
-page key (one exchange for all of them) or a plain filter. Nesting is
-resolved by level matching: for each tag name, the running open/close depth
-(floored at zero, so a stray close is ignored) gives every open tag a level,
-and the matching close is the next close tag at the same level. A close tag
-closes the latest open tag of the same name; open tags without a close run to
-the end of the page.
+"""HTML of pages: the token table (EXT0), links (DSC12 input), and what one
+pass over a page gives (``functions/pages.py``): container fallback text
+(EXT5), block-scored primary text (EXT6), title (EXT3) and meta robots (EXT2
+input).
+
+``with_parts`` adds the parts of a page as a column, so a page is read once
+and nothing is exchanged; each later stage is a column expression over them.
+The token table is for what needs no nesting: it is split by one
+``regexp_extract_all`` and only filtered.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.functions.text import clean_after_unescape, unescape2_nfkc_udf, unescape_udf
+from lexaudit.functions.pages import (BLOCK_TAGS, EXCLUDED_TAGS, FALLBACK_SELECTORS,  # noqa: F401
+                                      TOKEN_RE, VOID_TAGS, attr_pattern, fold_page, page_parts)
+from lexaudit.functions.text import clean_after_unescape, unescape_udf
 from lexaudit.functions.urls import py_strip
 
-# Elements removed with their content before the fallback
-# extraction, the fallback selectors in priority order, and void elements.
-EXCLUDED_TAGS = ("header", "footer", "nav", "aside", "script", "style", "noscript", "svg",
-                 "iframe", "form", "button", "input", "select", "option")
-FALLBACK_SELECTORS = ("article", "main", '[role="main"]', "section", "div")
-VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-             "param", "source", "track", "wbr")
-# Block elements that split the primary extractor's text into blocks.
-BLOCK_TAGS = ("address", "article", "aside", "blockquote", "body", "dd", "details", "dialog",
-              "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1",
-              "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p",
-              "pre", "section", "summary", "table", "td", "th", "tr", "ul", "br", "title", "head")
-
-TOKEN_RE = ("(?is)(<!--.*?-->|<(script|style|title)\\b[^>]*>.*?</\\2\\s*>"
-            # A quoted value may hold ">".
-            "|<![^>]*>|</?[A-Za-z](?:[^>=]++|=\\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+>|<|[^<]+)")
-
-_END = 2_147_483_647
-
 
 def attr_value(raw: Column, name: str) -> Column:
     """Value of attribute ``name`` in a raw start tag ('' if absent)."""
-    pat = ("(?is)^<[A-Za-z][^\\s/>]*(?:\\s+.*?)?[\\s\"'/]" + name
-           + "\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'=<>`]+))")
+    pat = attr_pattern(name)
     return F.concat(F.regexp_extract(raw, pat, 1), F.regexp_extract(raw, pat, 2),
                     F.regexp_extract(raw, pat, 3))
 
@@ -69,153 +48,62 @@ def html_tokens(pages: DataFrame, key_col: str = "page_key", html_col: str = "ht
                        kind.alias("kind"), tag.alias("tag"), "raw")
 
 
-def annotate_tokens(tokens: DataFrame, selectors: Sequence[str] = FALLBACK_SELECTORS) -> DataFrame:
-    """All tokens with their context, from window passes over the one token
-    stream (no union, no range join, one exchange by page):
-
-    1. per (page, tag): open/close depth floored at zero -> level of each
-       open and of each close that closes something;
-    2. per (page, tag, level): a close copies the flags of the open it
-       matches (so ``[role="main"]`` knows where it ends);
-    3. per page, in token order: running sums of +1/-1 events give
-       ``excluded`` (inside an excluded element), ``in_head``, ``in_link``,
-       ``block`` (text between two block-level tags) and, per selector i,
-       ``c<i>`` = open position of the top-level element of selector i that
-       holds the token (NULL if none).
-    """
-    def sel_match(i: int) -> Column:
-        sel = selectors[i]
-        if sel.startswith("["):
-            attr, val = sel.strip("[]").split("=")
-            return attr_value(F.col("raw"), attr) == F.lit(val.strip('"'))
-        return F.col("tag") == sel
-
-    flag_exprs = {"x": F.col("tag").isin(*EXCLUDED_TAGS), "h": F.col("tag") == "head",
-                  "a": F.col("tag") == "a"}
-    for i in range(len(selectors)):
-        flag_exprs[f"s{i}"] = sel_match(i)
-    keys = list(flag_exprs)
-    is_elem = F.col("kind").isin("open", "close") & ~F.col("tag").isin(*VOID_TAGS)
-    t = tokens.withColumn("_elem", is_elem)
-    step = F.when(~F.col("_elem"), 0).when(F.col("kind") == "open", 1).otherwise(-1)
-    w1 = Window.partitionBy("page_key", "_elem", "tag").orderBy("pos")
-    run1 = w1.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_s", F.sum(step).over(run1))
-    t = t.withColumn("_depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(run1)))
-    t = t.withColumn("_before", F.coalesce(F.lag("_depth").over(w1), F.lit(0)))
-    t = t.withColumn("_level", F.when(~F.col("_elem"), F.lit(None))
-                     .when(F.col("kind") == "open", F.col("_depth"))
-                     .when(F.col("_before") > 0, F.col("_before")))
-    # Flags of an open tag; a matched close takes the flags of its open.
-    flags = F.struct(*[v.cast("int").alias(k) for k, v in flag_exprs.items()])
-    t = t.withColumn("_f", F.when(F.col("_elem") & (F.col("kind") == "open"), flags))
-    w2 = Window.partitionBy("page_key", "_elem", "tag", "_level").orderBy("pos")
-    t = t.withColumn("_f", F.when(F.col("kind") == "open", F.col("_f"))
-                     .when(F.col("_elem") & F.col("_level").isNotNull(), F.lag("_f").over(w2)))
-    sign = F.when(F.col("kind") == "open", 1).otherwise(-1)
-    # raw elements (script/style/title) hold no text tokens: no events needed.
-    w3 = Window.partitionBy("page_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    blk = F.when(F.col("kind").isin("open", "close", "raw") & F.col("tag").isin(*BLOCK_TAGS), 1).otherwise(0)
-    # One select per pass, so that all running sums share one Window node.
-    t = t.select("*", *[F.sum(F.coalesce(F.col("_f")[k] * sign, F.lit(0))).over(w3).alias(f"_d_{k}")
-                        for k in keys], F.sum(blk).over(w3).alias("block"))
-    tops = []
-    for i in range(len(selectors)):
-        k = f"s{i}"
-        top = F.when((F.col("kind") == "open") & (F.coalesce(F.col("_f")[k], F.lit(0)) == 1)
-                     & (F.col(f"_d_{k}") == 1), F.col("pos"))
-        tops.append(F.max(top).over(w3).alias(f"_top{i}"))
-    t = t.select("*", *tops)
-    for i in range(len(selectors)):
-        t = t.withColumn(f"c{i}", F.when(F.col(f"_d_s{i}") > 0, F.col(f"_top{i}")))
-    return t.select("page_key", "pos", "kind", "tag", "raw",
-                    (F.col("_d_x") > 0).alias("excluded"), (F.col("_d_h") > 0).alias("in_head"),
-                    (F.col("_d_a") > 0).alias("in_link"), "block",
-                    *[F.col(f"c{i}") for i in range(len(selectors))])
-
-
-def text_nodes(tokens: DataFrame, selectors: Sequence[str] = FALLBACK_SELECTORS) -> DataFrame:
-    """Text tokens with their context (see :func:`annotate_tokens`)."""
-    a = annotate_tokens(tokens, selectors)
-    return a.filter(F.col("kind") == "text").withColumnRenamed("raw", "text").drop("kind", "tag")
-
-
-def _join_nodes(nodes: DataFrame, group_cols: Sequence[str], sep: str = "\n") -> DataFrame:
-    """Ordered join of stripped, non-empty node texts per group."""
-    n = nodes.withColumn("_t", py_strip(F.col("text"))).filter(F.col("_t") != "")
-    return n.groupBy(*group_cols).agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("pos", "_t"))).getField("_t"), sep).alias("_joined"),
-        F.min("pos").alias("_first"))
-
-
-def dom_clean(text: Column) -> Column:
-    """EXT8 on DOM text: the DOM decodes entities once and the cleaner once
-    more, so raw HTML text is unescaped twice before cleaning."""
-    return F.coalesce(clean_after_unescape(unescape2_nfkc_udf(text)), F.lit(""))
-
-
-def fallback_text(nodes: DataFrame, selectors: Sequence[str] = FALLBACK_SELECTORS) -> DataFrame:
+def with_parts(pages: DataFrame, html: Column | str = "html", out_col: str = "parts",
+               parse: Callable[[str], dict] = fold_page) -> DataFrame:
+    """``pages`` with the parts of each page (a struct; a null page is an
+    empty one). ``parse`` may be another function from a page to its parts."""
+    html = F.col(html) if isinstance(html, str) else html
+    return pages.withColumn(out_col, page_parts(F.coalesce(html, F.lit("")), parse))
+
+
+def _joined(nodes: Column) -> Column:
+    return clean_after_unescape(F.array_join(nodes, "\n"))
+
+
+def fallback_text(parts: Column | str = "parts", selectors: Sequence[str] = FALLBACK_SELECTORS) -> Column:
     """EXT5: first selector with any non-empty cleaned text; among its
-    top-level elements the longest text, first on ties; else the body text.
-    Returns ``(page_key, fallback_text)``."""
-    live = nodes.filter(~F.col("excluded"))
-    n = len(selectors)
-    pairs = [F.struct(F.lit(i).alias("sel"), F.col(f"c{i}").alias("cont")) for i in range(n)]
-    pairs.append(F.struct(F.lit(n).alias("sel"),
-                          F.when(~F.col("in_head"), F.lit(-1)).alias("cont")))
-    allp = (live.select("page_key", "pos", "text", F.explode(F.array(*pairs)).alias("_sc"))
-            .filter(F.col("_sc.cont").isNotNull())
-            .select("page_key", "pos", "text", F.col("_sc.sel").alias("sel"), F.col("_sc.cont").alias("cont")))
-    cand = _join_nodes(allp, ["page_key", "sel", "cont"])
-    cand = cand.withColumn("fallback_text", dom_clean(F.col("_joined"))).filter(F.col("fallback_text") != "")
-    w = Window.partitionBy("page_key").orderBy("sel", F.desc(F.length("fallback_text")), "cont")
-    best = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-    return best.select("page_key", "fallback_text")
-
-
-def primary_text(nodes: DataFrame, min_block_chars: int = 1, max_link_density: float = 0.5) -> DataFrame:
-    """EXT6 (re-aimed): text grouped into blocks between block-level tags;
-    a block is kept when it has enough characters and at most the given
-    share of link text; kept blocks are joined by newlines in page order.
-    Returns ``(page_key, primary_text)``."""
-    live = nodes.filter(~F.col("excluded") & ~F.col("in_head"))
-    live = live.withColumn("_t", py_strip(F.col("text"))).filter(F.col("_t") != "")
-    blocks = live.groupBy("page_key", "block").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("pos", "_t"))).getField("_t"), "").alias("_bt"),
-        F.sum(F.when(F.col("in_link"), F.length("_t")).otherwise(0)).alias("_link_chars"),
-        F.sum(F.length("_t")).alias("_chars"),
-        F.min("pos").alias("_first"))
-    kept = blocks.filter((F.col("_chars") >= min_block_chars)
-                         & (F.col("_link_chars") <= F.col("_chars") * max_link_density))
-    page = kept.groupBy("page_key").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("_first", "_bt"))).getField("_bt"), "\n").alias("_joined"))
-    return page.select("page_key", dom_clean(F.col("_joined")).alias("primary_text"))
-
-
-def title_text(tokens: DataFrame) -> DataFrame:
-    """EXT3: text of the first ``<title>``, cleaned."""
-    t = tokens.filter((F.col("kind") == "raw") & (F.col("tag") == "title"))
-    t = t.groupBy("page_key").agg(F.min_by("raw", "pos").alias("_raw"))
-    inner = F.regexp_replace(F.regexp_extract(F.col("_raw"), "(?is)^<title\\b[^>]*>(.*)</title\\s*>$", 1),
-                             "<[^>]*>", " ")
-    # get_text(" ", strip=True) on one string: strip; then the cleaner.
-    return t.select("page_key", dom_clean(py_strip(inner)).alias("title"))
-
-
-def meta_robots(tokens: DataFrame) -> DataFrame:
-    """EXT2 input: the first ``<meta>`` in page order whose name is robots or
-    googlebot and whose content has 'noindex' -> ``(page_key, source, value)``."""
-    m = tokens.filter((F.col("kind") == "open") & (F.col("tag") == "meta"))
-    name = F.lower(py_strip(attr_value(F.col("raw"), "name")))
-    content = py_strip(attr_value(F.col("raw"), "content"))
-    m = m.select("page_key", "pos", name.alias("_name"), content.alias("_content"))
-    m = m.filter((F.col("_content") != "") & F.lower(F.col("_content")).contains("noindex")
-                 & F.col("_name").isin("robots", "googlebot"))
-    first = m.groupBy("page_key").agg(F.min_by(F.struct("_name", "_content"), "pos").alias("_m"))
-    return first.select("page_key",
-                        F.when(F.col("_m._name") == "robots", F.lit("meta_robots"))
-                        .otherwise(F.lit("meta_googlebot")).alias("meta_source"),
-                        F.col("_m._content").alias("meta_value"))
+    outermost elements the longest text, first on ties; else the body text.
+    Null where all are empty. A selector is only looked at where those before
+    it gave nothing."""
+    parts = F.col(parts) if isinstance(parts, str) else parts
+    nodes = parts["nodes"]
+
+    def longest(k: int) -> Column:
+        texts = F.transform(F.filter(parts["ranges"], lambda r: r["sel"] == k),
+                            lambda r: _joined(F.slice(nodes, r["first"] + 1, r["n"])))
+        ranked = F.transform(F.filter(texts, lambda t: t != ""),
+                             lambda t, i: F.struct((-F.length(t)).alias("size"), i.alias("i"), t.alias("text")))
+        return F.array_min(ranked)["text"]
+
+    return F.coalesce(*[longest(k) for k in range(len(selectors))], F.nullif(_joined(nodes), F.lit("")))
+
+
+def primary_text(parts: Column | str = "parts") -> Column:
+    """EXT6 (re-aimed): the cleaned blocks of text that have enough characters
+    and at most the given share of link text; null if there is no such block."""
+    parts = F.col(parts) if isinstance(parts, str) else parts
+    return clean_after_unescape(parts["primary"])
+
+
+def title_text(parts: Column | str = "parts") -> Column:
+    """EXT3: text of the first ``<title>``, cleaned; null without one."""
+    parts = F.col(parts) if isinstance(parts, str) else parts
+    return clean_after_unescape(parts["title"])
+
+
+def meta_source(parts: Column | str = "parts") -> Column:
+    """EXT2 input: which meta asks for noindex; null if none does."""
+    parts = F.col(parts) if isinstance(parts, str) else parts
+    return F.concat(F.lit("meta_"), parts["meta_name"])
+
+
+def page_texts(pages: DataFrame, key_col: str = "page_key", html_col: str = "html",
+               keep: Sequence[str] = ()) -> DataFrame:
+    """``(page_key, fallback_text, <keep>)`` of the pages that have a text."""
+    p = with_parts(pages.select(F.col(key_col).alias("page_key"), html_col, *keep), html_col, "_parts")
+    # Exploded, so that the filter does not clean every text a second time.
+    return p.select("page_key", F.explode(F.array(fallback_text("_parts"))).alias("fallback_text"),
+                    *keep).filter(F.col("fallback_text").isNotNull())
 
 
 def anchor_hrefs(tokens: DataFrame) -> DataFrame:

@@ -131,37 +131,28 @@ def _pages(spark: SparkSession, sf: str, cols=("page_id", "url", "html")) -> Dat
     return read_table(spark, sf, "pages", key="page_id").select(*cols)
 
 
-def _page_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return H.html_tokens(_pages(spark, sf, ("page_id", "html")), "page_id", "html")
-
-
 def q_container_text(spark: SparkSession, sf: str) -> DataFrame:
     """EXT0 + EXT5 + EXT8: fallback container text per page."""
-    toks = _page_tokens(spark, sf)
-    nodes = H.text_nodes(toks)
-    fb = H.fallback_text(nodes)
+    fb = H.page_texts(_pages(spark, sf, ("page_id", "html")), "page_id")
     return fb.select(F.col("page_key").alias("page_id"), F.col("fallback_text").alias("text"),
                      F.length("fallback_text").alias("chars"))
 
 
 def q_block_text(spark: SparkSession, sf: str) -> DataFrame:
     """EXT6: block-scored primary text per page."""
-    toks = _page_tokens(spark, sf)
-    nodes = H.text_nodes(toks)
-    pt = H.primary_text(nodes)
-    return pt.select(F.col("page_key").alias("page_id"), F.length("primary_text").alias("chars"),
+    pages = H.with_parts(_pages(spark, sf, ("page_id", "html")))
+    pt = pages.filter(F.col("parts.primary").isNotNull()).select("page_id", H.primary_text().alias("primary_text"))
+    return pt.select("page_id", F.length("primary_text").alias("chars"),
                      F.size(F.split("primary_text", "\n")).alias("lines"))
 
 
 def q_title_text(spark: SparkSession, sf: str) -> DataFrame:
     """EXT3 + EXT9: cleaned title and the title-prefixed container text."""
-    toks = _page_tokens(spark, sf)
-    nodes = H.text_nodes(toks)
-    t = H.title_text(toks).join(H.fallback_text(nodes), "page_key", "full_outer")
-    text, added = A.prepend_title(F.coalesce(F.col("title"), F.lit("")),
-                                  F.coalesce(F.col("fallback_text"), F.lit("")))
-    return t.select(F.col("page_key").alias("page_id"), F.coalesce(F.col("title"), F.lit("")).alias("title"),
-                    added.alias("title_added"), F.length(text).alias("chars"))
+    t = H.with_parts(_pages(spark, sf, ("page_id", "html"))).select(
+        "page_id", F.coalesce(H.title_text(), F.lit("")).alias("title"),
+        F.coalesce(H.fallback_text(), F.lit("")).alias("body"))
+    text, added = A.prepend_title(F.col("title"), F.col("body"))
+    return t.select("page_id", "title", added.alias("title_added"), F.length(text).alias("chars"))
 
 
 def q_noindex(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,8 +172,7 @@ def q_url_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_page_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: pages -> EXT0 -> EXT5 -> EXT8 -> tokens -> counts -> rank."""
-    toks = _page_tokens(spark, sf)
-    fb = H.fallback_text(H.text_nodes(toks))
+    fb = H.page_texts(_pages(spark, sf, ("page_id", "html")), "page_id")
     s = Settings()
     occ = K.noun_occurrences(fb, "fallback_text", compound_mode=s.compound_mode)
     return K.rank_frequency(K.raw_frequency(K.count_occurrences(occ), s))
@@ -190,13 +180,10 @@ def q_page_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_keywords_per_site(spark: SparkSession, sf: str) -> DataFrame:
     """AGG2 + AGG6 keyed by site (registered domain of the page URL)."""
-    pages = _pages(spark, sf)
-    toks = H.html_tokens(pages.select("page_id", "html"), "page_id", "html")
-    fb = H.fallback_text(H.text_nodes(toks))
-    site = pages.select(F.col("page_id").alias("page_key"),
-                        U.registered_domain(U.url_host(F.col("url"))).alias("site_id"))
+    pages = _pages(spark, sf).withColumn("site_id", U.registered_domain(U.url_host(F.col("url"))))
+    fb = H.page_texts(pages, "page_id", keep=["site_id"])
     s = Settings()
-    occ = K.noun_occurrences(fb.join(site, "page_key"), "fallback_text", ["site_id"], s.compound_mode)
+    occ = K.noun_occurrences(fb, "fallback_text", ["site_id"], s.compound_mode)
     counts = K.raw_frequency(K.count_occurrences(occ, ["site_id"]), s)
     return K.rank_frequency(counts, ["site_id"])
 
