@@ -2,9 +2,11 @@
 
 A unit vector is turned by seeded random rotations; the signs of its
 coordinates are its code, and the code's inner product with the turned vector
-is its stored correction factor. The code's product with another turned
-vector, divided by the factor, is an unbiased estimate of the cosine, with a
-deviation known from the factor alone.
+is its correction factor; both are made once per vector and stored. The code's
+product with another turned vector, divided by the factor, is an unbiased
+estimate of the cosine, with a deviation known from the factor alone. The
+other vector is held in four bits a coordinate, so the product is a count of
+bits in a few words.
 
 Groups of sign bits are also the keys of ``L`` hash tables: ``k`` bits grow
 with the number of vectors, and L is chosen so that a pair right at the
@@ -35,6 +37,7 @@ RECALL = 0.995
 SIGMAS = 5.0
 BLOCK = 4096
 CODE_BITS = 256
+PLANES = 4
 SEED = 23
 PAIRS = 200_000
 
@@ -53,13 +56,83 @@ def rotations(dim: int, bits: int) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-bits // dim))])
 
 
-def turned(vectors: np.ndarray, k: int, n_tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors, turned vectors, keys by table) of rows of one length."""
+def code_width(dim: int) -> int:
+    """Bits of a code: whole rotations only."""
+    return max(CODE_BITS // dim, 1) * dim
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
     unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    y = unit @ rotations(vectors.shape[1], max(k * n_tables, CODE_BITS)).T
-    bits = (y[:, :k * n_tables] > 0).reshape(len(y), n_tables, k)
-    return unit, y, bits @ (1 << np.arange(k, dtype=np.int64))
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def code_part(unit: np.ndarray) -> np.ndarray:
+    """Rows turned by the rotations of the code, of unit length again."""
+    z = unit @ rotations(unit.shape[1], CODE_BITS)[:code_width(unit.shape[1])].T
+    return z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def coded(vectors: np.ndarray, k: int, n_tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """(packed signs, correction factors) of rows of one length: what is
+    stored of a vector. The first signs are the code, the first
+    k * n_tables the keys of the tables."""
+    unit = unit_rows(vectors)
+    width = code_width(unit.shape[1])
+    signs = unit @ rotations(unit.shape[1], max(k * n_tables, CODE_BITS)).T > 0
+    z = code_part(unit)
+    factor = np.where(signs[:, :width], z, -z).sum(axis=1) / math.sqrt(width)
+    return np.packbits(signs, axis=1), np.maximum(factor, 1e-6)
+
+
+def table_keys(signs: np.ndarray, k: int, n_tables: int) -> np.ndarray:
+    """Key in each table, from packed signs."""
+    bits = np.unpackbits(signs, axis=1, count=k * n_tables).reshape(len(signs), n_tables, k)
+    return bits @ (1 << np.arange(k, dtype=np.int64))
+
+
+def words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits packed into 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+class Block:
+    """Rows whose pairs are estimated and computed: what a pair needs of a row
+    is made once per row. The turned side of an estimate is held in PLANES
+    bits a coordinate, so that its product with a code is a count of bits."""
+
+    def __init__(self, vectors: np.ndarray, signs: np.ndarray, factor: np.ndarray, k: int, n_tables: int):
+        self.unit = unit_rows(vectors)
+        self.factor = factor
+        self.keys = table_keys(signs, k, n_tables)
+        z = code_part(self.unit)
+        self.root = math.sqrt(z.shape[1])
+        self.code = words(np.unpackbits(signs, axis=1, count=z.shape[1]))
+        self.ones = np.bitwise_count(self.code).sum(axis=1, dtype=np.int64)
+        self.low = -np.abs(z).max(axis=1)
+        self.step = -2 * self.low / (2 ** PLANES - 1)
+        levels = np.rint((z - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = [words(levels >> b & 1) for b in range(PLANES)]
+        self.sums = z.sum(axis=1)
+        self.spread = np.maximum(1 / factor ** 2 - 1, 0) / max(z.shape[1] - 1, 1)
+
+    def estimate(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unbiased estimates of the cosines of the pairs, their deviations)."""
+        code = self.code[a]
+        met = sum((np.bitwise_count(code & plane[b]).sum(axis=1, dtype=np.int64) << p)
+                  for p, plane in enumerate(self.planes))
+        product = (2 * (self.low[b] * self.ones[a] + self.step[b] * met) - self.sums[b]) / self.root
+        rounding = (self.step[b] / self.factor[a]) ** 2 / 6
+        return product / self.factor[a], np.sqrt(self.spread[a] + rounding)
+
+    def linked(self, i: np.ndarray, j: np.ndarray, table: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the pairs (i, j) meet here first and are linked."""
+        guess, deviation = self.estimate(i, j)
+        at = np.flatnonzero(guess + SIGMAS * deviation >= threshold)
+        i, j = i[at], j[at]
+        earlier = ((self.keys[i] == self.keys[j]) & (np.arange(self.keys.shape[1]) < table[i][:, None])).any(axis=1)
+        at, i, j = at[~earlier], i[~earlier], j[~earlier]
+        return at[np.einsum("nd,nd->n", self.unit[i], self.unit[j]) >= threshold]
 
 
 def stacked(column: pa.Array) -> np.ndarray:
@@ -67,26 +140,6 @@ def stacked(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def linked_pairs(i: np.ndarray, j: np.ndarray, unit: np.ndarray, y: np.ndarray, keys: np.ndarray,
-                 table: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs (i, j) meet here first and are linked."""
-    earlier = ((keys[i] == keys[j]) & (np.arange(keys.shape[1]) < table[i][:, None])).any(axis=1)
-    at = np.flatnonzero(~earlier)
-    if not len(at):
-        return at
-    # Unit length again after stacking rotations.
-    z = y[:, :CODE_BITS // unit.shape[1] * unit.shape[1] or unit.shape[1]]
-    z = z / np.linalg.norm(z, axis=1, keepdims=True)
-    code = np.sign(z) / math.sqrt(z.shape[1])
-    factor = np.maximum((code * z).sum(axis=1), 1e-6)
-    spread = np.sqrt(np.maximum(1 / factor ** 2 - 1, 0) / max(z.shape[1] - 1, 1))
-    a, b = i[at], j[at]
-    guess = np.einsum("nd,nd->n", code[a], z[b]) / factor[a]
-    at = at[guess + SIGMAS * spread[a] >= threshold]
-    exact = np.einsum("nd,nd->n", unit[i[at]], unit[j[at]])
-    return at[exact >= threshold]
-
-
 def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest row reachable from each of n rows."""
     low = np.arange(n)
@@ -129,16 +182,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                 some = batch.take(pa.array(np.flatnonzero(lengths == dim)))
                 for at in range(0, some.num_rows, 512):
                     part = some.slice(at, 512)
-                    keys = turned(stacked(part.column("vec")), k, n_tables)[2]
+                    signs, factor = coded(stacked(part.column("vec")), k, n_tables)
+                    keys = table_keys(signs, k, n_tables)
+                    stored = [*[part.column(c) for c in ("node", "m", "vec")],
+                              pa.array([row.tobytes() for row in signs], pa.binary()), pa.array(factor)]
                     for t in range(n_tables):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(keys), dim, np.int32)), pa.array(np.full(len(keys), t, np.int32)),
-                             pa.array(keys[:, t]), *[part.column(c) for c in ("node", "m", "vec")]],
-                            ["dim", "tab", "key", "node", "m", "vec"])
+                             pa.array(keys[:, t]), *stored],
+                            ["dim", "tab", "key", "node", "m", "vec", "signs", "factor"])
 
     kind = classes.schema["vec"].dataType.simpleString()
     entries = classes.select("node", "m", "vec").mapInArrow(
-        keyed, f"dim int, tab int, key long, node long, m long, vec {kind}")
+        keyed, f"dim int, tab int, key long, node long, m long, vec {kind}, signs binary, factor double")
     bucket = ["dim", "tab", "key"]
     # A bucket of one is no work; a large one becomes pairs of blocks.
     sizes = entries.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -147,7 +203,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select(*bucket, F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"),
-                     "own", "node", "m", "vec")
+                     "own", "node", "m", "vec", "signs", "factor")
     dealt = met.repartition(*bucket, "b1", "b2").sortWithinPartitions(*bucket, "b1", "b2", "node")
 
     def work(rows: pa.Table) -> pa.RecordBatch:
@@ -157,10 +213,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
             group[1:] |= cols[c][1:] != cols[c][:-1]
         group = np.cumsum(group)
         links, left, right = np.zeros(len(rows), np.int64), [], []
-        vec = rows.column("vec").combine_chunks()
+        vec, signs = rows.column("vec").combine_chunks(), rows.column("signs").to_pylist()
+        factor = rows.column("factor").to_numpy()
         for dim in np.unique(cols["dim"]):
             mine = np.flatnonzero(cols["dim"] == dim)
-            unit, y, keys = turned(stacked(vec.take(pa.array(mine))), k, n_tables)
+            block = Block(stacked(vec.take(pa.array(mine))), np.frombuffer(
+                b"".join(signs[x] for x in mine), np.uint8).reshape(len(mine), -1), factor[mine], k, n_tables)
             g, own, table = group[mine], cols["own"][mine], cols["tab"][mine]
             lone = cols["b1"][mine] == cols["b2"][mine]
             ends = np.searchsorted(g, g, side="right") - np.arange(len(g))
@@ -172,7 +230,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                     j = i + step
                     ok = lone[i] | (own[i] != own[j])
                     i, j = i[ok], j[ok]
-                    hit = linked_pairs(i, j, unit, y, keys, table, threshold)
+                    hit = block.linked(i, j, table, threshold)
                     i, j = mine[i[hit]], mine[j[hit]]
                     np.add.at(links, i, cols["m"][j])
                     np.add.at(links, j, cols["m"][i])

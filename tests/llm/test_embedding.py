@@ -58,14 +58,36 @@ def test_pairs_at_the_threshold(spark):
 
 
 def test_estimates_stay_in_their_bounds():
-    rnd = np.random.default_rng(1)
-    a = rnd.normal(size=(500, 32))
-    b = a + 0.2 * rnd.normal(size=a.shape)
-    unit, y, keys = ed.turned(np.concatenate([a, b]), 10, 5)
-    hit = ed.linked_pairs(np.arange(500), np.arange(500, 1000), unit, y, keys, np.zeros(1000, int), 0.95)
-    assert set(hit) == set(np.flatnonzero((unit[:500] * unit[500:]).sum(axis=1) >= 0.95))
+    rnd = np.random.default_rng(3)
+    for dim in (1, 2, 7, 48, 300):
+        a = rnd.normal(size=(500, dim))
+        b = a + rnd.normal(size=a.shape) * rnd.random((500, 1))
+        vectors = np.concatenate([a, b])
+        block = ed.Block(vectors, *ed.coded(vectors, 10, 5), 10, 5)
+        i, j = np.arange(500), np.arange(500, 1000)
+        cosine = np.einsum("nd,nd->n", block.unit[i], block.unit[j])
+        guess, deviation = block.estimate(i, j)
+        assert (np.abs(guess - cosine) <= ed.SIGMAS * deviation + 1e-9).mean() > 0.995
+        if dim > 7:
+            assert abs((guess - cosine).mean()) < 0.01
+        assert set(block.linked(i, j, np.zeros(1000, int), 0.95)) == set(np.flatnonzero(cosine >= 0.95))
+        # A link is found in the first table where its two rows meet.
+        first = [int(np.argmax(np.append(x == y, True))) for x, y in zip(block.keys[i], block.keys[j])]
+        found = [set(block.linked(i, j, np.full(1000, t), 0.95)) for t in range(5)]
+        for pair in block.linked(i, j, np.zeros(1000, int), 0.95):
+            if first[pair] < 5:
+                assert [t for t in range(5) if pair in found[t]] == list(range(first[pair] + 1))
 
 
+def test_stored_codes_are_those_of_the_vectors():
+    rnd = np.random.default_rng(5)
+    vectors = rnd.normal(size=(50, 48))
+    signs, factor = ed.coded(vectors, 12, 30)
+    z = ed.code_part(ed.unit_rows(vectors))
+    assert (np.unpackbits(signs, axis=1)[:, :z.shape[1]] == (z > 0)).all()
+    assert np.allclose(factor, np.abs(z).sum(axis=1) / np.sqrt(z.shape[1]))
+    assert ed.table_keys(signs, 12, 30).shape == (50, 30)
+
 def test_edge_cases_and_block_splits(spark, monkeypatch):
     nan, inf = float("nan"), float("inf")
     rnd = np.random.default_rng(2)
