@@ -265,8 +265,39 @@ def distinct(marks: list[bool], texts: list[list[bytes]]) -> tuple[np.ndarray, n
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    some, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return some, np.bincount(where, np.concatenate(counts), len(some)).astype(np.int64)
+    """Distinct keys in order, with the sums of their counts."""
+    some = np.concatenate(keys)
+    if not len(some):
+        return some, np.zeros(0, np.int64)
+    # Stable: sorted runs are merged rather than sorted again.
+    order = np.argsort(some, kind="stable")
+    some = some[order]
+    n = np.concatenate(counts)[order]
+    del order
+    first = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+    return some[first], np.add.reduceat(n, first)
+
+
+class Sums:
+    """Counts of keys that come in sorted pieces. Pieces of about one size are
+    merged as they come, so a key is held a few times at most."""
+
+    def __init__(self) -> None:
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.pieces.append((keys, counts))
+        while len(self.pieces) > 1 and len(self.pieces[-2][0]) < 2 * len(self.pieces[-1][0]):
+            self._merge_last()
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.pieces) > 1:
+            self._merge_last()
+        return self.pieces.pop() if self.pieces else (np.zeros(0, np.int64),) * 2
+
+    def _merge_last(self) -> None:
+        one, other = self.pieces.pop(), self.pieces.pop()
+        self.pieces.append(merged([other[0], one[0]], [other[1], one[1]]))
 
 
 def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> DataFrame:
@@ -281,24 +312,26 @@ def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float =
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def message() -> Iterator[pa.RecordBatch]:
-            keys, n = merged([x[0] for x in found], [x[1] for x in found])
+            keys, n = found.take()
             rows = [(g, chunk, pack(keys[at]), pack(n[at])) for g, at in dealt(keys, parts)]
             yield from _table({"part": pa.int32(), "chunk": pa.int64(), **packed}, rows).to_batches()
 
-        chunk, found = None, []
+        chunk, found = None, Sums()
         for marks, texts in chunks(batches, CHUNK_BYTES):
             edges = [i for i in range(len(marks)) if not i or marks[i][0] != marks[i - 1][0]]
             for a, b in zip(edges, [*edges[1:], len(marks)]):
-                if found and marks[a][0] != chunk:
+                if found.pieces and marks[a][0] != chunk:
                     yield from message()
-                    found = []
                 chunk = marks[a][0]
-                found.append(distinct([m[1] for m in marks[a:b]], texts[a:b]))
-        if found:
+                found.add(*distinct([m[1] for m in marks[a:b]], texts[a:b]))
+        if found.pieces:
             yield from message()
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        keys, n = merged([unpack_all(table.column("grams"))], [unpack_all(table.column("data"))])
+        sums = Sums()
+        for gram, count in zip(table.column("grams").to_pylist(), table.column("data").to_pylist()):
+            sums.add(unpack(gram), unpack(count))
+        keys, n = sums.take()
         return _table({"branch": pa.int32(), "part": pa.int32(), **packed},
                       [(g, key[0].as_py(), pack(keys[at]), pack(n[at])) for g, at in dealt(keys >> 8 * (DEPTH - SHORT), parts)])
 

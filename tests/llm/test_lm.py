@@ -108,3 +108,17 @@ def test_scores_by_parts_equal_the_tree_in_memory(spark, edge, monkeypatch):
     got = sorted((r.doc_id or 0, r.score) for r in rows)
     assert [w[0] for w in want] == [g[0] for g in got]
     assert np.allclose([w[1] for w in want], [g[1] for g in got], rtol=1e-9)
+
+
+def test_sums_of_sorted_pieces():
+    rnd = np.random.default_rng(8)
+    for n in (0, 1, 2, 17):
+        sums, want = lm.Sums(), {}
+        for _ in range(n):
+            keys, counts = np.unique(rnd.integers(0, 500, int(rnd.integers(0, 300))), return_counts=True)
+            sums.add(keys, counts)
+            for k, c in zip(keys.tolist(), counts.tolist()):
+                want[k] = want.get(k, 0) + c
+        keys, counts = sums.take()
+        assert dict(zip(keys.tolist(), counts.tolist())) == want and keys.tolist() == sorted(want)
+        assert not sums.pieces
