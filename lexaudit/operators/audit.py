@@ -187,8 +187,10 @@ def noindex_table(audit: DataFrame) -> DataFrame:
         "included_in_analysis", "detected_at")
 
 
-def extracted_texts_table(audit: DataFrame) -> DataFrame:
-    """SNK11 rows."""
-    return audit.filter(F.col("extracted_text") != "").select(
+def extracted_texts_table(audit: DataFrame, settings: Settings) -> DataFrame:
+    """SNK11 rows: pages with a text; none unless ``save_extracted_text`` is
+    set."""
+    wanted = (F.col("extracted_text") != "") & F.lit(bool(settings.save_extracted_text))
+    return audit.filter(wanted).select(
         "url", "final_url", "status_code", "extracted_chars", "extraction_method",
         "included_in_analysis", "extracted_text")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lexaudit.functions.text import clean_text
 from lexaudit.operators import html as H
-from lexaudit.operators.audit import analyze_pages
+from lexaudit.operators.audit import analyze_pages, extracted_texts_table
 from lexaudit.settings import Settings
 from lexaudit import schemas
 
@@ -165,3 +165,10 @@ def test_a_page_that_raises_has_a_row_of_its_own(spark):
 def test_audit_is_one_pass_without_exchange(spark):
     plan = analyze_pages(_fetched(spark, [("a", "<p>x</p>", None, True)]), Settings())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_texts_are_kept_only_where_asked_for(spark):
+    audit = analyze_pages(_fetched(spark, [("a", "<p>kept text</p>", None, True), ("b", "", None, True)]), Settings())
+    assert extracted_texts_table(audit, Settings()).count() == 0
+    got = extracted_texts_table(audit, Settings(save_extracted_text=True)).collect()
+    assert [(r["url"], r["extracted_text"]) for r in got] == [("a", "kept text")]
