@@ -3,15 +3,20 @@
 The words of a source form one stream (documents in a hashed order), cut into
 blocks of ``block`` words. A source's target decides how many words are
 drawn: whole passes over the stream and a part of a last pass. A pass visits
-the blocks in the order of a pseudorandom permutation of their indexes, so a
-slot of the mix is (source, pass, position) and its block is the permuted
-position. The slots of a source fall on the output shards by one multinomial
-draw (each slot by its own hash, the total fixed by the target), and blocks
-are joined to slots by index.
+the blocks in the order of a pseudorandom permutation of their indexes.
+
+The slots of a source (pass by pass) are dealt to the output shards by one
+multinomial draw: each slot draws a shard, the draws are only counted, and the
+counts become ranges of the source's slots, one range per shard. So the counts
+per shard are multinomial given the total, which the target fixes. Inside a
+shard the slots of all sources are put in the order of one more permutation,
+and a slot finds its block by index: slot number -> (pass, position) ->
+permuted block.
 
 No source is gathered in one task: streams are numbered by 1,024 hashed cells
-per source (cell totals first, then inside a cell), slots are made from
-ranges of 8,192 indexes, and the join key is (source, block).
+per source (cell totals first, then inside a cell), slots are drawn and made
+from ranges of 8,192 indexes, and the join key is (source, block). The table
+of the drawn counts has one row per source and shard.
 """
 
 from __future__ import annotations
@@ -66,6 +71,60 @@ def permute(x: Column, n: Column, keys: list[Column], rounds: int = ROUNDS) -> C
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x, step)
 
 
+def _numbered(ranges: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """A row with ``g`` for each number from ``lo`` to ``hi`` - 1 of a range,
+    made by ``tasks`` tasks in pieces of RANGE numbers."""
+    parts = ranges.withColumn("from", F.explode(F.sequence(
+        F.col("lo"), F.col("hi") - 1, F.lit(RANGE).cast("long"))))
+    return parts.repartition(tasks, *keys, "from").withColumn("g", F.explode(F.sequence(
+        F.col("from"), F.least(F.col("from") + RANGE - 1, F.col("hi") - 1)))).drop("from")
+
+
+def draw_counts(totals: DataFrame, out_shards: int, seed: int, tasks: int) -> DataFrame:
+    """(src, shard, n, lo, hi, base, shard_slots) from (src, n_slots).
+
+    n is the multinomial count of the source in the shard, [lo, hi) the range
+    of the source's slots that it takes, base the number of the shard's slots
+    that belong to sources before it and shard_slots their number in all. Pairs
+    with a count of 0 have no row."""
+    draws = _numbered(totals.select("src", F.lit(0).cast("long").alias("lo"), F.col("n_slots").alias("hi")), tasks, "src")
+    counts = draws.groupBy("src", F.pmod(F.xxhash64("src", "g", F.lit(~seed)), F.lit(out_shards)).alias("shard")).agg(
+        F.count("*").alias("n"))
+    before = (Window.unboundedPreceding, -1)
+    of_src = Window.partitionBy("src").orderBy("shard").rowsBetween(*before)
+    of_shard = Window.partitionBy("shard")
+    counts = counts.withColumns({
+        "lo": F.coalesce(F.sum("n").over(of_src), F.lit(0)),
+        "base": F.coalesce(F.sum("n").over(of_shard.orderBy("src").rowsBetween(*before)), F.lit(0)),
+        "shard_slots": F.sum("n").over(of_shard)})
+    return counts.withColumn("hi", F.col("lo") + F.col("n"))
+
+
+def deal_slots(goals: DataFrame, block: int, out_shards: int, seed: int, tasks: int) -> DataFrame:
+    """(src, epoch, block, words, shard, slot): the slots of the mix.
+
+    ``slot`` is gapless from 0 in each shard; the slot takes the first
+    ``words`` words of block ``block`` of the source's stream."""
+    span = F.lit(block).cast("long")
+    by_src = goals.filter(F.col("source_size") > 0).select(
+        "src", "source_size", F.round("target").cast("long").alias("goal"),
+        F.floor(F.col("source_size") / span).alias("n_full"), F.ceil(F.col("source_size") / span).alias("per_pass"))
+    by_src = by_src.filter("goal > 0").withColumn("last", F.floor((F.col("goal") - 1) / F.col("source_size")))
+    by_src = by_src.withColumn("n_slots", F.col("last") * F.col("per_pass") + F.ceil(
+        (F.col("goal") - F.col("last") * F.col("source_size")) / span))
+    ranges = draw_counts(by_src, out_shards, seed, tasks).join(by_src.drop("n_slots", "last"), "src")
+    slots = _numbered(ranges, tasks, "src", "shard")
+    slots = slots.withColumn("epoch", F.floor(F.col("g") / F.col("per_pass")))
+    slots = slots.withColumn("position", F.col("g") - F.col("epoch") * F.col("per_pass"))
+    in_pass = F.least("source_size", F.col("goal") - F.col("epoch") * F.col("source_size"))
+    # A pass has its full blocks in permuted order, the tail block last.
+    image = permute(F.col("position"), F.col("n_full"), [F.col("src"), F.col("epoch"), F.lit(seed)])
+    return slots.select(
+        "src", "epoch", F.when(F.col("position") < F.col("n_full"), image).otherwise(F.col("position")).alias("block"),
+        F.least(span, in_pass - F.col("position") * span).alias("words"), "shard",
+        permute(F.col("base") + F.col("g") - F.col("lo"), F.col("shard_slots"), [F.col("shard"), F.lit(~seed)]).alias("slot"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
         block: int = 256, out_shards: int = 64, seed: int = 11, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -101,26 +160,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
                 (F.col("base") + F.col("in_cell")).alias("start")))
 
     span = F.lit(block).cast("long")
-    by_src = goals.filter(F.col("source_size") > 0).select(
-        "src", "source_size", F.round("target").cast("long").alias("goal"),
-        F.floor(F.col("source_size") / span).alias("n_full"))
-    passes = by_src.withColumn("epoch", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.col("goal") - 1) / F.col("source_size")))))
-    passes = passes.filter("goal > 0").withColumn(
-        "goal", F.least("source_size", F.col("goal") - F.col("epoch") * F.col("source_size")))
     # A stated number: Spark would coalesce the few ranges into one task.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The slots of a pass: full blocks in permuted order, the tail block last.
-    ranges = passes.withColumn("from", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.col("goal") - 1) / span), F.lit(RANGE).cast("long"))))
-    slots = ranges.repartition(tasks, "src", "epoch", "from").withColumn("position", F.explode(F.sequence(
-        F.col("from"), F.least(F.col("from") + RANGE - 1, F.floor((F.col("goal") - 1) / span)))))
-    slots = slots.withColumn("words", F.least(span, F.col("goal") - F.col("position") * span))
-    image = permute(F.col("position"), F.col("n_full"), [F.col("src"), F.col("epoch"), F.lit(seed)])
-    slots = slots.withColumn("block", F.when(F.col("position") < F.col("n_full"), image).otherwise(F.col("position")))
-    slots = slots.select("src", "epoch", "block", "words",
-                         F.pmod(F.xxhash64("src", "epoch", "position", F.lit(~seed)), F.lit(out_shards)).alias("shard"),
-                         F.xxhash64("position", "epoch", "src").alias("slot"))
+    slots = deal_slots(goals, block, out_shards, seed, tasks)
     pieces = located.filter("size > 0").select("src", "start", "size", F.explode(F.sequence(
         F.floor(F.col("start") / span), F.floor((F.col("start") + F.col("size") - 1) / span))).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * span)
@@ -131,13 +173,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words the mix takes of each document."""
+    """Words the mix takes of each document, and the first place of the mix
+    (output shard and slot) that takes some of it; null where none does."""
     located, taken = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    sums = taken.groupBy("src", "start").agg(F.sum("words").alias("taken"))
+    sums = taken.groupBy("src", "start").agg(F.sum("words").alias("taken"), F.min(F.struct("shard", "slot")).alias("at"))
     cols = ["doc_id", "size", "source_size", "target"]
     some = located.filter("size > 0").join(sums, ["src", "start"], "left").select(
-        *cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
-    none = located.filter("size = 0").select(*cols, F.lit(0).cast("long").alias("taken"), "source")
+        *cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source",
+        F.col("at.shard").cast("int").alias("first_shard"), F.col("at.slot").alias("first_slot"))
+    none = located.filter("size = 0").select(
+        *cols, F.lit(0).cast("long").alias("taken"), "source", F.lit(None).cast("int").alias("first_shard"),
+        F.lit(None).cast("long").alias("first_slot"))
     return some.unionByName(none)
 
 

@@ -3,7 +3,7 @@
 import zlib
 from collections import Counter
 
-from lexaudit.llm.mixing import mix, mixed_documents, op4_mixing, permute
+from lexaudit.llm.mixing import deal_slots, draw_counts, mix, mixed_documents, op4_mixing, permute
 from lexaudit.llm.sharding import assign_shards, flow, op2_sharding
 from pyspark.sql import functions as F
 from tests_llm_support import SF, words
@@ -123,6 +123,49 @@ def test_slots_take_each_block_once_a_pass_and_spread(spark):
     assert len(per_shard) == 4 and max(per_shard.values()) < 1.2 * min(per_shard.values())
 
 
+def test_drawn_counts_become_ranges_and_gapless_slots(spark):
+    """Sources of no, one, few and many blocks, a hot one among them."""
+    sizes = {0: 0, 1: 5, 2: 16, 3: 1000, 4: 40_000}
+    goals = {0: 0.0, 1: 10.0, 2: 8.4, 3: 1999.6, 4: 60_000.0}
+    table = spark.createDataFrame([(s, sizes[s], goals[s]) for s in sizes], "src int, source_size long, target double")
+    totals = spark.createDataFrame([(s, -(-g // 16)) for s, g in ((1, 10), (3, 2000), (4, 60_000))], "src int, n_slots long")
+    counts = draw_counts(totals, 8, 3, 4).collect()
+    for src, n in ((1, 1), (3, 125), (4, 3750)):
+        mine = sorted((r.lo, r.hi) for r in counts if r.src == src)
+        assert mine[0][0] == 0 and mine[-1][1] == n and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
+    hot = [r.n for r in counts if r.src == 4]
+    # Drawn, not dealt in turn: eight counts with mean 469 and deviation 20.
+    assert len(set(hot)) > 1 and max(abs(n - 3750 / 8) for n in hot) < 120
+    rows = deal_slots(table, 16, 8, 3, 4).collect()
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    for src, size in sizes.items():
+        mine = [r for r in rows if r.src == src]
+        assert sum(r.words for r in mine) == round(goals[src])
+        for epoch in {r.epoch for r in mine}:
+            blocks = [r.block for r in mine if r.epoch == epoch]
+            assert len(set(blocks)) == len(blocks) and max(blocks) < -(-size // 16)
+        assert all(r.block * 16 + r.words <= size for r in mine)
+    assert Counter((r.src, r.shard) for r in rows if r.src == 4) == Counter(
+        {(4, r.shard): r.n for r in draw_counts(spark.createDataFrame([(4, 3750)], "src int, n_slots long"), 8, 3, 2).collect()})
+    order = [r.src for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert sum(a != b for a, b in zip(order, order[1:])) > 100
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, deal_slots(table, 16, 8, 3, 7).collect()))
+
+
+def test_joined_blocks_fill_the_slots(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    located, taken = mix(docs, block=16, out_shards=4)
+    goals = located.select("src", "source_size", "target").distinct()
+    slots = {(r.shard, r.slot): r for r in deal_slots(goals, 16, 4, 11, 4).collect()}
+    got = Counter()
+    for r in taken.collect():
+        s = slots[r.shard, r.slot]
+        assert (s.src, s.epoch) == (r.src, r.epoch) and s.block * 16 <= r.start + r.first < s.block * 16 + s.words
+        got[r.shard, r.slot] += r.words
+    assert got == Counter({k: s.words for k, s in slots.items()})
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 7, 64, 1000):
         image = spark.range(n).select(permute(F.col("id"), F.lit(n), [F.lit(3)]).alias("y")).collect()
