@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaudit.functions.text import normalize_pair_udf, normalize_token_udf
+from lexaudit.functions.phrases import phrase_classes, phrase_hits
 from lexaudit.functions.tokens import (TAGGER_RE, compound_extension_ok, compound_start_ok,
                                        script_pos, single_noun_ok, skip_basic_token)
 from lexaudit.session import cut_lineage
@@ -43,57 +44,41 @@ def normalize_morph(tokens: DataFrame) -> DataFrame:
             .withColumn("normalized_base_form", F.col("_norm.nb")).drop("_norm"))
 
 
-def _phrase_candidates(ns: Column, leads: list[Column], phrases: list[str]) -> tuple[Column, Column]:
-    """(length in tokens, text) of the longest run starting here whose
-    joined normalised surfaces is a phrase; (0, NULL) if none. A run stops
-    at the first empty normalised surface, and as soon as the joined text is
-    no prefix of any phrase (pruning only). One ``aggregate`` over the
-    following surfaces, evaluated only where the first surface is a prefix."""
-    phrase_set = sorted(set(phrases))
-    prefixes = sorted({p[:i] for p in phrase_set for i in range(1, len(p) + 1)})
-    max_len = max(len(p) for p in phrase_set)
-    alive0 = (F.coalesce(ns, F.lit("")) != "") & ns.isin(*prefixes)
-    init = F.struct(ns.alias("acc"), F.lit(1).alias("n"), F.lit(True).alias("alive"),
-                    F.when(ns.isin(*phrase_set), F.lit(1)).otherwise(F.lit(0)).alias("best_n"),
-                    F.when(ns.isin(*phrase_set), ns).alias("best_text"))
-
-    def step(st, x):
-        acc2 = F.concat(st["acc"], x)
-        ok = st["alive"] & (F.coalesce(x, F.lit("")) != "")
-        alive2 = ok & acc2.isin(*prefixes) & (F.length(acc2) <= max_len)
-        hit = alive2 & acc2.isin(*phrase_set)
-        n2 = st["n"] + 1
-        return F.struct(F.when(ok, acc2).otherwise(st["acc"]).alias("acc"), n2.alias("n"),
-                        alive2.alias("alive"),
-                        F.when(hit, n2).otherwise(st["best_n"]).alias("best_n"),
-                        F.when(hit, acc2).otherwise(st["best_text"]).alias("best_text"))
-
-    if leads:
-        res = F.aggregate(F.array(*leads), init, step)
-    else:
-        res = init
-    best = F.when(alive0, res)
-    return F.coalesce(best["best_n"], F.lit(0)), best["best_text"]
+def with_forced(tokens: DataFrame, phrases: Sequence[str]) -> DataFrame:
+    """TOK6: ``_forced_n`` and ``_forced_text`` of each token: length in tokens
+    and text of the longest run of normalised surfaces from here whose join is
+    a phrase (0, NULL if none).
+
+    One exchange by ``doc_key`` gathers a document's tokens in order, the
+    automaton steps over them, and the tokens come back in the same
+    partitioning, so the windows that follow need no other exchange. The plan
+    has the same size for any number of phrases; phrases past the bound of one
+    automaton take further passes, the longest match of all passes counts."""
+    others = [c for c in tokens.columns if c not in ("doc_key", "pos")]
+    toks = tokens.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("pos", *others))).alias("_toks"))
+    surfaces = F.transform("_toks", lambda t: t["normalized_surface"])
+    toks = toks.withColumn("_best", F.transform("_toks", lambda t: F.struct(
+        F.lit(0).alias("n"), F.lit(None).cast("string").alias("phrase"))))
+    classes = phrase_classes(phrases)
+    for k, part in enumerate(classes):
+        hits = phrase_hits(tokens.sparkSession, part)
+        toks = toks.withColumn("_hits", hits(surfaces))
+        toks = toks.withColumn("_best", F.zip_with(
+            "_best", F.arrays_zip(F.col("_hits.n").alias("n"), F.col("_hits.phrase").alias("phrase")),
+            lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a))).drop("_hits")
+        if k + 1 < len(classes):
+            toks = cut_lineage(toks)
+    out = toks.select("doc_key", F.explode(F.arrays_zip("_toks", "_best")).alias("_t"))
+    return out.select("doc_key", "_t._toks.*", F.col("_t._best.n").alias("_forced_n"),
+                      F.col("_t._best.phrase").alias("_forced_text"))
 
 
 def forced_matches(tokens: DataFrame, forced_phrases: Sequence[str]) -> DataFrame:
     """TOK6: at each position the longest run of normalised surfaces whose
-    join is a phrase -> ``(doc_key, pos, phrase, n_tokens)``. The run length
-    is bounded by the longest phrase (each token adds at least one
-    character); candidates are ``lead`` concatenations tested against the
-    phrase set (an in-plan hash set)."""
-    phrases = sorted({p for p in forced_phrases if p})
-    t = normalize_morph(tokens)
-    if not phrases:
-        return t.select("doc_key", "pos", F.lit(None).cast("string").alias("phrase"),
-                        F.lit(0).alias("n_tokens")).limit(0)
-    ns = F.col("normalized_surface")
-    w = Window.partitionBy("doc_key").orderBy("pos")
-    max_len = max(len(p) for p in phrases)
-    leads = [F.lead(ns, k).over(w) for k in range(1, max_len)]
-    n, text = _phrase_candidates(ns, leads, phrases)
-    return (t.select("doc_key", "pos", n.alias("n_tokens"), text.alias("phrase"))
-            .filter(F.col("n_tokens") > 0).select("doc_key", "pos", "phrase", "n_tokens"))
+    join is a phrase -> ``(doc_key, pos, phrase, n_tokens)``."""
+    t = with_forced(normalize_morph(tokens).select("doc_key", "pos", "normalized_surface"), forced_phrases)
+    return t.filter(F.col("_forced_n") > 0).select(
+        "doc_key", "pos", F.col("_forced_text").alias("phrase"), F.col("_forced_n").alias("n_tokens"))
 
 
 def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
@@ -113,6 +98,10 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
     """
     phrases = sorted({p for p in forced_phrases if p})
     t = normalize_morph(tokens)
+    if phrases:
+        t = with_forced(t, phrases)
+    else:
+        t = t.withColumn("_forced_n", F.lit(0)).withColumn("_forced_text", F.lit(None).cast("string"))
     ns = F.col("normalized_surface")
     w = Window.partitionBy("doc_key").orderBy("pos")
     ext = compound_extension_ok(F.col("primary_pos"), F.col("subtype"), ns)
@@ -141,13 +130,6 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
     # Island end and first valid compound start: one window pass.
     t = t.select("*", (F.max(F.when(e, F.col("pos"))).over(wi) + 1).alias("_island_end"),
                  F.min(F.when(F.col("_comp_ok"), F.col("pos"))).over(wi).alias("_island_first_comp"))
-    if phrases:
-        max_len = max(len(p) for p in phrases)
-        leads = [F.lead(ns, k).over(w) for k in range(1, max_len)]
-        forced_n, forced_text = _phrase_candidates(ns, leads, phrases)
-        t = t.withColumn("_forced_n", forced_n).withColumn("_forced_text", forced_text)
-    else:
-        t = t.withColumn("_forced_n", F.lit(0)).withColumn("_forced_text", F.lit(None).cast("string"))
     cols = ["doc_key", "pos", "_island", "_ext", "surface", "normalized_surface", "normalized_base_form",
             "primary_pos", "subtype", "_comp_ok", "_forced_n", "_forced_text", "_land"]
     if not phrases:

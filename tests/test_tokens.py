@@ -9,7 +9,8 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from lexaudit.operators import keywords as K
-from lexaudit.operators.tokens import scan_keywords, script_tokens
+from lexaudit.functions import phrases as P
+from lexaudit.operators.tokens import forced_matches, scan_keywords, script_tokens
 
 NOUN = "名詞"
 
@@ -140,3 +141,52 @@ def test_fast_path_equals_general_scan(spark):
                K.count_normalized(scan_keywords(script_tokens(jp, "doc_id", "text"))).collect()}
     assert fast == general
     assert ("東京タワー", 1) in fast
+
+
+def longest_plain(ns, phrases):
+    out = []
+    for i in range(len(ns)):
+        best = (0, None)
+        for j in range(i, len(ns)):
+            if not ns[j]:
+                break
+            text = "".join(ns[i:j + 1])
+            if text in phrases:
+                best = (j + 1 - i, text)
+        out.append(best)
+    return out
+
+
+def test_automaton_finds_the_longest_phrase_at_each_token():
+    rng = random.Random(9)
+    for _ in range(400):
+        phrases = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 12))}
+        ns = ["".join(rng.choice("abc" if rng.random() < 0.1 else "ab") for _ in range(rng.choice((0, 1, 1, 1, 2, 3))))
+              for _ in range(rng.randint(0, 30))]
+        n, text = P.PhraseAutomaton(sorted(phrases)).longest(ns)
+        assert list(zip(n, text)) == longest_plain(ns, phrases), (phrases, ns)
+
+
+def test_phrases_past_one_automaton_take_further_passes(spark, monkeypatch):
+    assert P.phrase_classes(["bb", "a", "", "bb", "ccc"], 3) == [["a", "bb"], ["ccc"]]
+    monkeypatch.setattr(P, "PHRASE_CHARS", 5)
+    rows = [("d", i, s, s, NOUN, "一般") for i, s in enumerate(["ab", "cd", "", "ab", "cd", "ef", "x"])]
+    rows += [("e", 0, None, None, None, None), (None, 0, "ab", "ab", NOUN, "一般"), (None, 1, "cd", "cd", NOUN, "一般")]
+    df = spark.createDataFrame(rows, "doc_key string, pos int, surface string, base_form string, "
+                                     "primary_pos string, subtype string")
+    got = {(r.doc_key, r.pos, r.phrase, r.n_tokens) for r in forced_matches(df, ["abcd", "ab", "cdef", "ef", "xy"]).collect()}
+    assert got == {("d", 0, "abcd", 2), ("d", 3, "abcd", 2), ("d", 4, "cdef", 2), ("d", 5, "ef", 1), (None, 0, "abcd", 2)}
+    assert forced_matches(df, []).count() == 0 and forced_matches(df.limit(0), ["ab"]).count() == 0
+
+
+def test_many_phrases_leave_the_plan_as_it_is(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    toks = script_tokens(docs, "doc_id", "text")
+
+    def plan(phrases):
+        return scan_keywords(toks, forced_phrases=phrases)._jdf.queryExecution().analyzed().toString()
+
+    many = [f"phrase{k}x" for k in range(100_000)]
+    assert abs(len(plan(many)) - len(plan(["thethe"]))) < 2000
+    a = sorted(map(tuple, scan_keywords(toks, forced_phrases=["thethe", "theand"]).collect()))
+    assert a == sorted(map(tuple, scan_keywords(toks, forced_phrases=["thethe", "theand", *many]).collect()))
