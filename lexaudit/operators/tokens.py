@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaudit.functions.text import normalize_pair_udf, normalize_token_udf
+from lexaudit.functions.text import is_ascii, normalize_ascii, normalize_pair_udf
 from lexaudit.functions.phrases import phrase_classes, phrase_hits
 from lexaudit.functions.tokens import (TAGGER_RE, compound_extension_ok, compound_start_ok,
                                        script_pos, single_noun_ok, skip_basic_token)
@@ -34,14 +34,20 @@ def script_tokens(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
 
 def normalize_morph(tokens: DataFrame) -> DataFrame:
     """TOK1/TOK2: base form '*' or empty -> surface; normalised surface and
-    base form. One Arrow-batched Python call per token batch, no shuffle;
-    the base form is only normalised separately when it differs."""
+    base form. ASCII needs no Unicode normalisation and stays in the JVM; the
+    Arrow function only sees the other strings, and a base form only where it
+    differs from the surface. No shuffle: a dictionary of the distinct
+    surfaces would have to be joined back to every token."""
     t = tokens.withColumn(
         "base_form", F.when((F.coalesce(F.col("base_form"), F.lit("")) == "") | (F.col("base_form") == "*"),
                             F.col("surface")).otherwise(F.col("base_form")))
-    t = t.withColumn("_norm", normalize_pair_udf(F.col("surface"), F.col("base_form")))
-    return (t.withColumn("normalized_surface", F.col("_norm.ns"))
-            .withColumn("normalized_base_form", F.col("_norm.nb")).drop("_norm"))
+    surface, base = F.col("surface"), F.col("base_form")
+    other = base != surface
+    t = t.withColumn("_norm", normalize_pair_udf(F.when(~is_ascii(surface), surface),
+                                                 F.when(other & ~is_ascii(base), base)))
+    t = t.withColumn("normalized_surface", F.when(is_ascii(surface), normalize_ascii(surface)).otherwise(F.col("_norm.ns")))
+    return t.withColumn("normalized_base_form", F.when(other, F.when(is_ascii(base), normalize_ascii(base)).otherwise(
+        F.col("_norm.nb"))).otherwise(F.col("normalized_surface"))).drop("_norm")
 
 
 def with_forced(tokens: DataFrame, phrases: Sequence[str]) -> DataFrame:
@@ -177,23 +183,26 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
             .when(F.col("_comp_ok"), F.lit("compound"))
             .otherwise(F.lit("single")))
     landed = landed.withColumn("kind", kind)
-    # A compound runs from its start to the end of its island (at most one
-    # per island): its text is the island's normalised surfaces from the
-    # start on, collected by one window over the island.
     if phrases:
         landed = landed.withColumn("_cstart", F.max(F.when(F.col("kind") == "compound", F.col("pos"))).over(wi))
     else:
         # Without forced phrases the compound start is the first valid one.
         landed = landed.withColumn("_cstart", F.col("_island_first_comp"))
-    w_all = wi.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ctext = F.array_join(F.collect_list(F.when(F.col("_ext") & (F.col("pos") >= F.col("_cstart")),
-                                               F.col("normalized_surface"))).over(w_all), "")
-    landed = landed.withColumn("_ctext", F.when(F.col("_cstart").isNotNull(), ctext))
     single_val = F.when(single_noun_ok(F.col("primary_pos"), F.col("subtype")),
                         F.when(F.col("normalized_base_form") != "", F.col("normalized_base_form"))
                         .otherwise(F.col("normalized_surface")))
-    keyword = (F.when(F.col("kind") == "single", single_val)
-               .when(F.col("kind") == "forced", F.col("_forced_text"))
-               .when(F.col("kind") == "compound", F.col("_ctext")))
-    out = landed.select("doc_key", "pos", keyword.alias("keyword"), "kind")
+    value = F.when(F.col("kind") == "single", single_val).when(F.col("kind") == "forced", F.col("_forced_text"))
+    # A compound runs from its start to the end of its island (at most one per
+    # island): its tokens are grouped under the start, every other keyword is
+    # a group of its own. Each token is in one group at most.
+    inside = F.coalesce(F.col("_ext") & (F.col("pos") >= F.col("_cstart")), F.lit(False))
+    emitted = landed.select("doc_key", F.when(inside, F.col("_cstart")).otherwise(F.col("pos")).alias("_at"), "pos", "kind",
+                            value.alias("_value"), F.when(inside, F.col("normalized_surface")).alias("_part"))
+    emitted = emitted.filter(F.col("_value").isNotNull() | F.col("_part").isNotNull())
+    out = emitted.groupBy("doc_key", F.col("_at").alias("pos")).agg(
+        F.min(F.struct("pos", "kind", "_value")).alias("_head"),
+        F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("pos", "_part")))).alias("_parts"))
+    keyword = F.when(F.col("_head.kind") == "compound", F.array_join(F.col("_parts._part"), "")).otherwise(
+        F.col("_head._value"))
+    out = out.select("doc_key", "pos", keyword.alias("keyword"), F.col("_head.kind").alias("kind"))
     return out.filter(F.col("keyword").isNotNull() & ~skip_basic_token(F.col("keyword")))
