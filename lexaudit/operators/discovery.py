@@ -63,14 +63,17 @@ def sitemap_seeds(sites: DataFrame, robots: DataFrame | None) -> DataFrame:
 
 
 def parse_sitemaps(docs: DataFrame) -> DataFrame:
-    """DSC7 + DSC8: ``(sitemap_url, fetch_status, doc_type, locs)``.
+    """DSC7 + DSC8: ``(sitemap_url, final_url, fetch_status, doc_type, locs)``;
+    ``final_url`` is the URL after redirects where ``docs`` has one
+    (``follow_redirects``), else the URL itself.
     Status: no row/NULL status -> request_error; >= 400 -> http_<n>; empty
     or malformed XML -> parse_error; root urlset / sitemapindex; another
     root with url/loc -> urlset, with sitemap/loc -> sitemapindex; else
     parse_error. Namespace-blind, loc text stripped, blanks dropped."""
     x = F.from_xml(F.coalesce(F.col("body"), F.lit("")), SITEMAP_SCHEMA,
                    {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    d = docs.select("sitemap_url", "status_code", "body", x.alias("_x"))
+    final = F.col("final_url") if "final_url" in docs.columns else F.col("sitemap_url")
+    d = docs.select("sitemap_url", final.alias("final_url"), "status_code", "body", x.alias("_x"))
     root = F.regexp_extract(F.coalesce(F.col("body"), F.lit("")), _ROOT_RE, 1)
     url_locs = F.filter(F.transform(F.coalesce(F.col("_x.url"), F.array()), lambda e: py_strip(e["loc"])),
                         lambda v: v.isNotNull() & (v != ""))
@@ -89,7 +92,7 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
               .otherwise(F.concat(F.lit("ok_"), doc_type)))
     locs = F.when(doc_type == "urlset", url_locs).when(doc_type == "sitemapindex", sm_locs) \
         .otherwise(F.array().cast("array<string>"))
-    return d.select("sitemap_url", status.alias("fetch_status"),
+    return d.select("sitemap_url", "final_url", status.alias("fetch_status"),
                     F.when(st < 400, doc_type).alias("doc_type"), F.when(st < 400, locs)
                     .otherwise(F.array().cast("array<string>")).alias("locs"))
 
@@ -99,7 +102,7 @@ _NO_LOCS = "array<string>"
 
 def _with_documents(level: DataFrame, parsed: DataFrame) -> DataFrame:
     return level.join(parsed, "sitemap_url", "left").select(
-        "site_id", "level", "key", "sitemap_url", "discovered_from",
+        "site_id", "level", "key", "sitemap_url", F.coalesce("final_url", "sitemap_url").alias("final_url"), "discovered_from",
         F.coalesce("fetch_status", F.lit("request_error")).alias("fetch_status"), "doc_type",
         F.coalesce("locs", F.array().cast(_NO_LOCS)).alias("locs"))
 
@@ -107,7 +110,7 @@ def _with_documents(level: DataFrame, parsed: DataFrame) -> DataFrame:
 def _next_level(front: DataFrame, level: int, seen: list[DataFrame]) -> DataFrame:
     """The sitemaps that the indexes of ``front`` name first, in queue order."""
     kids = (front.filter(F.col("fetch_status") == "ok_sitemapindex")
-            .select("site_id", F.col("key").alias("_pkey"), F.col("sitemap_url").alias("_parent"),
+            .select("site_id", F.col("key").alias("_pkey"), F.col("final_url").alias("_parent"),
                     F.posexplode("locs").alias("_lpos", "_loc")))
     kids = with_resolved_url(kids, "_parent", "_loc", "sitemap_url").select(
         "site_id", "_pkey", F.col("_lpos").cast("long").alias("_lpos"), "sitemap_url",
@@ -123,7 +126,7 @@ def _next_level(front: DataFrame, level: int, seen: list[DataFrame]) -> DataFram
 
 def traverse_sitemaps(seeds: DataFrame, docs: DataFrame, accept=None) -> DataFrame:
     """DSC9: FIFO traversal of sitemap indexes, each URL once. Returns the
-    fetched documents ``(site_id, level, key, sitemap_url, discovered_from,
+    fetched documents ``(site_id, level, key, sitemap_url, final_url, discovered_from,
     fetch_status, doc_type, locs)``; ``(level, key)`` is the queue order: a
     key holds the seed position and the loc positions down to the document,
     so a level is ordered without a window per site. The loop runs until a

@@ -118,10 +118,3 @@ def fetched_pages(spark: SparkSession, path: str) -> DataFrame:
 def text_audit(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: a stored ``text_audit`` table for a re-run from cached text."""
     return spark.read.schema(schemas.TEXT_AUDIT).parquet(path)
-
-
-def whole_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8/SRC9: robots or sitemap bodies stored one file each. ``wholetext``
-    reads a file as one row; ``.gz`` files are decompressed by suffix."""
-    return (spark.read.option("wholetext", True).text(path)
-            .select(F.input_file_name().alias("path"), F.col("value").alias("body")))
