@@ -56,7 +56,7 @@ def robots_rules(bodies: DataFrame) -> DataFrame:
     t = t.withColumn("entry", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     active_rule = (F.col("kind") == "rule") & (F.col("_last_ub") == "ua")
     agents = t.filter(F.col("kind") == "ua").groupBy("origin", "entry").agg(
-        F.collect_list("value").alias("agents"), F.min("ln").alias("_first_ln"))
+        F.array_sort(F.collect_list(F.struct("ln", "value")))["value"].alias("agents"))
     rules = t.filter(active_rule).select(
         "origin", "entry", F.col("ln").alias("seq"),
         # An empty Disallow means allow all.
@@ -109,12 +109,16 @@ def robots_decisions(urls: DataFrame, bodies: DataFrame, user_agent: str,
             .select("origin", F.coalesce("_rank", "_def_rank").alias("_use_rank")))
     active = rules.join(pick, "origin").filter(F.col("entry_rank") == F.col("_use_rank")) \
         .select("origin", "seq", "allow", "path")
-    # URLs x rules of their own origin's chosen entry (an equi-join on
-    # origin), prefix test, first rule by file order.
-    hit = (u.select("url", "origin", "_fname").join(active, "origin")
-           .filter(F.col("_fname").startswith(F.col("path")))
-           .groupBy("url").agg(F.min_by("allow", "seq").alias("_rule_allow")))
-    d = u.join(pol, "origin", "left").join(hit, "url", "left")
+    # One row per path, with its first place in the file: that one decides.
+    active = active.groupBy("origin", "path").agg(F.min_by("allow", "seq").alias("allow"), F.min("seq").alias("seq"))
+    lengths = active.groupBy("origin").agg(F.collect_set(F.length("path")).alias("_lengths"))
+    d = u.join(pol.join(lengths, "origin", "left"), "origin", "left")
+    # Only prefixes of a length that some rule of the origin has can be rules:
+    # a URL meets its rules by equality, never the other rules of its origin.
+    fits = F.filter("_lengths", lambda n: n <= F.length("_fname"))
+    d = d.withColumn("path", F.explode_outer(F.transform(fits, lambda n: F.substring("_fname", F.lit(1), n))))
+    d = d.join(active, ["origin", "path"], "left").groupBy("url", "origin", "policy", "robots_url", "source_status").agg(
+        F.min_by("allow", "seq").alias("_rule_allow"))
     allowed = (F.when(F.col("origin").isNull(), F.lit(True))
                .when(F.col("policy").isNull(), F.lit(True))
                .when(F.col("policy") == "disallow_all", F.lit(False))

@@ -1,9 +1,10 @@
 """Robots decisions against the standard library's parser (the reference
 delegates to it)."""
 
+import random
 from urllib.robotparser import RobotFileParser
 
-from lexaudit.operators.robots import robots_decisions
+from lexaudit.operators.robots import robots_decisions, robots_rules
 from lexaudit.sources import derived as D
 
 BODIES = {
@@ -46,3 +47,28 @@ def test_status_policies(spark):
     assert got["http://s500.example.com/a"] == (True, "allowed_by_robots_txt")
     assert got["http://snone.example.com/a"] == (True, "allowed_by_robots_txt")
     assert got["mailto:x@y.z"] == (True, "robots_not_checked_invalid_url")
+
+
+def test_ten_thousand_rules_of_one_origin(spark):
+    """Rules nested in each other, repeated, and in no order of length."""
+    rng = random.Random(4)
+    o = "http://many.example.com"
+    paths = ["/" + "/".join(str(rng.randint(0, 9)) for _ in range(rng.randint(1, 6))) for _ in range(10_000)]
+    body = "User-agent: *\n" + "".join(f"{rng.choice(('Allow', 'Disallow'))}: {p}\n" for p in paths)
+    bodies = spark.createDataFrame([(o, o + "/robots.txt", 200, body)],
+                                   "origin string, robots_url string, source_status int, body string")
+    urls = sorted({o + "/" + "/".join(str(rng.randint(0, 12)) for _ in range(rng.randint(0, 7))) for _ in range(3000)})
+    d = robots_decisions(spark.createDataFrame([(u,) for u in urls], "url string"), bodies, UA)
+    got = {r["url"]: r["allowed"] for r in d.collect()}
+    rp = RobotFileParser()
+    rp.parse(body.splitlines())
+    assert got == {u: rp.can_fetch(UA, u) for u in urls}
+    assert {True, False} == set(got.values())
+
+
+def test_agents_keep_the_order_of_the_file(spark):
+    names = [f"agent{k}" for k in (3, 1, 2, 9, 0)]
+    body = "".join(f"User-agent: {n}\n" for n in names) + "Disallow: /x\n"
+    rows = robots_rules(spark.createDataFrame([("http://o.example.com", "r", 200, body)],
+                                              "origin string, robots_url string, source_status int, body string")).collect()
+    assert [r.agents for r in rows] == [names]
