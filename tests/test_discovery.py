@@ -85,3 +85,17 @@ def test_a_walk_under_the_default_caps_equals_a_queue_walk(spark):
                 queue.append(x)
     targets, _ = walk(spark, links, [("a", "http://a.com/", False, 200, 3)])
     assert targets == sorted(("a", u) for u in depth if u != "http://a.com/") and len(targets) == 14
+
+
+def test_a_feed_page_carries_its_own_links_only(spark):
+    from lexaudit.sources import derived as D
+    pages = spark.createDataFrame([(i, f"http://a.com/{i:03d}") for i in range(200)] + [(9, "http://b.com/"), (None, "http://b.com/x")],
+                                  "page_id long, url string")
+    feed = D.feed_pages(pages, 2)
+    rest = {(r.api_url.split("/")[2], r.page): r for r in feed.collect() if "rest_route" in r.api_url}
+    assert len(rest) == 101 + 2
+    assert rest["a.com", 100].body == '[{"id":198,"link":"http://a.com/198"},{"id":199,"link":"http://a.com/199"},7]'
+    assert rest["a.com", 101].status_code == 400 and rest["a.com", 7].headers[0].value == "200"
+    assert rest["b.com", 1].body == '[{"id":9,"link":"http://b.com/"},7]'
+    plan = feed._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "slice(" not in plan
