@@ -11,15 +11,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 # Characters of the phrases in one automaton (some 120 bytes each in a task).
 # More phrases are dealt to several automata, one pass each.
 PHRASE_CHARS = 2_000_000
 MEMO = 1 << 16
-HITS = "n array<int>, phrase array<string>"
 
 
 class PhraseAutomaton:
@@ -91,27 +88,32 @@ class PhraseAutomaton:
         return n, ["".join(surfaces[i:i + k]) if k else None for i, k in enumerate(n)]
 
 
-# The automaton of the last phrases this worker has seen.
-_LAST: dict[str, PhraseAutomaton] = {}
+# The automatons this worker has built, by list of phrases; those of the lists
+# that are not ``_WANTED`` go when another list comes.
+_BUILT: dict[str, PhraseAutomaton] = {}
+_WANTED: list[tuple[str, ...]] = []
 
 
-def phrase_hits(spark: SparkSession, phrases: Sequence[str]):
-    """Function of an array of surfaces -> struct (n, phrase) of two arrays of
-    the same length. The phrases, PHRASE_CHARS characters at most, are
-    broadcast; each worker builds its automaton once."""
-    if sum(map(len, phrases)) > PHRASE_CHARS:
+def phrase_steps(spark: SparkSession, classes: Sequence[Sequence[str]]) -> list:
+    """Per class of phrases a function of a document's surfaces -> (n, phrase)
+    of each token. The classes, PHRASE_CHARS characters at most each, are
+    broadcast; each worker builds their automatons once and keeps them, as
+    every document steps through all of them."""
+    if any(sum(map(len, phrases)) > PHRASE_CHARS for phrases in classes):
         raise ValueError(f"more than {PHRASE_CHARS} characters of phrases in one automaton")
-    shared = spark.sparkContext.broadcast(list(phrases))
-    name = hashlib.sha256("\0".join(phrases).encode("utf-8", "surrogatepass")).hexdigest()
-
-    def hits(surfaces: pd.Series) -> pd.DataFrame:
-        if name not in _LAST:
-            _LAST.clear()
-            _LAST[name] = PhraseAutomaton(shared.value)
-        found = [_LAST[name].longest(s) for s in surfaces]
-        return pd.DataFrame({"n": [n for n, _ in found], "phrase": [p for _, p in found]})
-
-    return F.pandas_udf(hits, HITS).asNondeterministic()
+    names = tuple(hashlib.sha256("\0".join(c).encode("utf-8", "surrogatepass")).hexdigest() for c in classes)
+
+    def steps_of(name: str, shared):
+        def steps(surfaces: Sequence[str | None]) -> tuple[list[int], list[str | None]]:
+            if name not in _BUILT:
+                if _WANTED != [names]:
+                    _BUILT.clear()
+                    _WANTED[:] = [names]
+                _BUILT[name] = PhraseAutomaton(shared.value)
+            return _BUILT[name].longest(surfaces)
+        return steps
+
+    return [steps_of(name, spark.sparkContext.broadcast(list(c))) for name, c in zip(names, classes)]
 
 
 def phrase_classes(phrases: Iterable[str], most: int | None = None) -> list[list[str]]:

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.functions.text import is_ascii, normalize_ascii, normalize_pair_udf
-from lexaudit.functions.phrases import phrase_classes, phrase_hits
+from lexaudit.functions import scan as S
+from lexaudit.functions.phrases import phrase_classes, phrase_steps
 from lexaudit.functions.tokens import (TAGGER_RE, compound_extension_ok, compound_start_ok,
                                        script_pos, single_noun_ok, skip_basic_token)
-from lexaudit.session import cut_lineage
+from lexaudit.operators.common import dealt_by
 
 
 def script_tokens(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
@@ -32,59 +33,66 @@ def script_tokens(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
                        primary.alias("primary_pos"), subtype.alias("subtype"))
 
 
-def normalize_morph(tokens: DataFrame) -> DataFrame:
-    """TOK1/TOK2: base form '*' or empty -> surface; normalised surface and
-    base form. ASCII needs no Unicode normalisation and stays in the JVM; the
-    Arrow function only sees the other strings, and a base form only where it
-    differs from the surface. No shuffle: a dictionary of the distinct
-    surfaces would have to be joined back to every token."""
-    t = tokens.withColumn(
-        "base_form", F.when((F.coalesce(F.col("base_form"), F.lit("")) == "") | (F.col("base_form") == "*"),
-                            F.col("surface")).otherwise(F.col("base_form")))
-    surface, base = F.col("surface"), F.col("base_form")
-    other = base != surface
-    t = t.withColumn("_norm", normalize_pair_udf(F.when(~is_ascii(surface), surface),
-                                                 F.when(other & ~is_ascii(base), base)))
-    t = t.withColumn("normalized_surface", F.when(is_ascii(surface), normalize_ascii(surface)).otherwise(F.col("_norm.ns")))
-    return t.withColumn("normalized_base_form", F.when(other, F.when(is_ascii(base), normalize_ascii(base)).otherwise(
-        F.col("_norm.nb"))).otherwise(F.col("normalized_surface"))).drop("_norm")
-
-
-def with_forced(tokens: DataFrame, phrases: Sequence[str]) -> DataFrame:
-    """TOK6: ``_forced_n`` and ``_forced_text`` of each token: length in tokens
-    and text of the longest run of normalised surfaces from here whose join is
-    a phrase (0, NULL if none).
-
-    One exchange by ``doc_key`` gathers a document's tokens in order, the
-    automaton steps over them, and the tokens come back in the same
-    partitioning, so the windows that follow need no other exchange. The plan
-    has the same size for any number of phrases; phrases past the bound of one
-    automaton take further passes, the longest match of all passes counts."""
-    others = [c for c in tokens.columns if c not in ("doc_key", "pos")]
-    toks = tokens.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("pos", *others))).alias("_toks"))
-    surfaces = F.transform("_toks", lambda t: t["normalized_surface"])
-    toks = toks.withColumn("_best", F.transform("_toks", lambda t: F.struct(
-        F.lit(0).alias("n"), F.lit(None).cast("string").alias("phrase"))))
-    classes = phrase_classes(phrases)
-    for k, part in enumerate(classes):
-        hits = phrase_hits(tokens.sparkSession, part)
-        toks = toks.withColumn("_hits", hits(surfaces))
-        toks = toks.withColumn("_best", F.zip_with(
-            "_best", F.arrays_zip(F.col("_hits.n").alias("n"), F.col("_hits.phrase").alias("phrase")),
-            lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a))).drop("_hits")
-        if k + 1 < len(classes):
-            toks = cut_lineage(toks)
-    out = toks.select("doc_key", F.explode(F.arrays_zip("_toks", "_best")).alias("_t"))
-    return out.select("doc_key", "_t._toks.*", F.col("_t._best.n").alias("_forced_n"),
-                      F.col("_t._best.phrase").alias("_forced_text"))
+def _tokens_of_documents(tokens: DataFrame) -> DataFrame:
+    """One row per ``doc_key`` with its tokens as lists of the same length:
+    ``_pos``, ``_surface``, ``_base`` (empty where it is the surface) and
+    ``_flags`` (what the part of speech allows). One exchange, by document;
+    nothing but these four values of a token moves."""
+    surface, base = F.coalesce("surface", F.lit("")), F.coalesce("base_form", F.lit(""))
+    kind = (F.col("primary_pos"), F.col("subtype"))
+    # The surface itself is tested when it has been normalised.
+    flags = (F.when(compound_extension_ok(*kind, F.lit("x")), S.EXT).otherwise(0)
+             + F.when(compound_start_ok(*kind, F.lit("x")), S.START).otherwise(0)
+             + F.when(single_noun_ok(*kind), S.SINGLE).otherwise(0)).cast("tinyint")
+    moved = tokens.select("doc_key", F.coalesce("pos", F.lit(-1)).cast("int").alias("_pos"), surface.alias("_surface"),
+                          F.when((base == "*") | (base == surface), F.lit("")).otherwise(base).alias("_base"),
+                          flags.alias("_flags"))
+    # The tokens of a document mostly stand together: each run of them becomes
+    # one row before the exchange, and the exchange joins a document's runs.
+    names = ("_pos", "_surface", "_base", "_flags")
+    key = tokens.schema["doc_key"].dataType.simpleString()
+    runs = moved.mapInArrow(S.document_runs, f"doc_key {key}, _pos array<int>, _surface array<string>, "
+                                             "_base array<string>, _flags array<tinyint>")
+    return dealt_by(runs, "doc_key").groupBy("doc_key").agg(
+        *[F.flatten(F.collect_list(c)).alias(c) for c in names])
+
+
+def _longest(spark: SparkSession, phrases: Sequence[str]):
+    """Function of a document's normalised surfaces -> longest phrase at each
+    (its tokens, its text); phrases past the bound of one automaton take
+    further passes and the longest match of all passes counts."""
+    steps = phrase_steps(spark, phrase_classes(phrases))
+
+    def longest(surfaces: Sequence[str]) -> tuple[list[int], list[str | None]]:
+        n, text = [0] * len(surfaces), [None] * len(surfaces)
+        for step in steps:
+            for i, (k, phrase) in enumerate(zip(*step(surfaces))):
+                if k > n[i]:
+                    n[i], text[i] = k, phrase
+        return n, text
+
+    return steps[0] if len(steps) == 1 else longest
 
 
 def forced_matches(tokens: DataFrame, forced_phrases: Sequence[str]) -> DataFrame:
     """TOK6: at each position the longest run of normalised surfaces whose
     join is a phrase -> ``(doc_key, pos, phrase, n_tokens)``."""
-    t = with_forced(normalize_morph(tokens).select("doc_key", "pos", "normalized_surface"), forced_phrases)
-    return t.filter(F.col("_forced_n") > 0).select(
-        "doc_key", "pos", F.col("_forced_text").alias("phrase"), F.col("_forced_n").alias("n_tokens"))
+    longest = _longest(tokens.sparkSession, forced_phrases)
+
+    def matches(pos: pa.Array, surface: pa.Array) -> pa.Array:
+        return S.per_document(lambda p, s: S.phrases_at(p, s, longest), S.PHRASES)(pos, surface)
+
+    matches.__annotations__ = {"pos": pa.Array, "surface": pa.Array, "return": pa.Array}
+    found = F.arrow_udf(matches, S.PHRASES_DDL).asNondeterministic()
+    docs = _tokens_of_documents(tokens.withColumns(dict.fromkeys(
+        ("base_form", "primary_pos", "subtype"), F.lit(None).cast("string"))))
+    return _unpacked(docs.select("doc_key", found("_pos", "_surface").alias("_found")), "pos", "phrase", "n_tokens")
+
+
+def _unpacked(found: DataFrame, *names: str) -> DataFrame:
+    """One row per place of the lists in ``_found``."""
+    rows = found.select("doc_key", F.explode(F.arrays_zip(*[F.col(f"_found.{n}").alias(n) for n in names])).alias("_k"))
+    return rows.select("doc_key", F.nullif(F.col("_k.pos"), F.lit(-1)).alias("pos"), *[f"_k.{n}" for n in names if n != "pos"])
 
 
 def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
@@ -94,115 +102,18 @@ def scan_keywords(tokens: DataFrame, *, compound_mode: bool = True,
 
     Returns ``(doc_key, pos, keyword, kind)``, one row per emitted keyword.
 
-    Plan: one shuffle by ``doc_key`` for the token windows. A position r is a
-    sure landing point of the scan when no take from an earlier position
-    reaches past it (running max of the take ends); such points cut a page
-    into segments that are scanned independently. Inside an island of
-    compound nouns without forced phrases the scan lands on the first valid
-    compound start, found with window minima; only segments with a forced
-    phrase need the sequential fold, done per segment with ``aggregate``.
+    Plan: one exchange gathers the tokens of a document, the scan
+    (``functions/scan.py``) goes over them once, and its keywords come out as
+    rows. The plan has the same size for any number of phrases.
     """
     phrases = sorted({p for p in forced_phrases if p})
-    t = normalize_morph(tokens)
-    if phrases:
-        t = with_forced(t, phrases)
-    else:
-        t = t.withColumn("_forced_n", F.lit(0)).withColumn("_forced_text", F.lit(None).cast("string"))
-    ns = F.col("normalized_surface")
-    w = Window.partitionBy("doc_key").orderBy("pos")
-    ext = compound_extension_ok(F.col("primary_pos"), F.col("subtype"), ns)
-    start = compound_start_ok(F.col("primary_pos"), F.col("subtype"), ns)
-    t = t.withColumns({"_ext": ext, "_start": start})
-    # Islands: maximal runs of extension-eligible tokens.
-    t = t.withColumn("_island", F.sum(F.when(~F.col("_ext"), 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    wi = Window.partitionBy("doc_key", "_island")
-    # Reverse running values over the island suffix that starts here (one
-    # window pass for all of them).
-    wr = Window.partitionBy("doc_key", "_island").orderBy(F.desc("pos")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    e = F.col("_ext")
-    t = t.select("*",
-                 F.sum(F.when(e, 1).otherwise(0)).over(wr).alias("_sfx_n"),
-                 F.sum(F.when(e, F.length(ns)).otherwise(0)).over(wr).alias("_sfx_len"),
-                 F.min(F.when(e, ns.rlike("^\\p{N}+$").cast("int"))).over(wr).alias("_sfx_num"),
-                 F.min(F.when(e, ns.rlike("^[\\p{P}\\p{S}]+$").cast("int"))).over(wr).alias("_sfx_sym"),
-                 F.min(F.when(e, ns.rlike("^[ぁ-んー]+$").cast("int"))).over(wr).alias("_sfx_hira"))
-    sfx_skip = ((F.col("_sfx_len") <= 1)
-                | ((F.col("_sfx_len") <= 2) & (F.col("_sfx_hira") == 1))
-                | (F.col("_sfx_num") == 1) | (F.col("_sfx_sym") == 1))
-    comp_ok = F.lit(compound_mode) & F.col("_start") & (F.col("_sfx_n") >= 2) & ~sfx_skip
-    t = t.withColumn("_comp_ok", comp_ok)
-    # Island end and first valid compound start: one window pass.
-    t = t.select("*", (F.max(F.when(e, F.col("pos"))).over(wi) + 1).alias("_island_end"),
-                 F.min(F.when(F.col("_comp_ok"), F.col("pos"))).over(wi).alias("_island_first_comp"))
-    cols = ["doc_key", "pos", "_island", "_ext", "surface", "normalized_surface", "normalized_base_form",
-            "primary_pos", "subtype", "_comp_ok", "_forced_n", "_forced_text", "_land"]
-    if not phrases:
-        # Without forced phrases every island is scanned on its own: the
-        # scan lands on each position before the island's first valid
-        # compound start, and on that start.
-        landed = t.withColumn("_land", F.col("_island_first_comp").isNull()
-                              | (F.col("pos") <= F.col("_island_first_comp"))).select(*cols + ["_island_first_comp"])
-    else:
-        nxt = (F.when(F.col("_forced_n") > 0, F.col("pos") + F.col("_forced_n"))
-               .when(F.col("_comp_ok"), F.col("_island_end"))
-               .otherwise(F.col("pos") + 1))
-        t = t.withColumn("_next", nxt)
-        t = t.withColumn("_reach", F.max("_next").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        t = t.withColumn("_cut", F.col("_reach").isNull() | (F.col("_reach") <= F.col("pos")))
-        t = t.withColumn("_seg", F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        ws = Window.partitionBy("doc_key", "_seg")
-        t = t.withColumn("_seg_forced", F.max("_forced_n").over(ws))
-        # The annotated table feeds two branches: one checkpoint in the
-        # shared folder instead of the windows twice.
-        t = cut_lineage(t)
-        # Segments with a forced phrase: sequential fold over (pos, next).
-        folded = (t.filter(F.col("_seg_forced") > 0)
-                  .groupBy("doc_key", "_seg")
-                  .agg(F.array_sort(F.collect_list(F.struct("pos", "_next"))).alias("_steps"),
-                       F.min("pos").alias("_seg_start")))
-        init = F.struct(F.col("_seg_start").alias("cur"), F.array().cast("array<int>").alias("picks"))
-        folded = folded.select(
-            "doc_key", "_seg",
-            F.aggregate("_steps", init,
-                        lambda acc, st: F.when(st["pos"] == acc["cur"],
-                                               F.struct(st["_next"].alias("cur"),
-                                                        F.array_append(acc["picks"], st["pos"]).alias("picks")))
-                        .otherwise(acc))["picks"].alias("_picks"))
-        landing_forced = folded.select("doc_key", F.explode("_picks").alias("pos"), F.lit(True).alias("_land"))
-        tf = (t.filter(F.col("_seg_forced") > 0).join(landing_forced, ["doc_key", "pos"], "left")
-              .withColumn("_land", F.coalesce(F.col("_land"), F.lit(False))))
-        # Segments without a forced phrase: as above, per segment.
-        tn = t.filter(F.col("_seg_forced") == 0)
-        tn = tn.withColumn("_first_comp", F.min(F.when(F.col("_comp_ok"), F.col("pos"))).over(ws))
-        tn = tn.withColumn("_land", F.col("_first_comp").isNull() | (F.col("pos") <= F.col("_first_comp")))
-        landed = tn.select(*cols).unionByName(tf.select(*cols))
-    kind = (F.when(~F.col("_land"), F.lit(None))
-            .when(F.col("_forced_n") > 0, F.lit("forced"))
-            .when(F.col("_comp_ok"), F.lit("compound"))
-            .otherwise(F.lit("single")))
-    landed = landed.withColumn("kind", kind)
-    if phrases:
-        landed = landed.withColumn("_cstart", F.max(F.when(F.col("kind") == "compound", F.col("pos"))).over(wi))
-    else:
-        # Without forced phrases the compound start is the first valid one.
-        landed = landed.withColumn("_cstart", F.col("_island_first_comp"))
-    single_val = F.when(single_noun_ok(F.col("primary_pos"), F.col("subtype")),
-                        F.when(F.col("normalized_base_form") != "", F.col("normalized_base_form"))
-                        .otherwise(F.col("normalized_surface")))
-    value = F.when(F.col("kind") == "single", single_val).when(F.col("kind") == "forced", F.col("_forced_text"))
-    # A compound runs from its start to the end of its island (at most one per
-    # island): its tokens are grouped under the start, every other keyword is
-    # a group of its own. Each token is in one group at most.
-    inside = F.coalesce(F.col("_ext") & (F.col("pos") >= F.col("_cstart")), F.lit(False))
-    emitted = landed.select("doc_key", F.when(inside, F.col("_cstart")).otherwise(F.col("pos")).alias("_at"), "pos", "kind",
-                            value.alias("_value"), F.when(inside, F.col("normalized_surface")).alias("_part"))
-    emitted = emitted.filter(F.col("_value").isNotNull() | F.col("_part").isNotNull())
-    out = emitted.groupBy("doc_key", F.col("_at").alias("pos")).agg(
-        F.min(F.struct("pos", "kind", "_value")).alias("_head"),
-        F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("pos", "_part")))).alias("_parts"))
-    keyword = F.when(F.col("_head.kind") == "compound", F.array_join(F.col("_parts._part"), "")).otherwise(
-        F.col("_head._value"))
-    out = out.select("doc_key", "pos", keyword.alias("keyword"), F.col("_head.kind").alias("kind"))
+    longest = _longest(tokens.sparkSession, phrases) if phrases else None
+
+    def keywords(pos: pa.Array, surface: pa.Array, base: pa.Array, flags: pa.Array) -> pa.Array:
+        return S.per_document(lambda *lists: S.scan(*lists, longest, compound_mode), S.KEYWORDS)(pos, surface, base, flags)
+
+    keywords.__annotations__ = dict.fromkeys(("pos", "surface", "base", "flags", "return"), pa.Array)
+    found = F.arrow_udf(keywords, S.KEYWORDS_DDL).asNondeterministic()
+    docs = _tokens_of_documents(tokens).select("doc_key", found("_pos", "_surface", "_base", "_flags").alias("_found"))
+    out = _unpacked(docs, "pos", "keyword", "kind")
     return out.filter(F.col("keyword").isNotNull() & ~skip_basic_token(F.col("keyword")))

@@ -190,3 +190,25 @@ def test_many_phrases_leave_the_plan_as_it_is(spark):
     assert abs(len(plan(many)) - len(plan(["thethe"]))) < 2000
     a = sorted(map(tuple, scan_keywords(toks, forced_phrases=["thethe", "theand"]).collect()))
     assert a == sorted(map(tuple, scan_keywords(toks, forced_phrases=["thethe", "theand", *many]).collect()))
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_scan_moves_a_document_once_and_has_no_window(spark):
+    rows = [(f"d{k % 3}", k, s, "*", NOUN, "一般") for k, s in enumerate(["ab", "cd", "ef", "x", "ab", "cd"])]
+    df = spark.createDataFrame(rows, "doc_key string, pos int, surface string, base_form string, "
+                                     "primary_pos string, subtype string")
+    for phrases in ((), ("abcd",)):
+        plan = executed(scan_keywords(df, forced_phrases=phrases))
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_runs_of_a_document_become_one_row():
+    import pyarrow as pa
+
+    from lexaudit.functions.scan import document_runs
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "a", None, None, "b", "a"]), pa.array(range(6))], ["k", "v"])
+    (out,) = document_runs([batch])
+    assert out.to_pydict() == {"k": ["a", None, "b", "a"], "v": [[0, 1], [2, 3], [4], [5]]}
