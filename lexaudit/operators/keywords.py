@@ -6,12 +6,15 @@ import re
 import unicodedata
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexaudit.functions.batches import by_slices
+from lexaudit.functions.scan import normalize_lists
 from lexaudit.functions.text import normalize_token_udf
 from lexaudit.functions.tokens import NOUN_ISLAND_RE, NOUN_TOKEN_RE, skip_basic_token
-from lexaudit.operators.common import not_in_values, ordered_row_number
+from lexaudit.operators.common import dealt_by, not_in_values, ordered_row_number
 from lexaudit.settings import Settings
 
 
@@ -46,20 +49,39 @@ def forced_phrase_list(settings: Settings) -> list[str]:
 
 
 def noun_occurrences(df: DataFrame, text_col: str, key_cols: Sequence[str] = (),
-                     compound_mode: bool = True) -> DataFrame:
+                     compound_mode: bool = True, per_text: bool = False) -> DataFrame:
     """Raw keyword occurrences of the built-in tagger, read straight off the
     text: with compounds on, a maximal run of adjacent noun tokens is one
     compound (a one-token run is the single noun); with compounds off, each
-    noun token. One ``regexp_extract_all`` per text, no window, no shuffle."""
+    noun token. One ``regexp_extract_all`` per text, no window, no shuffle.
+
+    ``per_text``: the occurrences come normalised, as ``keyword``, a text's
+    words together, exchanged by ``key_cols``, so that no later count by them
+    moves a word. For counts by text, where nearly every word is distinct
+    in its group and would pass to Python as a row of its own."""
     pattern = NOUN_ISLAND_RE if compound_mode else NOUN_TOKEN_RE
-    return df.select(*key_cols, F.explode(
-        F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), 1)).alias("raw"))
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), 1)
+    if per_text:
+        texts = df.select(*key_cols, _normalized_lists(words).alias("_words"))
+        return dealt_by(texts, *key_cols).select(*key_cols, F.explode("_words").alias("keyword"))
+    return df.select(*key_cols, F.explode(words).alias("raw"))
+
+
+def _normalized_lists(words: Column) -> Column:
+    def batch(lists: pa.Array) -> pa.Array:
+        return by_slices(normalize_lists, pa.list_(pa.string()))(lists)
+
+    batch.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(batch, "array<string>").asNondeterministic()(words)
 
 
 def count_occurrences(occ: DataFrame, group_cols: Sequence[str] = (), raw_col: str = "raw") -> DataFrame:
     """Count raw tokens first (partial aggregation before the shuffle), then
     normalise each distinct raw string once (TOK2, vocabulary-sized Python
-    work), apply TOK3 and re-aggregate by the normalised keyword."""
+    work), apply TOK3 and re-aggregate by the normalised keyword. Occurrences
+    that come normalised (``per_text``) are only filtered and counted."""
+    if raw_col not in occ.columns:
+        return count_normalized(occ.filter(~skip_basic_token(F.col("keyword"))), group_cols)
     raw_counts = occ.groupBy(*group_cols, raw_col).agg(F.count(F.lit(1)).alias("_n"))
     vocab = raw_counts.withColumn("keyword", normalize_token_udf(F.col(raw_col)))
     vocab = vocab.filter(~skip_basic_token(F.col("keyword")))

@@ -212,3 +212,12 @@ def test_runs_of_a_document_become_one_row():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "a", None, None, "b", "a"]), pa.array(range(6))], ["k", "v"])
     (out,) = document_runs([batch])
     assert out.to_pydict() == {"k": ["a", None, "b", "a"], "v": [[0, 1], [2, 3], [4], [5]]}
+
+
+def test_counts_by_text_move_each_text_once(spark, tmp_path):
+    from lexaudit.plans.queries import q_page_token_counts
+    rows = [(1, "the Tower and ＡＢＣ Tower"), (1, "of tower"), (None, "x yes"), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = q_page_token_counts(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(1, 7, 7, 4), (None, 1, 1, 1)}
+    assert executed(q_page_token_counts(spark, str(tmp_path))).count("hashpartitioning") == 1
