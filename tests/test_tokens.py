@@ -221,3 +221,13 @@ def test_counts_by_text_move_each_text_once(spark, tmp_path):
     got = q_page_token_counts(spark, str(tmp_path))
     assert {tuple(r) for r in got.collect()} == {(1, 7, 7, 4), (None, 1, 1, 1)}
     assert executed(q_page_token_counts(spark, str(tmp_path))).count("hashpartitioning") == 1
+
+
+def test_a_page_batch_is_parsed_a_few_pages_at_a_time():
+    import pyarrow as pa
+
+    from lexaudit.functions.batches import SLICE, by_slices
+    sizes = []
+    double = by_slices(lambda c: sizes.append(len(c)) or pa.array([2 * v for v in c.to_pylist()], pa.int64()), pa.int64())
+    assert double(pa.array(range(300))).to_pylist() == list(range(0, 600, 2)) and max(sizes) <= SLICE
+    assert double(pa.array([], pa.int64())).to_pylist() == []
