@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaudit.llm.packing import pack, unpack
 from lexaudit.llm.text import blocks_of, id_remainder
 from lexaudit.session import cut_lineage
 
@@ -200,21 +201,6 @@ def learn(docs: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVER
     return Tree(found)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Compressed numbers; integers with the bytes of one place together, as
-    sorted and small ones compress well that way."""
-    raw = np.ascontiguousarray(values)
-    if raw.dtype.kind == "i":
-        raw = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, raw.itemsize).T)
-    return len(values).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack(raw: bytes, kind: type = np.int64) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    data = np.frombuffer(pa.decompress(raw[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
-    return data.view(kind) if kind is not np.int64 else np.ascontiguousarray(data.reshape(8, -1).T).view(kind).ravel()
-
-
 def unpack_all(column: pa.ChunkedArray, kind: type = np.int64) -> np.ndarray:
     return np.concatenate([unpack(x, kind) for x in column.to_pylist()])
 
