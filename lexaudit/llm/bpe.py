@@ -8,7 +8,8 @@ position), since scanning costs the square of the length.
 
 Texts are cut at white space; what a piece of text between white space
 encodes to depends on nothing else, so it is kept in a cache that a worker
-carries from task to task and that holds ``CACHE`` entries at most.
+carries from task to task and that holds ``CACHE`` entries at most; an entry
+is the ids as bytes, and a text is decoded from the ids of the whole text.
 """
 
 from __future__ import annotations
@@ -22,14 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaudit.llm.kept import kept
 from lexaudit.llm.vocab import CHUNK, PIECE, WORD_END, Vocabulary, byte_chars, default_path, normalize
 
 SHORT = 128
-CACHE = 400_000
+CACHE = 300_000
 NEVER = 1 << 30
 ROWS = 256
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     def __init__(self, vocab: Vocabulary):
         ids = vocab.ids
@@ -45,16 +51,16 @@ class Codec:
         self.last = [ids.get(c + WORD_END) for c in chars]
         self.special = vocab.special
         self.cut = re.compile("|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[int, bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
-    def word(self, piece: str) -> list[int]:
-        """Ids of a piece of normalised text."""
+    def word(self, piece: str) -> bytes:
+        """Ids of a piece of normalised text as little-endian uint32."""
         got = self.words.get(piece)
         if got is None:
             raw = piece.encode()
             parts = [i for i in (*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]) if i is not None]
-            got = self.scan(parts) if len(parts) <= SHORT else self.queue(parts)
+            got = packed(self.scan(parts) if len(parts) <= SHORT else self.queue(parts))
             if len(self.words) >= CACHE:
                 self.words.clear()
             if len(raw) <= SHORT:
@@ -98,27 +104,26 @@ class Codec:
                         heapq.heappush(heap, (found, left))
         return [p for p in parts if p >= 0]
 
-    def chunk(self, text: str) -> tuple[int, bytes, str]:
-        """(number of ids, ids as little-endian uint32, decoded text)."""
+    def chunk(self, text: str) -> bytes:
+        """Ids of text without white space as little-endian uint32."""
         got = self.chunks.get(text)
         if got is None:
-            ids: list[int] = []
+            ids: list[bytes] = []
             at = 0
             for m in self.cut.finditer(text) if self.cut and "<" in text else ():
                 ids += self.plain(text[at:m.start()])
-                ids.append(self.special[m[0]])
+                ids.append(packed([self.special[m[0]]]))
                 at = m.end()
             ids += self.plain(text[at:])
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-            got = len(ids), packed, self.decode(ids)
+            got = ids[0] if len(ids) == 1 else b"".join(ids)
             if len(self.chunks) >= CACHE:
                 self.chunks.clear()
             if len(text) <= SHORT:
                 self.chunks[text] = got
         return got
 
-    def plain(self, text: str) -> list[int]:
-        return [i for piece in PIECE.findall(normalize(text)) for i in self.word(piece)]
+    def plain(self, text: str) -> list[bytes]:
+        return [self.word(piece) for piece in PIECE.findall(normalize(text))]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token texts with a space between; the vocabulary names no decoder.
@@ -126,12 +131,9 @@ class Codec:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
     def text(self, text: str | None) -> tuple[int, bytes, str]:
-        parts = [self.chunk(c) for c in CHUNK.findall(text or "")]
-        return sum(p[0] for p in parts), b"".join(p[1] for p in parts), " ".join(p[2] for p in parts if p[0])
-
-
-# The codec that this worker made last, with its caches, by broadcast id.
-_made: dict[int, Codec] = {}
+        """(number of ids, ids as little-endian uint32, decoded text)."""
+        ids = b"".join([self.chunk(c) for c in CHUNK.findall(text or "")])
+        return len(ids) // 4, ids, self.decode(struct.unpack(f"<{len(ids) // 4}I", ids))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,10 +147,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     key = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _made:
-            _made.clear()
-            _made[key] = Codec(shared.value)
-        codec = _made[key]
+        codec = kept(key, lambda: Codec(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaudit.llm.kept import kept
 from lexaudit.llm.text import id_remainder
 
 MAX_ROWS = 4000
@@ -146,9 +147,6 @@ class Scorer:
         return 1 / (1 + math.exp(-min(40.0, max(-40.0, logit))))
 
 
-_made: dict[int, Scorer] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
     """Train on a bounded sample of ``docs`` (doc_id, text) with ``labels``
     (doc_id, toxic). An id with several labels counts as toxic if any is."""
@@ -189,10 +187,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _made:
-            _made.clear()
-            _made[key] = Scorer(*shared.value)
-        scorer = _made[key]
+        scorer = kept(key, lambda: Scorer(*shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

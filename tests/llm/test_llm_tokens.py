@@ -3,8 +3,11 @@
 import hashlib
 import random
 import struct
+import sys
+import weakref
 
 from lexaudit.llm.bpe import Codec, encode, op7_bpe
+from lexaudit.llm.kept import kept
 from lexaudit.llm.token_counts import Automaton, count_tokens, op6_token_counts
 from lexaudit.llm.vocab import CHUNK, PIECE, WORD_END, Vocabulary, byte_chars, default_path, normalize
 from tests_llm_support import SF
@@ -90,3 +93,25 @@ def test_automaton_with_a_gap_in_the_vocabulary():
     assert small.word("abcd") == 3     # abcd is no word end: ab, c, d</w>
     assert small.word("abcdab") == 3   # abcd, a, b</w>
     assert small.word("xyz") == 1      # unknown
+
+
+def test_a_worker_keeps_one_object_with_its_caches():
+    class Held:
+        pass
+
+    first = kept(-1, Held)
+    assert kept(-1, Held) is first
+    gone = weakref.ref(first)
+    del first
+    kept(-2, Held)   # as the next operator of a pipeline does in the same worker
+    assert gone() is None
+
+
+def test_a_cached_chunk_is_its_ids_alone():
+    codec = Codec(Vocabulary.read(default_path()))
+    for k in range(300):
+        codec.text(f"Word{k}, word{k} wording")
+    assert len(codec.chunks) == 601 and len(codec.words) > 10
+    held = [*codec.chunks.values(), *codec.words.values()]
+    assert all(type(x) is bytes and len(x) % 4 == 0 for x in held)
+    assert sum(map(sys.getsizeof, held)) < 64 * len(held)
