@@ -329,8 +329,10 @@ def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float =
                     entries, n, _ = shorten(entries, n)
                 yield from parts_of([pa.array(entries), pa.array(n.astype(np.int64))], ["entry", "n"])
 
-    sent = cut_lineage(chunked.select("chunk", "learn", "text").mapInArrow(
-        send, "part int, chunk long, grams binary, data binary"))
+    # Numbered as in chunked, by the worker that sends: a worker more in each
+    # task would hold memory beside it.
+    sent = cut_lineage(rows.select("row", "learn", "text").mapInArrow(
+        lambda batches: send(b.select(["chunk", "learn", "text"]) for b in numbered(batches, most)), "part int, chunk long, grams binary, data binary"))
     added = cut_lineage(sent.groupBy("part").applyInArrow(add, "branch int, part int, grams binary, data binary"))
     # At most 2^24 entries, as the alphabet is of bytes.
     found = added.select("grams", "data").mapInArrow(shortened, "entry long, n long").groupBy("entry").agg(
@@ -408,24 +410,44 @@ def parts_of(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBat
         yield whole.slice(at, 50_000)
 
 
+def met_words(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (key, text) from stretches of about ``most`` bytes of
+    text. Words are objects for ``CHUNK_BYTES`` at a time and numbers after."""
+    def message() -> Iterator[pa.RecordBatch]:
+        first = min(int(k.min()) for k in held_keys)
+        word, at, n = (np.concatenate(x) for x in (held_words, [k - first for k in held_keys], held_n))
+        order = np.argsort(word, kind="stable")
+        values = np.empty(2 * len(word), np.int32)
+        values[::2], values[1::2] = at[order], n[order]
+        starts = 2 * np.searchsorted(word[order], np.arange(len(number) + 1))
+        yield from parts_of([pa.array(number.keys(), pa.binary()), pa.array(np.full(len(number), first)),
+                             pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))], ["word", "first", "at"])
+
+    number: dict[bytes, int] = {}
+    held_words, held_keys, held_n, size = [], [], [], 0
+    for rows, texts in chunks(batches, min(most, CHUNK_BYTES)):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ids = np.fromiter((number.setdefault(w, len(number)) for ws in texts for w in ws), np.int64, int(sizes.sum()))
+        both, n = np.unique(ids * len(texts) + np.repeat(np.arange(len(texts)), sizes), return_counts=True)
+        if len(both):
+            held_words.append((both // len(texts)).astype(np.int32))
+            held_keys.append(np.array([r[0] for r in rows], np.int64)[both % len(texts)])
+            held_n.append(n.astype(np.int32))
+        size += sum(len(w) + 1 for ws in texts for w in ws)
+        if number and size >= most:
+            yield from message()
+            number, size = {}, 0
+            held_words, held_keys, held_n = [], [], []
+    if number:
+        yield from message()
+
+
 def postings(docs: DataFrame, key: str = "row") -> DataFrame:
     """(word, first, at): ``at`` holds key and occurrences of the texts that
     have the word, from one stretch of the input, as pairs in one array; the
     keys of one partition are less than 2^31 apart and are told from ``first``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in chunks(batches, POSTING_BYTES):
-            number: dict[bytes, int] = {}
-            ids = np.array([number.setdefault(w, len(number)) for ws in texts for w in ws], np.int64)
-            text = np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])
-            both, n = np.unique(ids * len(texts) + text, return_counts=True)
-            word, text = both // len(texts), both % len(texts)
-            keys = np.array([r[0] for r in rows], np.int64)
-            values = np.empty(2 * len(both), np.int32)
-            values[::2], values[1::2] = (keys - keys.min())[text], n
-            starts = 2 * np.searchsorted(word, np.arange(len(number) + 1))
-            at = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))
-            yield from parts_of([pa.array(number.keys(), pa.binary()), pa.array(np.full(len(number), keys.min())), at],
-                                ["word", "first", "at"])
+        yield from met_words(batches, POSTING_BYTES)
 
     return docs.select(key, "text").mapInArrow(run, "word binary, first long, at array<int>")
 

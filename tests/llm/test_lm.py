@@ -2,10 +2,12 @@
 from the training rows alone and beats shorter contexts."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from lexaudit.llm import lm
 from lexaudit.llm.text import id_remainder
 from pyspark.sql import functions as F
@@ -122,3 +124,23 @@ def test_sums_of_sorted_pieces():
         keys, counts = sums.take()
         assert dict(zip(keys.tolist(), counts.tolist())) == want and keys.tolist() == sorted(want)
         assert not sums.pieces
+
+
+def test_postings_hold_the_words_of_a_small_piece_as_objects():
+    rnd = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 3000, 2000)) for _ in range(400)] + [None, "", "w1"]
+    keys = [i * 5 + (1 << 33) for i in range(len(texts))]
+    size = sum(len(t or "") for t in texts)
+    batches = [pa.table({"row": keys, "text": texts}).to_batches()[0]]
+    tracemalloc.start()
+    got = list(lm.met_words(iter(batches), size + 1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 * size   # all words as objects: over 11 bytes for each of a text
+    assert [b.num_rows for b in got] == [3000]
+    for some in (got, list(lm.met_words(iter(batches), size // 3))):
+        seen = Counter()
+        for r in (r for b in some for r in b.to_pylist()):
+            for at, n in zip(r["at"][::2], r["at"][1::2]):
+                seen[r["word"], r["first"] + at] += n
+        assert seen == Counter((w.encode(), k) for k, t in zip(keys, texts) for w in (t or "").split())
