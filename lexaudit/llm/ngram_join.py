@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaudit.llm.graph import components
-from lexaudit.llm.suffix_dedup import by_group, is_in, pack, spread, unpack
+from lexaudit.llm.packing import pack, unpack
+from lexaudit.llm.suffix_dedup import by_group, is_in, spread
 from lexaudit.llm.text import blocks_of
 from lexaudit.session import cut_lineage
 
@@ -220,7 +221,7 @@ def shared_keys(docs: DataFrame) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         units = np.concatenate([np.frombuffer(u, _UNIT) for u in table.column("units").to_pylist()])
-        key = np.concatenate([unpack(k) for k in table.column("keys").to_pylist()])
+        key = np.concatenate([unpack(k, np.uint64) for k in table.column("keys").to_pylist()])
         who = np.repeat(np.arange(len(units)), units["count"])
         order = np.lexsort((units["cls"][who], key))
         key, who = key[order], who[order]

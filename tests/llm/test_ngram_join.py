@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from lexaudit.llm import ngram_join as nj
+from lexaudit.llm.packing import pack, unpack
 from tests_llm_support import SF, lower, words
 
 
@@ -116,3 +117,29 @@ def test_one_of_each_keeps_columns_and_rows(edge):
     ids = sorted(r.doc_id for r in kept.filter("doc_id is not null").collect())
     assert kept.columns == edge.columns and 8 not in ids and 9 not in ids and 7 in ids and {1, 2, 3} <= set(ids)
     assert kept.filter("doc_id is null").count() == 2
+
+
+def test_near_copies_from_different_chunks(spark, monkeypatch):
+    """Every chunk sends several keys a part; the copies of a text lie in
+    different chunks and share no more than they must."""
+    monkeypatch.setattr(nj, "CHUNK_BYTES", 6000)
+    monkeypatch.setattr(nj, "PART_BYTES", 40_000)
+    rnd = random.Random(21)
+    bases = [[f"w{rnd.randrange(100_000)}" for _ in range(rnd.randint(30, 250))] for _ in range(60)]
+    rows = []
+    for copy in range(3):
+        for base in bases:
+            ws = list(base)
+            for _ in range(copy * len(ws) // 90):
+                ws[rnd.randrange(len(ws))] = f"x{rnd.randrange(100_000)}"
+            rows.append((len(rows), " ".join(ws)))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
+def test_keys_of_64_bits_come_back_from_a_message():
+    rnd = np.random.default_rng(5)
+    for kind in (np.uint64, np.int64, np.float64, np.int32):
+        values = (rnd.random(1000) * 2.0 ** 31).astype(kind)
+        back = unpack(pack(values), kind)
+        assert back.dtype == kind and (back == values).all()
+    assert (unpack(pack(np.array([2**64 - 1, 0, 1 << 47], np.uint64)), np.uint64) == np.array([2**64 - 1, 0, 1 << 47], np.uint64)).all()
