@@ -24,25 +24,29 @@ The tree is never in one place:
 4. A part sends the probabilities back to the chunks, which add them up per
    text.
 
-The word-unigram base is a join: postings (word, its documents) meet the word
-counts, and the logarithms are added up per document. No vocabulary is ever
-broadcast.
+The word-unigram base goes the same way beside it: a chunk sends its distinct
+words with their counts in the training texts to the hash part of the word, a
+part adds them up and sends the sums back in the order in which the words came,
+and the chunk adds up the logarithms per text. No vocabulary is ever broadcast.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.llm.packing import pack, unpack
+from lexaudit.llm.packing import pack, pack_bytes, unpack, unpack_bytes
 from lexaudit.llm.text import blocks_of, id_remainder
-from lexaudit.session import cut_lineage
+from lexaudit.session import cut_lineage, written
 
 DEPTH = 6
 SHORT = 2                 # longest contexts that are broadcast
@@ -50,10 +54,10 @@ MIN_COUNT = 2
 DIVERGENCE = 1.0
 BETA = 16.0
 CHUNK_BYTES = 1 << 20     # of text that a task holds as arrays
-STRETCH_BYTES = 12 << 20  # of text whose distinct grams are sent together
+STRETCH_BYTES = 14 << 20  # of text whose distinct grams are sent together
 PART_BYTES = 16 << 20     # of text whose distinct grams are one part
+WORD_PART_BYTES = 32 << 20  # of text whose distinct words are one part
 POSTING_BYTES = 16 << 20
-WORDS = 200_000           # that a task counts before it sends them
 _END = b"\n"
 
 
@@ -190,7 +194,7 @@ def levels(entries: np.ndarray, counts: np.ndarray, longest: int, min_count: int
 
 def learn(docs: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> Tree:
     """The suffix tree of ``docs`` (text) in memory, for small corpora;
-    ``tree_scores`` scores by the same tree without collecting it."""
+    ``all_scores`` scores by the same tree without collecting it."""
     texts = [tokens(r.text) for r in docs.select("text").collect()]
     keys, n = np.unique(grams(texts)[0], return_counts=True) if texts else (np.zeros(0, np.int64),) * 2
     found = []
@@ -240,13 +244,20 @@ def numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield batch.append_column("chunk", pa.array(out, pa.int64()))
 
 
+def uniques(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; by a sort, as np.unique's hash table takes
+    several times as long for millions of values."""
+    some = np.sort(values)
+    return some[np.append(True, some[1:] != some[:-1])[:len(some)]]
+
+
 def distinct(marks: list[bool], texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams and their counts in the marked texts."""
     taught, held = ([t for t, m in zip(texts, marks) if bool(m) == x] for x in (True, False))
     keys, n = np.unique(grams(taught)[0], return_counts=True) if taught else (np.zeros(0, np.int64),) * 2
     if not held:
         return keys, n
-    other = np.unique(grams(held)[0])
+    other = uniques(grams(held)[0])
     return merged([keys, other], [n, np.zeros(len(other), np.int64)])
 
 
@@ -286,11 +297,51 @@ class Sums:
         self.pieces.append(merged([other[0], one[0]], [other[1], one[1]]))
 
 
-def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> DataFrame:
-    """(row, doc_id, learn, n_tokens, score): the log10 probability of each
-    text by the tree of the texts to learn from."""
+def dealt_words(words: Iterable[bytes], groups: int) -> list[tuple[int, list[bytes]]]:
+    """(group, its words in byte order), by ascending group."""
+    names = sorted(words)
+    group = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)) % np.uint64(groups)
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64)).tolist()
+    return [(g, [names[i] for i in order[a:b].tolist()]) for g, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return pack_bytes(b"\n".join(words) + b"\n")
+
+
+def unpack_words(raw: bytes) -> pa.Array:
+    """The words of a message, each with the line feed behind it."""
+    data = unpack_bytes(raw)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == ord("\n")) + 1
+    offsets = np.append(0, ends).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def count_words(table: pa.Table) -> pa.Table:
+    """The messages of one part of the words (part, chunk, grams, data), each
+    with the sums of its words over all of them, in its order; n and v are the
+    occurrences and the distinct words in training texts, told once."""
+    sent = [unpack_words(x) for x in table.column("grams").to_pylist()]
+    ends = np.cumsum([len(x) for x in sent])
+    words = pa.concat_arrays(sent).dictionary_encode()
+    place = words.indices.to_numpy()
+    sums = np.zeros(len(words.dictionary), np.int64)
+    np.add.at(sums, place, unpack_all(table.column("data")))
+    once = np.arange(len(sent)) == 0
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"),
+                     "data": pa.array([pack(sums[x]) for x in np.split(place, ends[:-1])], pa.binary()),
+                     "n": pa.array(once * sums.sum()), "v": pa.array(once * (sums > 0).sum())})
+
+
+def all_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE) -> tuple[DataFrame, int, int]:
+    """((row, doc_id, learn, n_tokens, known, logs, score), N, V): per text the
+    occurrences of words seen in the texts to learn from, the sum of
+    log10(c + 0.5) over its words, and its log10 probability by the tree; words
+    and distinct words of the texts to learn from, ends not counted."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     parts, most = blocks_of(size, PART_BYTES), STRETCH_BYTES
+    word_parts = blocks_of(size, WORD_PART_BYTES)
     kind = rows.schema["doc_id"].dataType.simpleString()
     chunked = rows.select("row", "doc_id", "learn", "text").mapInArrow(
         lambda batches: numbered(batches, most), f"row long, doc_id {kind}, learn boolean, text string, chunk long")
@@ -300,9 +351,14 @@ def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float =
         def message() -> Iterator[pa.RecordBatch]:
             keys, n = found.take()
             rows = [(g, chunk, pack(keys[at]), pack(n[at])) for g, at in dealt(keys, parts)]
+            # The parts of words are numbered behind those of grams.
+            rows += [(parts + g, chunk, pack_words(ws), pack(np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws))))
+                     for g, ws in dealt_words(seen, word_parts)]
+            seen.clear()
             yield from _table({"part": pa.int32(), "chunk": pa.int64(), **packed}, rows).to_batches()
 
         chunk, found = None, Sums()
+        seen: dict[bytes, int] = {}
         for marks, texts in chunks(batches, CHUNK_BYTES):
             edges = [i for i in range(len(marks)) if not i or marks[i][0] != marks[i - 1][0]]
             for a, b in zip(edges, [*edges[1:], len(marks)]):
@@ -310,6 +366,10 @@ def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float =
                     yield from message()
                 chunk = marks[a][0]
                 found.add(*distinct([m[1] for m in marks[a:b]], texts[a:b]))
+                for w, n in Counter(chain.from_iterable(t for m, t in zip(marks[a:b], texts[a:b]) if m[1])).items():
+                    seen[w] = seen.get(w, 0) + n
+                for w in set(chain.from_iterable(t for m, t in zip(marks[a:b], texts[a:b]) if not m[1])):
+                    seen.setdefault(w, 0)
         if found.pieces:
             yield from message()
 
@@ -331,8 +391,13 @@ def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float =
 
     # Numbered as in chunked, by the worker that sends: a worker more in each
     # task would hold memory beside it.
-    sent = cut_lineage(rows.select("row", "learn", "text").mapInArrow(
-        lambda batches: send(b.select(["chunk", "learn", "text"]) for b in numbered(batches, most)), "part int, chunk long, grams binary, data binary"))
+    # Kept by part: it is read three times by it, each time without an exchange.
+    kept = written(rows.select("row", "learn", "text").mapInArrow(
+        lambda batches: send(b.select(["chunk", "learn", "text"]) for b in numbered(batches, most)), "part int, chunk long, grams binary, data binary"), "part")
+    sent = kept.filter(F.col("part") < parts)
+    counted = cut_lineage(kept.filter(F.col("part") >= parts).groupBy("part").applyInArrow(
+        count_words, "chunk long, part int, data binary, n long, v long"))
+    sums = counted.agg(F.sum("n"), F.sum("v")).first()
     added = cut_lineage(sent.groupBy("part").applyInArrow(add, "branch int, part int, grams binary, data binary"))
     # At most 2^24 entries, as the alphabet is of bytes.
     found = added.select("grams", "data").mapInArrow(shortened, "entry long, n long").groupBy("entry").agg(
@@ -362,46 +427,42 @@ def tree_scores(rows: DataFrame, min_count: int = MIN_COUNT, divergence: float =
                        zip(*(table.column(n).to_pylist() for n in ("chunk", "part", "grams")))])
 
     def total(table: pa.Table, told: pa.Table) -> pa.Table:
-        n_tokens, found = [], []
+        n_tokens, found, ids = [], [], []
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
         for _, texts in chunks(iter(table.select(["text"]).combine_chunks().to_batches()), CHUNK_BYTES):
             each, sizes = grams(texts)
             some, where = np.unique(each, return_inverse=True)
-            n_tokens += [len(t) + 1 for t in texts]
             found.append((some, where.astype(np.int32), sizes))
-        keys = np.unique(np.concatenate([f[0] for f in found]))
-        logs = np.empty(len(keys))
+            n = list(map(len, texts))
+            n_tokens += n
+            ids.append(np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int32, sum(n)))
         answers = dict(zip(told.column("part").to_pylist(), told.column("data").to_pylist()))
+        c = np.zeros(len(number), np.int64)
+        for g, ws in dealt_words(number, word_parts):
+            c[np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))] = unpack(answers.pop(parts + g))
+        number.clear()
+        text, word = np.repeat(np.arange(len(n_tokens)), n_tokens), np.concatenate(ids)
+        known = np.bincount(text, c[word] > 0, len(n_tokens)).astype(np.int64)
+        base = np.bincount(text, np.log10(c + 0.5)[word], len(n_tokens))
+        del text, word, ids
+        keys = uniques(np.concatenate([f[0] for f in found]))
+        logs = np.empty(len(keys))
         for g, at in dealt(keys, parts):
             logs[at] = unpack(answers[g], np.float64)
         scores = [np.add.reduceat(logs[np.searchsorted(keys, some)][where], np.cumsum(sizes) - sizes) for some, where, sizes in found]
         out = table.select(["row", "doc_id", "learn"])
-        return out.append_column("n_tokens", pa.array(n_tokens, pa.int64())).append_column(
-            "score", pa.array(np.concatenate(scores), pa.float64()))
+        for name, values in (("n_tokens", np.array(n_tokens, np.int64) + 1), ("known", known), ("logs", base.astype(np.float64)),
+                             ("score", np.concatenate(scores))):
+            out = out.append_column(name, pa.array(values))
+        return out
 
     scored = added.groupBy("branch").applyInArrow(branch, "part int, grams binary, data binary")
     answers = sent.groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(
-        answer, "chunk long, part int, data binary")
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        total, f"row long, doc_id {kind}, learn boolean, n_tokens long, score double")
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of all words of ``docs`` (text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def message() -> Iterator[pa.RecordBatch]:
-            return parts_of([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-
-        seen: dict[bytes, int] = {}
-        for _, texts in chunks(batches, CHUNK_BYTES):
-            for ws in texts:
-                for w in ws:
-                    seen[w] = seen.get(w, 0) + 1
-            if len(seen) > WORDS:
-                yield from message()
-                seen = {}
-        yield from message()
-
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+        answer, "chunk long, part int, data binary").union(counted.select("chunk", "part", "data"))
+    out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        total, f"row long, doc_id {kind}, learn boolean, n_tokens long, known long, logs double, score double")
+    return out, int(sums[0] or 0), int(sums[1] or 0)
 
 
 def parts_of(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -452,20 +513,6 @@ def postings(docs: DataFrame, key: str = "row") -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, "word binary, first long, at array<int>")
 
 
-def base_scores(docs: DataFrame, training: DataFrame, key: str = "row") -> tuple[DataFrame, int, int]:
-    """((key, known, logs), N, V): per text the occurrences of words seen in
-    training, and the sum of log10(c + 0.5) over its words."""
-    counts = word_counts(training)
-    sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    met = postings(docs, key).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    met = met.select("c", F.log10(F.col("c") + 0.5).alias("log"), "first", "at", F.explode(F.sequence(
-        F.lit(0), (F.size("at") / 2 - 1).cast("int"))).alias("i"))
-    met = met.select("c", "log", (F.col("first") + F.get("at", 2 * F.col("i"))).alias(key), F.get("at", 2 * F.col("i") + 1).alias("tf"))
-    out = met.groupBy(key).agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
-                               F.sum(F.col("log") * F.col("tf")).alias("logs"))
-    return out, int(sums[0] or 0), int(sums[1])
-
-
 def score_documents(docs: DataFrame, training: Callable[[], "F.Column"], id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, is_training, n_tokens, n_known, train_tokens, base_score,
@@ -479,17 +526,15 @@ def score_documents(docs: DataFrame, training: Callable[[], "F.Column"], id_col:
     a checkpoint."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "row", F.monotonically_increasing_id()).withColumn("learn", F.coalesce(training(), F.lit(True)))
-    taught = rows.filter("learn")
-    n_taught = taught.count()
-    base, n_words, n_distinct = base_scores(rows, taught)
+    n_taught = rows.filter("learn").count()
+    told, n_words, n_distinct = all_scores(rows)
     n, v = n_words + n_taught, n_distinct + (n_taught > 0)
-    told = tree_scores(rows).join(base, "row", "left")
     each = F.lit(math.log10(n + 0.5 * (v + 1)))
     return told.select(
         "doc_id", F.col("learn").alias("is_training"), "n_tokens",
-        (F.coalesce("known", F.lit(0)) + int(n_taught > 0)).cast("long").alias("n_known"),
+        (F.col("known") + int(n_taught > 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce("logs", F.lit(0.0)) + math.log10(n_taught + 0.5) - F.col("n_tokens") * each).alias("base_score"), "score")
+        (F.col("logs") + math.log10(n_taught + 0.5) - F.col("n_tokens") * each).alias("base_score"), "score")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 from the training rows alone and beats shorter contexts."""
 
 import math
+import random
 import tracemalloc
 import zlib
 from collections import Counter
@@ -144,3 +145,35 @@ def test_postings_hold_the_words_of_a_small_piece_as_objects():
             for at, n in zip(r["at"][::2], r["at"][1::2]):
                 seen[r["word"], r["first"] + at] += n
         assert seen == Counter((w.encode(), k) for k, t in zip(keys, texts) for w in (t or "").split())
+
+
+def test_words_are_counted_by_part_and_come_back_in_order():
+    rnd = random.Random(3)
+    want, rows = Counter(), []
+    for chunk in range(5):
+        seen = Counter(f"w{rnd.randrange(400)}é".encode() for _ in range(300))
+        seen.update({b"only held out": 0, "\u0085x".encode(): 2})
+        want.update(seen)
+        rows += [(g, chunk, lm.pack_words(ws), lm.pack(np.array([seen[w] for w in ws])), ws) for g, ws in lm.dealt_words(seen, 3)]
+        assert sorted(w for r in rows if r[1] == chunk for w in r[4]) == sorted(seen)
+    occurrences = distinct = 0
+    for part in range(3):
+        mine = [r for r in rows if r[0] == part]
+        out = lm.count_words(pa.table({"part": [r[0] for r in mine], "chunk": [r[1] for r in mine], "grams": [r[2] for r in mine],
+                                       "data": [r[3] for r in mine]})).to_pylist()
+        assert [lm.unpack(r["data"]).tolist() for r in out] == [[want[w] for w in r[4]] for r in mine]
+        occurrences, distinct = occurrences + sum(r["n"] for r in out), distinct + sum(r["v"] for r in out)
+    assert (occurrences, distinct) == (sum(want.values()), sum(c > 0 for c in want.values()))
+
+
+def test_messages_are_smaller_than_half_the_words(spark, monkeypatch):
+    """What a text's words take between the tasks: distinct words of a stretch,
+    not a row for each word of each stretch."""
+    monkeypatch.setattr(lm, "STRETCH_BYTES", 400_000)
+    rnd = random.Random(4)
+    texts = [" ".join(f"word{rnd.randrange(20_000)}" for _ in range(400)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    told = lm.score_documents(docs, lambda: id_remainder() != 1)
+    check_base(docs, told.collect())
+    sent = [lm.pack_words(ws) for _, ws in lm.dealt_words({w for t in texts for w in lm.tokens(t)}, 4)]
+    assert sum(map(len, sent)) < sum(len(t) for t in texts) / 2
