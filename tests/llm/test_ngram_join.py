@@ -1,11 +1,14 @@
 """op3: components against all pairs, the pigeonhole bound, edge cases."""
 
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 from lexaudit.llm import ngram_join as nj
 from lexaudit.llm.packing import pack, unpack
+from lexaudit.session import cut_lineage
 from tests_llm_support import SF, lower, words
 
 
@@ -143,3 +146,19 @@ def test_keys_of_64_bits_come_back_from_a_message():
         back = unpack(pack(values), kind)
         assert back.dtype == kind and (back == values).all()
     assert (unpack(pack(np.array([2**64 - 1, 0, 1 << 47], np.uint64)), np.uint64) == np.array([2**64 - 1, 0, 1 << 47], np.uint64)).all()
+
+
+def test_shuffle_files_go_with_each_checkpoint(spark):
+    """The files of a checkpointed step do not stay beside those of the next."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffle_files():
+        return {f for d in dirs for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+
+    before = shuffle_files()
+    step = cut_lineage(spark.range(5000).selectExpr("id % 100 as k").groupBy("k").count())
+    until = time.time() + 20  # executors remove them on their own time
+    while shuffle_files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files() - before
+    assert sorted(map(tuple, step.collect())) == [(k, 50) for k in range(100)]
