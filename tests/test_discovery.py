@@ -99,3 +99,46 @@ def test_a_feed_page_carries_its_own_links_only(spark):
     assert rest["b.com", 1].body == '[{"id":9,"link":"http://b.com/"},7]'
     plan = feed._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "slice(" not in plan
+
+
+def test_feed_links_reads_every_page_of_a_feed(spark, tmp_path):
+    from lexaudit.plans.queries import QUERIES
+    rows = [(i, f"http://a.com/{i:03d}", "") for i in range(350)] + [(i, f"http://b.com/{i}", "") for i in range(400, 403)]
+    rows += [(900, "http://a.com/007#again", ""), (901, "http://a.com/tag/x", ""), (902, "http://a.com/f.pdf", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    links = QUERIES["feed_links"](spark, str(tmp_path)).collect()
+    assert sorted((r.site_id, r.original_url) for r in links) == sorted(
+        (url[:12], url) for page_id, url, _ in rows if page_id < 900)
+    assert {r.discovered_from for r in links if r.site_id == "http://b.com"} == {"http://b.com/index.php?rest_route=/wp/v2/posts"}
+
+
+def feed_page(api_url, page, links, per_page=2, status=200):
+    body = '{"code": "broken"}' if links is None else "[" + ",".join(f'{{"link": "{x}"}}' for x in links) + "]"
+    return api_url, page, per_page, status, [("X-WP-Total", "9")], body
+
+
+def test_results_without_a_cap_equal_those_of_a_cap_that_does_not_bind(spark):
+    sites = spark.createDataFrame([(f"http://{h}.com", f"http://{h}.com/", False, 1000, 3) for h in "abcdef"], SITE)
+    first, second = "http://{}.com/wp-json/wp/v2/posts", "http://{}.com/index.php?rest_route=/wp/v2/posts"
+    a, b, b2, c, d, e2 = first.format("a"), first.format("b"), second.format("b"), first.format("c"), first.format("d"), second.format("e")
+    rows = [feed_page(a, 1, ["/1", "/2"]), feed_page(a, 2, ["/2#x", "http://other.com/"]), feed_page(a, 3, ["/3"]), feed_page(a, 4, ["/4", "/5"]),
+            # An error page fails the candidate, the next one is read.
+            feed_page(b, 1, ["/1", "/2"]), feed_page(b, 2, None, status=500), feed_page(b, 3, ["/9"]),
+            feed_page(b2, 1, ["/8", "/7"]), feed_page(b2, 2, []), feed_page(b2, 3, ["/6"]),
+            # No terminal page is stored; a failed request; no links; no feed at all (f).
+            feed_page(c, 1, ["/1", "/2"]), feed_page(c, 2, ["/3", "/4"]),
+            feed_page(d, 1, ["/1", "/2"]), feed_page(d, 2, None, status=None), feed_page(e2, 1, [])]
+    pages = spark.createDataFrame(rows, "api_url string, page int, per_page int, status_code int, "
+                                        "headers array<struct<key:string,value:string>>, body string")
+    status = DS.feed_page_status(pages)
+    whole = DS.feed_results(DS.feed_candidates(sites), status, None)
+    capped = DS.feed_results(DS.feed_candidates(sites), pages, 1000)
+    cols = ["site_id", "candidate_pos", "api_url", "discovered_from", "fetch_status", "url_count", "page_count", "fetched", "chosen"]
+    assert sorted(whole.select(cols).collect()) == sorted(capped.select(cols).collect())
+    assert "post_urls" not in whole.columns
+    links = [DS.feed_targets(whole, sites, ("/tag/",), True, status), DS.feed_targets(capped, sites, ("/tag/",))]
+    got, expected = (sorted(tuple(r) for r in t.drop("_pos").collect()) for t in links)
+    assert got == expected
+    assert [(r[0][7], r[1]) for r in got] == [
+        ("a", "http://a.com/1"), ("a", "http://a.com/2"), ("a", "http://a.com/3"), ("b", "http://b.com/7"), ("b", "http://b.com/8"),
+        ("c", "http://c.com/1"), ("c", "http://c.com/2"), ("c", "http://c.com/3"), ("c", "http://c.com/4")]
